@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import line_dedup, quality, sharding, topk
 from .sql import ORACLES
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_exact_topk": topk.op7_exact_topk,
+    "op8_sharding": sharding.op8_sharding,
 }
 
 

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from .common import Workspace, table, text_or_empty, words_of
 
 #: ratio -> (scale, floor): a document is over the ratio's limit only above both the sketch's cut-off and this floor.
-RATIOS = {"symbol_bp": (10_000, 1_500), "dup_line_bp": (10_000, 3_000), "repeat_bp": (10_000, 2_000), "word_len_pc": (100, 1_500)}
+RATIOS = {"symbol_bp": (10_000, 600), "dup_line_bp": (10_000, 5_000), "repeat_bp": (10_000, 2_000), "word_len_pc": (100, 1_500)}
 #: Ratios end in this top bin, so a sketch has at most this many bins whatever the corpus.
 TOP_BIN = 10_000
 

@@ -1,3 +1,102 @@
 """The same results in DuckDB's SQL."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: Counts, ratios, histograms, cut-offs and verdicts; ``docs`` is (doc_id, text, lang, source).
+QUALITY_CTES = f"""
+q_words AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text,
+         CASE WHEN trim(coalesce(text, ''), {_SPACES}) = '' THEN CAST([] AS VARCHAR[])
+              ELSE regexp_split_to_array(trim(coalesce(text, ''), {_SPACES}), '[\\x20\\x09-\\x0D]+') END AS w
+  FROM docs),
+q_lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM q_words)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+q_grams AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM q_words WHERE len(w) >= 3)),
+q_again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM q_grams) WHERE c > 1),
+q_covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM q_again) GROUP BY doc_id),
+q_counts AS (
+  SELECT a.doc_id, a.lang, a.source, CAST(len(a.w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(a.w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(a.text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(l.n_lines, 0) AS BIGINT) AS n_lines,
+         CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM q_words a LEFT JOIN q_lines l ON a.doc_id = l.doc_id LEFT JOIN q_covered c ON a.doc_id = c.doc_id),
+q_scored AS (
+  SELECT *,
+    CAST(least(10000, CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END) AS INT) AS symbol_bp,
+    CAST(least(10000, CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END) AS INT) AS dup_line_bp,
+    CAST(least(10000, CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END) AS INT) AS repeat_bp,
+    CAST(least(10000, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END) AS INT) AS word_len_pc
+  FROM q_counts),
+q_long AS (
+  SELECT lang, source, 'symbol_bp' AS ratio, symbol_bp AS bin FROM q_scored UNION ALL
+  SELECT lang, source, 'dup_line_bp', dup_line_bp FROM q_scored UNION ALL
+  SELECT lang, source, 'repeat_bp', repeat_bp FROM q_scored UNION ALL
+  SELECT lang, source, 'word_len_pc', word_len_pc FROM q_scored),
+q_fine AS (
+  SELECT lang, source, ratio, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3
+  FROM q_long GROUP BY lang, source, ratio),
+q_lang AS (
+  SELECT lang, ratio, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3
+  FROM q_long GROUP BY lang, ratio),
+q_all AS (
+  SELECT ratio, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM q_long GROUP BY ratio),
+q_cuts AS (
+  SELECT f.lang, f.source, f.ratio,
+    greatest(
+      CASE WHEN f.n >= 200 THEN f.q3 + 6 * (f.q3 - f.q1) WHEN l.n >= 200 THEN l.q3 + 6 * (l.q3 - l.q1) ELSE a.q3 + 6 * (a.q3 - a.q1) END,
+      CASE f.ratio WHEN 'symbol_bp' THEN 600 WHEN 'dup_line_bp' THEN 5000 WHEN 'repeat_bp' THEN 2000 ELSE 1500 END) AS cut
+  FROM q_fine f JOIN q_lang l ON f.lang IS NOT DISTINCT FROM l.lang AND f.ratio = l.ratio JOIN q_all a ON f.ratio = a.ratio),
+q_limits AS (
+  SELECT lang, source, CAST(max(cut) FILTER (ratio = 'symbol_bp') AS INT) AS max_symbol_bp,
+    CAST(max(cut) FILTER (ratio = 'dup_line_bp') AS INT) AS max_dup_line_bp,
+    CAST(max(cut) FILTER (ratio = 'repeat_bp') AS INT) AS max_repeat_bp,
+    CAST(max(cut) FILTER (ratio = 'word_len_pc') AS INT) AS max_word_len_pc
+  FROM q_cuts GROUP BY lang, source),
+q_judged AS (
+  SELECT s.*, m.* EXCLUDE (lang, source), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND symbol_bp <= max_symbol_bp AND dup_line_bp <= max_dup_line_bp
+      AND repeat_bp <= max_repeat_bp AND word_len_pc <= max_word_len_pc AS kept
+  FROM q_scored s JOIN q_limits m ON s.lang IS NOT DISTINCT FROM m.lang AND s.source IS NOT DISTINCT FROM m.source)
+"""
+
+_LINES = f"""
+l_lines AS (
+  SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], {_SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+l_owner AS (
+  SELECT key, min(doc_id) AS owner FROM l_lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": f"""
+WITH docs AS (SELECT doc_id, text, lang, source FROM documents), {QUALITY_CTES}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, symbol_bp, dup_line_bp, repeat_bp,
+  word_len_pc, max_symbol_bp, max_dup_line_bp, max_repeat_bp, max_word_len_pc
+FROM q_judged""",
+    "op6_line_dedup": f"""
+WITH {_LINES}
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT l.doc_id, l.i, l.line, o.owner IS NOT NULL AND o.owner < l.doc_id AS gone FROM l_lines l LEFT JOIN l_owner o ON l.key = o.key)
+GROUP BY doc_id""",
+    "op7_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE embedding IS NOT NULL),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+}
