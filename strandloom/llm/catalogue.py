@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality, sharding, topk
+from . import line_dedup, quality, sharding, simhash, topk
 from .sql import ORACLES
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_sharding": sharding.op8_sharding,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 
