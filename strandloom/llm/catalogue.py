@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality, sharding, simhash, topk
+from . import bpe, line_dedup, packing, quality, sharding, simhash, topk
 from .sql import ORACLES
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_packing": packing.op3_packing,
+    "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_sharding": sharding.op8_sharding,
