@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, packing, quality, sharding, simhash, topk
+from . import bpe, html_text, line_dedup, packing, quality, sharding, simhash, topk, warc
 from .sql import ORACLES
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_packing": packing.op3_packing,
+    "op4_warc": warc.op4_warc,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_sharding": sharding.op8_sharding,
+    "op9_html_text": html_text.op9_html_text,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
