@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, line_dedup, packing, quality, sharding, simhash, topk, warc
+from . import bpe, html_text, line_dedup, packing, pii, quality, sharding, simhash, topk, warc
 from .sql import ORACLES
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_packing": packing.op3_packing,
     "op4_warc": warc.op4_warc,
