@@ -31,7 +31,7 @@ class Workspace:
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         _OPEN.append(self)
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Write ``df`` once and read it back: a stable, recoverable table with no lineage."""
         at = f"{self.path}/{name}"
         df.write.mode("overwrite").option("compression", codec).parquet(at)
