@@ -5,7 +5,7 @@ position) the rows with a weight and the weights. A block of sparse query rows s
 weight`` into a dense array of scores, one term after another; a partition selection then keeps each query's k best
 of the block, ties to the smaller vec_id, and the blocks' lists are merged. Queries and candidates meet in blocks:
 each query block is sent to each candidate block once, so no table is broadcast and no task holds more than two
-blocks and one strip of scores.
+blocks and one row of scores.
 
 Defined cases: vectors that are null, hold a null or a non-finite component, or have a null vec_id take no part;
 vectors of differing lengths count missing components as zero; of rows that repeat a query's vec_id, the one with
@@ -14,7 +14,6 @@ the smallest vector is the query, and none of them is its candidate; an empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +32,6 @@ class TopKParams:
     query_step: int = 20
     query_block: int = 4096
     candidate_block: int = 8192
-    strip: int = 256
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -43,60 +41,72 @@ def quantised(vectors: DataFrame, scale: int, id_col: str = "vec_id", vec_col: s
     return vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("w"))
 
 
+def weight_type(*blocks: np.ndarray) -> type:
+    """The narrowest integers that hold every sum of products of two blocks."""
+    most = [int(np.abs(b).max(initial=0)) for b in blocks]
+    return np.int32 if most[0] * most[1] * max(b.shape[1] for b in blocks) < 2**31 else np.int64
+
+
+def dense(rows: list) -> np.ndarray:
+    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)), dtype=np.int64)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
 class Postings:
-    """Term -> (rows, weights) of a block of candidates sorted by id."""
+    """Term -> (rows, weights) of a block of candidates in ascending order of id."""
 
-    def __init__(self, ids: np.ndarray, rows: list):
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, kind: type):
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
-        width = max((len(r) for r in rows), default=0)
-        dense = np.zeros((len(rows), width), dtype=np.int64)
-        for i, at in enumerate(order):
-            dense[i, : len(rows[at])] = rows[at]
+        self.ids, self.kind = ids[order], kind
         self.terms = []
-        for t in range(width):
-            at = np.flatnonzero(dense[:, t])
-            self.terms.append((None if len(at) == len(rows) else at, dense[at, t]))
-
-    def scores(self, queries: np.ndarray) -> np.ndarray:
-        """Dense scores of a strip of query rows, accumulated term by term."""
-        acc = np.zeros((len(queries), len(self.ids)), dtype=np.int64)
-        for t, (rows, weights) in enumerate(self.terms[: queries.shape[1]]):
-            for q in np.flatnonzero(queries[:, t]):
-                if rows is None:
-                    acc[q] += queries[q, t] * weights
-                else:
-                    acc[q, rows] += queries[q, t] * weights
-        return acc
-
-
-def best_of_block(qid: np.ndarray, queries: np.ndarray, block: Postings, k: int, strip: int) -> Iterator[pd.DataFrame]:
+        for column in weights[order].T:
+            at = np.flatnonzero(column)
+            self.terms.append((None if len(at) == len(column) else at, column[at].astype(kind)))
+
+    def accumulate(self, query: np.ndarray, scores: np.ndarray, spare: np.ndarray) -> None:
+        """Scatter the weighted postings of one query's terms into ``scores``."""
+        scores.fill(0)
+        for t in np.flatnonzero(query[: len(self.terms)]):
+            rows, weights = self.terms[t]
+            product = np.multiply(weights, query[t], out=spare[: len(weights)])
+            if rows is None:
+                scores += product
+            else:
+                scores[rows] += product
+
+
+def best_of_block(qid: np.ndarray, queries: np.ndarray, block: Postings, k: int) -> pd.DataFrame:
+    """Each query's k best of the block, ties to the smaller id."""
     n = len(block.ids)
-    place = np.arange(n, dtype=np.int64)
-    for s in range(0, len(qid), strip):
-        acc = block.scores(queries[s : s + strip])
-        for i, row in enumerate(acc):
-            own = block.ids == qid[s + i]
-            live = place if not own.any() else place[~own]
-            if len(live) > k:
-                # the k-th best score, then all above it and the smallest ids among its equals
-                bar = np.partition(row[live], len(live) - k)[len(live) - k]
-                above, equal = live[row[live] > bar], live[row[live] == bar]
-                live = np.concatenate([above, equal[: k - len(above)]])
-            yield pd.DataFrame({"query_id": np.full(len(live), qid[s + i]), "vec_id": block.ids[live], "score": row[live]})
-
-
-def _meet(k: int, strip: int):
+    scores, spare = np.empty(n, dtype=block.kind), np.empty(n, dtype=block.kind)
+    queries = queries.astype(block.kind)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for q, query in zip(qid, queries):
+        block.accumulate(query, scores, spare)
+        lo, hi = np.searchsorted(block.ids, q, "left"), np.searchsorted(block.ids, q, "right")
+        left = n - (hi - lo)  # the query's own rows take no part
+        if left <= k:
+            at = np.r_[0:lo, hi:n]
+        else:
+            np.copyto(spare, scores)
+            spare[lo:hi] = np.iinfo(block.kind).min
+            bar = np.partition(spare, n - k)[n - k]
+            above, equal = np.flatnonzero(spare > bar), np.flatnonzero(spare == bar)
+            at = np.concatenate([above, equal[(equal < lo) | (equal >= hi)][: k - len(above)]])
+        out.append((at, scores[at].astype(np.int64)))
+    at = np.concatenate([a for a, _ in out])
+    return pd.DataFrame({"query_id": np.repeat(qid, [len(a) for a, _ in out]), "vec_id": block.ids[at], "score": np.concatenate([s for _, s in out])})
+
+
+def _meet(k: int):
     def meet(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
         if not len(queries) or not len(candidates):
-            return empty
-        block = Postings(candidates["vec_id"].to_numpy(), candidates["w"].tolist())
-        width = max(len(x) for x in queries["w"])
-        q = np.zeros((len(queries), width), dtype=np.int64)
-        for i, x in enumerate(queries["w"]):
-            q[i, : len(x)] = x
-        return pd.concat([empty, *best_of_block(queries["vec_id"].to_numpy(), q, block, k, strip)], ignore_index=True)
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+        q, c = dense(queries["w"].tolist()), dense(candidates["w"].tolist())
+        block = Postings(candidates["vec_id"].to_numpy(), c, weight_type(q, c))
+        return best_of_block(queries["vec_id"].to_numpy(), q, block, k)
 
     return meet
 
@@ -109,7 +119,7 @@ def search(queries: DataFrame, candidates: DataFrame, params: TopKParams = TopKP
     block = lambda n, seed, *more: F.pmod(F.xxhash64(F.lit(seed), "vec_id", *more), F.lit(n)).cast("int")
     left = queries.select("vec_id", "w", block(nq, "q").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
     right = candidates.select("vec_id", "w", block(nc, "c", "w").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
-    met = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(_meet(params.k, params.strip), "query_id long, vec_id long, score long")
+    met = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(_meet(params.k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", "score").filter(F.col("rank") <= params.k)
 
