@@ -68,6 +68,14 @@ def _fingerprints(words: int, seed: int):
     return run
 
 
+def _row_fingerprints(words: int, seed: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"rid": pdf["rid"], "doc_id": pdf["_doc"], "fp": np.array([fingerprint(t, words, seed) for t in pdf["text"]], dtype=np.int64)})
+
+    return run
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Where a code stands in the reflected Gray sequence."""
     r = x.copy()
@@ -246,11 +254,16 @@ def fingerprints(docs: DataFrame, params: SimHashParams = SimHashParams()) -> Da
     return docs.select("doc_id", "text").mapInPandas(_fingerprints(params.words, params.seed), "doc_id long, fp long")
 
 
-def group_near(prints: DataFrame, work: Workspace, params: SimHashParams = SimHashParams()) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of the written table (doc_id, fp)."""
+def group_near(prints: DataFrame, work: Workspace, params: SimHashParams = SimHashParams(), component: str = "component_id") -> DataFrame:
+    """(fp, component_id) of every distinct fingerprint of the written table (doc_id, fp).
+
+    With ``component="root"``, (fp, root): the group's smallest fingerprint, which is there without any doc_id too.
+    """
     nodes = work.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = connected(work.save(links(nodes.select("fp"), work, params), "links"), work)
     rooted = work.save(nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    if component == "root":
+        return rooted.select("fp", "root")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")
 
@@ -260,3 +273,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = work.save(fingerprints(table(spark, sf_dir, "documents")), "prints")
     of = group_near(prints, work)
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, work: Workspace, params: SimHashParams = SimHashParams(words=5)) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the smallest doc_id, the first row if it is repeated."""
+    ship(docs.sparkSession)
+    names = [f"_in_{i}" for i in range(len(docs.columns))]
+    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col("doc_id").cast("long").alias("_doc"), F.monotonically_increasing_id().alias("_rid"))
+    held = work.save(held, "held")
+    text = names[docs.columns.index("text")]
+    prints = work.save(held.select(F.col("_rid").alias("rid"), "_doc", F.col(text).alias("text")).mapInPandas(_row_fingerprints(params.words, params.seed), "rid long, doc_id long, fp long"), "prints")
+    of = group_near(prints.select("doc_id", "fp"), work, params, component="root")
+    first = prints.join(of, "fp").groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("_rid"))
+    return held.join(first.select("_rid"), "_rid", "left_semi").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
