@@ -1,4 +1,11 @@
 """Every query of the engine and, where SQL can say the same, the SQL."""
 
+from __future__ import annotations
+
+from . import evaluation, features
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for group in (evaluation, features):
+    QUERIES |= group.QUERIES
+    ORACLES |= group.ORACLES
