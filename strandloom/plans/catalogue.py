@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, features
+from . import alignment, clustering, evaluation, features
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for group in (evaluation, features):
+for group in (evaluation, features, clustering, alignment):
     QUERIES |= group.QUERIES
     ORACLES |= group.ORACLES
