@@ -37,6 +37,8 @@ class PackParams:
     length: int = 2048
     end_id: int = 1
     memo: int = 600_000
+    #: Tasks of the first pass up to which their offsets, 12 bytes each, are broadcast.
+    broadcast_parts: int = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -118,8 +120,10 @@ def pack(docs: DataFrame, work: Workspace, params: PackParams = PackParams()) ->
     """One row per piece of (doc_id, text) rows."""
     ship(docs.sparkSession)
     tokens = work.save(docs.select("doc_id", "text").mapInPandas(_tokenize(params), "doc_id long, part int, before long, n long, width int, ids binary"), "tokens")
-    totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))  # a row per task of the first pass
+    totals = work.save(tokens.groupBy("part").agg(F.sum("n").alias("total")), "totals")  # a row per task of the first pass
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
+    if totals.count() <= params.broadcast_parts:  # so the ids needn't be shuffled
+        base = F.broadcast(base)
     placed = tokens.join(base, "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n", "width", "ids")
     return placed.mapInPandas(_cut(params.length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
