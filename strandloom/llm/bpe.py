@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import Workspace, ship, table
 from .packing import tokenizer_path
 from .pretoken import byte_units
 
@@ -248,10 +248,20 @@ def _count_units(most: int):
     return run
 
 
-def frequent_units(docs: DataFrame, params: BpeParams = BpeParams()) -> list[str]:
-    """The units that all documents use most; ties go to the smaller one."""
+def frequent_units(docs: DataFrame, work: Workspace, params: BpeParams = BpeParams()) -> list[str]:
+    """The units that all documents use most: all with a count from some level on, at most ``lexicon_words``.
+
+    The level comes from a histogram of the counts' logarithms, so no more than the lexicon reaches the driver.
+    """
     counts = docs.select("text").mapInPandas(_count_units(params.count_table), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return [r["unit"] for r in counts.filter("n > 1").orderBy(F.desc("n"), "unit").limit(params.lexicon_words).collect()]
+    counts = work.save(counts.filter("n > 1").select("unit", F.floor(F.log2("n") * 16).cast("int").alias("level")), "units")
+    level, left = None, params.lexicon_words
+    for r in sorted(counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):
+        left -= r["n"]
+        if left < 0:
+            break
+        level = r["level"]
+    return [r["unit"] for r in counts.filter(F.col("level") >= level).select("unit").collect()] if level is not None else []
 
 
 _CODERS: dict[str, Coder] = {}
@@ -294,7 +304,7 @@ def _digest(held, digest: str, p: BpeParams):
 def _lexicon_for(docs: DataFrame, params: BpeParams):
     spark = docs.sparkSession
     ship(spark)
-    blob = compile_lexicon(frequent_units(docs, params), params.tokenizer)
+    blob = compile_lexicon(frequent_units(docs, Workspace(spark, "bpe"), params), params.tokenizer)
     return spark.sparkContext.broadcast(blob), hashlib.sha256(blob).hexdigest()
 
 
