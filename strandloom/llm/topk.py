@@ -118,7 +118,8 @@ def search(queries: DataFrame, candidates: DataFrame, params: TopKParams = TopKP
     nq, nc = (max(1, -(-df.count() // size)) for df, size in ((queries, params.query_block), (candidates, params.candidate_block)))
     block = lambda n, seed, *more: F.pmod(F.xxhash64(F.lit(seed), "vec_id", *more), F.lit(n)).cast("int")
     left = queries.select("vec_id", "w", block(nq, "q").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
-    right = candidates.select("vec_id", "w", block(nc, "c", "w").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+    # new names: queries may come from the same columns
+    right = candidates.select(F.col("vec_id").alias("vec_id"), F.col("w").alias("w"), block(nc, "c", "w").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
     met = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(_meet(params.k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", "score").filter(F.col("rank") <= params.k)
