@@ -44,19 +44,23 @@ def propagate_once(a: DataFrame, labels: DataFrame, kind: str = "logsum") -> Dat
 
 
 def propagate(edges: DataFrame, save: Save, kind: str = "tail", max_rounds: int = 60, start: DataFrame | None = None) -> DataFrame:
-    """(node, label) after rounds without a change. A node that comes back to a label it had is frozen there, which
-    ends the swaps that synchronous rounds can fall into."""
+    """(node, label) when neither half of the nodes changes any more.
+
+    The nodes move in two halves, by a hash, in turn, so that two neighbours rarely swap labels for ever; a node that
+    still comes back to a label it had is frozen there."""
     a = save(arcs(edges), "arcs")
     state = save((start if start is not None else singletons(a)).select("node", "label", F.array("label").alias("past"), F.lit(False).alias("frozen")), "labels0")
+    quiet = 0
     for k in range(1, max_rounds + 1):
         moved = propagate_once(a, state.select("node", "label"), kind)
         j = state.join(moved.select("node", F.col("label").alias("to")), "node", "left")
-        change = F.col("to").isNotNull() & (F.col("to") != F.col("label")) & ~F.col("frozen")
+        change = F.col("to").isNotNull() & (F.pmod(F.xxhash64("node") + k, F.lit(2)) == 0) & (F.col("to") != F.col("label")) & ~F.col("frozen")
         again = change & F.array_contains("past", F.col("to"))
         state = save(j.select("node", F.when(change, F.col("to")).otherwise(F.col("label")).alias("label"), F.when(change & ~again, F.concat("past", F.array("to"))).otherwise(F.col("past")).alias("past"), (F.col("frozen") | again).alias("frozen"), change.alias("changed")), f"labels{k}")
-        if state.filter("changed").isEmpty():
-            break
+        quiet = quiet + 1 if state.filter("changed").isEmpty() else 0
         state = state.drop("changed")
+        if quiet == 2:
+            break
     return state.select("node", "label")
 
 

@@ -102,6 +102,17 @@ def mutual(neighbours: DataFrame) -> DataFrame:
     return up.join(down, ["i", "j"])
 
 
+def random_pairs(rows: DataFrame, column: str, similarity, pairs: int = 30_000) -> DataFrame:
+    """(sim): similarity of about ``pairs`` pairs picked by hash: rows meet in hashed buckets of two, in several deals."""
+    n = max(2, rows.count())
+    deals = max(1, -(-pairs // n)) if n > 250 else 8
+    key = F.concat_ws(":", F.col("deal"), F.pmod(F.xxhash64("id", "deal"), F.lit(max(1, n // 2))))
+    dealt = rows.select("id", column, F.explode(F.sequence(F.lit(1), F.lit(deals))).alias("deal")).select("id", column, key.alias("key"))
+    a = dealt.select("key", F.col("id").alias("i"), F.col(column).alias("a"))
+    b = dealt.select("key", F.col("id").alias("j"), F.col(column).alias("b"))
+    return a.join(b, "key").filter("i < j").select(similarity(F.col("a"), F.col("b")).alias("sim"))
+
+
 # -- candidates by shared keys
 
 
