@@ -34,6 +34,8 @@ class QualityParams:
     max_repeat_percent: int = 50
     spread: int = 6
     min_group: int = 200
+    #: Groups up to which the table of cut-offs, some 100 bytes each, is broadcast; more of them are joined by a shuffle.
+    broadcast_groups: int = 100_000
 
 
 def with_counts(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
@@ -108,7 +110,9 @@ def judge(docs: DataFrame, work: Workspace, columns: list[str], params: QualityP
     scored = with_counts(rename).drop("text")
     scored = scored.select("*", *[c.alias(f"_q_{r}") for r, c in ratios().items()])
     scored = work.save(scored, "scored")
-    limits = thresholds(sketch(scored), params)
+    limits = work.save(thresholds(sketch(scored), params), "limits")
+    if limits.count() <= params.broadcast_groups:
+        limits = F.broadcast(limits)
     joined = scored.join(limits, scored._q_lang.eqNullSafe(limits.lang) & scored._q_source.eqNullSafe(limits.source), "left")
     failed = (F.col("_q_n_words") < params.min_words) | (100 * F.col("_q_n_repeat_words") > params.max_repeat_percent * F.col("_q_n_words"))
     within = F.lit(True)
