@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, ship, table
 from .packing import tokenizer_path
-from .pretoken import byte_units
+from .pretoken import byte_letters, byte_units
 
 
 @dataclass(frozen=True)
@@ -46,18 +46,6 @@ class BpeParams:
     count_table: int = 300_000
 
 
-@cache
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte: itself if it is printable, else the next unused one from 256."""
-    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    out, extra = {b: chr(b) for b in printable}, 256
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(extra)
-            extra += 1
-    return [out[b] for b in range(256)]
-
-
 class Merges:
     """The tokenizer's own merges, for one unit at a time, and its vocabulary for decoding."""
 
@@ -66,7 +54,8 @@ class Merges:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         path = tokenizer_path(name)
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model, self.splitter = whole.model, whole.pre_tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.letters = {b: ch for b, ch in enumerate(byte_letters())}
@@ -226,24 +215,25 @@ class Coder:
         if self.split and "<" in text and self.split.search(text):
             out: list[int] = []
             for k, part in enumerate(self.split.split(text)):
-                out.extend([self.of.specials[part]] if k % 2 else chain.from_iterable(map(self.memo.__getitem__, byte_units(part))))
+                out.extend([self.of.specials[part]] if k % 2 else chain.from_iterable(map(self.memo.__getitem__, byte_units(part, self.of.splitter))))
             return out
-        return list(chain.from_iterable(map(self.memo.__getitem__, byte_units(text))))
+        return list(chain.from_iterable(map(self.memo.__getitem__, byte_units(text, self.of.splitter))))
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.of.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _count_units(most: int):
+def _count_units(name: str, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+        held, splitter = Counter(), merges(name).splitter
         for pdf in batches:
             for t in pdf["text"]:
-                held.update(byte_units(t or ""))
+                held.update(byte_units(t or "", splitter))
                 if len(held) > most:
                     yield pd.DataFrame({"unit": list(held.keys()), "n": list(held.values())})
                     held.clear()
-        yield pd.DataFrame({"unit": list(held.keys()), "n": np.array(list(held.values()), dtype=np.int64)})
+        if held:
+            yield pd.DataFrame({"unit": list(held.keys()), "n": list(held.values())})
 
     return run
 
@@ -253,7 +243,7 @@ def frequent_units(docs: DataFrame, work: Workspace, params: BpeParams = BpePara
 
     The level comes from a histogram of the counts' logarithms, so no more than the lexicon reaches the driver.
     """
-    counts = docs.select("text").mapInPandas(_count_units(params.count_table), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInPandas(_count_units(params.tokenizer, params.count_table), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     counts = work.save(counts.filter("n > 1").select("unit", F.floor(F.log2("n") * 16).cast("int").alias("level")), "units")
     level, left = None, params.lexicon_words
     for r in sorted(counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):

@@ -55,6 +55,7 @@ class WordTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(tokenizer_path(name))
+        self.splitter = self.model.pre_tokenizer
         self.specials = [t.content for t in self.model.get_added_tokens_decoder().values()]
         if self.model.get_vocab_size() > np.iinfo(np.dtype(width)).max:
             width = "<u4"
@@ -76,7 +77,7 @@ class WordTokenizer:
         if "<" in text and any(s in text for s in self.specials):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
         plain = text.lower() if is_latin(text) else self.model.normalizer.normalize_str(text)
-        return b"".join(map(self.memo.__getitem__, words(plain)))
+        return b"".join(map(self.memo.__getitem__, words(plain, self.splitter)))
 
 
 @cache
@@ -111,7 +112,8 @@ def _cut(length: int):
                     e = min(n, s + length - off)
                     rows.append((doc, s, e - s, zlib.crc32(wide[s:e].tobytes()), n, seq, off))
                     s = e
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
 
     return run
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 import re
 from functools import cache
 
-import regex
-
-#: Classes of the first 256 code points, for the faster of the two engines.
+#: Letters, numbers and spaces among the first 256 code points.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 
@@ -21,26 +19,36 @@ def is_latin(text: str) -> bool:
 
 
 @cache
-def _word_patterns():
-    near = re.compile(f"{_ENDINGS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-    far = regex.compile(rf"{_ENDINGS}|[\p{{L}}]+|[\p{{N}}]|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")
-    return near, far
+def byte_letters() -> tuple[str, ...]:
+    """The printable letter that stands for each byte: itself if it is printable, else the next unused one from 256."""
+    printable = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    out, extra = [], 256
+    for b in range(256):
+        out.append(chr(b if b in printable else extra))
+        extra += b not in printable
+    return tuple(out)
 
 
 @cache
-def _byte_patterns():
-    near = re.compile(f"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-    far = regex.compile(rf"{_ENDINGS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\p{{White_Space}}\p{{L}}\p{{N}}]+|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+")
-    return near, far
+def _letter_bytes() -> dict[str, int]:
+    return {ch: b for b, ch in enumerate(byte_letters())}
+
+
+_WORDS = re.compile(f"{_ENDINGS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_BYTES = re.compile(f"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+def by_library(splitter, text: str) -> list[str]:
+    """Units as the tokenizer's own splitter makes them; for text with letters beyond the first 256."""
+    back = _letter_bytes()
+    return [bytes(map(back.__getitem__, piece)).decode("utf-8") for piece, _ in splitter.pre_tokenize_str(text)]
 
 
-def words(text: str) -> list[str]:
+def words(text: str, splitter) -> list[str]:
     """Units of the word tokenizer, of text that is normalised already."""
-    near, far = _word_patterns()
-    return (near if is_latin(text) else far).findall(text)
+    return _WORDS.findall(text) if is_latin(text) else by_library(splitter, text)
 
 
-def byte_units(text: str) -> list[str]:
+def byte_units(text: str, splitter) -> list[str]:
     """Units of the byte-level tokenizer; together they are the text."""
-    near, far = _byte_patterns()
-    return (near if is_latin(text) else far).findall(text)
+    return _BYTES.findall(text) if is_latin(text) else by_library(splitter, text)

@@ -127,7 +127,8 @@ def _write(root: str, p: WarcParams):
                 raw = record(None if page is pd.NA else int(page), url, (html or "").encode("utf-8", "surrogatepass"), digest, None if refers is pd.NA else int(refers), p.date)
                 z = zlib.compressobj(p.level, zlib.DEFLATED, 31)
                 shard.write(z.compress(raw) + z.flush())
-        yield pd.DataFrame(shard.finish(), columns=["shard", "file", "bytes", "records", "sha256"])
+        if files := shard.finish():
+            yield pd.DataFrame(files, columns=["shard", "file", "bytes", "records", "sha256"])
 
     return run
 
