@@ -201,7 +201,10 @@ def redact(docs: DataFrame, work: Workspace, params: PiiParams = PiiParams()) ->
     past = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = spans.select("rid", "kind", F.greatest("start", past).alias("start"), "end").filter("start < end")
     cuts = cut.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts"))
-    joined = scanned.drop("_hits").join(cuts, F.col("_rid") == F.col("rid"), "left")
+    # only rows with something found are shuffled with their texts
+    found = F.size("_hits") > 0
+    plain = scanned.filter(~found).drop("_hits").select("*", F.lit(None).cast(cuts.schema["_cuts"].dataType).alias("_cuts"))
+    joined = scanned.filter(found).drop("_hits").join(cuts, F.col("_rid") == F.col("rid"), "left").drop("rid").unionByName(plain)
     chars = joined.select("*", F.when(F.col("_cuts").isNotNull(), F.split(F.col(f"_in_{at}"), "")).alias("_chars"))
     piece = lambda a, b: F.array_join(F.slice("_chars", (a + 1).cast("int"), (b - a).cast("int")), "")
     done = F.transform("_cuts", lambda x, i: F.concat(piece(F.coalesce(F.get("_cuts", i - 1)["end"], F.lit(0)), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
