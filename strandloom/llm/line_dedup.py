@@ -136,10 +136,11 @@ def kept_text(original: Column) -> Column:
 
 def dedup(docs: DataFrame, work: Workspace, params: LineParams = LineParams()) -> DataFrame:
     """``docs`` with the text that is left, and ``n_chars``, if there is one, counted again; a document left empty stays."""
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"_in_{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], "doc_id", "text")
     out = drop_lines(plain, work, params)
-    cols = [F.when(F.col("_kept").isNull(), F.col("text")).otherwise(kept_text(F.col("text"))).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = out.select(*cols)
+    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(kept_text(F.col("text")))
+    out = out.select(*[(text if c == "text" else F.col(n)).alias(c) for c, n in zip(docs.columns, names)])
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
