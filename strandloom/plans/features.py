@@ -111,11 +111,11 @@ def _prob_jaccard(s, d):
 
 
 def _pmh(s, d):
-    return P.all_pairs(_sketches(s, d), P.match_kernel, ["sketch"], 0.5)
+    return P.all_pairs(_sketches(s, d), P.match_kernel, ["sketch"], 0.75)
 
 
 def _oph(s, d):
-    return P.all_pairs(S.bucket_sketch(dna(s, d)), P.match_kernel, ["sketch"], 0.5)
+    return P.all_pairs(S.bucket_sketch(dna(s, d)), P.match_kernel, ["sketch"], 0.75)
 
 
 def _baseline(s, d):
