@@ -110,9 +110,9 @@ def bin_coherence(members: DataFrame) -> DataFrame:
 
 
 def coherence_bar(coherence: DataFrame, percent: float = 10.0) -> DataFrame:
-    """One row, ``bar``: the element at round(percent of n - 1) of the sorted coherences; a table of bins."""
+    """One row, ``bar``, or none without bins: the element at round(percent of n - 1) of the sorted coherences; a table of bins."""
     v = F.array_sort(F.collect_list("coherence"))
-    return coherence.agg(v.alias("v")).select(F.get("v", F.floor(percent / 100.0 * (F.size("v") - 1) + 0.5).cast("int")).alias("bar"))
+    return coherence.agg(v.alias("v")).select(F.get("v", F.floor(percent / 100.0 * (F.size("v") - 1) + 0.5).cast("int")).alias("bar")).filter("bar is not null")
 
 
 def _core_scores(columns: list[str], keep: int):

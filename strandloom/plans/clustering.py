@@ -258,10 +258,10 @@ t AS (SELECT p.seq, b.bin, sum((ln(p.x + 1.0) + ln(20.0::DOUBLE) - b.mu) ** 2 /
 SELECT seq, min(bin) AS bin FROM t WHERE t2 <= {CRIT6!r} GROUP BY seq HAVING count(*) = 1""",
     "bin_coherence": f"WITH {_REG}, {_core_sql('bin')} SELECT bin, size, round(coherence, 6) + 0.0 AS coherence FROM coh",
     "coherence_bar": f"WITH {_REG}, {_core_sql('nation')}, o AS (SELECT coherence, row_number() OVER (ORDER BY coherence) - 1 AS r, count(*) OVER () AS n FROM coh) SELECT round(coherence, 6) + 0.0 AS bar FROM o WHERE r = CAST(floor(0.25 * (n - 1) + 0.5) AS BIGINT)",
-    "frozen_core_recruit": f"""WITH {_REG}, {_core_sql('bin')}, {_PART}, m AS (SELECT bin, k, sm / n AS mean FROM core), t AS (SELECT bin, 0.95 * sqrt(sum(mean * mean)) AS tau FROM m GROUP BY bin),
+    "frozen_core_recruit": f"""WITH {_REG}, {_core_sql('bin')}, {_PART}, m AS (SELECT bin, k, sm / n AS mean FROM core WHERE n >= 2), t AS (SELECT bin, 0.95 * sqrt(sum(mean * mean)) AS tau FROM m GROUP BY bin),
 d AS (SELECT p.seq, m.bin, sum(p.u * m.mean) AS score FROM punit p JOIN m ON p.k = m.k GROUP BY ALL)
 SELECT d.seq, min(d.bin) AS bin FROM d JOIN t ON d.bin = t.bin WHERE d.score >= t.tau GROUP BY d.seq HAVING count(*) = 1""",
-    "core_recruit_top2": f"""WITH {_REG}, {_core_sql('bin')}, {_PART}, m AS (SELECT bin, k, sm / n / sqrt(sum((sm / n) ** 2) OVER (PARTITION BY bin)) AS mean FROM core),
+    "core_recruit_top2": f"""WITH {_REG}, {_core_sql('bin')}, {_PART}, m AS (SELECT bin, k, sm / n / sqrt(sum((sm / n) ** 2) OVER (PARTITION BY bin)) AS mean FROM core WHERE n >= 2),
 d AS (SELECT p.seq, m.bin, round(sum(p.u * m.mean), 9) AS score FROM punit p JOIN m ON p.k = m.k GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, bin) AS r FROM d),
 t AS (SELECT seq, max(bin) FILTER (r = 1) AS bin, max(score) FILTER (r = 1) AS best, max(score) FILTER (r = 2) AS second FROM r WHERE r <= 2 GROUP BY seq)
