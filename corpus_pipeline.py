@@ -26,7 +26,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, on shingles of five words, the smallest doc_id stays."""
+    """Of each group of near-duplicates, by shingles of five words at a Jaccard similarity of 0.8, the smallest doc_id stays."""
     return simhash.keep_one(docs, Workspace(spark, "stage-near"), simhash.SimHashParams(words=5))
 
 

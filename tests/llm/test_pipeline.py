@@ -43,3 +43,33 @@ def test_copies_go_when_they_reach_the_stage(spark, write_tables):
     df = spark.createDataFrame([(3, prose(1), "en", "s", 0), (1, prose(1).upper(), "en", "s", 0), (2, prose(2), "en", "s", 0)], DOCS)
     assert {r["doc_id"] for r in C.drop_near_duplicates(spark, df, d).collect()} == {1, 2}
     assert C.run(spark, d).count() == 0
+
+
+def edited(words, times):
+    """``words`` with ``times`` words replaced, far from each other."""
+    out, step = list(words), len(words) // times
+    for k in range(times):
+        out[k * step + step // 2] = f"edit{k}"
+    return out
+
+
+def test_edited_copies_go_from_four_fifths_alike(spark):
+    """Shingles of five words: 8 edits of 400 words leave a Jaccard similarity of 0.82, 11 edits one of 0.76."""
+    base = prose(3, 400).split()
+    rows = [(1, " ".join(base)), (2, " ".join(edited(base, 8))), (3, " ".join(edited(base, 11)))]
+    spam = "a b c d e " * 100  # fills the fingerprint, but not the set of shingles
+    rows += [(4, spam + prose(4, 60)), (5, spam + prose(5, 60)), (6, None), (7, ""), (None, " ".join(base).upper())]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    assert {r["doc_id"] for r in C.drop_near_duplicates(spark, df, "").collect()} == {1, 3, 4, 5, 6}
+
+
+def test_groups_of_any_size_are_cut_into_tiles(spark, work):
+    from strandloom.llm import simhash
+
+    rows = []
+    for g in range(3):
+        base = prose(50 + g, 300).split()
+        rows += [(g * 100 + k, " ".join(base[:k * 7] + [f"own{g}x{k}"] + base[k * 7 + 1 :]), "en", "s", 0) for k in range(40)]
+    df = spark.createDataFrame(rows, DOCS)
+    params = simhash.SimHashParams(words=5, block_rows=8)
+    assert {r["doc_id"] for r in simhash.keep_one(df, work, params).collect()} == {0, 100, 200}
