@@ -148,3 +148,25 @@ def test_query(spark, write_tables):
     assert sorted((r["page_id"] or 0, r["n_chars"], r["text"]) for r in html_text.op9_html_text(spark, d).collect()) == [(0, 1, "x"), (1, 0, ""), (2, 0, "")]
     d = write_tables(pages=spark.createDataFrame([], "page_id long, url string, html string"))
     assert html_text.op9_html_text(spark, d).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p><svg/> Hello</p>", "Hello"),
+        ("<p><math/>Hello</p>", "Hello"),
+        ("<p><svg><path d='M0'/><title/><g/></svg>Hello <b>x</b></p>", "Hello x"),
+        ("<p><svg><g>not shown<text>one</text><text>two <tspan>three</tspan></text></g><defs><text>no</text></defs></svg> after</p>", "one two three after"),
+        ("<p><svg><foreignObject><i>in</i></foreignObject></svg> after</p>", "in after"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p>", "so x=1 holds"),
+        ("<head><title>t</title>Hello <a>x</a>", "Hello x"),
+        ("<head><title>t</title><a>x</a> y", "x y"),
+        ("<head>\n<meta a=b><script>1</script>\n<title>t</title></head><body>b", "b"),
+        ("<p>say <textarea>\none  &amp; two</textarea> now</p>", "say one  & two now"),
+        ("<p>pick <select><option>one<option>two</select> now</p>", "pick one two now"),
+        ("<p>a <span/>b <svg width=5/>c</svg> d</p>", "a b d"),
+        ("<p>x<datalist><option>no</option></datalist></p>", "x"),
+    ],
+)
+def test_all_that_a_browser_shows(page, text):
+    assert html_text.visible_text(page) == text
