@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,10 @@ PATTERNS = {
 #: A text without these can't have a match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _SP = r"\x20\x09-\x0D"
-#: Its first token has a digit or an at sign; tokens of digits and phone punctuation may follow.
-MENTION = rf"(?:\G|(?<![^{_SP}]))[^{_SP}0-9@]*+[0-9@][^{_SP}]*+(?:\x20[(0-9+][0-9().+-]*+(?=[{_SP}]|\z))*+"
+#: An at sign spelled out inside a token.
+_AT = rf"(?<=[^{_SP}])[\[(]at[\])](?=[^{_SP}])"
+#: Its first token has a digit or an at sign, spelled out or not; tokens of digits and phone punctuation may follow.
+MENTION = rf"(?:\G|(?<![^{_SP}]))[^{_SP}0-9@\[(]*+(?:(?!{_AT})[\[(][^{_SP}0-9@\[(]*+)*+(?:[0-9@]|{_AT})[^{_SP}]*+(?:\x20[(0-9+][0-9().+-]*+(?=[{_SP}]|\z))*+"
 #: What a mention must look like to be added as a kind that its base pattern didn't see.
 SHAPES = {
     "email": r"^[^@\x20]+(?:@[^@\x20]+|[\[(]at[\])][^@\x20]+)$",
@@ -51,7 +54,6 @@ SHAPES = {
 
 @dataclass(frozen=True)
 class PiiParams:
-    rounds: int = 3
     z: float = 2.58
     trust: float = 0.5
     accept: float = 0.5
@@ -149,7 +151,7 @@ def discover(mentions: DataFrame, work: Workspace, params: PiiParams = PiiParams
     sizes = work.save(graph.groupBy("pattern").agg(F.countDistinct("inst").alias("n")), "patterns")
     labelled = graph.filter("seed is not null").select("pattern", "inst", F.col("seed").alias("kind"))
     won = None
-    for k in range(params.rounds):
+    for k in count():
         known = labelled if won is None else labelled.unionByName(open_.join(won, ["inst", "kind"]).select("pattern", "inst", "kind"))
         votes = known.groupBy("pattern", "kind").agg(F.countDistinct("inst").alias("x")).join(sizes, "pattern")
         p, n, z2 = F.col("x") / F.col("n"), F.col("n"), params.z**2
@@ -161,9 +163,8 @@ def discover(mentions: DataFrame, work: Workspace, params: PiiParams = PiiParams
         best = scored.groupBy("inst").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
         before = 0 if won is None else won.count()
         won = work.save(best, f"won{k}")
-        if won.count() == before:
-            break
-    return won
+        if won.count() <= before:
+            return won
 
 
 def find(docs: DataFrame, work: Workspace, keep: list[str], params: PiiParams = PiiParams()) -> tuple[DataFrame, DataFrame]:

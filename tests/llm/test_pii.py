@@ -86,3 +86,18 @@ def test_very_long_text(spark, work):
     text = "w " * 100_000 + " ".join(f"u{i}@x.org" for i in range(3000))
     out = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), work).first()["text"]
     assert out.count("[EMAIL]") == 3000 and "@" not in out and out.startswith("w w w ")
+
+
+def test_spelled_out_addresses_are_mentions(spark, work):
+    texts = [f"write to mail: u{i}@x.example.org today" for i in range(30)] + ["write to mail: jane[at]example.org today", "write to mail: joe(at)example.org today", "meet (at) noon"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in pii.redact(df, work).orderBy("doc_id").collect()] == ["write to mail: [EMAIL] today"] * 32 + ["meet (at) noon"]
+
+
+def test_rounds_go_on_while_something_is_found(spark, work):
+    """Every level's context becomes trusted only by the level before it; the last is found in the fourth round."""
+    rows, sizes = [], (1200, 300, 75, 20, 5)
+    for level, n in enumerate(sizes):
+        rows += [(f"555-{level}{k:06d}", None if level else "phone", [f"p{level}", f"p{level + 1}"] if level else ["p1"]) for k in range(n)]
+    won = pii.discover(spark.createDataFrame(rows, "inst string, seed string, patterns array<string>"), work)
+    assert won.count() == sum(sizes[1:])
