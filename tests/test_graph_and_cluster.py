@@ -129,3 +129,17 @@ def test_youden_takes_the_highest_of_equals(spark):
     df = spark.createDataFrame([(3.0, True), (2.0, True), (2.0, False), (1.0, True), (0.0, False)], "value double, positive boolean")
     r = R.youden_boundary(df).first()
     assert r["boundary"] == 1.0 and r["tpr"] == 1.0 and r["fpr"] == 0.5
+
+
+def test_sketch_similarity_queries_keep_pairs_from_a_half(spark, write_tables):
+    from strandloom.operators import pairs
+    from strandloom.plans import features
+
+    base = [f"w{(k * k * 31 + k * 7) % 997:03d}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(300)]
+    other = str.maketrans("abcdefghijw", "aaaaaccccca")
+    texts = [" ".join(base[9 * i :] + [x.translate(other) for x in base[: 9 * i]]) for i in range(30)]
+    d = write_tables(documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for name, sketches in (("pmh_sketch_similarity", features._sketches(spark, d)), ("oph_sketch_similarity", features.S.bucket_sketch(features.dna(spark, d)))):
+        every = {(r["i"], r["j"]): r["sim"] for r in pairs.all_pairs(sketches, pairs.match_kernel, ["sketch"]).collect()}
+        assert any(0.5 <= x < 0.75 for x in every.values())
+        assert {(r["i"], r["j"]) for r in features.QUERIES[name](spark, d).collect()} == {p for p, x in every.items() if x >= 0.5}
