@@ -138,7 +138,7 @@ def _gfa(s, d):
 
 def _invidx(s, d):
     keyed = B.table(s, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("key")).distinct()
-    return P.shared_keys(keyed, 2, 256)
+    return P.shared_keys(keyed, 2, max(256, keyed.select("id").distinct().count() // 8))
 
 
 def _snn(s, d):

@@ -143,3 +143,11 @@ def test_sketch_similarity_queries_keep_pairs_from_a_half(spark, write_tables):
         every = {(r["i"], r["j"]): r["sim"] for r in pairs.all_pairs(sketches, pairs.match_kernel, ["sketch"]).collect()}
         assert any(0.5 <= x < 0.75 for x in every.values())
         assert {(r["i"], r["j"]) for r in features.QUERIES[name](spark, d).collect()} == {p for p, x in every.items() if x >= 0.5}
+
+
+def test_postings_up_to_an_eighth_of_the_rows_are_searched(spark, write_tables):
+    from strandloom.plans import features
+
+    rows = [(1, s, p) for s in range(290) for p in (1, 2)] + [(1, s, 10 + s) for s in range(290, 2400)]
+    d = write_tables(lineitem=spark.createDataFrame(rows, "l_linenumber int, l_suppkey long, l_partkey long"))
+    assert features.QUERIES["invidx_candidates"](spark, d).count() == 290 * 289 // 2
