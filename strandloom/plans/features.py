@@ -141,6 +141,18 @@ def _invidx(s, d):
     return P.shared_keys(keyed, 2, max(256, keyed.select("id").distinct().count() // 8))
 
 
+def _sketch_candidates(s, d, least=250):
+    """Pairs that share at least half of the 500 registers; equal sketches are looked up once, for all their members."""
+    work = Workspace(s, "candidates")
+    sketches = _sketches(s, d).filter(F.get("sketch", F.lit(0)) >= 0)
+    reps = sketches.groupBy("sketch").agg(F.min("id").alias("rep"))
+    of = work.save(sketches.join(reps, "sketch").select("id", "rep", F.size(F.filter("sketch", lambda w: w >= 0)).cast("long").alias("full")), "members")
+    met = P.shared_keys(P.register_keys(work.save(reps.select(F.col("rep").alias("id"), "sketch"), "sketches")), least)
+    a, b = of.select(F.col("id").alias("x"), F.col("rep").alias("i"), "full"), of.select(F.col("id").alias("y"), F.col("rep").alias("j"))
+    apart = met.join(a, "i").join(b, "j").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "shared")
+    return apart.unionByName(a.join(b, a.i == b.j).filter("x < y and full >= " + str(least)).select(F.col("x").alias("i"), F.col("y").alias("j"), F.col("full").alias("shared")))
+
+
 def _snn(s, d):
     edges = P.mutual(P.top_k(_knn_pairs(s, d), 5)).select("i", "j", F.col("sim").alias("score"))
     return rounded(G.snn_reweight(edges), "score")
@@ -170,7 +182,7 @@ QUERIES = {
     "mutual_knn_edges": lambda s, d: rounded(P.mutual(P.top_k(_knn_pairs(s, d), 5)), "sim"),
     "lsh_candidates": lambda s, d: P.shared_keys(P.band_keys(_sketches(s, d)), 1, 6000),
     "invidx_candidates": _invidx,
-    "sketch_candidates": lambda s, d: P.shared_keys(P.band_keys(_sketches(s, d), 10), 2, 6000),
+    "sketch_candidates": _sketch_candidates,
     "kmer_canonical_counts": _canonical,
     "kmer_tnf_l2": _tnf,
     "kmer_gc_weight": _gc_weight,

@@ -145,6 +145,19 @@ def test_sketch_similarity_queries_keep_pairs_from_a_half(spark, write_tables):
         assert {(r["i"], r["j"]) for r in features.QUERIES[name](spark, d).collect()} == {p for p, x in every.items() if x >= 0.5}
 
 
+def test_sketch_candidates_are_all_pairs_that_share_half_the_registers(spark, write_tables):
+    from strandloom.operators import pairs
+    from strandloom.plans import features
+
+    base = [f"w{(k * k * 31 + k * 7) % 997:03d}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(300)]
+    texts = [" ".join(base[: 300 - 25 * i] + [x[::-1] for x in base[: 25 * i]]) for i in (0, 1, 2, 4, 6, 8, 8, 8)]
+    d = write_tables(documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    every = pairs.all_pairs(features._sketches(spark, d), pairs.match_kernel, ["sketch"]).collect()
+    want = {(r["i"], r["j"], round(500 * r["sim"])) for r in every if r["sim"] >= 0.5}
+    assert {(5, 6, 500), (6, 7, 500)} < want
+    assert {tuple(r) for r in features.QUERIES["sketch_candidates"](spark, d).select("i", "j", "shared").collect()} == want
+
+
 def test_postings_up_to_an_eighth_of_the_rows_are_searched(spark, write_tables):
     from strandloom.plans import features
 
