@@ -30,6 +30,7 @@ def _members(s, d):
 
 def _purify(s, d):
     supplier = B.table(s, d, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_nationkey").alias("bin"))
+    # a binding: with every row of lineitem, nearly every supplier would carry all twelve months, and no marker be rare
     markers = B.table(s, d, "lineitem").filter("l_linenumber = 1 and l_tax = 0").select(F.col("l_suppkey").alias("seq"), F.month("l_shipdate").alias("marker"))
     return rounded(E.purify(B.supplier_depth(s, d).join(supplier, "seq"), markers, 2.0), "zmax")
 
