@@ -1,15 +1,20 @@
 """Quality rules whose cut-offs follow the corpus.
 
-Every document gets four ratios in integer units. For each ratio, a quantile sketch is kept per (language, source):
-a histogram of fixed integer bins, so that sketches merge by adding counts, in any order, with an error of at most
-one bin. A group with fewer than ``min_group`` documents uses the sketch of its language, and a language with fewer
-than that the sketch of everything; both are sums of the sketches below them. The upper cut-off of a ratio is
-``q3 + spread * (q3 - q1)`` of the sketch, never under a floor that ordinary prose stays below. The documents are
-then joined with the cut-offs of their group and filtered. Everything on this path is DataFrame functions.
+Every document gets five ratios in integer units. For each ratio, a quantile sketch is kept per (language, source):
+a histogram of the documents that pass the fixed base rules, in bins of one unit below 2048 and of at most a thousandth
+of the value above, so that sketches merge by adding counts, in any order, and have a bounded number of bins whatever
+the corpus. The upper limit of a group is ``q3 + spread * width`` of the rows above zero, as most documents have no symbols,
+repeated lines or repeated words at all and quartiles of zeros say nothing. The ratios in ``TWO_SIDED`` have the lower limit
+``q1 - spread * width`` of all rows too. The width is ``q3 - q1``, at least a twentieth of q3. No limit is fixed: a
+group with fewer than ``min_group`` such rows uses the sketch of its language, and a language with fewer than
+that the sketch of everything; both are sums of the sketches below them. A ratio that is zero everywhere has no
+limit. The documents are then joined with the limits of their group and filtered. Everything on this path is
+DataFrame functions.
 
 Defined cases: null text counts as no words; null language or source is a group of its own; repeated rows are
-judged one by one; an empty table gives an empty result; columns of the input that share a name with ours are
-not touched by :func:`keep_good`, which returns the input's columns only.
+judged one by one; an empty table gives an empty result; a group without any document that passes the base rules has
+null limits; columns of the input that share a name with ours are not touched by :func:`keep_good`, which returns
+the input's columns only.
 """
 
 from __future__ import annotations
@@ -22,10 +27,13 @@ from pyspark.sql.window import Window
 
 from .common import Workspace, table, text_or_empty, words_of
 
-#: ratio -> (scale, floor): a document is over the ratio's limit only above both the sketch's cut-off and this floor.
-RATIOS = {"symbol_bp": (10_000, 600), "dup_line_bp": (10_000, 5_000), "repeat_bp": (10_000, 2_000), "word_len_pc": (100, 1_500)}
-#: Ratios end in this top bin, so a sketch has at most this many bins whatever the corpus.
-TOP_BIN = 10_000
+#: The ratios: symbols, and characters that are neither letters nor digits, per character of a word; repeated lines per
+#: line; repeated words per word (all in basis points); characters per word (in hundredths).
+RATIOS = ("symbol_bp", "mark_bp", "dup_line_bp", "repeat_bp", "word_len_pc")
+#: Ratios that every text has some of, so that too little is odd as well.
+TWO_SIDED = ("mark_bp", "word_len_pc")
+#: Values below 2 ** this have bins of their own; above it, bins keep this many leading binary digits.
+BIN_DIGITS = 11
 
 
 @dataclass(frozen=True)
@@ -33,6 +41,8 @@ class QualityParams:
     min_words: int = 50
     max_repeat_percent: int = 50
     spread: int = 6
+    #: The quartiles are taken to be at least this part of the upper one apart.
+    least_width: int = 20
     min_group: int = 200
     #: Groups up to which the table of cut-offs, some 100 bytes each, is broadcast; more of them are joined by a shuffle.
     broadcast_groups: int = 100_000
@@ -42,7 +52,7 @@ def with_counts(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
     """Add the base counts of every whole text as columns ``<prefix>n_words`` and so on."""
     p = prefix
     text = text_or_empty()
-    a = docs.select("*", words_of(text).alias(f"{p}w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(f"{p}l"), F.size(F.regexp_extract_all(text, F.lit(r"[#*$%&|<>]"), 0)).cast("long").alias(f"{p}n_symbols"))
+    a = docs.select("*", words_of(text).alias(f"{p}w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(f"{p}l"), F.size(F.regexp_extract_all(text, F.lit(r"[#*$%&|<>]"), 0)).cast("long").alias(f"{p}n_symbols"), F.length(F.regexp_replace(text, r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+", "")).cast("long").alias(f"{p}n_marks"))
     w = F.col(f"{p}w")
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))
     b = a.select(
@@ -63,20 +73,27 @@ def with_counts(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
 
 
 def ratios(prefix: str = "_q_") -> dict[str, Column]:
-    """The four ratios as integers from 0 to TOP_BIN."""
+    """The ratios as whole numbers, rounded down."""
     n = lambda name: F.col(f"{prefix}{name}")
-    over = lambda a, b, scale: F.least(F.lit(TOP_BIN), F.when(b > 0, (F.lit(scale) * a - F.pmod(F.lit(scale) * a, b)) / b).otherwise(0)).cast("int")
+    over = lambda a, b, scale: F.when(b > 0, (scale * a - F.pmod(scale * a, b)) / b).otherwise(0).cast("long")
     return {
-        "symbol_bp": over(n("n_symbols"), n("word_chars"), RATIOS["symbol_bp"][0]),
-        "dup_line_bp": over(n("n_dup_lines"), n("n_lines"), RATIOS["dup_line_bp"][0]),
-        "repeat_bp": over(n("n_repeat_words"), n("n_words"), RATIOS["repeat_bp"][0]),
-        "word_len_pc": over(n("word_chars"), n("n_words"), RATIOS["word_len_pc"][0]),
+        "symbol_bp": over(n("n_symbols"), n("word_chars"), 10_000),
+        "mark_bp": over(n("n_marks"), n("word_chars"), 10_000),
+        "dup_line_bp": over(n("n_dup_lines"), n("n_lines"), 10_000),
+        "repeat_bp": over(n("n_repeat_words"), n("n_words"), 10_000),
+        "word_len_pc": over(n("word_chars"), n("n_words"), 100),
     }
 
 
+def bin_of(value: Column) -> Column:
+    """The least value of the bin that holds ``value``: its leading BIN_DIGITS binary digits."""
+    drop = F.greatest(F.length(F.bin(value)) - BIN_DIGITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
+
+
 def sketch(scored: DataFrame, lang: str = "_q_lang", source: str = "_q_source") -> DataFrame:
     """Mergeable sketches: (lang, source, ratio, bin, n). Partial sums are made before the one small shuffle."""
-    long = scored.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(f"_q_{r}").alias("bin")) for r in RATIOS])).alias("x"))
+    long = scored.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), bin_of(F.col(f"_q_{r}")).alias("bin")) for r in RATIOS])).alias("x"))
     return long.groupBy("lang", "source", "x.ratio", "x.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -88,37 +105,48 @@ def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys, "ratio").agg(F.max("rows").alias("rows"), F.min(F.when(F.col("upto") * 4 >= F.col("rows"), F.col("bin"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("rows") * 3, F.col("bin"))).alias("q3"))
 
 
+def fences(sketches: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """(lang, source, ratio, low, high): the fences around the quartiles of each group, or of what stands in for it."""
+    named = lambda df, p: df.withColumnsRenamed({c: f"{p}_{c}" for c in df.columns})
+    fine, by_lang, of_all = named(quantiles(sketches, ["lang", "source"]), "f"), named(quantiles(sketches, ["lang"]), "l"), named(quantiles(sketches, []), "a")
+    groups = sketches.select("lang", "source").distinct().join(F.broadcast(sketches.sparkSession.createDataFrame([(r,) for r in RATIOS], "ratio string")))
+    j = groups.join(fine, groups.lang.eqNullSafe(fine.f_lang) & groups.source.eqNullSafe(fine.f_source) & (groups.ratio == fine.f_ratio), "left")
+    j = j.join(by_lang, j.lang.eqNullSafe(by_lang.l_lang) & (j.ratio == by_lang.l_ratio), "left").join(of_all, j.ratio == of_all.a_ratio, "left")
+    pick = lambda q: F.when(F.col("f_rows") >= params.min_group, F.col(f"f_{q}")).when(F.col("l_rows") >= params.min_group, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
+    q = j.select("lang", "source", "ratio", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    least = ((F.col("q3") - F.pmod(F.col("q3"), F.lit(params.least_width))) / params.least_width).cast("long")
+    width = params.spread * F.greatest(F.col("q3") - F.col("q1"), least)
+    return q.select("lang", "source", "ratio", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
+
+
 def thresholds(sketches: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """One row per (lang, source): the upper cut-off of every ratio."""
-    fine = quantiles(sketches, ["lang", "source"])
-    by_lang = quantiles(sketches, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("ratio").alias("l_ratio"), F.col("rows").alias("l_rows"), F.col("q1").alias("l_q1"), F.col("q3").alias("l_q3"))
-    of_all = quantiles(sketches, []).select(F.col("ratio").alias("a_ratio"), F.col("q1").alias("a_q1"), F.col("q3").alias("a_q3"))
-    j = fine.join(by_lang, fine.lang.eqNullSafe(by_lang.l_lang) & (fine.ratio == by_lang.l_ratio)).join(of_all, fine.ratio == of_all.a_ratio)
-    pick = lambda q: F.when(F.col("rows") >= params.min_group, F.col(q)).when(F.col("l_rows") >= params.min_group, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    floor = F.create_map(*[F.lit(x) for r, (_, low) in RATIOS.items() for x in (r, low)])
-    cut = F.greatest(pick("q3") + F.lit(params.spread) * (pick("q3") - pick("q1")), floor[F.col("ratio")])
-    return j.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == r, cut)).alias(f"max_{r}") for r in RATIOS])
+    """One row per (lang, source): max_<ratio>, and min_<ratio> of the two-sided ones."""
+    both = fences(sketches.filter("bin > 0"), params).select("lang", "source", F.concat(F.lit("max_"), "ratio").alias("limit"), F.col("high").alias("value"))
+    both = both.unionByName(fences(sketches, params).select("lang", "source", F.concat(F.lit("min_"), "ratio").alias("limit"), F.col("low").alias("value")))
+    names = [f"max_{r}" for r in RATIOS] + [f"min_{r}" for r in TWO_SIDED]
+    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("limit") == n, F.col("value"))).alias(n) for n in names])
 
 
 def judge(docs: DataFrame, work: Workspace, columns: list[str], params: QualityParams = QualityParams()) -> DataFrame:
-    """``columns`` of ``docs`` with counts, ratios, cut-offs, ``_q_base_failed`` and ``_q_kept``.
+    """``columns`` of ``docs`` with counts, ratios, limits, ``_q_base_failed`` and ``_q_kept``.
 
     ``docs`` needs text, lang and source. The counted table is written once and read twice.
     """
-    prefix = "_q_"
     rename = docs.select(*[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(columns)], F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), "text")
     scored = with_counts(rename).drop("text")
-    scored = scored.select("*", *[c.alias(f"_q_{r}") for r, c in ratios().items()])
+    failed = (F.col("_q_n_words") < params.min_words) | (100 * F.col("_q_n_repeat_words") > params.max_repeat_percent * F.col("_q_n_words"))
+    scored = scored.select("*", *[c.alias(f"_q_{r}") for r, c in ratios().items()], failed.alias("_q_base_failed"))
     scored = work.save(scored, "scored")
-    limits = work.save(thresholds(sketch(scored), params), "limits")
+    limits = work.save(thresholds(sketch(scored.filter("not _q_base_failed")), params), "limits")
     if limits.count() <= params.broadcast_groups:
         limits = F.broadcast(limits)
-    joined = scored.join(limits, scored._q_lang.eqNullSafe(limits.lang) & scored._q_source.eqNullSafe(limits.source), "left")
-    failed = (F.col("_q_n_words") < params.min_words) | (100 * F.col("_q_n_repeat_words") > params.max_repeat_percent * F.col("_q_n_words"))
+    joined = scored.join(limits, scored._q_lang.eqNullSafe(limits.lang) & scored._q_source.eqNullSafe(limits.source), "left").drop("lang", "source")
     within = F.lit(True)
     for r in RATIOS:
-        within = within & (F.col(f"{prefix}{r}") <= F.col(f"max_{r}"))
-    return joined.select("*", failed.alias("_q_base_failed"), (~failed & within).alias("_q_kept"))
+        within = within & F.coalesce(F.col(f"_q_{r}") <= F.col(f"max_{r}"), F.lit(True))
+    for r in TWO_SIDED:
+        within = within & F.coalesce(F.col(f"_q_{r}") >= F.col(f"min_{r}"), F.lit(True))
+    return joined.select("*", (~F.col("_q_base_failed") & within).alias("_q_kept"))
 
 
 def keep_good(docs: DataFrame, work: Workspace, params: QualityParams = QualityParams()) -> DataFrame:
@@ -128,6 +156,6 @@ def keep_good(docs: DataFrame, work: Workspace, params: QualityParams = QualityP
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of the contract, and the ratios and cut-offs that decided."""
+    """The digest of the contract, and the ratios and limits that decided."""
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), Workspace(spark, "op2"), ["doc_id"])
-    return judged.select(F.col("_in_0").alias("doc_id"), *[F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), *[F.col(f"_q_{r}").alias(r) for r in RATIOS], *[F.col(f"max_{r}") for r in RATIOS])
+    return judged.select(F.col("_in_0").alias("doc_id"), *[F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), *[F.col(f"_q_{r}").alias(r) for r in RATIOS], *[F.col(f"max_{r}") for r in RATIOS], *[F.col(f"min_{r}") for r in TWO_SIDED])

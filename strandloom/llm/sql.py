@@ -4,7 +4,7 @@ from __future__ import annotations
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-#: Counts, ratios, histograms, cut-offs and verdicts; ``docs`` is (doc_id, text, lang, source).
+#: Counts, ratios, histograms, limits and verdicts; ``docs`` is (doc_id, text, lang, source).
 QUALITY_CTES = f"""
 q_words AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -26,47 +26,52 @@ q_counts AS (
   SELECT a.doc_id, a.lang, a.source, CAST(len(a.w) AS BIGINT) AS n_words,
          CAST(length(array_to_string(a.w, '')) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(a.text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(length(regexp_replace(a.text, '[\\p{{L}}\\p{{M}}\\p{{N}}\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS n_marks,
          CAST(coalesce(l.n_lines, 0) AS BIGINT) AS n_lines,
          CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM q_words a LEFT JOIN q_lines l ON a.doc_id = l.doc_id LEFT JOIN q_covered c ON a.doc_id = c.doc_id),
 q_scored AS (
-  SELECT *,
-    CAST(least(10000, CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END) AS INT) AS symbol_bp,
-    CAST(least(10000, CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END) AS INT) AS dup_line_bp,
-    CAST(least(10000, CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END) AS INT) AS repeat_bp,
-    CAST(least(10000, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END) AS INT) AS word_len_pc
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CAST(CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END AS BIGINT) AS symbol_bp,
+    CAST(CASE WHEN word_chars > 0 THEN 10000 * n_marks // word_chars ELSE 0 END AS BIGINT) AS mark_bp,
+    CAST(CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END AS BIGINT) AS dup_line_bp,
+    CAST(CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END AS BIGINT) AS repeat_bp,
+    CAST(CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS BIGINT) AS word_len_pc
   FROM q_counts),
 q_long AS (
-  SELECT lang, source, 'symbol_bp' AS ratio, symbol_bp AS bin FROM q_scored UNION ALL
-  SELECT lang, source, 'dup_line_bp', dup_line_bp FROM q_scored UNION ALL
-  SELECT lang, source, 'repeat_bp', repeat_bp FROM q_scored UNION ALL
-  SELECT lang, source, 'word_len_pc', word_len_pc FROM q_scored),
+  SELECT lang, source, ratio, v - v % (1::BIGINT << CAST(greatest(length(bin(v)) - 11, 0) AS INT)) AS bin
+  FROM (SELECT lang, source, unnest(['symbol_bp', 'mark_bp', 'dup_line_bp', 'repeat_bp', 'word_len_pc']) AS ratio,
+               unnest([symbol_bp, mark_bp, dup_line_bp, repeat_bp, word_len_pc]) AS v FROM q_scored WHERE NOT base_failed)),
+q_sides AS (SELECT *, true AS upper FROM q_long WHERE bin > 0 UNION ALL SELECT *, false FROM q_long),
 q_fine AS (
-  SELECT lang, source, ratio, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3
-  FROM q_long GROUP BY lang, source, ratio),
+  SELECT lang, source, ratio, upper, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM q_sides GROUP BY ALL),
 q_lang AS (
-  SELECT lang, ratio, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3
-  FROM q_long GROUP BY lang, ratio),
+  SELECT lang, ratio, upper, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM q_sides GROUP BY ALL),
 q_all AS (
-  SELECT ratio, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM q_long GROUP BY ratio),
+  SELECT ratio, upper, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM q_sides GROUP BY ALL),
+q_groups AS (SELECT DISTINCT s.lang, s.source, s.upper, r.ratio FROM q_sides s, (SELECT DISTINCT ratio FROM q_long) r),
+q_picked AS (
+  SELECT g.lang, g.source, g.ratio, g.upper,
+    CASE WHEN f.n >= 200 THEN f.q1 WHEN l.n >= 200 THEN l.q1 ELSE a.q1 END AS q1,
+    CASE WHEN f.n >= 200 THEN f.q3 WHEN l.n >= 200 THEN l.q3 ELSE a.q3 END AS q3
+  FROM q_groups g LEFT JOIN q_fine f ON g.lang IS NOT DISTINCT FROM f.lang AND g.source IS NOT DISTINCT FROM f.source AND g.ratio = f.ratio AND g.upper = f.upper
+  LEFT JOIN q_lang l ON g.lang IS NOT DISTINCT FROM l.lang AND g.ratio = l.ratio AND g.upper = l.upper LEFT JOIN q_all a ON g.ratio = a.ratio AND g.upper = a.upper),
 q_cuts AS (
-  SELECT f.lang, f.source, f.ratio,
-    greatest(
-      CASE WHEN f.n >= 200 THEN f.q3 + 6 * (f.q3 - f.q1) WHEN l.n >= 200 THEN l.q3 + 6 * (l.q3 - l.q1) ELSE a.q3 + 6 * (a.q3 - a.q1) END,
-      CASE f.ratio WHEN 'symbol_bp' THEN 600 WHEN 'dup_line_bp' THEN 5000 WHEN 'repeat_bp' THEN 2000 ELSE 1500 END) AS cut
-  FROM q_fine f JOIN q_lang l ON f.lang IS NOT DISTINCT FROM l.lang AND f.ratio = l.ratio JOIN q_all a ON f.ratio = a.ratio),
+  SELECT lang, source, ratio, CASE WHEN upper THEN CAST(q3 + 6 * greatest(q3 - q1, q3 // 20) AS BIGINT) END AS hi,
+    CASE WHEN NOT upper THEN CAST(q1 - 6 * greatest(q3 - q1, q3 // 20) AS BIGINT) END AS lo FROM q_picked),
 q_limits AS (
-  SELECT lang, source, CAST(max(cut) FILTER (ratio = 'symbol_bp') AS INT) AS max_symbol_bp,
-    CAST(max(cut) FILTER (ratio = 'dup_line_bp') AS INT) AS max_dup_line_bp,
-    CAST(max(cut) FILTER (ratio = 'repeat_bp') AS INT) AS max_repeat_bp,
-    CAST(max(cut) FILTER (ratio = 'word_len_pc') AS INT) AS max_word_len_pc
+  SELECT lang, source, max(hi) FILTER (ratio = 'symbol_bp') AS max_symbol_bp, max(hi) FILTER (ratio = 'mark_bp') AS max_mark_bp,
+    max(hi) FILTER (ratio = 'dup_line_bp') AS max_dup_line_bp, max(hi) FILTER (ratio = 'repeat_bp') AS max_repeat_bp,
+    max(hi) FILTER (ratio = 'word_len_pc') AS max_word_len_pc,
+    max(lo) FILTER (ratio = 'mark_bp') AS min_mark_bp, max(lo) FILTER (ratio = 'word_len_pc') AS min_word_len_pc
   FROM q_cuts GROUP BY lang, source),
 q_judged AS (
-  SELECT s.*, m.* EXCLUDE (lang, source), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND symbol_bp <= max_symbol_bp AND dup_line_bp <= max_dup_line_bp
-      AND repeat_bp <= max_repeat_bp AND word_len_pc <= max_word_len_pc AS kept
-  FROM q_scored s JOIN q_limits m ON s.lang IS NOT DISTINCT FROM m.lang AND s.source IS NOT DISTINCT FROM m.source)
+  SELECT s.*, m.* EXCLUDE (lang, source),
+    NOT base_failed AND coalesce(symbol_bp <= max_symbol_bp, true) AND coalesce(mark_bp BETWEEN min_mark_bp AND max_mark_bp, true)
+      AND coalesce(dup_line_bp <= max_dup_line_bp, true) AND coalesce(repeat_bp <= max_repeat_bp, true)
+      AND coalesce(word_len_pc BETWEEN min_word_len_pc AND max_word_len_pc, true) AS kept
+  FROM q_scored s LEFT JOIN q_limits m ON s.lang IS NOT DISTINCT FROM m.lang AND s.source IS NOT DISTINCT FROM m.source)
 """
 
 _LINES = f"""
@@ -81,8 +86,8 @@ l_owner AS (
 ORACLES: dict[str, str] = {
     "op2_quality_rules": f"""
 WITH docs AS (SELECT doc_id, text, lang, source FROM documents), {QUALITY_CTES}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, symbol_bp, dup_line_bp, repeat_bp,
-  word_len_pc, max_symbol_bp, max_dup_line_bp, max_repeat_bp, max_word_len_pc
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, symbol_bp, mark_bp, dup_line_bp, repeat_bp,
+  word_len_pc, max_symbol_bp, max_mark_bp, max_dup_line_bp, max_repeat_bp, max_word_len_pc, min_mark_bp, min_word_len_pc
 FROM q_judged""",
     "op6_line_dedup": f"""
 WITH {_LINES}

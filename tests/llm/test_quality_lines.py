@@ -55,6 +55,32 @@ def test_cutoffs_follow_the_group_and_clean_rows_stay(spark, work):
     assert kept == {i for i in range(300)} | {1000 + i for i in range(300)}
 
 
+def test_no_limit_is_fixed(spark, work):
+    """What is ordinary in one source is odd in another, at any level; too few marks are odd as well."""
+    def doc(i, marks, every=1):
+        return " ".join(w + "#" * marks if k % every == 0 else w for k, w in enumerate(prose(i).split()))
+
+    rows = [(i, doc(i, 1, 8), "en", "plain", 0) for i in range(300)] + [(1000 + i, doc(i, 3), "en", "tables", 0) for i in range(300)]
+    rows += [(2000, doc(5, 3), "en", "plain", 0), (2001, doc(5, 1, 8), "en", "tables", 0), (2002, doc(6, 3), "en", "tables", 0)]
+    rows += [(3000 + i, "".join("字" for _ in range(400 + i)) + " " + prose(i, 50), "zh", "plain", 0) for i in range(300)] + [(4000, "字" * 90_000 + " " + prose(7, 50), "zh", "plain", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = {r["doc_id"] for r in quality.keep_good(df, work).collect()}
+    assert kept == {*range(300), *range(1000, 1300), 2002, *range(3000, 3300)}
+
+
+def test_bins_are_exact_below_2048_and_narrow_above(spark):
+    values = [0, 1, 2047, 2048, 2049, 4095, 4096, 4097, 123_456_789, (1 << 40) + 12345]
+    got = {r["v"]: r["b"] for r in spark.createDataFrame([(v,) for v in values], "v long").select("v", quality.bin_of(F.col("v")).alias("b")).collect()}
+    assert got == {v: v >> d << d for v in values for d in [max(v.bit_length() - 11, 0)]}
+
+
+def test_text_of_many_megabytes(spark, work):
+    text = prose(1, 600_000)
+    df = spark.createDataFrame([(1, text, "en", "s", 0)], DOCS)
+    r = quality.with_counts(df).first()
+    assert (r["_q_n_words"], r["_q_n_repeat_words"]) == (600_000, counts(text)[4])
+
+
 def test_quantiles_merge_to_those_of_all_rows(spark, work):
     rows = [(i, prose(i, 60 + i % 7) + " #" * (i % 5), "en", f"s{i % 3}", 0) for i in range(120)]
     df = quality.with_counts(spark.createDataFrame(rows, DOCS).withColumnsRenamed({"lang": "_q_lang", "source": "_q_source"}))
