@@ -157,3 +157,42 @@ def test_runs_are_compacted_by_level(spark, work):
         runs.add(spark.createDataFrame([(k, k, k)], "h1 long, h2 long, owner long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert sorted(r["owner"] for df in runs.all() for r in df.collect()) == list(range(5))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_are_read_as_they_lie(spark, work):
+    """Above the scan of a run or of the batch's keys there is neither an exchange nor a sort."""
+    runs = line_dedup.Runs(work, 4)
+    for k in range(2):
+        runs.add(spark.range(100 * k, 100 * k + 150).selectExpr("id AS h1", "id * 7 AS h2", "id AS owner"))
+    keys = runs.write(spark.range(120, 400).selectExpr("id AS h1", "id * 7 AS h2", "id AS owner"))
+    with line_dedup.sorted_scans(spark):
+        new = runs.unseen(keys)
+        plan = plan_of(new)
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and "Sort [" not in plan
+        assert {r["h1"] for r in new.collect()} == set(range(250, 400))
+
+
+def test_a_later_batch_meets_the_runs(spark, work):
+    rows = [r for r in LINES if r[0] is not None and r[0] != 9]
+    first, later = [r for r in rows if r[0] <= 5], [r for r in rows if r[0] > 5]
+    runs = line_dedup.Runs(work)
+    got = []
+    for part in (first, later, [(50, "own line here\nnew in this batch"), (51, "new in this BATCH\nshort")]):
+        df = spark.createDataFrame([(*r, "x") for r in part], "doc_id long, text string, h1 string")
+        got += [(r["doc_id"], r["text"]) for r in line_dedup.dedup_batch(df, runs).collect()]
+    want = {d: "\n".join(x for x in (t or "").split("\n")) if t is not None else None for d, t in rows}
+    texts = dict(got)
+    assert texts[50] == "new in this batch" and texts[51] == "short" and set(texts) == set(want) | {50, 51}
+    n = {d: (lines, lost) for d, lines, lost, _ in kept_lines(rows)}
+    assert all(len((texts[d] or "").split("\n")) == max(n[d][0] - n[d][1], 1) for d in want)
+
+
+def test_very_long_text_with_repeated_lines(spark, work):
+    long = "\n".join(f"line number {i % 70_000} of a long text" for i in range(100_000))
+    df = spark.createDataFrame([(1, long), (2, long + "\nits own last line")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, work).collect()}
+    assert out[1] == long and out[2] == "its own last line"
