@@ -29,13 +29,19 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        #: Catalogue tables whose files lie in this folder.
+        self.tables: list[str] = []
         _OPEN.append(self)
 
-    def save(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-        """Write ``df`` once and read it back: a stable, recoverable table with no lineage."""
+    def save(self, df: DataFrame, name: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
+        """Write ``df`` once and read it back: a stable, recoverable table with no lineage. ``by`` names a column of folders."""
         at = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        writer = df.write.mode("overwrite").option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(at)
+        return self.open(name, df.schema)
+
+    def open(self, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
@@ -46,6 +52,8 @@ class Workspace:
         if self in _OPEN:
             _OPEN.remove(self)
             try:
+                for name in self.tables:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
                 self.drop()
             except Exception:  # noqa: BLE001  the session may be gone already
                 pass
