@@ -5,11 +5,14 @@ regular-expression engine needs time linear in the text: runs are possessive, an
 begins or where the last match ended, which is where the plain pattern would find it too.
 
 The method adds what the patterns miss. Every mention, a token with a digit or an at sign and the digit groups that
-follow it, has lexical patterns: the two words before it, the word on either side, a label such as ``mail:`` before
-it. Mentions and patterns form a bipartite graph over the whole corpus. Mentions that a base pattern accepts are
+follow it, has lexical patterns: the two words before it, the word on either side, the word before it, the word after
+it, a label such as ``mail:`` before it. Words are taken whole, however far away; another mention among them stands as one
+sign, whatever it is, and a word of more than ``LONG`` characters as its hash. Mentions and patterns form a bipartite
+graph over the whole corpus. Mentions that a base pattern accepts are
 seeds of their kind. In each round, a pattern's trust in a kind is the Wilson lower bound of the share of its distinct
 mentions that are of this kind, and a mention that isn't one yet becomes one if the patterns around it, taken
-together, are trusted enough and it has the kind's rough shape. After the last round those mentions are added, unless they overlap a
+together, are trusted enough and it has the kind's rough shape, one of the fixed ``SHAPES``: a gate that no context
+opens for other strings. After the last round those mentions are added, unless they overlap a
 base span. Everything runs as DataFrame functions; nothing is capped or sampled.
 
 Defined cases: null text is empty; rows with a null doc_id and repeated rows are treated like others; an empty table
@@ -36,9 +39,16 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+#: Longer context words stand as their hash, so that a pattern is short whatever the text.
+LONG = 64
+_OTHER = "\u0001"
 #: A text without these can't have a match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _SP = r"\x20\x09-\x0D"
+#: The words around a mention, in the text up to its neighbours.
+TWO_BEFORE = rf"(?:^|[{_SP}])([^{_SP}]++)[{_SP}]++[^{_SP}]++[{_SP}]*+$"
+ONE_BEFORE = rf"(?:^|[{_SP}])([^{_SP}]++)[{_SP}]*+$"
+ONE_AFTER = rf"^[{_SP}]*+([^{_SP}]++)"
 #: An at sign spelled out inside a token.
 _AT = rf"(?<=[^{_SP}])[\[(]at[\])](?=[^{_SP}])"
 #: Its first token has a digit or an at sign, spelled out or not; tokens of digits and phone punctuation may follow.
@@ -95,25 +105,33 @@ def _hits(docs: DataFrame, text: Column, patterns: dict[str, str]) -> DataFrame:
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` with ``_rid`` and ``_hits``: kind (null for a mention), position among its pattern's, lengths, match, contexts."""
+    """``keep`` with ``_rid`` and ``_hits``: kind, position among its pattern's, lengths, match, context words of mentions."""
     every = {**PATTERNS, "mention": MENTION}
     found = _hits(docs.select(*[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(keep)], text_or_empty().alias("_text")), F.col("_text"), every)
 
+    def word(context: Column, pattern: str, group: int) -> Column:
+        w = F.lower(F.regexp_extract(context, pattern, group))
+        return F.when(F.length(w) > LONG, F.sha2(w, 256)).otherwise(w)
+
     def of(k: str) -> Column:
         m, p = F.col(f"_m_{k}"), F.col(f"_p_{k}")
-        left = (lambda i: F.right(F.get(p, i), F.lit(80))) if k == "mention" else (lambda i: F.lit(None).cast("string"))
-        right = (lambda i: F.left(F.get(p, i + 1), F.lit(80))) if k == "mention" else (lambda i: F.lit(None).cast("string"))
-        return F.transform(F.coalesce(m, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(F.get(p, i)).alias("gap"), F.length(x).alias("len"), x.alias("match"), left(i).alias("left"), right(i).alias("right")))
+        none = F.lit(None).cast("string")
+        words = {"l2": lambda i: none, "l1": lambda i: none, "r1": lambda i: none}
+        if k == "mention":
+            left = lambda i: F.concat(F.when(i > 0, _OTHER).otherwise(""), F.get(p, i))
+            right = lambda i: F.concat(F.get(p, i + 1), F.when(i + 1 < F.size(m), _OTHER).otherwise(""))
+            words = {"l2": lambda i: word(left(i), TWO_BEFORE, 1), "l1": lambda i: word(left(i), ONE_BEFORE, 1), "r1": lambda i: word(right(i), ONE_AFTER, 1)}
+        return F.transform(F.coalesce(m, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(F.get(p, i)).alias("gap"), F.length(x).alias("len"), x.alias("match"), *[of_i(i).alias(n) for n, of_i in words.items()]))
 
     return found.select(F.monotonically_increasing_id().alias("_rid"), *[f"_in_{i}" for i in range(len(keep))], F.concat(*[of(k) for k in every]).alias("_hits"))
 
 
 def spans_of(scanned: DataFrame) -> DataFrame:
-    """(rid, kind, start, end, match, left, right) of every match, in code points, before any test."""
+    """(rid, kind, start, end, match, l2, l1, r1) of every match, in code points, before any test."""
     each = scanned.select(F.col("_rid").alias("rid"), F.inline("_hits"))
     w = Window.partitionBy("rid", "kind").orderBy("i")
     end = F.sum(F.col("gap").cast("long") + F.col("len")).over(w)
-    return each.select("rid", "kind", (end - F.col("len")).alias("start"), end.alias("end"), "match", "left", "right")
+    return each.select("rid", "kind", (end - F.col("len")).alias("start"), end.alias("end"), "match", "l2", "l1", "r1")
 
 
 def base_spans(spans: DataFrame) -> DataFrame:
@@ -128,16 +146,15 @@ def mentions_of(spans: DataFrame) -> DataFrame:
     tail = F.length(F.regexp_extract("match", r"[.,;:!?\"'>\]}]*$", 0))
     n = F.length("match")
     core = F.substr(F.col("match"), (lead + 1).cast("int"), F.greatest(n - lead - tail, F.lit(0)).cast("int"))
-    m = m.filter(n > lead + tail).select("rid", (F.col("start") + lead).alias("start"), (F.col("end") - tail).alias("end"), core.alias("inst"), F.lower("left").alias("l"), F.lower("right").alias("r"))
+    m = m.filter(n > lead + tail).select("rid", (F.col("start") + lead).alias("start"), (F.col("end") - tail).alias("end"), core.alias("inst"), "l2", "l1", "r1")
     any_of = lambda k: F.exists(F.regexp_extract_all("inst", F.lit(PATTERNS[k]), F.lit(0)), lambda x: holds(k, x))
     seed = reduce(lambda acc, k: acc.when(any_of(k), F.lit(k)), KINDS[1:], F.when(any_of("email"), F.lit("email")))
-    two = F.regexp_extract("l", rf"([^{_SP}]+)[{_SP}]+([^{_SP}]+)[{_SP}]*$", 1)
-    one = F.regexp_extract("l", rf"([^{_SP}]+)[{_SP}]*$", 1)
-    after = F.regexp_extract("r", rf"^[{_SP}]*([^{_SP}]+)", 1)
-    m = m.select("rid", "start", "end", "inst", seed.alias("seed"), two.alias("l2"), one.alias("l1"), after.alias("r1"))
+    m = m.select("rid", "start", "end", "inst", seed.alias("seed"), "l2", "l1", "r1")
     patterns = F.array_compact(F.array(
         F.when((F.col("l2") != "") & (F.col("l1") != ""), F.concat_ws(" ", "l2", "l1", F.lit("_"))),
         F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat_ws(" ", "l1", F.lit("_"), "r1")),
+        F.when(F.col("l1") != "", F.concat_ws(" ", F.lit("one"), "l1", F.lit("_"))),
+        F.when(F.col("r1") != "", F.concat_ws(" ", F.lit("one"), F.lit("_"), "r1")),
         F.when(F.col("l1").rlike("[:=]$"), F.concat_ws(" ", F.lit("label"), "l1", F.lit("_"))),
     ))
     return m.select("rid", "start", "end", "inst", "seed", patterns.alias("patterns"))

@@ -101,3 +101,56 @@ def test_rounds_go_on_while_something_is_found(spark, work):
         rows += [(f"555-{level}{k:06d}", None if level else "phone", [f"p{level}", f"p{level + 1}"] if level else ["p1"]) for k in range(n)]
     won = pii.discover(spark.createDataFrame(rows, "inst string, seed string, patterns array<string>"), work)
     assert won.count() == sum(sizes[1:])
+
+
+def planted(n=4000, seed=3):
+    """Prose with identifiers of every kind in contexts that vary, some of which no base pattern sees, and look-alikes elsewhere."""
+    import random
+
+    r = random.Random(seed)
+    filler = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "me", "no", "ra", "su") for b in ("lan", "mer", "tis", "von", "ghe", "pod")]
+    prose = lambda k: " ".join(r.choice(filler) for _ in range(k))
+    known = {
+        "email": lambda: f"u{r.randrange(10**6)}@mail{r.randrange(50)}.example.org",
+        "phone": lambda: f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(10**4):04d}",
+        "ip": lambda: ".".join(str(r.randrange(1, 255)) for _ in range(4)),
+    }
+    unseen = {
+        "email": lambda: f"v{r.randrange(10**6)}@intranet{r.randrange(50)}",
+        "phone": lambda: f"({r.randrange(200, 999)}) 555-{r.randrange(10**4):04d}",
+        "ip": lambda: f"fe80::{r.randrange(1, 16**4):x}:{r.randrange(1, 16**4):x}",
+    }
+    before = {"email": ["please write to", "send it to", "e-mail:", "reach them at"], "phone": ["call us on", "phone:", "dial the number"], "ip": ["logged from", "request from host", "address:"]}
+    rows, added = [], {}
+    for i in range(n):
+        text, kind = prose(r.randrange(5, 40)) + " ", r.choice(sorted(known))
+        roll = r.random()
+        if roll < 0.6:
+            text += f"{r.choice(before[kind])} {known[kind]()} {prose(8)}"
+        elif roll < 0.7:
+            text += f"{r.choice(before[kind])} "
+            x = unseen[kind]()
+            added[i] = (kind, len(text), len(text) + len(x))
+            text += f"{x} {prose(8)}"
+        elif roll < 0.8:  # the same shapes where nothing speaks for them
+            text += f"{prose(3)} {unseen[kind]()} {prose(8)}"
+        rows.append((i, text))
+    return rows, added
+
+
+def test_precision_and_recall_on_planted_contexts(spark, work):
+    rows, want = planted()
+    scanned, spans = pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), work, ["doc_id"])
+    got = {(r["_in_0"], r["kind"], r["start"], r["end"]) for r in spans.filter("added").join(scanned, F.col("rid") == F.col("_rid")).collect()}
+    want = {(i, *x) for i, x in want.items()}
+    assert len(want) > 300
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_context_words_are_whole_and_neighbours_stand_as_one_sign(spark):
+    far = "label" + " " * 300 + "u1@x.org and 12345 or u2@x.org " + "y" * 5000 + " u3@x.org"
+    df = spark.createDataFrame([(1, far)], "doc_id long, text string")
+    m = {r["inst"]: r["patterns"] for r in pii.mentions_of(pii.spans_of(pii.scan(df, ["doc_id"]))).collect()}
+    assert "one label _" in m["u1@x.org"] and "label _ and" in m["u1@x.org"]
+    assert "\x01 and _" in m["12345"] and "\x01 or _" in m["u2@x.org"]
+    assert all(len(p) < 200 for p in m["u3@x.org"]) and len(m["u3@x.org"]) == 2
