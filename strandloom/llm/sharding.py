@@ -2,12 +2,15 @@
 
 Documents of equal text form a group. Each group starts as a partial partition: its bytes in one of ``shards``
 slots, the rest empty. The two partial partitions of the largest spread are combined again and again, the fullest
-slot of one with the emptiest of the other, until one is left. This runs on executors over hashed buckets of groups;
-the filled slots of each bucket's last partition are then items for the next level, until few enough are left for
-one last differencing on the driver (``final_items``, a fixed bound). Groups of more than ``1 / (8 * shards)`` of all
-bytes are kept for the last level, where they count at most ``8 * shards``; so one huge group doesn't spoil a bucket.
+slot of one with the emptiest of the other, until one is left. While there are more than ``final_items`` groups, this
+runs on executors over hashed buckets of them, and the filled slots of a bucket's last partition are items of the next
+level; one bucket of each level is left as it is. The last differencing, on the driver, has at most ``final_items`` items
+and a bucket per level. It places coarse items first and closes the gaps with the small ones that were left, whose
+bytes are about one composite per shard, so the balance is as fine as without buckets. Groups of more than
+``1 / (8 * shards)`` of all bytes are kept for the last level, where they count at most ``8 * shards``; so one huge
+group doesn't spoil a bucket. The fullest shard has at most 1.01 times the mean, or the heaviest group (tested).
 
-Slots within a shard are numbered by prefix sums of counts per (written partition, shard).
+Slots within a shard are numbered by prefix sums of counts per (chunk of written rows, shard), so no group is numbered in one task.
 
 Defined cases: null text counts as empty and is equal to it; repeated rows are rows of their own in one group;
 an empty table gives an empty result; other columns are not read.
@@ -83,33 +86,38 @@ def differencing(sizes: Iterable[int], k: int) -> np.ndarray:
 def _bucket(k: int):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item", kind="stable")
-        return pd.DataFrame({"item": pdf["item"], "bytes": pdf["bytes"], "composite": pdf["bucket"].astype(str) + "." + pd.Series(differencing(pdf["bytes"], k), index=pdf.index).astype(str)})
+        return pd.DataFrame({"item": pdf["item"], "bytes": pdf["bytes"], "composite": pdf["bucket"] + "." + pd.Series(differencing(pdf["bytes"], k), index=pdf.index).astype(str)})
 
     return solve
 
 
 def assign(groups: DataFrame, work: Workspace, params: ShardParams = ShardParams()) -> DataFrame:
-    """(item string, bytes long) -> (item, shard int)."""
+    """(item string, bytes long) -> (item, shard int). Items must not look like composites, ``<level>:<bucket>.<slot>``."""
     k = params.shards
     at = groups.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).first()
-    heavy = (at["b"] or 0) / (8 * k)
-    tops = groups.filter(F.col("bytes") > heavy) if at["n"] > params.final_items else None
-    rest = groups.filter(F.col("bytes") <= heavy) if tops is not None else groups
-    n, maps = at["n"], []
+    n, rest, last, maps = at["n"], groups, None, []
+    if n > params.final_items:
+        heavy = at["b"] / (8 * k)
+        last, rest = groups.filter(F.col("bytes") > heavy), groups.filter(F.col("bytes") <= heavy)
     while n > params.final_items:
-        buckets = max(1, -(-n // params.bucket_groups))
-        hashed = rest.select("item", "bytes", F.concat_ws(".", F.lit(len(maps)), F.pmod(F.xxhash64("item"), F.lit(buckets))).alias("bucket"))
-        level = work.save(hashed.groupBy("bucket").applyInPandas(_bucket(k), "item string, bytes long, composite string"), f"level{len(maps)}")
-        maps.append(level.select("item", "composite"))
-        rest = level.groupBy(F.col("composite").alias("item")).agg(F.sum("bytes").alias("bytes"))
-        n = rest.count()
-    last = (rest if tops is None else rest.unionByName(tops)).orderBy("item").toPandas()  # at most final_items + 8 * shards rows
-    slots = differencing(last["bytes"], k)
+        buckets, level = max(2, -(-n // params.bucket_groups)), len(maps)
+        hashed = work.save(rest.select("item", "bytes", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(buckets)).alias("b")), f"hashed{level}")
+        last = last.unionByName(hashed.filter("b = 0").select("item", "bytes"))
+        named = hashed.filter("b > 0").select("item", "bytes", F.concat(F.lit(f"{level}:"), "b").alias("bucket"))
+        placed = work.save(named.groupBy("bucket").applyInPandas(_bucket(k), "item string, bytes long, composite string"), f"level{level}")
+        maps.append(placed.select("item", "composite"))
+        rest = placed.groupBy(F.col("composite").alias("item")).agg(F.sum("bytes").alias("bytes"))
+        before, n = n, rest.count()
+        if n >= before:
+            break
+    final = (rest if last is None else last.unionByName(rest)).orderBy("item").toPandas()  # final_items, 8 * shards and a bucket per level at most
+    slots = differencing(final["bytes"], k)
     spark = groups.sparkSession
-    out = spark.createDataFrame(pd.DataFrame({"item": last["item"].astype(str), "shard": slots.astype("int32")}), "item string, shard int") if len(last) else spark.createDataFrame([], "item string, shard int")
-    for level in reversed(maps):
-        down = level.join(out.withColumnRenamed("item", "composite"), "composite").select("item", "shard")
-        out = down if tops is None else down.unionByName(out.join(tops.select("item"), "item", "left_semi"))
+    out = spark.createDataFrame(pd.DataFrame({"item": final["item"].astype(str), "shard": slots.astype("int32")}), "item string, shard int") if len(final) else spark.createDataFrame([], "item string, shard int")
+    for level in range(len(maps) - 1, -1, -1):
+        made = F.startswith("item", F.lit(f"{level}:"))
+        down = maps[level].join(out.filter(made).withColumnRenamed("item", "composite"), "composite").select("item", "shard")
+        out = down.unionByName(out.filter(~made))
     return out
 
 
@@ -119,8 +127,8 @@ def shard(docs: DataFrame, work: Workspace, params: ShardParams = ShardParams())
     text = text_or_empty()
     rows = work.save(docs.select("doc_id", (F.octet_length(text) + params.overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("item")), "rows")
     groups = work.save(rows.groupBy("item").agg(F.sum("size").alias("bytes")), "groups")
-    placed = rows.join(assign(groups, work, params), "item").select("doc_id", "size", "text_crc32", "shard", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"))
-    placed = work.save(placed, "placed")
+    placed = rows.join(assign(groups, work, params), "item").select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("seq"))
+    placed = work.save(placed.withColumn("part", F.shiftright("seq", 16)), "placed")
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("base"))
     numbered = placed.select("*", (F.row_number().over(Window.partitionBy("part", "shard").orderBy("seq")) - 1).cast("long").alias("within"))

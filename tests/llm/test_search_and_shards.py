@@ -55,6 +55,44 @@ def test_differencing_is_a_partition_at_least_as_good_as_greedy(sizes, k):
     assert load.max() <= max(greedy.max() * 4 / 3 + 1, 1)
 
 
+def plain_differencing(sizes, k):
+    """The method word for word, with whole lists of members."""
+    parts = [([0] * (k - 1) + [x], [[] for _ in range(k - 1)] + [[i]], i) for i, x in enumerate(sizes)]
+    made = len(sizes)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-(p[0][-1] - p[0][0]), p[2]))
+        (la, ma, _), (lb, mb, _), *rest = parts
+        both = sorted(((x + y, i, m + n) for i, (x, y, m, n) in enumerate(zip(la, lb[::-1], ma, mb[::-1]))), key=lambda t: (t[0], t[1]))
+        low = both[0][0]
+        parts = [*rest, ([x - low for x, _, _ in both], [m for _, _, m in both], made)]
+        made += 1
+    slot = [0] * len(sizes)
+    for s, members in enumerate(parts[0][1] if parts else []):
+        for i in members:
+            slot[i] = s
+    return slot
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 1000), max_size=40), st.integers(1, 7))
+def test_differencing_by_brute_force(sizes, k):
+    assert sharding.differencing(sizes, k).tolist() == plain_differencing(sizes, k)
+
+
+@pytest.mark.parametrize("items,bucket", [(40_000, 20_000), (600, 300), (150, 120)])
+@pytest.mark.parametrize("hot", [0, 10**7])
+def test_balance_with_and_without_buckets(spark, work, items, bucket, hot):
+    rng = np.random.default_rng(4)
+    sizes = np.minimum((rng.pareto(1.2, 3000) * 500).astype(int) + 16, 100_000).tolist() + ([hot] if hot else [])
+    df = spark.createDataFrame([(f"g{i}", int(x)) for i, x in enumerate(sizes)], "item string, bytes long")
+    out = sharding.assign(df, work, sharding.ShardParams(shards=8, final_items=items, bucket_groups=bucket)).collect()
+    assert sorted(r["item"] for r in out) == sorted(f"g{i}" for i in range(len(sizes)))
+    load = np.zeros(8)
+    for r in out:
+        load[r["shard"]] += sizes[int(r["item"][1:])]
+    assert load.max() <= max(1.01 * load.mean(), max(sizes))
+
+
 @pytest.mark.parametrize("items", [40_000, 50])
 def test_shards(spark, work, items):
     rng = np.random.default_rng(1)
