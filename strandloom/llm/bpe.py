@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, ship, table
 from .packing import tokenizer_path
-from .pretoken import byte_letters, byte_units
+from .pretoken import byte_letters, byte_units, bytes_like
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,7 @@ class Merges:
         path = tokenizer_path(name)
         whole = Tokenizer.from_file(path)
         self.model, self.splitter = whole.model, whole.pre_tokenizer
+        self.latin = bytes_like(self.splitter)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.letters = {b: ch for b, ch in enumerate(byte_letters())}
@@ -212,12 +213,12 @@ class Coder:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.of.specials, key=len, reverse=True))) + ")") if self.of.specials else None
 
     def encode(self, text: str) -> list[int]:
-        if self.split and "<" in text and self.split.search(text):
+        if any(s in text for s in self.of.specials):
             out: list[int] = []
             for k, part in enumerate(self.split.split(text)):
-                out.extend([self.of.specials[part]] if k % 2 else chain.from_iterable(map(self.memo.__getitem__, byte_units(part, self.of.splitter))))
+                out.extend([self.of.specials[part]] if k % 2 else chain.from_iterable(map(self.memo.__getitem__, byte_units(part, self.of.splitter, self.of.latin))))
             return out
-        return list(chain.from_iterable(map(self.memo.__getitem__, byte_units(text, self.of.splitter))))
+        return list(chain.from_iterable(map(self.memo.__getitem__, byte_units(text, self.of.splitter, self.of.latin))))
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.of.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -225,10 +226,10 @@ class Coder:
 
 def _count_units(name: str, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, splitter = Counter(), merges(name).splitter
+        held, of = Counter(), merges(name)
         for pdf in batches:
             for t in pdf["text"]:
-                held.update(byte_units(t or "", splitter))
+                held.update(byte_units(t or "", of.splitter, of.latin))
                 if len(held) > most:
                     yield pd.DataFrame({"unit": list(held.keys()), "n": list(held.values())})
                     held.clear()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Workspace, ship, table
-from .pretoken import is_latin, words
+from .pretoken import is_latin, words, words_like
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,7 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(tokenizer_path(name))
         self.splitter = self.model.pre_tokenizer
+        self.latin = words_like(self.splitter, self.model.normalizer.normalize_str)
         self.specials = [t.content for t in self.model.get_added_tokens_decoder().values()]
         if self.model.get_vocab_size() > np.iinfo(np.dtype(width)).max:
             width = "<u4"
@@ -74,10 +75,10 @@ class WordTokenizer:
         self.memo = Memo()
 
     def __call__(self, text: str) -> bytes:
-        if "<" in text and any(s in text for s in self.specials):
+        if any(s in text for s in self.specials):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
-        plain = text.lower() if is_latin(text) else self.model.normalizer.normalize_str(text)
-        return b"".join(map(self.memo.__getitem__, words(plain, self.splitter)))
+        plain = text.lower() if self.latin and is_latin(text) else self.model.normalizer.normalize_str(text)
+        return b"".join(map(self.memo.__getitem__, words(plain, self.splitter, self.latin)))
 
 
 @cache

@@ -44,11 +44,28 @@ def by_library(splitter, text: str) -> list[str]:
     return [bytes(map(back.__getitem__, piece)).decode("utf-8") for piece, _ in splitter.pre_tokenize_str(text)]
 
 
-def words(text: str, splitter) -> list[str]:
+#: Every one of the first 256 characters beside letters, digits, spaces and itself, and the endings in both cases.
+PROBE = "".join(f"a{c}{c}1{c} {c}A \n{c}" for c in map(chr, range(256))) + " don't we'll I'M 'S x'd 12 ½y they're  've\n\n end  "
+
+
+def own_rules_hold(pattern: re.Pattern, splitter, own: str, normal: str) -> bool:
+    """Whether the short cut for Latin text splits as the tokenizer itself does; if not, the library splits everything."""
+    return pattern.findall(own) == by_library(splitter, normal)
+
+
+def words_like(splitter, normalise) -> bool:
+    return own_rules_hold(_WORDS, splitter, PROBE.lower(), normalise(PROBE))
+
+
+def bytes_like(splitter) -> bool:
+    return own_rules_hold(_BYTES, splitter, PROBE, PROBE)
+
+
+def words(text: str, splitter, latin: bool = True) -> list[str]:
     """Units of the word tokenizer, of text that is normalised already."""
-    return _WORDS.findall(text) if is_latin(text) else by_library(splitter, text)
+    return _WORDS.findall(text) if latin and is_latin(text) else by_library(splitter, text)
 
 
-def byte_units(text: str, splitter) -> list[str]:
+def byte_units(text: str, splitter, latin: bool = True) -> list[str]:
     """Units of the byte-level tokenizer; together they are the text."""
-    return _BYTES.findall(text) if is_latin(text) else by_library(splitter, text)
+    return _BYTES.findall(text) if latin and is_latin(text) else by_library(splitter, text)

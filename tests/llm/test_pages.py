@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import re
 import json
 
 import pytest
@@ -170,3 +171,68 @@ def test_query(spark, write_tables):
 )
 def test_all_that_a_browser_shows(page, text):
     assert html_text.visible_text(page) == text
+
+
+def test_columns_of_any_width_begin_at_one_place():
+    page = "<table><tr><td>" + "x" * 70 + "<td>a<td>e<tr><td>y<td>b<td>f<tr><td colspan=2>" + "z" * 90 + "<td>g</table>"
+    one, two, three = html_text.visible_text(page).split("\n")
+    assert one.index("a") == two.index("b") == 72 and one.index("e") == two.index("f") == three.index("g") == 92
+    assert html_text.visible_text("<object>fallback</object> x<object data=a>no</object>") == "fallback x"
+
+
+def test_padding_is_bounded_by_the_table():
+    page = "<table><tr><td>" + "x" * 200_000 + "<td>a" + "<tr><td>y<td>b" * 2000 + "</table>"
+    text = html_text.visible_text(page)
+    assert len(text) < 300_000 and text.endswith("y  b")
+
+
+SAMPLE = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(SAMPLE), reason="no test tables")
+def test_all_words_of_given_pages_by_an_independent_reader():
+    """Python's own parser, which has no tree: elements never shown are skipped by their tags, hidden ones by a stack."""
+    from html.parser import HTMLParser
+
+    import pandas as pd
+
+    never = {"head", "title", "script", "style", "noscript", "template", "iframe", "canvas", "video", "audio", "svg", "math"}
+    void = set("area base br col embed hr img input link meta param source track wbr".split())
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            off = tag in never or "hidden" in a or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style") or "", re.I))
+            if tag not in void:
+                self.stack.append((tag, off))
+            else:
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            at = [k for k, (t, _) in enumerate(self.stack) if t == tag]
+            if at:
+                del self.stack[at[-1] :]
+
+        def handle_data(self, data):
+            if not any(off for _, off in self.stack):
+                self.out.append(data)
+
+    marks = re.compile(r"^ *(?:(?:-|[0-9]+\.) +)+", re.M)
+    pages = pd.read_parquet(SAMPLE)["html"]
+    assert len(pages) > 100
+    for page in pages:
+        p = Plain()
+        p.feed(page or "")
+        want = re.sub(r"\s", "", "".join(p.out))
+        got = re.sub(r"\s", "", marks.sub("", html_text.visible_text(page)))
+        assert sorted(want.replace("-", "")) == sorted(got.replace("-", "")), page[:300]
+
+
+def test_repeated_rows_and_clashing_names(spark, write_tables):
+    rows = [(1, "<p>x", "t", 5, "y")] * 2 + [(None, None, None, None, None)]
+    d = write_tables(pages=spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int, `a.b` string"))
+    assert sorted((r["page_id"] or 0, r["text"]) for r in html_text.op9_html_text(spark, d).collect()) == [(0, ""), (1, "x"), (1, "x")]

@@ -123,6 +123,13 @@ def test_shards_of_nothing(spark, write_tables):
     assert sharding.op8_sharding(spark, d).count() == 0
 
 
+def test_shards_with_clashing_names_and_a_very_long_text(spark, write_tables):
+    rows = [(1, "a" * 3_000_000, "x", 1), (2, "b", "y", 2), (2, "b", "y", 2)]
+    d = write_tables(documents=spark.createDataFrame(rows, "doc_id long, text string, item string, shard int"))
+    out = sorted((r["doc_id"], r["size"], r["law"]) for r in sharding.op8_sharding(spark, d).collect())
+    assert out == [(1, 3_000_016, "bytes"), (2, 17, "bytes"), (2, 17, "bytes")]
+
+
 # -- near-duplicates
 
 

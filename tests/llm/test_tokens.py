@@ -115,3 +115,16 @@ def test_query_digests(spark, write_tables, byte):
     assert bpe.op5_bpe_round_trip(spark, d).count() == 0
     enc = bpe.encode(spark.createDataFrame([(1, "it's")], "doc_id long, text string")).first()
     assert enc["ids"] == byte.encode("it's", add_special_tokens=False).ids
+
+
+def test_short_cuts_hold_for_these_tokenizers_and_not_for_others(word, byte):
+    assert pretoken.words_like(word.pre_tokenizer, word.normalizer.normalize_str) and pretoken.bytes_like(byte.pre_tokenizer)
+    assert not pretoken.bytes_like(word.pre_tokenizer)
+
+
+def test_packing_with_repeated_rows_and_clashing_names(spark, write_tables):
+    rows = [(1, "one two three", 7, "x")] * 2 + [(None, None, None, None)]
+    d = write_tables(documents=spark.createDataFrame(rows, "doc_id long, text string, part int, sequence_id string"))
+    out = packing.op3_packing(spark, d).collect()
+    assert sorted((r["doc_id"] or 0, r["start"], r["length"]) for r in out) == [(0, 0, 1), (1, 0, 4), (1, 0, 4)]
+    assert sorted(r["offset"] for r in out)[0] == 0 and len({r["sequence_id"] for r in out}) == 1
