@@ -1,7 +1,9 @@
 """From raw documents to packed sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; what it decides takes
-effect in its result. All but the last return the columns of ``documents``.
+effect in its result. All but the last return the columns of ``documents``. Null texts fail the quality rules; later
+stages take them as empty, keep rows with a null doc_id and give an empty result for an empty table. Working tables of a
+stage are dropped once its result is written.
 
 No SQL is given for the whole: near-duplicates need XXH64 and components, packing needs a tokenizer. The stages are
 tested against brute force instead, one by one and together.
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm import line_dedup, packing, pii, quality, simhash
 from strandloom.llm.common import Workspace, table
+from strandloom.workspace import passing
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +56,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, work = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = work.save(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with passing():
+            docs = work.save(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            work.drop(f"stage{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +61,17 @@ class Workspace:
                 pass
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """Workspaces opened inside are closed at the end; what is to outlive them must be written elsewhere by then."""
+    before = list(_OPEN)
+    try:
+        yield
+    finally:
+        for work in [w for w in _OPEN if w not in before]:
+            work.close()
+
+
 @atexit.register
 def _close_all() -> None:
     for work in list(_OPEN):
