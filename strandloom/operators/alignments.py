@@ -17,21 +17,51 @@ PAIRED, MATE_UNMAPPED, REVERSE = 0x1, 0x8, 0x10
 
 def cigar_ops(cigar: Column) -> Column:
     """[(op, n)] of a CIGAR string; empty for ``*`` and for anything malformed."""
-    whole = cigar.rlike("^([0-9]+[MIDNSHP=X])+$")
-    n = F.transform(F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(1)), lambda x: x.cast("int"))
-    op = F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(2))
-    return F.when(whole, F.zip_with(op, n, lambda a, b: F.struct(a.alias("op"), b.alias("n")))).otherwise(F.array().cast("array<struct<op:string,n:int>>"))
+    each = F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))
+    ops = F.transform(each, lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.substr(x, F.lit(1), F.length(x) - 1).cast("int").alias("n")))
+    return F.when(F.array_join(each, "") == cigar, ops).otherwise(F.array().cast("array<struct<op:string,n:int>>"))
 
 
-def op_sum(ops: Column, kinds: str) -> Column:
-    return F.aggregate(F.filter(ops, lambda x: x["op"].isin(*kinds)), F.lit(0), lambda s, x: s + x["n"])
+#: Sums over a CIGAR: name -> operations.
+SUMS = {"m": "M=X", "ins": "I", "del": "D", "clip": "S", "skip": "N", "align_len": "MDN=X", "x": "X"}
 
 
-def measured(alignments: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Alignments of known contigs with their counts of bases: ops, exact, subs, ins, del, clip, skip, align_len, seq_len."""
-    a = alignments.join(contigs, "contig").withColumn("ops", cigar_ops(F.col("cigar")))
-    m, i, d = op_sum(F.col("ops"), "M=X"), op_sum(F.col("ops"), "I"), op_sum(F.col("ops"), "D")
-    a = a.select("*", m.alias("m"), i.alias("ins"), d.alias("del"), op_sum(F.col("ops"), "S").alias("clip"), op_sum(F.col("ops"), "N").alias("skip"), op_sum(F.col("ops"), "MDN=X").alias("align_len"), op_sum(F.col("ops"), "X").alias("x"))
+def op_sums(ops: Column) -> Column:
+    """The struct of all SUMS, in one pass."""
+    zero = F.struct(*[F.lit(0).alias(k) for k in SUMS])
+    return F.aggregate(ops, zero, lambda s, x: F.struct(*[(s[k] + F.when(x["op"].isin(*v), x["n"]).otherwise(0)).alias(k) for k, v in SUMS.items()]))
+
+
+def clip_overhang(ops: Column, pos: Column, length: Column, seq_len: Column) -> Column:
+    """``ops`` (op, n) with everything from the operation that passes the contig's end on soft-clipped.
+
+    Left as they are where the end isn't passed, or where the clipped read wouldn't have the read's length.
+    """
+    read, ref = ("M", "I", "S", "=", "X"), ("M", "D", "N", "=", "X")
+    grown = lambda s, x, kinds: F.when(x["op"].isin(*kinds), x["n"]).otherwise(0)
+    start = F.struct(F.lit(False).alias("over"), (pos - 1).cast("int").alias("ref"), F.lit(0).alias("read"), F.array().cast("array<struct<op:string,n:int>>").alias("out"))
+
+    def step(s, x):
+        at = s["ref"] + grown(s, x, ref)
+        over = s["over"] | (at > length)
+        cut = F.when(s["over"], s["out"]).when(at > length, F.concat(s["out"], F.array(F.struct(F.lit("S").alias("op"), (seq_len - s["read"]).cast("int").alias("n"))))).otherwise(F.concat(s["out"], F.array(F.struct(x["op"].alias("op"), x["n"].alias("n")))))
+        return F.struct(over.alias("over"), F.when(over, s["ref"]).otherwise(at).alias("ref"), (s["read"] + F.when(over, 0).otherwise(grown(s, x, read))).alias("read"), cut.alias("out"))
+
+    return F.aggregate(ops, start, step, lambda s: F.when(s["over"] & (s["read"] <= seq_len), s["out"]).otherwise(ops))
+
+
+def measured(alignments: DataFrame, contigs: DataFrame, repair: bool = False) -> DataFrame:
+    """Alignments of known contigs with their counts of bases: ops, exact, subs, ins, del, clip, skip, align_len, seq_len.
+
+    The CIGAR is read once: a generator makes the operations and their sums, so that no later filter is pushed through it as
+    a copy of the expression. With ``repair``, reads that pass their contig's end are soft-clipped there.
+    """
+    a = alignments.join(contigs, "contig")
+    ops = cigar_ops(F.col("cigar"))
+    if repair:
+        ops = F.when(F.col("pos").between(1, F.col("length")) & (F.col("seq") != "*"), F.get(F.transform(F.array(ops), lambda o: clip_overhang(o, F.col("pos"), F.col("length"), F.length("seq"))), F.lit(0))).otherwise(ops)
+    each = F.inline_outer(F.transform(F.array(ops), lambda o: F.struct(o.alias("ops"), op_sums(o).alias("_s"))))
+    a = a.select("*", each).select(*a.columns, "ops", "_s.*")
     subs = F.greatest(F.coalesce(F.col("nm") - F.col("ins") - F.col("del"), F.col("x")), F.col("x"))
     a = a.withColumn("subs", subs).withColumn("exact", F.col("m") - F.col("subs"))
     return a.withColumn("seq_len", F.when(F.col("seq") == "*", F.col("m") + F.col("ins") + F.col("clip")).otherwise(F.length("seq")))
@@ -94,7 +124,8 @@ def base_runs(used: DataFrame) -> DataFrame:
 
 def depth_steps(runs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, end, depth): constant stretches of depth, from run ends and a running sum; no base is exploded."""
-    ends = runs.select(*keys, F.col("start").cast("long").alias("p"), F.lit(1).alias("d")).unionByName(runs.select(*keys, (F.col("start") + F.col("n")).cast("long").alias("p"), F.lit(-1).alias("d")))
+    first = F.col("start").cast("long")
+    ends = runs.select(*keys, F.inline(F.array(F.struct(first.alias("p"), F.lit(1).alias("d")), F.struct((first + F.col("n")).alias("p"), F.lit(-1).alias("d")))))
     at = ends.groupBy(*keys, "p").agg(F.sum("d").alias("d"))
     w = Window.partitionBy(*keys).orderBy("p")
     s = at.select(*keys, F.col("p").alias("start"), F.lead("p").over(w).alias("end"), F.sum("d").over(w).alias("depth"))

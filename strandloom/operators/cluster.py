@@ -50,17 +50,18 @@ def propagate(edges: DataFrame, save: Save, kind: str = "tail", max_rounds: int
     still comes back to a label it had is frozen there."""
     a = save(arcs(edges), "arcs")
     state = save((start if start is not None else singletons(a)).select("node", "label", F.array("label").alias("past"), F.lit(False).alias("frozen")), "labels0")
-    quiet = 0
     for k in range(1, max_rounds + 1):
         moved = propagate_once(a, state.select("node", "label"), kind)
         j = state.join(moved.select("node", F.col("label").alias("to")), "node", "left")
         change = F.col("to").isNotNull() & (F.pmod(F.xxhash64("node") + k, F.lit(2)) == 0) & (F.col("to") != F.col("label")) & ~F.col("frozen")
         again = change & F.array_contains("past", F.col("to"))
-        state = save(j.select("node", F.when(change, F.col("to")).otherwise(F.col("label")).alias("label"), F.when(change & ~again, F.concat("past", F.array("to"))).otherwise(F.col("past")).alias("past"), (F.col("frozen") | again).alias("frozen"), change.alias("changed")), f"labels{k}")
-        quiet = quiet + 1 if state.filter("changed").isEmpty() else 0
-        state = state.drop("changed")
-        if quiet == 2:
-            break
+        last = F.col("changed") if "changed" in state.columns else F.lit(False)
+        state = j.select("node", F.when(change, F.col("to")).otherwise(F.col("label")).alias("label"), F.when(change & ~again, F.concat("past", F.array("to"))).otherwise(F.col("past")).alias("past"), (F.col("frozen") | again).alias("frozen"), change.alias("changed"), last.alias("before"))
+        if k % 2 == 0 or k == max_rounds:  # both halves had their turn; two rounds are written at a time
+            state = save(state, f"labels{(k + 1) // 2 % 2 + 1}")
+            if state.filter("changed or before").isEmpty():
+                break
+            state = state.drop("before", "changed")
     return state.select("node", "label")
 
 

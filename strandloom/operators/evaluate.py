@@ -5,10 +5,15 @@ Common shapes: gold(seq, genome, length), pred(seq, bin), markers(seq, marker) a
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.workspace import Workspace
+
+from .components import connected
+
 
 def first_wins(rows: DataFrame, key: str, order: str, *keep: str) -> DataFrame:
     """One row per ``key``: the one that comes first. A partial aggregate, not a window, so hot keys stay cheap."""
@@ -170,61 +175,140 @@ def partition_agreement(edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFra
 
 
 def candidate_scores(members: DataFrame, markers: DataFrame, set_size: int) -> DataFrame:
-    """(cand, completeness, contamination) of (cand, seq) by markers (seq, marker)."""
-    c = markers.join(members, "seq").groupBy("cand", "marker").agg(F.count(F.lit(1)).alias("c"))
+    """(cand, completeness, contamination) of (cand, seq) by markers (seq, marker); a null marker is none."""
+    c = markers.filter("marker is not null").join(members, "seq").groupBy("cand", "marker").agg(F.count(F.lit(1)).alias("c"))
     return c.groupBy("cand").agg((100.0 * F.count(F.lit(1)) / set_size).alias("completeness"), (100.0 * F.sum(F.col("c") - 1) / set_size).alias("contamination"))
 
 
-def refine_consensus(members: DataFrame, markers: DataFrame, set_size: int, min_completeness: float = 50.0, max_contamination: float = 10.0, penalty: float = 5.0, save=None) -> DataFrame:
-    """(rank, cand, seq): take the best candidate bin, remove its contigs everywhere, score again, until none is good enough.
-
-    Each round scores every candidate with one aggregation and keeps a whole conflict-free set: all candidates that
-    share no contig with a better one. Taking them together gives what taking them one by one would.
+def _greedy(set_size: int, min_completeness: float, max_contamination: float, penalty: float):
+    """One overlap component, by the plain loop: take the best, score those that lost contigs again."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        has = {s: m for s, m in zip(pdf["seq"], pdf["markers"])}
+        cands = {c: set(x) for c, x in pdf.groupby("cand")["seq"]}
+        holders: dict = {}
+        for c, seqs in cands.items():
+            for x in seqs:
+                holders.setdefault(x, set()).add(c)
+
+        def score(c) -> float | None:
+            n: dict = {}
+            for x in cands[c]:
+                for m in has[x]:
+                    n[m] = n.get(m, 0) + 1
+            comp, cont = 100.0 * len(n) / set_size, 100.0 * (sum(n.values()) - len(n)) / set_size
+            return comp - penalty * cont if comp >= min_completeness and cont <= max_contamination else None
+
+        scores = {c: v for c in cands if (v := score(c)) is not None}
+        out = []
+        while scores:
+            best = min(scores, key=lambda c: (-scores[c], c))
+            took, at = cands.pop(best), scores.pop(best)
+            out += [(best, x, at) for x in took]
+            touched = set().union(*(holders[x] for x in took)) - {best}
+            for c in touched & cands.keys():
+                cands[c] -= took
+                v = score(c) if cands[c] else None
+                if v is None:
+                    scores.pop(c, None)
+                else:
+                    scores[c] = v
+        return pd.DataFrame(out, columns=["cand", "seq", "score"])
+
+    return run
+
+
+def overlap_groups(members: DataFrame, work: Workspace, label: str) -> DataFrame:
+    """``members`` (cand, seq, ...) with ``root``: the component of candidates that share contigs, directly or through others."""
+    nodes = work.save(members.select("cand").distinct().select("cand", F.monotonically_increasing_id().alias("node")), f"{label}nodes")
+    at = members.select("cand", "seq").join(nodes, "cand")
+    edges = at.join(at.groupBy("seq").agg(F.min("node").alias("first")), "seq").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    roots = connected(edges, work, label)
+    of = nodes.join(roots, "node", "left").select("cand", F.coalesce("root", "node").alias("root"))
+    return work.save(members.join(of, "cand"), f"{label}grouped")
+
+
+def _in_order(min_free: float):
+    """One overlap component, in the order of the scores."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for (_, c), x in pdf.assign(at=-pdf["score"]).groupby(["at", "cand"]):
+            own = set(x["seq"]) - taken
+            if own and len(own) >= min_free * len(x):
+                taken |= own
+                out += [(c, q, x["score"].iloc[0]) for q in own]
+        return pd.DataFrame(out, columns=["cand", "seq", "score"])
+
+    return run
+
+
+def refine_consensus(members: DataFrame, markers: DataFrame, set_size: int, min_completeness: float = 50.0, max_contamination: float = 10.0, penalty: float = 5.0, work: Workspace | None = None, task_rows: int = 2_000_000) -> DataFrame:
+    """(cand, seq, score): take the best candidate bin, remove its contigs everywhere, score again, until none is good enough.
+
+    Of equals the smaller name comes first. Candidates that can't reach ``min_completeness``, which never grows, are
+    left out at once. Candidates that share contigs, directly or through others, form components, which don't
+    influence each other: one of up to ``task_rows`` rows is settled in a task by the plain loop. Larger ones go by rounds
+    of aggregations until they fall apart: the best of a component is taken, and every candidate that none of those
+    it shares contigs with could still outrank, as none can score above its present completeness.
     """
-    left, picked, k = members, [], 0
+    work = work or Workspace(members.sparkSession, "consensus")
+    kinds = dict(members.dtypes)
+    left, picked, k = work.save(members.select("cand", "seq").distinct(), "members"), None, 0
     while True:
-        s = candidate_scores(left, markers, set_size).filter((F.col("completeness") >= min_completeness) & (F.col("contamination") <= max_contamination))
-        s = s.select("cand", (F.col("completeness") - penalty * F.col("contamination")).alias("score"))
-        ranked = left.join(s, "cand")
-        ranked = save(ranked, f"ranked{k}") if save else ranked
-        order = F.struct(-F.col("score"), "cand")
-        best_at = ranked.groupBy("seq").agg(F.min(order).alias("best"))
-        lost = ranked.join(best_at, "seq").filter(F.col("best") < order).select("cand").distinct()
-        won = ranked.join(lost, "cand", "left_anti").select("cand", "seq", "score")
-        won = save(won, f"won{k}") if save else won
-        if won.isEmpty():
-            break
-        picked.append(won.withColumn("round", F.lit(k)))
-        left = left.join(won.select("seq").distinct(), "seq", "left_anti")
-        left = save(left, f"left{k}") if save else left
+        c = candidate_scores(left, markers, set_size).filter(F.col("completeness") >= min_completeness)
+        good = F.col("contamination") <= max_contamination
+        s = work.save(c.select("cand", F.col("completeness").alias("most"), F.when(good, F.col("completeness") - penalty * F.col("contamination")).alias("score")), f"scores{k}")
+        live = work.save(left.join(s, "cand"), f"live{k}")
+        live = overlap_groups(live, work, f"overlap{k}-")
+        small = live.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") <= task_rows)
+        marked = live.join(small, "root", "left_semi").select("root", "cand", "seq")
+        held = markers.groupBy("seq").agg(F.collect_list("marker").alias("markers"))
+        empty = F.array().cast(held.schema["markers"].dataType)
+        marked = marked.join(held, "seq", "left").withColumn("markers", F.coalesce("markers", empty))
+        done = marked.groupBy("root").applyInPandas(_greedy(set_size, min_completeness, max_contamination, penalty), f"cand {kinds['cand']}, seq {kinds['seq']}, score double")
+        large = live.join(small, "root", "left_anti")
+        if large.isEmpty():
+            picked = done if picked is None else picked.unionByName(done)
+            return work.save(picked, "picked")
+        order, could = F.struct(-F.col("score"), "cand"), F.struct((-F.col("most")).alias("score"), "cand")
+        scored = large.filter("score is not null")
+        best = scored.groupBy("root").agg(F.min(order).alias("best"))
+        first = scored.join(best, "root").filter(order == F.col("best")).select("cand")
+        # the two that could come first at each contig: one of them is another candidate
+        rivals = large.groupBy("seq").agg(F.slice(F.array_sort(F.collect_set(could)), 1, 2).alias("r"))
+        beaten = scored.join(rivals, "seq").filter(F.exists("r", lambda x: (x["cand"] != F.col("cand")) & (F.struct(x["score"], x["cand"]) < F.struct((-F.col("score")).alias("score"), F.col("cand"))))).select("cand")
+        won = scored.join(beaten, "cand", "left_anti").select("cand").unionByName(first).distinct()
+        taken = scored.join(won, "cand", "left_semi").select("cand", "seq", "score")
+        done = work.save(done.unionByName(taken), f"won{k}")
+        picked = done if picked is None else picked.unionByName(done)
+        left = work.save(large.join(won, "cand", "left_anti").select("cand", "seq").join(taken.select("seq"), "seq", "left_anti"), f"left{k}")
         k += 1
-    if not picked:
-        return members.limit(0).select(F.lit(0).alias("round"), "cand", "seq", F.lit(0.0).alias("score"))
-    out = picked[0]
-    for p in picked[1:]:
-        out = out.unionByName(p)
-    return out.select("round", "cand", "seq", "score")
 
 
-def ensemble_consensus(members: DataFrame, markers: DataFrame, set_size: int, min_completeness: float = 30.0, min_free: float = 0.5, penalty: float = 5.0) -> DataFrame:
+def ensemble_consensus(members: DataFrame, markers: DataFrame, set_size: int, min_completeness: float = 30.0, min_free: float = 0.5, penalty: float = 5.0, work: Workspace | None = None, task_rows: int = 2_000_000) -> DataFrame:
     """(cand, seq, score): candidates in descending score, each taken with its free contigs if half of them are free.
 
-    The scores are fixed, so the order is known at the start. Candidates and their contigs are the output of a
-    binner, a table of bins; it is the one greedy step that runs on the driver, as sets of contig numbers.
+    Components of candidates that share contigs are settled in a task each, up to ``task_rows`` rows. In larger ones a
+    candidate is settled as soon as all better ones that share a contig with it are, as the scores are fixed: a round
+    settles all that come first at every contig they still hold. Nothing is gathered.
     """
+    work = work or Workspace(members.sparkSession, "ensemble")
+    kinds = dict(members.dtypes)
+    members = members.select("cand", "seq").distinct()
     pooled = members.groupBy("cand").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     s = candidate_scores(members, markers, set_size).filter(F.col("completeness") >= min_completeness)
-    s = s.join(pooled, "cand").select("cand", (F.col("completeness") - penalty * F.col("contamination")).alias("score"))
-    free: set = set()
-    taken, out = free, []
-    rows = members.join(s, "cand").groupBy("cand", "score").agg(F.array_sort(F.collect_set("seq")).alias("seqs")).orderBy(F.desc("score"), "cand")
-    for r in rows.toLocalIterator():
-        own = [x for x in r["seqs"] if x not in taken]
-        if own and len(own) >= min_free * len(r["seqs"]):
-            taken.update(own)
-            out += [(r["cand"], x, r["score"]) for x in own]
-    kinds = dict(members.dtypes)
-    return members.sparkSession.createDataFrame(out, f"cand {kinds['cand']}, seq {kinds['seq']}, score double")
+    s = s.join(pooled, "cand").select("cand", "n", (F.col("completeness") - penalty * F.col("contamination")).alias("score"))
+    live = overlap_groups(work.save(members.join(s, "cand"), "live"), work, "overlap")
+    small = live.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") <= task_rows)
+    out = live.join(small, "root", "left_semi").groupBy("root").applyInPandas(_in_order(min_free), f"cand {kinds['cand']}, seq {kinds['seq']}, score double")
+    left, order, k = work.save(live.join(small, "root", "left_anti").drop("root"), "left0"), F.struct(-F.col("score"), "cand"), 0
+    while not left.isEmpty():
+        first = left.groupBy("seq").agg(F.min(order).alias("best"))
+        ready = left.join(first, "seq").groupBy("cand", "score", "n").agg(F.count_if(order != F.col("best")).alias("behind"), F.count(F.lit(1)).alias("free")).filter("behind = 0")
+        ready = work.save(ready.select("cand", (F.col("free") >= min_free * F.col("n")).alias("taken")), f"ready{k}")
+        won = work.save(left.join(ready.filter("taken"), "cand", "left_semi").select("cand", "seq", "score"), f"won{k}")
+        out, k = out.unionByName(won), k + 1
+        left = work.save(left.join(ready, "cand", "left_anti").join(won.select("seq"), "seq", "left_anti"), f"left{k}")
+    return work.save(out, "picked")
 
 
 def certify(reference: DataFrame, runs: DataFrame, contigs: DataFrame, core: float = 0.8, ambiguous: float = 0.5, fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:

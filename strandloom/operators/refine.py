@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions import arrays as A
 from strandloom.functions.stats import chi2_critical
+from strandloom.workspace import Workspace
+
+from .alignments import ranked
+from .components import connected
 
 
 def log_depth(depth: Column) -> Column:
@@ -110,9 +113,15 @@ def bin_coherence(members: DataFrame) -> DataFrame:
 
 
 def coherence_bar(coherence: DataFrame, percent: float = 10.0) -> DataFrame:
-    """One row, ``bar``, or none without bins: the element at round(percent of n - 1) of the sorted coherences; a table of bins."""
-    v = F.array_sort(F.collect_list("coherence"))
-    return coherence.agg(v.alias("v")).select(F.get("v", F.floor(percent / 100.0 * (F.size("v") - 1) + 0.5).cast("int")).alias("bar")).filter("bar is not null")
+    """One row, ``bar``, or none without bins: the element at round(percent of n - 1) of the sorted coherences.
+
+    Ranks come from range partitions, so bins aren't gathered in one task.
+    """
+    work = Workspace(coherence.sparkSession, "bar")
+    r = ranked(coherence.select("coherence"), [F.col("coherence")], work.save)
+    n = coherence.agg(F.count(F.lit(1)).alias("n"))
+    at = F.floor(percent / 100.0 * (F.col("n") - 1) + 0.5) + 1
+    return r.join(F.broadcast(n)).filter(F.col("rank") == at).select(F.col("coherence").alias("bar"))  # n is one row
 
 
 def _core_scores(columns: list[str], keep: int):
@@ -167,12 +176,18 @@ def top_two(scores: DataFrame) -> DataFrame:
 def youden_boundary(evidence: DataFrame) -> DataFrame:
     """One row, (boundary, tpr, fpr), of (value, positive): where true minus false positive rate is largest.
 
-    Equal values count together; of equal differences the highest value wins. Values are counted first, so the
-    running sums go over distinct values.
+    Equal values count together; of equal differences the highest value wins. Values are counted first; the running sums
+    go over range partitions of the distinct values, and a prefix sum over the partitions' totals.
     """
+    work = Workspace(evidence.sparkSession, "youden")
     v = evidence.groupBy("value").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    w, all_ = Window.orderBy(F.desc("value")), Window.partitionBy()
-    r = v.select("value", (F.sum("p").over(w) / F.sum("p").over(all_)).alias("tpr"), (F.sum("n").over(w) / F.sum("n").over(all_)).alias("fpr"))
+    v = work.save(v.repartitionByRange(F.desc("value")).withColumn("part", F.spark_partition_id()), "ranges")
+    totals = v.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("part", F.coalesce(F.sum("sp").over(w), F.lit(0)).alias("bp"), F.coalesce(F.sum("sn").over(w), F.lit(0)).alias("bn"), F.sum("sp").over(Window.partitionBy()).alias("ap"), F.sum("sn").over(Window.partitionBy()).alias("an"))  # a row per range
+    inside = Window.partitionBy("part").orderBy(F.desc("value"))
+    r = v.select("part", "value", F.sum("p").over(inside).alias("p"), F.sum("n").over(inside).alias("n")).join(before, "part")
+    r = r.select("value", ((F.col("p") + F.col("bp")) / F.col("ap")).alias("tpr"), ((F.col("n") + F.col("bn")) / F.col("an")).alias("fpr"))
     one = r.agg(F.min_by(F.struct("value", "tpr", "fpr"), F.struct(-(F.col("tpr") - F.col("fpr")), -F.col("value"))).alias("b"))
     return one.select(F.col("b.value").alias("boundary"), F.col("b.tpr").alias("tpr"), F.col("b.fpr").alias("fpr"))
 
@@ -208,45 +223,57 @@ def merge_candidates(pairs: DataFrame, stats: DataFrame, sizes: DataFrame, floor
     return d.groupBy("a", "b").agg(F.max("links").alias("links"), F.sum(part).alias("t2")).filter(F.col("t2") <= crit)
 
 
+def _merge_group(crit: float):
+    """One component of linked bins: pairs in ascending distance, groups tested again as they grow."""
+    def run(key, pairs: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
+        own: dict = {}
+        for r in stats.itertuples():
+            own.setdefault(r.bin, {})[r.k] = [r.w, r.z]
+        core = dict(zip(stats["bin"], stats["core"]))
+        up = {b: b for b in own}
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def distance(a, b):
+            return sum((za / wa - zb / wb) ** 2 / (1 / wa + 1 / wb) for k in own[a].keys() & own[b].keys() for (wa, za), (wb, zb) in ((own[a][k], own[b][k]),))
+
+        for r in pairs.sort_values(["t2", "a", "b"]).itertuples():
+            ra, rb = find(r.a), find(r.b)
+            if ra == rb or (core[ra] and core[rb]) or distance(ra, rb) > crit:
+                continue
+            root, other = min(ra, rb), max(ra, rb)
+            for k, (w, z) in own[other].items():
+                held = own[root].setdefault(k, [0.0, 0.0])
+                held[0] += w
+                held[1] += z
+            up[other] = root
+            core[root] = core[ra] or core[rb]
+        return pd.DataFrame({"bin": list(up), "root": [find(b) for b in up]})
+
+    return run
+
+
 def merge_bins(candidates: DataFrame, stats: DataFrame, sizes: DataFrame, floor: int, crit: float) -> DataFrame:
     """(bin, root): bins joined in ascending distance; two cores never meet, and grown groups are tested again.
 
-    Candidates are linked pairs of bins, which the driver can hold; only bins that occur in one are fetched.
+    Bins that candidates don't link, directly or through others, don't influence each other: every component of linked
+    bins is one group of an executor, with a row per pair and per (bin, sample), none per contig.
     """
-    rows = [(r["t2"], r["a"], r["b"]) for r in candidates.orderBy("t2", "a", "b").toLocalIterator()]
-    named = candidates.select(F.col("a").alias("bin")).unionByName(candidates.select(F.col("b").alias("bin"))).distinct()
-    own: dict = {}
-    for r in stats.join(named, "bin").toLocalIterator():
-        own.setdefault(r["bin"], {})[r["k"]] = [r["w"], r["z"]]
-    core = {r["bin"]: r["total_length"] >= floor for r in sizes.join(named, "bin").toLocalIterator()}
-    up = {b: b for b in own}
-
-    def find(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def distance(a, b):
-        out = 0.0
-        for k in own[a].keys() & own[b].keys():
-            (wa, za), (wb, zb) = own[a][k], own[b][k]
-            out += (za / wa - zb / wb) ** 2 / (1 / wa + 1 / wb)
-        return out
-
-    for _, a, b in rows:
-        ra, rb = find(a), find(b)
-        if ra == rb or (core[ra] and core[rb]) or distance(ra, rb) > crit:
-            continue
-        root, other = min(ra, rb), max(ra, rb)
-        for k, (w, z) in own[other].items():
-            held = own[root].setdefault(k, [0.0, 0.0])
-            held[0] += w
-            held[1] += z
-        up[other] = root
-        core[root] = core[ra] or core[rb]
+    work = Workspace(candidates.sparkSession, "merge-bins")
     kind = dict(sizes.dtypes)["bin"]
-    joined = sizes.sparkSession.createDataFrame([(b, find(b)) for b in up], f"bin {kind}, root {kind}")
+    pairs = work.save(candidates.select("a", "b", "t2"), "pairs")
+    named = work.save(pairs.select(F.explode(F.array("a", "b")).alias("bin")).distinct().select("bin", F.monotonically_increasing_id().alias("node")), "nodes")
+    on = lambda side: named.select(F.col("bin").alias(side), F.col("node").alias(f"n{side}"))
+    edges = pairs.join(on("a"), "a").join(on("b"), "b")
+    roots = connected(edges.select(F.col("na").alias("a"), F.col("nb").alias("b")), work)
+    of = work.save(named.join(roots, "node", "left").select("bin", F.coalesce("root", "node").alias("group")), "groups")
+    left = pairs.join(of.withColumnRenamed("bin", "a"), "a").select("group", "a", "b", "t2")
+    right = stats.select("bin", "k", "w", "z").join(of.withColumnRenamed("group", "own"), "bin").join(sizes.select("bin", (F.col("total_length") >= floor).alias("core")), "bin").select("own", "bin", "k", "w", "z", "core")
+    joined = left.groupBy("group").cogroup(right.groupBy("own")).applyInPandas(_merge_group(crit), f"bin {kind}, root {kind}")
     return sizes.select("bin").join(joined, "bin", "left").select("bin", F.coalesce("root", "bin").alias("root"))
 
 

@@ -42,8 +42,7 @@ def _candidates(s, d):
 
 
 def _refine(s, d):
-    work = Workspace(s, "refine")
-    return rounded(E.refine_consensus(_candidates(s, d), B.event_markers(s, d), SET_SIZE, 10.0, 30.0, 1.0, work.save), "score")
+    return rounded(E.refine_consensus(_candidates(s, d), B.event_markers(s, d), SET_SIZE, 10.0, 30.0, 1.0, Workspace(s, "refine")), "score")
 
 
 def _certify(s, d):
@@ -120,6 +119,30 @@ _QC = f"""hits AS (SELECT user_id AS bin, json_extract_string(props, '$.k') AS m
 qc AS (SELECT b.bin, b.contigs, h.d AS distinct_markers, CAST(h.x AS BIGINT) AS extra_copies, 100.0::DOUBLE * h.d / {SET_SIZE} AS completeness, 100.0::DOUBLE * h.x / {SET_SIZE} AS contamination
   FROM (SELECT user_id AS bin, count(*) AS contigs FROM events GROUP BY 1) b JOIN (SELECT bin, count(*) AS d, sum(c - 1) AS x FROM hits GROUP BY bin) h ON b.bin = h.bin)"""
 _TIER = "CASE WHEN completeness > 90 AND contamination < 5 THEN 'HQ' WHEN completeness >= 50 AND contamination < 10 THEN 'MQ' ELSE 'LQ' END"
+_CANDS = """ev AS (SELECT event_id AS seq, json_extract_string(props, '$.k') AS marker, unnest(['user:' || user_id, 'hour:' || event_type || strftime(ts, ':%m%d%H'), 'day:' || event_type || strftime(ts, ':%m%d')]) AS cand FROM events),
+cands AS (SELECT cand, list(struct_pack(seq := seq, m := marker) ORDER BY seq) AS items FROM ev GROUP BY cand),
+size_ AS (SELECT max(event_id) + 1 AS n FROM events)"""
+#: The greedy loop: one row a pick, with the contigs that are gone by then.
+_REFINE_SQL = f"""WITH RECURSIVE {_CANDS}, step AS (
+  SELECT 0 AS k, CAST(NULL AS VARCHAR) AS cand, CAST(NULL AS DOUBLE) AS score, CAST([] AS BIGINT[]) AS seqs, list_transform(range(0, n), lambda i: false) AS gone FROM size_
+  UNION ALL
+  SELECT k + 1, cand, score, list_transform(f, lambda x: x.seq), list_transform(gone, lambda g, i: g OR list_contains(list_transform(f, lambda x: x.seq), i - 1)) FROM (
+    SELECT * FROM (
+      SELECT k, gone, cand, f, 100.0::DOUBLE * len(list_distinct(list_transform(f, lambda x: x.m))) / {SET_SIZE} AS comp,
+        100.0::DOUBLE * (len(f) - len(list_distinct(list_transform(f, lambda x: x.m)))) / {SET_SIZE} AS cont, comp - 1.0 * cont AS score
+      FROM (SELECT s.k, s.gone, c.cand, list_filter(c.items, lambda x: NOT s.gone[x.seq + 1]) AS f FROM step s CROSS JOIN cands c))
+    WHERE comp >= 10 AND cont <= 30 QUALIFY row_number() OVER (ORDER BY score DESC, cand) = 1))
+SELECT cand, unnest(seqs) AS seq, round(score, 6) + 0.0 AS score FROM step WHERE k > 0"""
+_ENSEMBLE_SQL = f"""WITH RECURSIVE {_CANDS}, q AS (SELECT cand, list_transform(items, lambda x: x.seq) AS seqs, 100.0::DOUBLE * len(list_distinct(list_transform(items, lambda x: x.m))) / {SET_SIZE} AS comp,
+    100.0::DOUBLE * (len(items) - len(list_distinct(list_transform(items, lambda x: x.m)))) / {SET_SIZE} AS cont FROM cands),
+o AS (SELECT cand, seqs, comp - 1.0 * cont AS score, row_number() OVER (ORDER BY comp - 1.0 * cont DESC, cand) AS r FROM q WHERE comp >= 10 AND len(seqs) >= 2),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS cand, CAST(NULL AS DOUBLE) AS score, CAST([] AS BIGINT[]) AS own, list_transform(range(0, n), lambda i: false) AS gone FROM size_
+  UNION ALL
+  SELECT r, cand, score, own, list_transform(gone, lambda g, i: g OR list_contains(own, i - 1)) FROM (
+    SELECT r, cand, score, gone, CASE WHEN len(free) >= 0.5 * n THEN free ELSE CAST([] AS BIGINT[]) END AS own FROM (
+      SELECT o.r, o.cand, o.score, s.gone, len(o.seqs) AS n, list_filter(o.seqs, lambda x: NOT s.gone[x + 1]) AS free FROM step s JOIN o ON o.r = s.r + 1)))
+SELECT cand, unnest(own) AS seq, round(score, 6) + 0.0 AS score FROM step WHERE r > 0"""
 _CERTIFY = """ref AS (SELECT c_custkey AS seq, c_mktsegment AS bin, 1000 + CAST(floor(abs(c_acctbal)) AS BIGINT) AS length FROM customer),
 runs AS (SELECT year(o_orderdate) AS run, o_custkey AS seq, arg_min(o_orderpriority, o_orderkey) AS label FROM orders GROUP BY 1, 2),
 votes AS (SELECT bin, run, label, count(*) AS c FROM ref JOIN runs USING (seq) GROUP BY ALL),
@@ -154,6 +177,8 @@ SELECT z.bin, z.seq, round(z.zmax, 6) AS zmax FROM z JOIN carriers c ON z.bin =
     "membership_matrix": "SELECT p_partkey AS seq, CAST(coalesce(l.label + 1, 0) AS BIGINT) AS cluster FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS label FROM lineitem GROUP BY 1) l ON p_partkey = l.l_partkey",
     "partition_agreement": """WITH n AS (SELECT p_partkey AS node, p_size % 5 AS a, length(p_name) % 3 AS b FROM part)
 SELECT count(*) AS edges, round(avg(CASE WHEN (s.a = t.a) = (s.b = t.b) THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM lineitem JOIN n s ON l_partkey = s.node JOIN n t ON l_suppkey = t.node""",
+    "refine_consensus": _REFINE_SQL,
+    "ensemble_consensus": _ENSEMBLE_SQL,
     "certify_stability": f"WITH {_CERTIFY} SELECT seq, bin, length, round(prob, 6) AS prob, state FROM each_",
     "certify_bins": f"WITH {_CERTIFY} SELECT bin, round(sum(CASE WHEN state = 'core' THEN length ELSE 0 END) / sum(length), 6) AS core_fraction, round(sum(coalesce(prob, 0) * length) / sum(length), 6) AS mean_prob FROM each_ GROUP BY bin",
 }

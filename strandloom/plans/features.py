@@ -137,7 +137,7 @@ def _gfa(s, d):
 
 
 def _invidx(s, d):
-    keyed = B.table(s, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("key")).distinct()
+    keyed = B.table(s, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("key")).distinct()
     return P.shared_keys(keyed, 2, max(256, keyed.select("id").distinct().count() // 8))
 
 
@@ -232,8 +232,8 @@ com AS (SELECT m.i, m.j, m.sim, count(y.n) AS common FROM mut m JOIN nb x ON x.n
 SELECT c.i, c.j, round(c.sim * sqrt(common / (a.c + b.c - common)), 6) AS score FROM com c JOIN deg a ON c.i = a.node JOIN deg b ON c.j = b.node""",
     "knn_topk": f"WITH {_KNN} SELECT src, dst, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM knn",
     "mutual_knn_edges": f"WITH {_KNN} SELECT i, j, round(sim, 6) AS sim FROM mut",
-    "invidx_candidates": """WITH k AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS key FROM lineitem WHERE l_linenumber = 1),
-ok AS (SELECT * FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(*) <= 256))
+    "invidx_candidates": """WITH k AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS key FROM lineitem),
+ok AS (SELECT * FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(*) <= greatest(256, (SELECT count(DISTINCT id) FROM k) // 8)))
 SELECT a.id AS i, b.id AS j, count(*) AS shared FROM ok a JOIN ok b ON a.key = b.key AND a.id < b.id GROUP BY ALL HAVING count(*) >= 2""",
     "kmer_canonical_counts": f"WITH {_DNA} SELECT kmer, CAST(sum(c) AS BIGINT) AS cnt FROM canon GROUP BY kmer",
     "kmer_tnf_l2": f"WITH {_DNA}, t AS (SELECT id, k, count(*) AS c FROM kmers GROUP BY ALL) SELECT id, k AS kmer, round(c / sqrt(sum(c * c) OVER (PARTITION BY id)), 6) AS w FROM t",

@@ -57,7 +57,7 @@ def test_upper_median(spark):
 def test_refine_takes_the_best_first_and_ties_by_name(spark, work):
     m = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 4)], "cand string, seq long")
     hits = spark.createDataFrame([(1, "m1"), (2, "m2"), (3, "m1"), (4, "m1")], "seq long, marker string")
-    out = {(r["cand"], r["seq"]) for r in E.refine_consensus(m, hits, 2, 50.0, 10.0, 5.0, work.save).collect()}
+    out = {(r["cand"], r["seq"]) for r in E.refine_consensus(m, hits, 2, 50.0, 10.0, 5.0, work).collect()}
     # a and b tie at 100: a wins; b is left with contig 3, which is enough for half of the set
     assert out == {("a", 1), ("a", 2), ("b", 3), ("c", 4)}
 
@@ -76,3 +76,78 @@ def test_certify(spark):
     each, bins = E.certify(ref, runs, contigs)
     assert {r["seq"]: (r["prob"], r["state"]) for r in each.collect()} == {1: (1.0, "core"), 2: (1.0, "core"), 3: (0.25, "ambiguous")}
     assert bins.first()["certified"]
+
+
+def greedy(members, hits, g, least, most, penalty):
+    """The consensus by its words: best first, contigs gone everywhere, scores anew."""
+    left, out = {}, set()
+    for c, x in members:
+        left.setdefault(c, set()).add(x)
+    while True:
+        best = None
+        for c, seqs in left.items():
+            ms = [m for s, m in hits if s in seqs]
+            comp, cont = 100.0 * len(set(ms)) / g, 100.0 * (len(ms) - len(set(ms))) / g
+            if comp >= least and cont <= most and (best is None or (-(comp - penalty * cont), c) < best):
+                best = (-(comp - penalty * cont), c)
+        if best is None:
+            return out
+        took = left.pop(best[1])
+        out |= {(best[1], x) for x in took}
+        for seqs in left.values():
+            seqs -= took
+
+
+def test_refine_scores_again_after_each_pick(spark, work):
+    """Taking the best alone raises nothing above Y, which overlaps both; taking B and X together would lose it."""
+    b = [("B", i) for i in range(1, 10)]
+    y = [("Y", i) for i in (1, 2, 11, 12, 13, 14, 15, 16, 17, 18)]
+    x = [("X", i) for i in range(11, 18)]
+    hits = [(i, f"m{i}") for i in range(1, 10)] + [(10 + i, f"m{i}") for i in range(1, 9)]
+    m = spark.createDataFrame(b + y + x, "cand string, seq long")
+    h = spark.createDataFrame(hits, "seq long, marker string")
+    for rows in (0, 10**6):
+        got = {(r["cand"], r["seq"]) for r in E.refine_consensus(m, h, 10, 50.0, 30.0, 1.0, work, rows).collect()}
+        assert got == greedy(b + y + x, hits, 10, 50.0, 30.0, 1.0) and {c for c, _ in got} == {"B", "Y"}
+
+
+def test_refine_by_brute_force(spark):
+    import random
+
+    from strandloom.workspace import Workspace
+
+    for seed in range(6):
+        r = random.Random(seed)
+        n = 60
+        members = sorted({(f"c{r.randrange(12):02d}", r.randrange(n)) for _ in range(170)})
+        hits = [(x, f"m{r.randrange(10)}") for x in range(n) for _ in range(r.randrange(3))]
+        want = greedy(members, hits, 10, 30.0, 60.0, 0.7)
+        m, h = spark.createDataFrame(members, "cand string, seq long"), spark.createDataFrame(hits, "seq long, marker string")
+        for rows in (0, 40, 10**6)[seed % 3 :][:2]:
+            got = E.refine_consensus(m, h, 10, 30.0, 60.0, 0.7, Workspace(spark, "refine"), rows)
+            assert {(x["cand"], x["seq"]) for x in got.collect()} == want
+
+
+def test_ensemble_by_brute_force(spark):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        members = sorted({(f"c{r.randrange(15):02d}", r.randrange(60)) for _ in range(150)})
+        hits = [(x, f"m{r.randrange(10)}") for x in range(60) for _ in range(r.randrange(3))]
+        of = {}
+        for c, x in members:
+            of.setdefault(c, set()).add(x)
+        score = {}
+        for c, seqs in of.items():
+            ms = [m for s, m in hits if s in seqs]
+            if len(seqs) >= 2 and 10 * len(set(ms)) >= 30:
+                score[c] = 10.0 * len(set(ms)) - 0.5 * 10.0 * (len(ms) - len(set(ms)))
+        taken, want = set(), set()
+        for c in sorted(score, key=lambda c: (-score[c], c)):
+            own = of[c] - taken
+            if own and len(own) >= 0.5 * len(of[c]):
+                taken |= own
+                want |= {(c, x) for x in own}
+        m, h = spark.createDataFrame(members, "cand string, seq long"), spark.createDataFrame(hits, "seq long, marker string")
+        assert {(x["cand"], x["seq"]) for x in E.ensemble_consensus(m, h, 10, 30.0, 0.5, 0.5, task_rows=(10**6, 0, 10)[seed]).collect()} == want
