@@ -12,14 +12,19 @@ from pyspark.sql.window import Window
 
 #: Flags: unmapped, secondary, failed quality, duplicate. Supplementary records count.
 SKIPPED = 0x704
-PAIRED, MATE_UNMAPPED, REVERSE = 0x1, 0x8, 0x10
+PAIRED, PROPER, MATE_UNMAPPED, REVERSE = 0x1, 0x2, 0x8, 0x10
 
 
 def cigar_ops(cigar: Column) -> Column:
     """[(op, n)] of a CIGAR string; empty for ``*`` and for anything malformed."""
     each = F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))
-    ops = F.transform(each, lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.substr(x, F.lit(1), F.length(x) - 1).cast("int").alias("n")))
-    return F.when(F.array_join(each, "") == cigar, ops).otherwise(F.array().cast("array<struct<op:string,n:int>>"))
+    none = F.array().cast("array<struct<op:string,n:int>>")
+
+    def ops(parts: Column) -> Column:
+        both = F.transform(parts, lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.substr(x, F.lit(1), F.length(x) - 1).cast("int").alias("n")))
+        return F.when(F.array_join(parts, "") == cigar, both).otherwise(none)
+
+    return F.get(F.transform(F.array(each), ops), F.lit(0))  # the parts are used twice, but made once
 
 
 #: Sums over a CIGAR: name -> operations.
@@ -80,6 +85,19 @@ def usable(rows: DataFrame, min_mapq: int = 0, percent_identity: float = 97) ->
     return rows.filter((F.col("flag").bitwiseAND(SKIPPED) == 0) & (F.col("mapq") >= min_mapq) & mate_ok & consistent() & (n > 0) & (100.0 * F.col("exact") >= percent_identity * n))
 
 
+def failed_mapping(passes: Column, mate_passes: Column) -> Column:
+    """The read or its mate is unmapped, its contig doesn't pass, or it is paired but not properly or with a contig that doesn't."""
+    flag = F.col("flag")
+    paired, proper = flag.bitwiseAND(PAIRED) != 0, flag.bitwiseAND(PROPER) != 0
+    return (flag.bitwiseAND(0x4 | MATE_UNMAPPED) != 0) | ~F.coalesce(passes, F.lit(False)) | (paired & (~proper | ~F.coalesce(mate_passes, F.lit(False))))
+
+
+def at_edge(start: Column, length: Column, edge: Column | int) -> Column:
+    """A read that starts (from 0) within ``edge`` bases of an end of its contig, or lies on one no longer than that."""
+    e = edge if isinstance(edge, Column) else F.lit(edge)
+    return (length <= e) | (start < e) | (start + e >= length)
+
+
 def edge_of(rows: DataFrame, max_edge: int = 75, first: int = 4000) -> DataFrame:
     """(sample, edge): a third of the mean length of the first mapped reads, at most ``max_edge``. Needs ``ord``."""
     w = Window.partitionBy("sample").orderBy("ord")
@@ -115,11 +133,11 @@ def total_depth(cov: DataFrame, edge: int = 75) -> DataFrame:
     return cov.groupBy("contig").agg((F.sum(F.col("mean") * inner) / F.sum(inner) * F.count(F.lit(1))).alias("total"))
 
 
-def base_runs(used: DataFrame) -> DataFrame:
-    """(contig, sample, start, n): the reference runs that match operations cover, 0-based."""
+def base_runs(used: DataFrame, *keep: str) -> DataFrame:
+    """(contig, sample, keep, start, n): the reference runs that match operations cover, 0-based."""
     step = lambda s, x: F.when(x["op"].isin("M", "=", "X"), F.struct((s["at"] + x["n"]).alias("at"), F.concat(s["runs"], F.array(F.struct(s["at"].alias("start"), x["n"].alias("n")))).alias("runs"))).when(x["op"].isin("D", "N"), F.struct((s["at"] + x["n"]).alias("at"), s["runs"].alias("runs"))).otherwise(s)
     start = F.struct((F.col("pos") - 1).cast("int").alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("runs"))
-    return used.select("contig", "sample", F.inline(F.aggregate("ops", start, step, lambda s: s["runs"])))
+    return used.select("contig", "sample", *keep, F.inline(F.aggregate("ops", start, step, lambda s: s["runs"])))
 
 
 def depth_steps(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,6 +159,25 @@ def depth_moments(steps: DataFrame, contigs: DataFrame, keys: list[str]) -> Data
     return j.select(*keys, mean.alias("mean"), F.when(F.col("length") > 1, F.greatest((F.col("q") - F.col("s") * mean) / (F.col("length") - 1), F.lit(0.0))).otherwise(F.lit(0.0)).alias("var"))
 
 
+def weighted_moments(used: DataFrame, contigs: DataFrame, weight: float = 1.0) -> DataFrame:
+    """(contig, sample, mean, var) of per-base depth, each base weighed by its reads' mean mapping quality q.
+
+    The weight is (1 - 10 ** (-q / 10)) ** weight: 0 for q = 0, and 1 where nothing is mapped.
+    """
+    keys, first = ["contig", "sample"], F.col("start").cast("long")
+    runs = base_runs(used, "mapq")
+    ends = runs.select(*keys, F.inline(F.array(F.struct(first.alias("p"), F.lit(1).alias("d"), F.col("mapq").cast("long").alias("q")), F.struct((first + F.col("n")).alias("p"), F.lit(-1).alias("d"), (-F.col("mapq")).cast("long").alias("q")))))
+    at = ends.groupBy(*keys, "p").agg(F.sum("d").alias("d"), F.sum("q").alias("q"))
+    w = Window.partitionBy(*keys).orderBy("p")
+    s = at.select(*keys, (F.lead("p").over(w) - F.col("p")).alias("n"), F.sum("d").over(w).alias("d"), F.sum("q").over(w).alias("q")).filter("n is not null and d > 0")
+    s = s.select(*keys, "n", "d", F.when(F.col("q") > 0, F.pow(1 - F.pow(F.lit(10.0), -(F.col("q") / F.col("d")) / 10), F.lit(weight))).otherwise(F.lit(0.0)).alias("w"))
+    nw, d = F.col("n") * F.col("w"), F.col("d")
+    g = s.groupBy(*keys).agg(F.sum(nw).alias("nw"), F.sum(nw * d).alias("nwd"), F.sum(nw * d * d).alias("nwdd"), F.sum("n").alias("n")).join(contigs, "contig")
+    mean, total = F.col("nwd") / F.col("length"), F.col("nw") + F.col("length") - F.col("n")
+    square = F.col("nwdd") - 2 * mean * F.col("nwd") + mean * mean * total
+    return g.select(*keys, mean.alias("mean"), (F.greatest(square, F.lit(0.0)) / F.when(total > 2, total - 1).otherwise(F.col("length") - 1)).alias("var"))
+
+
 def gc_windows(bases: DataFrame, width: int) -> DataFrame:
     """(gc, windows, mean, var): full windows of (contig, pos, is_gc, depth), one per step, by whole percent of GC."""
     w = Window.partitionBy("contig").orderBy("pos").rowsBetween(0, width - 1)

@@ -93,6 +93,16 @@ def qc_per_bin(markers: DataFrame, pred: DataFrame, set_size: Column | int) -> D
     return bins.select("bin", "contigs", F.coalesce("distinct_markers", F.lit(0)).alias("distinct_markers"), F.coalesce("extra_copies", F.lit(0)).alias("extra_copies"), comp.cast("double").alias("completeness"), cont.cast("double").alias("contamination"), tier(comp, cont, found).alias("tier"))
 
 
+def marker_set_size(markers: DataFrame, chosen: int | None = None, stated: int | None = None) -> int:
+    """The size that was asked for, or else the one that the marker file states, or else the number of markers seen."""
+    return chosen or stated or markers.select("marker").distinct().count()
+
+
+def high_quality(per_bin: DataFrame) -> DataFrame:
+    """Bins of more than 90 % completeness and less than 5 % contamination."""
+    return per_bin.filter("completeness > 90 and contamination < 5")
+
+
 def qc_summary(per_bin: DataFrame) -> DataFrame:
     return per_bin.agg(F.count(F.lit(1)).alias("bins"), *[F.count_if(F.col("tier") == t).alias(n) for t, n in (("HQ", "hq"), ("MQ", "mq"), ("LQ", "lq"), ("-", "unscored"))], F.sum("completeness").alias("sum_completeness"), F.avg("contamination").alias("avg_contamination"))
 

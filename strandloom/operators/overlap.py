@@ -61,3 +61,19 @@ def min_length_for(contigs: DataFrame, most: int) -> DataFrame:
 
 def partition_by_length(contigs: DataFrame, large: int = 2500, small: int = 1000) -> DataFrame:
     return contigs.withColumn("size_class", F.when(F.col("length") >= large, "large").when(F.col("length") >= small, "small").otherwise("discarded"))
+
+
+def rank_methods(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """``rows`` with the rank of ``value`` within ``keys`` for every way to treat ties; ``first`` goes by ``order``."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    low, ties = F.rank().over(w), F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+    return rows.select(*keys, order, value, low.alias("r_min"), (low + ties - 1).alias("r_max"), (low + (ties - 1) / 2.0).alias("r_average"), F.dense_rank().over(w).alias("r_dense"), F.row_number().over(Window.partitionBy(*keys).orderBy(value, order)).alias("r_first"))
+
+
+def stride_sample(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
+    """At most ``most`` evenly spaced rows of each group in its order: rows floor(t * n / most) for t = 0, 1, ...; all, if fewer."""
+    w = Window.partitionBy(*keys)
+    x = rows.select("*", (F.row_number().over(w.orderBy(order)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
+    step = F.col("_n") / F.lit(float(most))
+    t = F.ceil(F.col("_i") / step)
+    return x.filter((F.col("_n") <= most) | ((t < most) & (F.floor(t * step) == F.col("_i")))).drop("_i", "_n")

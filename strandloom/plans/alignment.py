@@ -63,6 +63,31 @@ def _perfect(s, d):
     return L.perfect_kmers(L.base_runs(used).select("n"))
 
 
+def _clip_repair(s, d):
+    """Reads near the ends of their contigs, with the CIGAR that is left of each."""
+    contigs = B.part_contigs(s, d).withColumnRenamed("seq", "contig")
+    a = _alignments(s, d).join(contigs, "contig").withColumn("pos", (F.col("length") - 60 - F.pmod(F.col("mate_contig"), F.lit(80)) + 1).cast("int"))
+    q = F.regexp_extract("cigar", "^([0-9]+)M", 1).cast("int")
+    cut = L.clip_overhang(F.col("ops"), F.col("pos"), F.col("length"), 2 * q + 52)
+    a = a.withColumn("ops", F.explode(F.array(L.cigar_ops(F.col("cigar"))))).withColumn("ops", cut)
+    return a.select("ord", F.array_join(F.transform("ops", lambda x: F.concat(x["n"], x["op"])), "").alias("cigar"))
+
+
+def _weighted_moments(s, d):
+    used, contigs = _used(s, d)
+    return rounded(L.weighted_moments(used, contigs, 2.0), "mean", "var")
+
+
+def _read_classes(s, d):
+    """Line items as reads with a mate, by the reason that keeps them out of an extraction of mapped reads."""
+    p = B.part_contigs(s, d)
+    own, mate = p.select(F.col("seq").alias("l_partkey"), F.col("length").alias("n1")), p.select(F.col("seq").alias("l_suppkey"), F.col("length").alias("n2"))
+    flag = 1 + 2 * F.pmod("l_orderkey", F.lit(2)) + F.when(F.pmod("l_linenumber", F.lit(5)) == 0, 8).otherwise(0)
+    r = B.table(s, d, "lineitem").join(own, "l_partkey").join(mate, "l_suppkey").select("n1", "n2", flag.cast("int").alias("flag"), (F.col("l_quantity") * 60).cast("long").alias("p1"), (F.col("l_discount") * 30000).cast("long").alias("p2"))
+    kind = F.when(L.failed_mapping(F.col("n1") >= 1500, F.col("n2") >= 1500), "failed").when(L.at_edge(F.col("p1"), F.col("n1"), 200), "edge").when(L.at_edge(F.col("p2"), F.col("n2"), 200), "mate at edge").otherwise("kept")
+    return r.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("reads"))
+
+
 def _piles(s, d):
     base = F.substr(F.lit("ACGT"), (F.pmod(F.col("l_quantity").cast("int"), F.lit(4)) + 1).cast("int"), F.lit(1))
     l = B.table(s, d, "lineitem").select(F.col("l_suppkey").alias("contig"), F.concat("l_returnflag", "l_linestatus").alias("sample"), F.month("l_shipdate").alias("pos"), base.alias("base"))
@@ -146,6 +171,12 @@ QUERIES = {
     "sam_read_filter": _filters,
     "sam_coverage": _sam_coverage,
     "per_base_moments": _depth_moments,
+    "sam_clip_repair": _clip_repair,
+    "mapq_weighted_moments": _weighted_moments,
+    "read_classes": _read_classes,
+    "rank_methods": lambda s, d: O.rank_methods(B.table(s, d, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size", "p_partkey"),
+    "stride_sample": lambda s, d: O.stride_sample(B.table(s, d, "part").select("p_type", "p_partkey"), ["p_type"], "p_partkey", 3),
+    "linear_quantiles": lambda s, d: rounded(B.table(s, d, "lineitem").groupBy("l_suppkey").agg(*[F.percentile("l_extendedprice", k / 10).alias(f"q{k}") for k in (1, 5, 9)]), "q1", "q5", "q9"),
     "perfect_kmers": _perfect,
     "pair_links": lambda s, d: L.pair_links(_used(s, d)[0]),
     "paired_contig_coverage": lambda s, d: rounded(L.paired_coverage(B.table(s, d, "lineitem").select(F.col("l_partkey").alias("contig"), F.col("l_suppkey").alias("mate"), F.col("l_quantity").alias("overlap")), B.part_contigs(s, d).withColumnRenamed("seq", "contig")), "share"),
@@ -194,6 +225,22 @@ SELECT p_partkey AS contig, e.sample, CAST(1000 + p_size * 100 AS BIGINT) AS len
     "per_base_moments": f"""WITH {_AL}, b AS (SELECT contig, sample, length, unnest(range(CAST(s AS BIGINT), CAST(s + n AS BIGINT))) AS p FROM runs), d AS (SELECT contig, sample, length, p, count(*) AS d FROM b GROUP BY ALL),
 m AS (SELECT contig, sample, length, sum(d) AS s, sum(d * d) AS q FROM d GROUP BY ALL)
 SELECT contig, sample, round(s / length, 6) + 0.0 AS mean, round((q - s * (s / length)) / (length - 1), 6) + 0.0 AS var FROM m""",
+    "sam_clip_repair": """WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS ord, CAST(l_quantity AS INT) AS q, 1000 + p_size * 100 AS n, 1000 + p_size * 100 - 60 - l_suppkey % 80 AS p FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT ord, CASE WHEN p + q > n THEN (2 * q + 52) || 'S' WHEN p + 2 * q + 10 > n THEN q || 'M2I' || (q + 50) || 'S' WHEN p + 2 * q + 11 > n THEN q || 'M2I' || (q + 10) || 'M40S'
+  WHEN p + 2 * q + 51 > n THEN q || 'M2I' || (q + 10) || 'M1D40S' ELSE q || 'M2I' || (q + 10) || 'M1D40M' END AS cigar FROM a""",
+    "mapq_weighted_moments": f"""WITH {_AL.replace("SELECT contig, sample, length,", "SELECT mapq, contig, sample, length,")}, b AS (SELECT contig, sample, length, mapq, unnest(range(CAST(s AS BIGINT), CAST(s + n AS BIGINT))) AS p FROM runs),
+d AS (SELECT contig, sample, length, p, count(*) AS d, avg(mapq) AS mq FROM b GROUP BY ALL), w AS (SELECT *, CASE WHEN mq > 0 THEN (1 - 10.0 ** (-mq / 10)) ** 2 ELSE 0 END AS w FROM d),
+m AS (SELECT contig, sample, length, sum(w * d) / length AS mean, sum(w) + length - count(*) AS total, count(*) AS n FROM w GROUP BY contig, sample, length)
+SELECT m.contig, m.sample, round(any_value(m.mean), 6) + 0.0 AS mean, round((sum(w.w * (w.d - m.mean) ** 2) + any_value((m.length - m.n) * m.mean ** 2)) / any_value(CASE WHEN m.total > 2 THEN m.total - 1 ELSE m.length - 1 END), 6) + 0.0 AS var
+FROM m JOIN w ON m.contig = w.contig AND m.sample = w.sample GROUP BY m.contig, m.sample""",
+    "read_classes": """WITH r AS (SELECT l_orderkey % 2 = 1 AND l_linenumber % 5 <> 0 AND 1000 + a.p_size * 100 >= 1500 AND 1000 + b.p_size * 100 >= 1500 AS good, CAST(l_quantity * 60 AS BIGINT) AS p1, CAST(floor(l_discount * 30000) AS BIGINT) AS p2, 1000 + a.p_size * 100 AS n1, 1000 + b.p_size * 100 AS n2
+  FROM lineitem JOIN part a ON l_partkey = a.p_partkey JOIN part b ON l_suppkey = b.p_partkey)
+SELECT CASE WHEN NOT good THEN 'failed' WHEN p1 < 200 OR p1 + 200 >= n1 THEN 'edge' WHEN p2 < 200 OR p2 + 200 >= n2 THEN 'mate at edge' ELSE 'kept' END AS class, count(*) AS reads FROM r GROUP BY 1""",
+    "rank_methods": """SELECT p_brand, p_partkey, p_size, CAST(rank() OVER w AS INT) AS r_min, rank() OVER w + count(*) OVER (PARTITION BY p_brand, p_size) - 1 AS r_max, rank() OVER w + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0::DOUBLE AS r_average,
+  CAST(dense_rank() OVER w AS INT) AS r_dense, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS INT) AS r_first FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)""",
+    "stride_sample": """WITH x AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_type) AS n FROM part)
+SELECT p_type, p_partkey FROM x WHERE n <= 3 OR i IN (SELECT CAST(floor(t * (n / 3.0::DOUBLE)) AS BIGINT) FROM range(3) r(t))""",
+    "linear_quantiles": "SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.1), 6) + 0.0 AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) + 0.0 AS q5, round(quantile_cont(l_extendedprice, 0.9), 6) + 0.0 AS q9 FROM lineitem GROUP BY 1",
     "perfect_kmers": f"WITH {_AL}, k AS (SELECT n, unnest(range(1, CAST(least(n, 256) AS BIGINT) + 1)) AS k FROM runs WHERE n > 0) SELECT CAST(k AS INT) AS k, CAST(sum(n - k + 1) AS BIGINT) AS kmers FROM k GROUP BY k",
     "pair_links": f"WITH {_AL} SELECT least(contig, mate) AS i, greatest(contig, mate) AS j, count(*) AS cnt FROM used WHERE contig <> mate GROUP BY ALL",
     "paired_contig_coverage": "SELECT l_partkey AS contig, l_suppkey AS mate, round(sum(l_quantity) / (1000 + p_size * 100), 6) + 0.0 AS share FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey, l_suppkey, p_size",

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,23 +28,28 @@ def first_names(contigs: DataFrame) -> DataFrame:
     return contigs.groupBy("name").agg(F.min("ord").alias("ord"), *[F.min_by(c, "ord").alias(c) for c in rest]).select(*contigs.columns)
 
 
-def _fastq(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for file, content in zip(pdf["path"], pdf["content"]):
-            import gzip
+def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, ord, name, seq, qual) of plain or compressed files of any size; ord counts the reads of a file from 0.
 
-            data = bytes(content)
-            text = (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("ascii", "replace").replace("\r", "").split("\n")
-            while text and not text[-1]:
-                text.pop()
-            if len(text) % 4:
-                raise ValueError(f"{file}: not four lines a read")
-            yield pd.DataFrame({"file": file, "ord": range(len(text) // 4), "name": [h[1:].split(None, 1)[0] if len(h) > 1 else "" for h in text[0::4]], "seq": text[1::4], "qual": text[3::4]})
+    Lines are numbered within their split, and the splits' line counts, a row per split, are added up; four lines make a
+    read. A file whose lines aren't a multiple of four is an error, raised when the reads are used.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    text = text.filter("line <> ''")
+    numbered = text.withColumn("at", F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1)
+    counts = text.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("file").orderBy("block")
+    before = counts.select("file", "block", (F.sum("n").over(w) - F.col("n")).alias("before"))
+    each = numbered.join(before, ["file", "block"]).select("file", (F.col("at") + F.col("before")).alias("k"), "line")
+    part = lambda k: F.max(F.when(F.pmod(F.col("k"), F.lit(4)) == k, F.col("line")))
+    reads = each.groupBy("file", F.floor(F.col("k") / 4).alias("ord")).agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual"), F.count(F.lit(1)).alias("lines"))
+    whole = F.when(F.col("lines") == 4, F.col("seq")).otherwise(F.raise_error(F.concat("file", F.lit(": not four lines a read"))))
+    return reads.select("file", "ord", F.regexp_extract(F.substr("head", F.lit(2)), r"^\S*", 0).alias("name"), whole.alias("seq"), "qual")
 
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, name, seq, qual); plain or gzip by its first bytes. One task per file."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_fastq, "file string, ord long, name string, seq string, qual string")
+def sample_name(path: Column) -> Column:
+    """The file's name without folders and without its last extension."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"\.[^.]*$", "")
 
 
 def depth_table(spark: SparkSession, path: str, variances: bool = True, min_length: int = 0) -> DataFrame:
@@ -66,7 +68,7 @@ def depth_table(spark: SparkSession, path: str, variances: bool = True, min_leng
 def sam(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Contigs (contig, length) from the headers, and alignments, of plain or gzip SAM text. The file is the sample."""
     ls = lines(spark, path)
-    sample = F.regexp_replace(F.regexp_extract("file", "([^/]*)$", 1), r"\.[^.]*$", "")
+    sample = sample_name(F.col("file"))
     sq = ls.filter(F.col("line").startswith("@SQ"))
     contigs = sq.select(F.regexp_extract("line", r"\tSN:([^\t]+)", 1).alias("contig"), F.regexp_extract("line", r"\tLN:([0-9]+)", 1).try_cast("long").alias("length")).distinct()
     p = ls.filter(~F.col("line").startswith("@") & (F.col("line") != "")).select(sample.alias("sample"), "ord", "line", F.split("line", "\t").alias("p")).filter(F.size("p") >= 11)

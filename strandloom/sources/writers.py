@@ -79,6 +79,18 @@ def qc(rows: DataFrame, path: str) -> None:
     tsv(_renamed(rows, {"bin": "Bin", "contigs": "Contigs", "distinct_markers": "DistinctMarkers", "extra_copies": "ExtraCopies", "completeness": "Completeness", "contamination": "Contamination", "tier": "Tier"}), path)
 
 
+def paired_matrix(rows: DataFrame, path: str) -> None:
+    """(contig, mate, share): coverage of each contig by reads whose mate is on another one."""
+    tsv(_renamed(rows, {"contig": "contigIdx", "mate": "contigIdxMate", "share": "AvgCoverage"}), path)
+
+
+def consensus(rows: DataFrame, per_bin: DataFrame, path: str) -> None:
+    """Members (bin_num, seq) and quality (bin_num, completeness, contamination, contigs, source, tier) of a consensus."""
+    tsv(_renamed(rows, {"bin_num": "BinNum", "seq": "SequenceName"}), f"{path}/members")
+    f = lambda c: F.format_string("%.2f", c)
+    tsv(per_bin.select(F.col("bin_num").alias("BinNum"), f("completeness").alias("Completeness"), f("contamination").alias("Contamination"), F.col("contigs").alias("n_contigs"), "source", "tier"), f"{path}/qc")
+
+
 def variants(rows: DataFrame, path: str) -> None:
     tsv(rows, path)
 

@@ -119,3 +119,25 @@ def test_ranks_without_one_big_sort(spark, work):
     got = {r["ord"]: r["rank"] for r in L.ranked(df, [F.col("k"), F.col("ord")], work.save).collect()}
     want = {i: n + 1 for n, (_, i) in enumerate(sorted((i * 7919 % 1000, i) for i in range(500)))}
     assert got == want
+
+
+def test_reads_that_pass_the_end_are_clipped_there(spark):
+    rows = [("100M", 951, 1000, 100), ("40M10D60M", 951, 1000, 100), ("100M", 901, 1000, 100), ("5S", 1, 1000, 5), ("30M5I20M", 971, 1000, 55), ("100M", 951, 1000, 0)]
+    df = spark.createDataFrame(rows, "cigar string, pos int, n long, seq_len int").withColumn("ops", L.cigar_ops(F.col("cigar")))
+    out = df.select(F.array_join(F.transform(L.clip_overhang(F.col("ops"), F.col("pos"), F.col("n"), F.col("seq_len")), lambda x: F.concat(x["n"], x["op"])), "").alias("c"))
+    assert [r["c"] for r in out.collect()] == ["100S", "40M10D60S", "100M", "5S", "30M5I20S", "0S"]
+
+
+def test_the_cigar_is_parsed_once(spark, tmp_path):
+    contigs, al, used = read(spark, tmp_path)
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r["o"] for r in spark.createDataFrame([("3M",), ("3M?",), ("*",), (None,)], "c string").select(F.size(L.cigar_ops(F.col("c"))).alias("o")).collect()] == [1, 0, 0, 0]
+
+
+def test_weights_by_mapping_quality(spark):
+    used = spark.createDataFrame([("c", "s", 1, 10, [("M", 4)]), ("c", "s", 3, 0, [("M", 4)])], "contig string, sample string, pos int, mapq int, ops array<struct<op:string,n:int>>")
+    r = L.weighted_moments(used, spark.createDataFrame([("c", 10)], "contig string, length long")).first()
+    w = lambda q: 1 - 10 ** (-q / 10) if q else 0.0
+    base = [(1, w(10))] * 2 + [(2, w(5))] * 2 + [(1, 0.0)] * 2 + [(0, 1.0)] * 4
+    mean = sum(d * x for d, x in base) / 10
+    assert math.isclose(r["mean"], mean) and math.isclose(r["var"], sum(x * (d - mean) ** 2 for d, x in base) / (sum(x for _, x in base) - 1))

@@ -151,3 +151,10 @@ def test_ensemble_by_brute_force(spark):
                 want |= {(c, x) for x in own}
         m, h = spark.createDataFrame(members, "cand string, seq long"), spark.createDataFrame(hits, "seq long, marker string")
         assert {(x["cand"], x["seq"]) for x in E.ensemble_consensus(m, h, 10, 30.0, 0.5, 0.5, task_rows=(10**6, 0, 10)[seed]).collect()} == want
+
+
+def test_high_quality_and_the_size_of_the_marker_set(spark):
+    per = spark.createDataFrame([("a", 90.0, 0.0), ("b", 90.1, 4.9), ("c", 99.0, 5.0)], "bin string, completeness double, contamination double")
+    assert [r["bin"] for r in E.high_quality(per).collect()] == ["b"]
+    hits = spark.createDataFrame([(1, "m1"), (2, "m1"), (2, "m2")], "seq long, marker string")
+    assert (E.marker_set_size(hits, 7, 5), E.marker_set_size(hits, None, 5), E.marker_set_size(hits)) == (7, 5, 2)

@@ -72,3 +72,39 @@ def test_stages_are_loaded_by_version(spark, tmp_path):
     assert R.load_stage(spark, str(tmp_path / "st"), ["edges"])["edges"].count() == 3
     with pytest.raises(ValueError):
         R.load_stage(spark, str(tmp_path / "st"), ["edges"], 2)
+
+
+def test_fastq_over_many_splits(spark, tmp_path):
+    reads = [(f"r{i}", "ACGT"[: 1 + i % 4] * 5, "@" * (5 * (1 + i % 4))) for i in range(3000)]  # a quality may look like a name
+    (tmp_path / "r.fq").write_text("".join(f"@{n} x\r\n{s}\n+\n{q}\n" for n, s, q in reads))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "b.fq").write_text("@r\nA\n+\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = R.fastq(spark, str(tmp_path / "r.fq"))
+        assert spark.read.text(str(tmp_path / "r.fq")).rdd.getNumPartitions() > 10
+        assert [(r["name"], r["seq"], r["qual"]) for r in df.orderBy("ord").collect()] == reads
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    try:
+        R.fastq(spark, str(tmp_path / "bad")).collect()
+        raise RuntimeError("no error")
+    except Exception as e:  # noqa: BLE001
+        assert "not four lines a read" in str(e)
+
+
+def test_names_of_samples(spark):
+    df = spark.createDataFrame([("a/b/c.sorted.bam",), ("x",), ("/d/y.sam",)], "p string")
+    assert [r["s"] for r in df.select(R.sample_name(df.p).alias("s")).collect()] == ["c.sorted", "x", "y"]
+
+
+def test_consensus_and_paired_tables(spark, tmp_path):
+    from strandloom.sources import writers
+
+    m = spark.createDataFrame([(1, "c1")], "bin_num int, seq string")
+    q = spark.createDataFrame([(1, 95.0, 1.25, 1, 0, "HQ")], "bin_num int, completeness double, contamination double, contigs long, source int, tier string")
+    writers.consensus(m, q, str(tmp_path / "r"))
+    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "r/qc")).first().asDict() == {"BinNum": "1", "Completeness": "95.00", "Contamination": "1.25", "n_contigs": "1", "source": "0", "tier": "HQ"}
+    writers.paired_matrix(spark.createDataFrame([(0, 1, 0.5)], "contig int, mate int, share double"), str(tmp_path / "p"))
+    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "p")).columns == ["contigIdx", "contigIdxMate", "AvgCoverage"]
