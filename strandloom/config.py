@@ -23,6 +23,10 @@ class BinConfig:
     sketch_k: int = 4
     sketch_m: int = 500
     seed: int = 42
+    #: Contigs from which the graph's pairs come from bands of registers instead of tiles, a band's registers, its longest posting.
+    index_from: int = 200_000
+    band_registers: int = 20
+    posting_cap: int = 6000
     snn_power: float = 0.5
     # clustering
     lpa_score: str = "tail"

@@ -134,3 +134,13 @@ def band_keys(sketches: DataFrame, rows: int = 20, registers: int = 500) -> Data
     """(id, key): a key per band of ``rows`` registers."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(registers // rows - 1)), lambda b: F.xxhash64(b, F.slice("sketch", b * rows + 1, F.lit(rows))))
     return sketches.filter(F.get("sketch", F.lit(0)) >= 0).select("id", F.explode(bands).alias("key"))
+
+
+def banded_pairs(sketches: DataFrame, similarity: Callable, rows: int = 20, registers: int = 500, posting_cap: int | None = 6000) -> DataFrame:
+    """(i, j, sim) with i < j: pairs that share a band of ``rows`` registers, each with its exact similarity.
+
+    A pair at similarity s is found with probability 1 - (1 - s ** rows) ** (registers / rows): 0.96 at 0.9 with the defaults.
+    """
+    met = shared_keys(band_keys(sketches, rows, registers), 1, posting_cap).select("i", "j")
+    a, b = sketches.select(F.col("id").alias("i"), F.col("sketch").alias("_a")), sketches.select(F.col("id").alias("j"), F.col("sketch").alias("_b"))
+    return met.join(a, "i").join(b, "j").select("i", "j", similarity(F.col("_a"), F.col("_b")).alias("sim"))

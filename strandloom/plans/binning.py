@@ -42,7 +42,11 @@ def similarity_graph(feat: DataFrame, samples: int, work: Workspace, cfg: BinCon
     """(i, j, score): mutual nearest neighbours by composition sketches, weighed with depth."""
     large = feat.filter(F.col("length") >= cfg.min_contig)
     sk = work.save(S.weighted_sketch(large.select("id", "w"), cfg.sketch_m, cfg.seed), "sketches")
-    raw = work.save(P.all_pairs(sk, P.match_kernel, ["sketch"], None, cfg.max_edges), "raw_pairs")
+    if sk.count() < cfg.index_from:
+        raw = P.all_pairs(sk, P.match_kernel, ["sketch"], None, cfg.max_edges)
+    else:
+        raw = P.banded_pairs(sk, S.match_share, cfg.band_registers, cfg.sketch_m, cfg.posting_cap)
+    raw = work.save(raw, "raw_pairs")
     chance = work.save(P.random_pairs(sk, "sketch", S.match_share), "chance_pairs")
     base = G.upper_median(chance, "sim").first()
     b0 = min(base["sim"], 0.95) if base else 0.0

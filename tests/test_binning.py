@@ -37,6 +37,10 @@ def test_planted_genomes_come_back(spark):
     for b in set(got.values()):
         genomes = [truth[s] for s, x in got.items() if x == b]
         assert len(set(genomes)) == 1
+    # the graph from bands of registers gives the same kind of bins
+    banded = bin_contigs(spark, contigs, depths, BinConfig(max_edges=8, sketch_m=200, min_bin_size=10_000, min_recruit_cluster=5, min_edge_score=0.6, sim_cutoff=0.05, index_from=0, band_registers=4))
+    sure = {r["seq"]: r["bin"] for r in banded.bins.collect()}
+    assert len(sure) >= 34 and all(len({truth[s] for s, x in sure.items() if x == b}) == 1 for b in set(sure.values()))
     assert [r["bin_num"] for r in out.table.orderBy("bin_num").collect()] == list(range(1, out.table.count() + 1))
     from strandloom.workspace import Workspace
 
@@ -69,3 +73,21 @@ def test_late_rows_are_left_out(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["n"] for r in spark.table("win").collect()] == [1]
+
+
+def test_recall_of_banded_pairs(spark):
+    from strandloom.functions import sequences as S
+    from strandloom.operators import pairs as P
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(12):
+        base = rng.integers(0, 10**6, 500)
+        for c in range(15):
+            own = np.where(rng.random(500) < 0.04, rng.integers(0, 10**6, 500), base)
+            rows.append((g * 100 + c, own.tolist()))
+    sk = spark.createDataFrame(rows, "id long, sketch array<long>")
+    want = {(r["i"], r["j"]): r["sim"] for r in P.all_pairs(sk, P.match_kernel, ["sketch"], 0.9).collect()}
+    got = {(r["i"], r["j"]): r["sim"] for r in P.banded_pairs(sk, S.match_share).collect()}
+    assert len(want) > 1000 and len(want.keys() & got.keys()) >= 0.95 * len(want)
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want.keys() & got.keys())
