@@ -20,6 +20,27 @@ def chi2_even_sf(m: Column, x: Column) -> Column:
     )
 
 
+def _erfc(x: Column) -> Column:
+    """Complementary error function, to a relative error of about 1e-7: a rational exponent, by Horner's rule."""
+    # fixed values: coefficients of a published Chebyshev fit
+    fit = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+    z = F.abs(x)
+    t = 1 / (1 + z / 2)
+    poly = F.lit(0.0)
+    for c in reversed(fit):
+        poly = poly * t + c
+    y = t * F.exp(poly - z * z)
+    return F.when(x >= 0, y).otherwise(2 - y)
+
+
+def chi2_even_sf_any(m: Column, x: Column, exact: int = 256) -> Column:
+    """The upper tail for any m: the Poisson sum up to ``exact``, above it the cube-root normal approximation."""
+    k = 2.0 * m
+    spread = 2.0 / (9.0 * k)
+    z = (F.cbrt(x / k) - (1 - spread)) / F.sqrt(spread)
+    return F.when(m <= exact, chi2_even_sf(F.least(m, F.lit(exact)), x)).otherwise(0.5 * _erfc(z / math.sqrt(2)))
+
+
 def chi2_even_cdf(m: Column, x: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - chi2_even_sf(m, x))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.stats import chi2_even_cdf, label_score
+from strandloom.functions.stats import chi2_even_cdf, chi2_even_sf_any, label_score
 
 Save = Callable[[DataFrame, str], DataFrame]
 EPS = 1e-12
@@ -44,20 +44,21 @@ def propagate_once(a: DataFrame, labels: DataFrame, kind: str = "logsum") -> Dat
 
 
 def propagate(edges: DataFrame, save: Save, kind: str = "tail", max_rounds: int = 60, start: DataFrame | None = None) -> DataFrame:
-    """(node, label) when neither half of the nodes changes any more.
+    """(node, label) when no node changes any more.
 
-    The nodes move in two halves, by a hash, in turn, so that two neighbours rarely swap labels for ever; a node that
-    still comes back to a label it had is frozen there."""
+    In odd rounds nodes move to smaller labels only, in even rounds to larger ones only, so two neighbours never swap
+    labels; a node that still comes back to a label it had is frozen there."""
     a = save(arcs(edges), "arcs")
     state = save((start if start is not None else singletons(a)).select("node", "label", F.array("label").alias("past"), F.lit(False).alias("frozen")), "labels0")
     for k in range(1, max_rounds + 1):
         moved = propagate_once(a, state.select("node", "label"), kind)
         j = state.join(moved.select("node", F.col("label").alias("to")), "node", "left")
-        change = F.col("to").isNotNull() & (F.pmod(F.xxhash64("node") + k, F.lit(2)) == 0) & (F.col("to") != F.col("label")) & ~F.col("frozen")
+        turn = F.col("to") < F.col("label") if k % 2 else F.col("to") > F.col("label")
+        change = F.coalesce(turn, F.lit(False)) & ~F.col("frozen")
         again = change & F.array_contains("past", F.col("to"))
         last = F.col("changed") if "changed" in state.columns else F.lit(False)
         state = j.select("node", F.when(change, F.col("to")).otherwise(F.col("label")).alias("label"), F.when(change & ~again, F.concat("past", F.array("to"))).otherwise(F.col("past")).alias("past"), (F.col("frozen") | again).alias("frozen"), change.alias("changed"), last.alias("before"))
-        if k % 2 == 0 or k == max_rounds:  # both halves had their turn; two rounds are written at a time
+        if k % 2 == 0 or k == max_rounds:  # both directions had their turn; two rounds are written at a time
             state = save(state, f"labels{(k + 1) // 2 % 2 + 1}")
             if state.filter("changed or before").isEmpty():
                 break
@@ -103,7 +104,9 @@ def modularity_moves(edges: DataFrame, save: Save, gamma: float = 1.0, rounds: i
             into = both.join(comm.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("w"))
             cand = into.join(tot, "c").join(comm.select("node", F.col("c").alias("own"), "k"), "node")
             gain = F.col("w") - gamma * F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / m2
-            best = cand.select("node", "own", "k", "c", gain.alias("g")).groupBy("node", "own").agg(F.min_by("c", F.struct(-F.col("g"), "c")).alias("to"), F.max("g").alias("g"), F.coalesce(F.max(F.when(F.col("c") == F.col("own"), F.col("g"))), -gamma * F.max(F.col("k")) * 0.0).alias("stay"))
+            # without an edge into its own community, a node only loses there
+            alone = -gamma * F.col("k") * (F.col("own_t") - F.col("k")) / m2
+            best = cand.join(tot.select(F.col("c").alias("own"), F.col("t").alias("own_t")), "own").select("node", "own", "k", "c", gain.alias("g"), alone.alias("alone")).groupBy("node", "own").agg(F.min_by("c", F.struct(-F.col("g"), "c")).alias("to"), F.max("g").alias("g"), F.coalesce(F.max(F.when(F.col("c") == F.col("own"), F.col("g"))), F.max("alone")).alias("stay"))
             turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
             moved = best.filter(turn & (F.col("g") > F.col("stay") + 1e-9) & (F.col("to") != F.col("own")))
             comm = save(comm.join(moved.select("node", "to"), "node", "left").select("node", F.coalesce("to", "c").alias("c"), "k", F.col("to").isNotNull().alias("moved")), f"comm{lv}-{r}")
@@ -122,6 +125,47 @@ def modularity_moves(edges: DataFrame, save: Save, gamma: float = 1.0, rounds: i
     return of
 
 
+def fused(edges: DataFrame, save: Save, gamma: float = 8.0, kind: str = "tail", max_rounds: int = 60) -> DataFrame:
+    """(node, label): propagation that starts from the communities of modularity moves instead of single nodes."""
+    start = modularity_moves(edges, lambda df, n: save(df, f"moves-{n}"), gamma)
+    return propagate(edges, lambda df, n: save(df, f"refine-{n}"), kind, max_rounds, start)
+
+
+def super_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, m, sl), both ways: number and summed ln(1 - score) of the edges between two labels."""
+    lab = labels.select(F.col("node").alias("i"), F.col("label").alias("a")), labels.select(F.col("node").alias("j"), F.col("label").alias("b"))
+    w = F.log(1 - F.least("score", F.lit(TOP)))
+    e = edges.filter("score > 0").join(lab[0], "i").join(lab[1], "j").filter("a <> b")
+    one = e.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.sum(w).alias("sl"))
+    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "m", "sl"))
+
+
+def super_merge(edges: DataFrame, labels: DataFrame, save: Save, doubt: float = 1e-9, least: int = 3, max_rounds: int = 60) -> DataFrame:
+    """(node, label): labels whose edges to another label are together too strong for chance join it.
+
+    A label moves to the neighbour of the smallest upper tail if that is at most ``doubt`` and comes from ``least`` edges or
+    more; of equals to the smallest. Moves take turns downwards and upwards as in ``propagate``, over the graph of labels,
+    which is summed up once.
+    """
+    s = save(super_edges(edges, labels), "super")
+    state = save(s.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("label"), F.array("node").alias("past"), F.lit(False).alias("frozen")), "super0")
+    quiet = 0
+    for k in range(1, max_rounds + 1):
+        of = state.select(F.col("node").alias("b"), F.col("label").alias("to"))
+        ev = s.join(of, "b").groupBy("a", "to").agg(F.sum("m").alias("m"), F.sum("sl").alias("sl")).join(state.select(F.col("node").alias("a"), F.col("label").alias("own")), "a").filter("to <> own")
+        ev = ev.select("a", "to", "m", chi2_even_sf_any(F.col("m"), -2 * F.col("sl")).alias("tail")).filter((F.col("tail") <= doubt) & (F.col("m") >= least))
+        best = ev.groupBy(F.col("a").alias("node")).agg(F.min_by("to", F.struct("tail", "to")).alias("to"))
+        turn = F.col("to") < F.col("label") if k % 2 else F.col("to") > F.col("label")
+        change = F.coalesce(turn, F.lit(False)) & ~F.col("frozen")
+        again = change & F.array_contains("past", F.col("to"))
+        state = save(state.join(best, "node", "left").select("node", F.when(change, F.col("to")).otherwise(F.col("label")).alias("label"), F.when(change & ~again, F.concat("past", F.array("to"))).otherwise(F.col("past")).alias("past"), (F.col("frozen") | again).alias("frozen"), change.alias("changed")), f"super{k % 2 + 1}")
+        quiet = quiet + 1 if state.filter("changed").isEmpty() else 0
+        if quiet == 2:
+            break
+        state = state.drop("changed")
+    return labels.join(state.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
 def jittered(edges: DataFrame, seed: int, spread: float = 0.05) -> DataFrame:
     """Scores changed by up to ``spread`` of themselves, from a hash of the edge and the seed."""
     u = (F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0 - 0.5) * 2

@@ -53,14 +53,46 @@ def with_ends(edges: DataFrame, nodes: DataFrame, key: str, columns: list[str])
     return edges
 
 
-def edge_scores(edges: DataFrame, prof: DataFrame, samples: int, alpha: float | None = None, mode: str = "corr", min_score: float = 0.7, min_coverage: float = 1.0, neg_corr: float = -0.3, power: float = 1.0) -> DataFrame:
-    """(i, j, score): composition and depth mixed; weak, opposed and uncovered edges go. alpha: 1 up to two samples, else 0."""
-    a = alpha if alpha is not None else 1.0 if samples <= 2 else 0.0
+def edge_terms(edges: DataFrame, prof: DataFrame, mode: str = "corr", min_coverage: float = 1.0, neg_corr: float = -0.3) -> DataFrame:
+    """(i, j, sim, term): composition and depth of each edge, not yet mixed; opposed and uncovered edges go."""
     both = with_ends(edges, prof, "seq", ["depth", "scaled", "unit"]).filter(any_covered(F.col("depth_i"), F.col("depth_j"), min_coverage))
     term = A.depth_term(A.dot(F.col("unit_i"), F.col("unit_j")), A.weighted_jaccard(F.col("scaled_i"), F.col("scaled_j")), mode, neg_corr)
-    score = a * F.col("sim") + (1 - a) * term
-    score = F.pow(score, F.lit(power)) if power != 1.0 else score
-    return both.select("i", "j", score.alias("score")).filter(F.col("score") >= min_score)
+    return both.select("i", "j", "sim", term.alias("term")).filter("term is not null")
+
+
+def mixed(terms: DataFrame, alpha: float, min_score: float = 0.7, power: float = 1.0) -> DataFrame:
+    """(i, j, score) of edge terms: alpha of the composition, the rest depth; those below ``min_score`` go, then the power is taken."""
+    score = alpha * F.col("sim") + (1 - alpha) * F.col("term")
+    kept = terms.select("i", "j", score.alias("score")).filter(F.col("score") >= min_score)
+    return kept.withColumn("score", F.pow("score", F.lit(power))) if power != 1.0 else kept
+
+
+def edge_scores(edges: DataFrame, prof: DataFrame, samples: int, alpha: float | None = None, mode: str = "corr", min_score: float = 0.7, min_coverage: float = 1.0, neg_corr: float = -0.3, power: float = 1.0) -> DataFrame:
+    """(i, j, score): composition and depth mixed; weak, opposed and uncovered edges go. alpha: 1 up to two samples, else 0."""
+    return mixed(edge_terms(edges, prof, mode, min_coverage, neg_corr), composition_weight(samples) if alpha is None else alpha, min_score, power)
+
+
+def composition_weight(samples: int) -> float:
+    """The weight of composition where none is given: with few samples, depth says too little."""
+    return 1.0 if samples <= 2 else 0.0
+
+
+def without_sample(prof: DataFrame, k: int) -> DataFrame:
+    """Profiles (seq, depth, scaled, unit) as they would be without sample ``k`` (from 0)."""
+    def rest(column: str):
+        return F.filter(column, lambda x, at: at != k)
+
+    return prof.select("seq", rest("depth").alias("depth"), rest("scaled").alias("scaled")).withColumn("unit", A.centred_unit(A.average_ranks(F.col("depth"))))
+
+
+def trajectory_gate(edges: DataFrame, trajectories: DataFrame, least: float = 0.10) -> DataFrame:
+    """Edges whose ends don't disagree in their variants: two trajectories (contig, v[]) with an absolute cosine under
+    ``least`` cut the edge. Contigs without one cut nothing."""
+    out = edges
+    for end in ("i", "j"):
+        out = out.join(trajectories.select(F.col("contig").alias(end), F.col("v").alias(f"_v{end}")), end, "left")
+    agree = F.col("_vi").isNull() | F.col("_vj").isNull() | (F.abs(A.dot(F.col("_vi"), F.col("_vj"))) >= least)
+    return out.filter(agree).select(*edges.columns)
 
 
 def otsu(values: DataFrame, column: str, bins: int = 256) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandloom.functions import arrays as A
 
 
 def site_direction(rows: pd.DataFrame, samples: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -71,3 +74,33 @@ def estimate_strains(sites: DataFrame, samples: int, min_sites: int = 12, max_st
     """
     kind = dict(sites.dtypes)["bin"]
     return sites.groupBy("bin").applyInPandas(_estimate(samples, min_sites, max_strains), f"bin {kind}, sites long, strains int, minor array<double>")
+
+
+def site_frequencies(sites: DataFrame, samples: int, least: int = 2) -> DataFrame:
+    """(contig, pos, f[]): each site's frequencies over the samples, of the alternative allele where it is deepest.
+
+    sites(contig, pos, sample int from 0, major, alt, alt_count, total). Sites seen in fewer than ``least`` samples go;
+    samples without the site get the mean. Of equal depths the first sample names the allele.
+    """
+    row = F.struct("sample", "major", "alt", "alt_count", "total")
+    s = sites.groupBy("contig", "pos").agg(F.array_sort(F.collect_list(row)).alias("r"), F.max_by("alt", F.struct("total", -F.col("sample"))).alias("canon")).filter(F.size("r") >= least)
+    share = s.select("contig", "pos", F.transform("r", lambda x: F.struct(x["sample"].alias("k"), F.when(x["alt"] == F.col("canon"), F.when(x["total"] > 0, x["alt_count"] / x["total"]).otherwise(0.0)).when(x["major"] == F.col("canon"), 1 - F.when(x["total"] > 0, x["alt_count"] / x["total"]).otherwise(0.0)).otherwise(0.0).alias("x"))).alias("r"))
+    mean = share.withColumn("mean", A.total(F.transform("r", lambda x: x["x"])) / F.size("r"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.coalesce(F.get(F.transform(F.filter("r", lambda x: x["k"] == k), lambda x: x["x"]), F.lit(0)), F.col("mean")))
+    return mean.select("contig", "pos", own.alias("f"))
+
+
+def contig_trajectories(sites: DataFrame, samples: int, least: int = 2) -> DataFrame:
+    """(contig, v[], sites): a unit vector of how variant frequencies move over the samples.
+
+    Each site gives the direction of its centred frequencies; those that point away from the contig's first site are
+    turned round; the sum is scaled to one. A join with one row a contig and sums per sample: no contig is one group of
+    rows. Contigs whose sites say nothing are left out.
+    """
+    d = site_frequencies(sites, samples, least).select("contig", "pos", "f", (A.total(F.col("f")) / samples).alias("m"))
+    d = d.select("contig", "pos", F.transform("f", lambda x: x - F.col("m")).alias("c")).filter(A.dot(F.col("c"), F.col("c")) >= 1e-9)
+    d = d.select("contig", "pos", A.unit(F.col("c")).alias("d"))
+    first = d.groupBy("contig").agg(F.min_by("d", "pos").alias("ref"))
+    turned = d.join(first, "contig").select("contig", F.when(A.dot(F.col("d"), F.col("ref")) < 0, F.transform("d", lambda x: -x)).otherwise(F.col("d")).alias("d"))
+    sums = turned.groupBy("contig").agg(F.array(*[F.sum(F.col("d")[k]) for k in range(samples)]).alias("s"), F.count(F.lit(1)).alias("sites"))
+    return sums.filter(A.dot(F.col("s"), F.col("s")) >= 1e-12).select("contig", A.unit(F.col("s")).alias("v"), "sites")
