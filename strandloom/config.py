@@ -31,6 +31,17 @@ class BinConfig:
     # clustering
     lpa_score: str = "tail"
     lpa_max_rounds: int = 60
+    #: "lpa", "louvain" (modularity moves), "fuse" (propagation from them) or "mlpa" (propagation, then labels unite).
+    clustering: str = "lpa"
+    gamma: float = 8.0
+    merge_doubt: float = 1e-9
+    merge_edges: int = 3
+    #: How mixing weight and power are chosen: "" (fixed), "modularity", "markers" or "markers+split" (with the silhouette).
+    select: str = ""
+    #: Settings to sweep, "weight:power;..."; empty for the usual ones.
+    grid: str = ""
+    #: Least absolute cosine of two variant trajectories; edges below it are cut.
+    variant_cosine: float = 0.10
     # bins
     min_bin_size: int = 200_000
     min_recruit_cluster: int = 10
@@ -53,6 +64,8 @@ class BinConfig:
     strain_min_sites: int = 12
     strain_max_k: int = 4
     # certification
+    certify: bool = False
+    cert_dropped: int = 6
     cert_core: float = 0.80
     cert_ambiguous: float = 0.50
     cert_fraction: float = 0.80

@@ -93,14 +93,14 @@ def site_frequencies(sites: DataFrame, samples: int, least: int = 2) -> DataFram
 def contig_trajectories(sites: DataFrame, samples: int, least: int = 2) -> DataFrame:
     """(contig, v[], sites): a unit vector of how variant frequencies move over the samples.
 
-    Each site gives the direction of its centred frequencies; those that point away from the contig's first site are
-    turned round; the sum is scaled to one. A join with one row a contig and sums per sample: no contig is one group of
+    Each site gives the direction of its centred frequencies; those that point away from the contig's first site (a
+    cosine under -1e-9) are turned round; the sum is scaled to one. A join with one row a contig and sums per sample: no contig is one group of
     rows. Contigs whose sites say nothing are left out.
     """
     d = site_frequencies(sites, samples, least).select("contig", "pos", "f", (A.total(F.col("f")) / samples).alias("m"))
     d = d.select("contig", "pos", F.transform("f", lambda x: x - F.col("m")).alias("c")).filter(A.dot(F.col("c"), F.col("c")) >= 1e-9)
     d = d.select("contig", "pos", A.unit(F.col("c")).alias("d"))
     first = d.groupBy("contig").agg(F.min_by("d", "pos").alias("ref"))
-    turned = d.join(first, "contig").select("contig", F.when(A.dot(F.col("d"), F.col("ref")) < 0, F.transform("d", lambda x: -x)).otherwise(F.col("d")).alias("d"))
+    turned = d.join(first, "contig").select("contig", F.when(A.dot(F.col("d"), F.col("ref")) < -1e-9, F.transform("d", lambda x: -x)).otherwise(F.col("d")).alias("d"))
     sums = turned.groupBy("contig").agg(F.array(*[F.sum(F.col("d")[k]) for k in range(samples)]).alias("s"), F.count(F.lit(1)).alias("sites"))
     return sums.filter(A.dot(F.col("s"), F.col("s")) >= 1e-12).select("contig", A.unit(F.col("s")).alias("v"), "sites")

@@ -94,9 +94,18 @@ def _piles(s, d):
     return L.variant_sites(L.pileup(l), 5, 0.05)
 
 
-def _strains(s, d):
+def _sites(s, d):
     order = F.array(*[F.lit(x) for x in ("AF", "AO", "NF", "NO", "RF", "RO")])
-    sites = L.deepest_sites(_piles(s, d), 96).withColumn("sample", (F.array_position(order, F.col("sample")) - 1).cast("int"))
+    return L.deepest_sites(_piles(s, d), 96).withColumn("sample", (F.array_position(order, F.col("sample")) - 1).cast("int"))
+
+
+def _trajectories(s, d):
+    t = T.contig_trajectories(_sites(s, d), 6)
+    return rounded(t.select("contig", "sites", F.posexplode("v").alias("sample", "v")), "v")
+
+
+def _strains(s, d):
+    sites = _sites(s, d)
     bins = B.table(s, d, "supplier").select(F.col("s_suppkey").alias("contig"), F.col("s_nationkey").alias("bin"))
     return T.estimate_strains(sites.join(bins, "contig"), 6)
 
@@ -184,6 +193,7 @@ QUERIES = {
     "snv_pileup_stats": lambda s, d: rounded(L.variant_stats(_piles(s, d)), "pi_sum"),
     "snv_top_sites": lambda s, d: rounded(L.deepest_sites(_piles(s, d), 5), "pi").drop("is_snv"),
     "strain_estimate": _strains,
+    "snv_trajectories": _trajectories,
     "contig_overlap": lambda s, d: rounded(_overlap(s, d), "pct"),
     "bin_overlap_rollup": _bin_overlap,
     "merge_abundances": _merge,
@@ -248,6 +258,20 @@ SELECT p_type, p_partkey FROM x WHERE n <= 3 OR i IN (SELECT CAST(floor(t * (n /
 w AS (SELECT sum(g) OVER w AS g, avg(d) OVER w AS d, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY contig ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING))
 SELECT CAST(floor(100.0 * g / 20 + 0.5) AS INT) AS gc, count(*) AS windows, round(avg(d), 4) + 0.0 AS mean, round(coalesce(var_samp(d), 0), 4) + 0.0 AS var FROM w WHERE n = 20 GROUP BY 1""",
     "snv_pileup_stats": f"WITH {_PILE} SELECT contig, sample, count(*) AS covered, count(*) FILTER (is_snv) AS nsnv, round(sum(pi), 6) + 0.0 AS pi_sum FROM site GROUP BY ALL",
+    "snv_trajectories": f"""WITH {_PILE},
+st AS (SELECT contig, pos, list_position(['AF', 'AO', 'NF', 'NO', 'RF', 'RO'], sample) - 1 AS k, major, alt, alt_count, total FROM site WHERE is_snv QUALIFY row_number() OVER (PARTITION BY contig, sample ORDER BY total DESC, pos) <= 96),
+cn AS (SELECT contig, pos, arg_max(alt, struct_pack(t := total, k := -k)) AS canon FROM st GROUP BY ALL HAVING count(*) >= 2),
+x AS (SELECT st.contig, st.pos, k, CASE WHEN alt = canon THEN alt_count / total WHEN major = canon THEN 1 - alt_count / total ELSE 0.0::DOUBLE END AS x FROM st JOIN cn ON st.contig = cn.contig AND st.pos = cn.pos),
+m AS (SELECT contig, pos, avg(x) AS m FROM x GROUP BY ALL),
+f AS (SELECT m.contig, m.pos, g.k, coalesce(x.x, m.m) AS f FROM m CROSS JOIN (SELECT unnest(range(6)) AS k) g LEFT JOIN x ON x.contig = m.contig AND x.pos = m.pos AND x.k = g.k),
+c AS (SELECT contig, pos, k, f - avg(f) OVER (PARTITION BY contig, pos) AS c FROM f),
+n AS (SELECT *, sum(c * c) OVER (PARTITION BY contig, pos) AS n FROM c),
+dir AS (SELECT contig, pos, k, c / sqrt(n) AS d FROM n WHERE n >= 1e-9),
+ref AS (SELECT contig, k, arg_min(d, pos) AS d FROM dir GROUP BY ALL),
+sg AS (SELECT a.contig, a.pos, CASE WHEN sum(a.d * r.d) < -1e-9 THEN -1 ELSE 1 END AS g FROM dir a JOIN ref r ON a.contig = r.contig AND a.k = r.k GROUP BY ALL),
+s AS (SELECT a.contig, a.k, sum(a.d * g) AS s, count(*) AS sites FROM dir a JOIN sg ON a.contig = sg.contig AND a.pos = sg.pos GROUP BY ALL),
+t AS (SELECT *, sum(s * s) OVER (PARTITION BY contig) AS q FROM s)
+SELECT contig, sites, CAST(k AS INT) AS sample, round(s / sqrt(q), 6) + 0.0 AS v FROM t WHERE q >= 1e-12""",
     "snv_top_sites": f"WITH {_PILE} SELECT contig, sample, CAST(pos AS INT) AS pos, total, major, alt, alt_count, round(pi, 6) + 0.0 AS pi FROM site WHERE is_snv QUALIFY row_number() OVER (PARTITION BY contig, sample ORDER BY total DESC, pos) <= 5",
     "contig_overlap": f"WITH {_MAPS} SELECT ov.contig_a, ov.contig_b, ov.overlap, CAST(tot.total AS BIGINT) AS total, round(100.0 * overlap / total, 6) + 0.0 AS pct FROM ov JOIN tot ON ov.contig_a = tot.contig_a",
     "bin_overlap_rollup": f"""WITH {_MAPS}, n AS (SELECT p_brand AS bin_a, coalesce(CAST(s_nationkey AS VARCHAR), '*') AS bin_b, CAST(sum(overlap) AS BIGINT) AS overlap FROM ov JOIN part ON contig_a = p_partkey LEFT JOIN supplier ON contig_b = CAST(s_suppkey AS VARCHAR) GROUP BY ALL),

@@ -16,6 +16,7 @@ from strandloom.operators import evaluate as E
 from strandloom.operators import graph as G
 from strandloom.operators import pairs as P
 from strandloom.operators import refine as R
+from strandloom.operators import tuning as U
 from strandloom.workspace import Workspace
 
 
@@ -25,6 +26,9 @@ class Binning:
     labels: DataFrame
     bins: DataFrame
     table: DataFrame
+    #: (seq, bin, length, prob, state, alternative, alt_prob) and (bin, core_fraction, mean_prob, certified) of the labels, if asked for.
+    stable: DataFrame | None = None
+    stable_bins: DataFrame | None = None
 
 
 def features(contigs: DataFrame, depths: DataFrame, work: Workspace, cfg: BinConfig) -> DataFrame:
@@ -38,8 +42,8 @@ def features(contigs: DataFrame, depths: DataFrame, work: Workspace, cfg: BinCon
     return work.save(out.withColumn("y", R.log_depth(F.col("depth"))), "features")
 
 
-def similarity_graph(feat: DataFrame, samples: int, work: Workspace, cfg: BinConfig, gfa: DataFrame | None = None) -> DataFrame:
-    """(i, j, score): mutual nearest neighbours by composition sketches, weighed with depth."""
+def similarity_pairs(feat: DataFrame, work: Workspace, cfg: BinConfig) -> DataFrame:
+    """(i, j, sim): mutual nearest neighbours by composition sketches."""
     large = feat.filter(F.col("length") >= cfg.min_contig)
     sk = work.save(S.weighted_sketch(large.select("id", "w"), cfg.sketch_m, cfg.seed), "sketches")
     if sk.count() < cfg.index_from:
@@ -59,24 +63,80 @@ def similarity_graph(feat: DataFrame, samples: int, work: Workspace, cfg: BinCon
         row = G.similarity_cutoff(best, cfg.max_posterior, 0.05).first()
         cut = row["cutoff"] if row and row["cutoff"] is not None else 0.05
     near = near.filter(F.col("sim") >= cut)
-    edges = G.edge_scores(P.mutual(near), large.withColumnRenamed("id", "seq"), samples, None, "corr", cfg.min_edge_score, cfg.min_coverage, cfg.neg_corr)
+    return work.save(P.mutual(near).select("i", "j", "sim"), "mutual")
+
+
+def weighed(pairs: DataFrame, feat: DataFrame, samples: int, work: Workspace, cfg: BinConfig, gfa: DataFrame | None = None, alpha: float | None = None, power: float = 1.0) -> DataFrame:
+    """(i, j, score): pairs weighed with depth; links of an assembly graph are edges of a fixed score."""
+    large = feat.filter(F.col("length") >= cfg.min_contig).withColumnRenamed("id", "seq")
+    edges = G.edge_scores(pairs, large, samples, alpha, "corr", cfg.min_edge_score, cfg.min_coverage, cfg.neg_corr, power)
     if gfa is not None:
         links = gfa.select("i", "j", F.lit(cfg.gfa_weight).alias("score"))
         edges = edges.unionByName(links).groupBy("i", "j").agg(F.max("score").alias("score"))
     return work.save(edges, "edges")
 
 
-def bin_contigs(spark: SparkSession, contigs: DataFrame, depths: DataFrame, cfg: BinConfig = BinConfig(), gfa: DataFrame | None = None, links: DataFrame | None = None, markers: DataFrame | None = None, marker_set: int | None = None) -> Binning:
+def clustered(edges: DataFrame, work: Workspace, cfg: BinConfig) -> DataFrame:
+    """(node, label) by the configured way of clustering."""
+    if cfg.clustering == "louvain":
+        return C.modularity_moves(edges, work.save, cfg.gamma)
+    if cfg.clustering == "fuse":
+        return C.fused(edges, work.save, cfg.gamma, cfg.lpa_score, cfg.lpa_max_rounds)
+    labels = C.propagate(edges, work.save, cfg.lpa_score, cfg.lpa_max_rounds)
+    if cfg.clustering == "mlpa":
+        return work.save(C.super_merge(edges, labels, work.save, cfg.merge_doubt, cfg.merge_edges, cfg.lpa_max_rounds), "united")
+    if cfg.clustering != "lpa":
+        raise ValueError(f"unknown clustering {cfg.clustering!r}")
+    return labels
+
+
+def chosen(pairs: DataFrame, feat: DataFrame, work: Workspace, cfg: BinConfig, markers: DataFrame | None, set_size: int | None) -> U.Choice:
+    """The setting that ``cfg.select`` asks for, out of its grid."""
+    if cfg.select not in ("modularity", "markers", "markers+split"):
+        raise ValueError(f"unknown selection {cfg.select!r}")
+    by_markers = cfg.select != "modularity"
+    if by_markers and (markers is None or not set_size):
+        raise ValueError("selection by markers needs markers and the size of their set")
+    large = feat.filter(F.col("length") >= cfg.min_contig).withColumnRenamed("id", "seq")
+    terms = work.save(G.edge_terms(pairs, large, "corr", cfg.min_coverage, cfg.neg_corr), "terms")
+    split = large.select("seq", "length", "y") if cfg.select == "markers+split" else None
+    return U.sweep(terms, work, U.parse_grid(cfg.grid), cfg.min_edge_score, cfg.lpa_score, markers if by_markers else None, set_size or 0, split, cfg.min_bin_size)
+
+
+def certified(labels: DataFrame, pairs: DataFrame, feat: DataFrame, samples: int, work: Workspace, cfg: BinConfig, alpha: float, power: float) -> tuple[DataFrame, DataFrame]:
+    """How far labels hold under perturbation: contigs with their alternatives, and bins."""
+    large = work.save(feat.filter(F.col("length") >= cfg.min_contig).select(F.col("id").alias("seq"), "length", "depth", "scaled", "unit"), "profiles")
+    runs = U.perturbed_runs(pairs, large, samples, U.Setting(alpha, power, cfg.min_edge_score), work, cfg.lpa_score, most_dropped=cfg.cert_dropped, max_rounds=cfg.lpa_max_rounds)
+    ref = work.save(labels.select(F.col("node").alias("seq"), F.col("label").alias("bin")), "reference")
+    each, bins = E.certify(ref, runs, large.select("seq", "length"), cfg.cert_core, cfg.cert_ambiguous, cfg.cert_fraction)
+    return work.save(each.join(U.alternatives(ref, runs), ["bin", "seq"], "left"), "stable"), work.save(bins, "stable_bins")
+
+
+def similarity_graph(feat: DataFrame, samples: int, work: Workspace, cfg: BinConfig, gfa: DataFrame | None = None) -> DataFrame:
+    """(i, j, score): mutual nearest neighbours by composition sketches, weighed with depth."""
+    return weighed(similarity_pairs(feat, work, cfg), feat, samples, work, cfg, gfa)
+
+
+def bin_contigs(spark: SparkSession, contigs: DataFrame, depths: DataFrame, cfg: BinConfig = BinConfig(), gfa: DataFrame | None = None, links: DataFrame | None = None, markers: DataFrame | None = None, marker_set: int | None = None, trajectories: DataFrame | None = None) -> Binning:
     """contigs(id long, name, seq), depths(name, depth[]): graph, propagation, recruitment, splitting, merging, rescue, bins.
 
-    Optional: gfa (i, j), links (i, j, cnt) of read pairs, markers (seq = id, marker) with the set's size.
+    Optional: gfa (i, j), links (i, j, cnt) of read pairs, markers (seq = id, marker) with the set's size,
+    trajectories (contig = id, v[]) of variants, which cut edges that they contradict.
     """
     work = Workspace(spark, "binning")
     feat = features(contigs, depths, work, cfg)
     one = feat.select(F.size("depth").alias("s")).first()
     samples = one["s"] if one else 0
-    edges = similarity_graph(feat, samples, work, cfg, gfa)
-    labels = C.propagate(edges, work.save, cfg.lpa_score, cfg.lpa_max_rounds)
+    pairs = similarity_pairs(feat, work, cfg)
+    if trajectories is not None:
+        pairs = work.save(G.trajectory_gate(pairs, trajectories, cfg.variant_cosine), "gated")
+    alpha, power, silhouette = G.composition_weight(samples), 1.0, cfg.split_silhouette
+    if cfg.select:
+        best = chosen(pairs, feat, work, cfg, markers, marker_set)
+        alpha, power, silhouette = best.alpha, best.power, best.silhouette or silhouette
+    edges = weighed(pairs, feat, samples, work, cfg, gfa, alpha, power)
+    labels = clustered(edges, work, cfg)
+    stable = certified(labels, pairs, feat, samples, work, cfg, alpha, power) if cfg.certify else (None, None)
     cols = ["seq", "length", "y", "unit", "tnf", "depth"]
     nodes = feat.withColumnRenamed("id", "seq").select(*cols)
     members = work.save(nodes.join(labels.select(F.col("node").alias("seq"), F.col("label").alias("bin")), "seq"), "members0")
@@ -89,7 +149,7 @@ def bin_contigs(spark: SparkSession, contigs: DataFrame, depths: DataFrame, cfg:
         left = nodes.join(members.select("seq"), "seq", "left_anti").filter(F.col("length") >= cfg.min_small_contig)
         got = R.recruit_by_abundance(work.save(left.select("seq", "length", "y"), "left"), bins, model, samples, cfg.alpha)
         members = work.save(members.unionByName(nodes.join(got, "seq").select(*members.columns)), "members1")
-    split = R.abundance_split(members, cfg.min_bin_size, cfg.split_min_members, cfg.split_max_k, cfg.split_silhouette, cfg.split_restarts)
+    split = R.abundance_split(members, cfg.min_bin_size, cfg.split_min_members, cfg.split_max_k, silhouette, cfg.split_restarts)
     # a piece is named by its smallest contig, so names stay unique
     named = split.groupBy("bin", "piece").agg(F.min("seq").alias("name"))
     where = work.save(split.join(named, ["bin", "piece"]).select("seq", F.col("name").alias("bin")), "split")
@@ -97,9 +157,9 @@ def bin_contigs(spark: SparkSession, contigs: DataFrame, depths: DataFrame, cfg:
         m = nodes.join(where, "seq")
         stats = work.save(R.sufficient(R.long_form(m.select("bin", "seq", "length", "y")), model), "merge_stats")
         sizes = work.save(m.groupBy("bin").agg(F.sum("length").alias("total_length")), "merge_sizes")
-        pairs = work.save(R.linked_bins(links, where), "merge_pairs")
-        crit = chi2_critical(samples, cfg.alpha, pairs.count())
-        joined = R.merge_bins(R.merge_candidates(pairs, stats, sizes, cfg.min_bin_size, crit), stats, sizes, cfg.min_bin_size, crit)
+        linked = work.save(R.linked_bins(links, where), "merge_pairs")
+        crit = chi2_critical(samples, cfg.alpha, linked.count())
+        joined = R.merge_bins(R.merge_candidates(linked, stats, sizes, cfg.min_bin_size, crit), stats, sizes, cfg.min_bin_size, crit)
         where = work.save(where.join(joined, "bin").select("seq", F.col("root").alias("bin")), "merged")
     if markers is not None and samples >= 1:
         m = nodes.join(where, "seq").select("bin", "seq", F.posexplode("depth").alias("sample", "depth"))
@@ -112,7 +172,7 @@ def bin_contigs(spark: SparkSession, contigs: DataFrame, depths: DataFrame, cfg:
     if markers is not None and marker_set:
         table = table.join(E.qc_per_bin(markers, where, marker_set).select("bin", "completeness", "contamination", "tier"), "bin", "left")
     table = work.save(table, "table")
-    return Binning(edges, labels, work.save(full.join(table.select("bin", "bin_num"), "bin").select("bin_num", "bin", "seq", "length", "depth"), "bins"), table)
+    return Binning(edges, labels, work.save(full.join(table.select("bin", "bin_num"), "bin").select("bin_num", "bin", "seq", "length", "depth"), "bins"), table, *stable)
 
 
 def sweep(edges: DataFrame, grid: list[float], save, kind: str = "tail") -> tuple[float, DataFrame]:

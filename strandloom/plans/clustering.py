@@ -169,6 +169,21 @@ def _louvain(s, d):
     return C.modularity_moves(knn_edges(s, d, work), work.save)
 
 
+def _super_edges(s, d):
+    return rounded(C.super_edges(knn_edges(s, d), _labels(s, d)), "sl")
+
+
+def _super_merge(s, d):
+    work = Workspace(s, "super")
+    edges = knn_edges(s, d, work)
+    return C.super_merge(edges, C.propagate(edges, work.save, "tail", 40), work.save)
+
+
+def _fused(s, d):
+    work = Workspace(s, "fused")
+    return C.fused(knn_edges(s, d, work), work.save)
+
+
 def _moments(s, d):
     o = B.table(s, d, "lineitem").groupBy("l_suppkey")
     return rounded(o.agg(F.avg("l_quantity").alias("mean"), F.var_samp("l_quantity").alias("var"), F.skewness("l_quantity").alias("skew"), F.kurtosis("l_quantity").alias("kurt")), "mean", "var", "skew", "kurt")
@@ -180,6 +195,9 @@ QUERIES = {
     "lpa_converged": _converged,
     "louvain_converged": _louvain,
     "seed_ensemble": _ensemble,
+    "super_edges": _super_edges,
+    "super_merge": _super_merge,
+    "fused_labels": _fused,
     "node_confidence": lambda s, d: rounded(C.node_confidence(knn_edges(s, d), _labels(s, d)), "confidence", "second_score").na.fill(-1, ["second_label"]),
     "binned_nodes": lambda s, d: C.binned_nodes(knn_edges(s, d)),
     "modularity": _modularity,
@@ -246,6 +264,9 @@ g AS (SELECT a.src AS node, l.label AS k, count(*) AS m, -sum(ln(1 - a.w)) AS u
 ev AS (SELECT g.node, p.label, g.k, greatest(0, 1 - exp(-u) * list_sum(list_transform(range(0, CAST(m AS BIGINT)), lambda i: u ** i / CAST(factorial(CAST(i AS INT)) AS DOUBLE)))) AS s FROM g JOIN lab p ON g.node = p.node),
 o AS (SELECT node, label, coalesce(max(s) FILTER (k = label), 0) AS own, coalesce(max(s) FILTER (k <> label), 0) AS oth, arg_min(k, struct_pack(n := -s, k := k)) FILTER (k <> label) AS second_label FROM ev GROUP BY ALL)
 SELECT node, label, round(least(greatest(own - oth, 0.0), 1.0), 6) + 0.0 AS confidence, coalesce(second_label, -1) AS second_label, round(oth, 6) + 0.0 AS second_score FROM o""",
+    "super_edges": f"""WITH {_KNN}, e AS (SELECT CAST(a.label AS BIGINT) AS a, CAST(b.label AS BIGINT) AS b, ln(1 - least(m.sim, 1 - 1e-6)) AS w FROM mut m JOIN embeddings a ON m.i = a.vec_id JOIN embeddings b ON m.j = b.vec_id WHERE a.label <> b.label),
+d AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e)
+SELECT a, b, count(*) AS m, round(sum(w), 6) + 0.0 AS sl FROM d GROUP BY a, b""",
     "binned_nodes": f"WITH {_KNN} SELECT DISTINCT node FROM (SELECT i AS node FROM mut UNION ALL SELECT j FROM mut)",
     "modularity": f"""WITH {_KNN}, e AS (SELECT m.sim AS w, a.label AS la, b.label AS lb FROM mut m JOIN embeddings a ON m.i = a.vec_id JOIN embeddings b ON m.j = b.vec_id),
 v AS (SELECT label, sum(w) AS v FROM (SELECT la AS label, w FROM e UNION ALL SELECT lb, w FROM e) GROUP BY label)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.operators import evaluate as E
+from strandloom.operators import tuning as U
 from strandloom.workspace import Workspace
 
 from . import bindings as B
@@ -45,13 +46,14 @@ def _refine(s, d):
     return rounded(E.refine_consensus(_candidates(s, d), B.event_markers(s, d), SET_SIZE, 10.0, 30.0, 1.0, Workspace(s, "refine")), "score")
 
 
-def _certify(s, d):
-    customer = B.table(s, d, "customer")
-    ref = B.segments(s, d)
+def _runs(s, d):
     runs = B.table(s, d, "orders").select(F.year("o_orderdate").alias("run"), F.col("o_custkey").alias("seq"), F.col("o_orderpriority").alias("label"), "o_orderkey")
-    runs = runs.groupBy("run", "seq").agg(F.min_by("label", "o_orderkey").alias("label"))
-    contigs = customer.select(F.col("c_custkey").alias("seq"), (1000 + F.floor(F.abs("c_acctbal"))).cast("long").alias("length"))
-    each, _ = E.certify(ref, runs, contigs)
+    return runs.groupBy("run", "seq").agg(F.min_by("label", "o_orderkey").alias("label"))
+
+
+def _certify(s, d):
+    contigs = B.table(s, d, "customer").select(F.col("c_custkey").alias("seq"), (1000 + F.floor(F.abs("c_acctbal"))).cast("long").alias("length"))
+    each, _ = E.certify(B.segments(s, d), _runs(s, d), contigs)
     return each
 
 
@@ -86,6 +88,7 @@ QUERIES = {
     "ensemble_consensus": lambda s, d: rounded(E.ensemble_consensus(_candidates(s, d), B.event_markers(s, d), SET_SIZE, 10.0, 0.5, 1.0), "score"),
     "certify_stability": lambda s, d: rounded(_certify(s, d), "prob"),
     "certify_bins": _certify_bins,
+    "certify_alternatives": lambda s, d: rounded(U.alternatives(B.segments(s, d), _runs(s, d)), "alt_prob"),
 }
 
 _GOLD = "gold AS (SELECT c_custkey AS seq, c_nationkey AS genome, 1000 + CAST(floor(abs(c_acctbal)) AS BIGINT) AS length FROM customer)"
@@ -180,5 +183,11 @@ SELECT count(*) AS edges, round(avg(CASE WHEN (s.a = t.a) = (s.b = t.b) THEN 1.0
     "refine_consensus": _REFINE_SQL,
     "ensemble_consensus": _ENSEMBLE_SQL,
     "certify_stability": f"WITH {_CERTIFY} SELECT seq, bin, length, round(prob, 6) AS prob, state FROM each_",
+    "certify_alternatives": f"""WITH {_CERTIFY}, sizes AS (SELECT bin, count(*) AS n FROM ref GROUP BY bin),
+owner AS (SELECT run, label, p.bin AS owner FROM plural p JOIN sizes s ON p.bin = s.bin QUALIFY row_number() OVER (PARTITION BY run, label ORDER BY s.n DESC, p.bin) = 1),
+seen AS (SELECT r.bin, r.seq, u.label <> p.label AS away, o.owner FROM ref r JOIN runs u ON r.seq = u.seq JOIN plural p ON p.bin = r.bin AND p.run = u.run LEFT JOIN owner o ON o.run = u.run AND o.label = u.label),
+n AS (SELECT bin, seq, count(*) AS n FROM seen GROUP BY ALL),
+l AS (SELECT bin, seq, owner, count(*) AS c FROM seen WHERE away AND owner <> bin GROUP BY bin, seq, owner QUALIFY row_number() OVER (PARTITION BY bin, seq ORDER BY c DESC, owner) = 1)
+SELECT l.bin, l.seq, l.owner AS alternative, round(l.c / n.n, 6) AS alt_prob FROM l JOIN n ON l.bin = n.bin AND l.seq = n.seq""",
     "certify_bins": f"WITH {_CERTIFY} SELECT bin, round(sum(CASE WHEN state = 'core' THEN length ELSE 0 END) / sum(length), 6) AS core_fraction, round(sum(coalesce(prob, 0) * length) / sum(length), 6) AS mean_prob FROM each_ GROUP BY bin",
 }

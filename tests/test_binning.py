@@ -1,14 +1,16 @@
 """Planted genomes through the whole plan, and streams."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.config import BinConfig
+from strandloom.operators import tuning
 from strandloom.plans.binning import bin_contigs, sweep
 from strandloom.streaming import coverage as SC
 
 
-def test_planted_genomes_come_back(spark):
+def test_planted_genomes_come_back(spark, monkeypatch):
     rng = np.random.default_rng(7)
     rows, depth, truth = [], [], {}
     profiles = rng.lognormal(2, 1, (3, 6))
@@ -41,6 +43,15 @@ def test_planted_genomes_come_back(spark):
     banded = bin_contigs(spark, contigs, depths, BinConfig(max_edges=8, sketch_m=200, min_bin_size=10_000, min_recruit_cluster=5, min_edge_score=0.6, sim_cutoff=0.05, index_from=0, band_registers=4))
     sure = {r["seq"]: r["bin"] for r in banded.bins.collect()}
     assert len(sure) >= 34 and all(len({truth[s] for s, x in sure.items() if x == b}) == 1 for b in set(sure.values()))
+    # swept, united and certified: the same genomes, held in every run
+    monkeypatch.setattr(tuning, "perturbations", lambda base: [base])
+    cfg = BinConfig(max_edges=8, sketch_m=200, min_bin_size=10_000, min_recruit_cluster=5, min_edge_score=0.6, sim_cutoff=0.05, select="modularity", grid="0:1;0.2:1", clustering="mlpa", certify=True, cert_dropped=1)
+    tuned = bin_contigs(spark, contigs, depths, cfg, trajectories=spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.0, 1.0])], "contig long, v array<double>"))
+    held = tuned.stable.collect()
+    assert held and all(truth[r["seq"]] == truth[r["bin"]] for r in held) and sum(r["state"] == "core" for r in held) >= 0.8 * len(held)
+    assert tuned.stable_bins.filter("certified").count() >= 1
+    with pytest.raises(ValueError):
+        bin_contigs(spark, contigs, depths, BinConfig(select="markers"))
     assert [r["bin_num"] for r in out.table.orderBy("bin_num").collect()] == list(range(1, out.table.count() + 1))
     from strandloom.workspace import Workspace
 

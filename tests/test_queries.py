@@ -101,6 +101,8 @@ INVARIANTS = {
     "lpa_converged": labels_of_all,
     "louvain_converged": labels_of_all,
     "seed_ensemble": labels_of_all,
+    "super_merge": labels_of_all,
+    "fused_labels": labels_of_all,
     "pe_merge_components": merged,
     "abundance_split": pieces,
     "gmm_cut": cut,
