@@ -31,8 +31,9 @@ def _members(s, d):
 
 def _purify(s, d):
     supplier = B.table(s, d, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_nationkey").alias("bin"))
-    # a binding: with every row of lineitem, nearly every supplier would carry all twelve months, and no marker be rare
-    markers = B.table(s, d, "lineitem").filter("l_linenumber = 1 and l_tax = 0").select(F.col("l_suppkey").alias("seq"), F.month("l_shipdate").alias("marker"))
+    # a supplier's markers are the months of its largest shipments, one a return flag, over all rows of lineitem: sparse by meaning
+    shipped = B.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("seq"), "l_returnflag", F.month("l_shipdate").alias("month")).agg(F.sum("l_quantity").alias("q"))
+    markers = shipped.groupBy("seq", "l_returnflag").agg(F.min_by("month", F.struct(-F.col("q"), "month")).alias("marker")).select("seq", "marker")
     return rounded(E.purify(B.supplier_depth(s, d).join(supplier, "seq"), markers, 2.0), "zmax")
 
 
@@ -168,7 +169,8 @@ SELECT bin, lineage, w AS weight, round(w / all_w, 6) AS share FROM t WHERE r =
     "bin_depth_stats": f"WITH {_MEMBERS}, m AS (SELECT bin, sum(length) AS n, sum(length * depth) / sum(length) AS mean FROM members GROUP BY bin) SELECT m.bin, CAST(m.n AS BIGINT) AS total_length, round(m.mean, 4) AS mean_depth, round(sqrt(sum(x.length * (x.depth - m.mean) * (x.depth - m.mean)) / m.n), 4) AS sd_depth FROM m JOIN members x ON m.bin = x.bin GROUP BY m.bin, m.n, m.mean",
     "purify_outliers": """WITH members AS (SELECT s_nationkey AS bin, s_suppkey AS seq FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)),
 big AS (SELECT bin FROM members GROUP BY bin HAVING count(*) >= 3),
-hits AS (SELECT m.bin, m.seq, month(l_shipdate) AS marker FROM lineitem JOIN members m ON l_suppkey = m.seq WHERE l_linenumber = 1 AND l_tax = 0 AND m.bin IN (SELECT bin FROM big)),
+peaks AS (SELECT l_suppkey AS seq, arg_min(month, struct_pack(a := -q, b := month)) AS marker FROM (SELECT l_suppkey, l_returnflag, month(l_shipdate) AS month, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) GROUP BY l_suppkey, l_returnflag),
+hits AS (SELECT m.bin, m.seq, p.marker FROM peaks p JOIN members m ON p.seq = m.seq WHERE m.bin IN (SELECT bin FROM big)),
 twice AS (SELECT bin, marker FROM hits GROUP BY ALL HAVING count(*) > 1),
 carriers AS (SELECT DISTINCT h.bin, h.seq FROM hits h JOIN twice t ON h.bin = t.bin AND h.marker = t.marker),
 logs AS (SELECT m.bin, m.seq, l_returnflag || l_linestatus AS sample, ln(sum(l_quantity) + 1.0) AS y FROM lineitem JOIN members m ON l_suppkey = m.seq WHERE m.bin IN (SELECT bin FROM twice) GROUP BY ALL),
