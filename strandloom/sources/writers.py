@@ -96,10 +96,25 @@ def variants(rows: DataFrame, path: str) -> None:
 
 
 def stability(contigs: DataFrame, bins_: DataFrame, path: str) -> None:
-    """Three tables: stable members, bins, ambiguous contigs."""
-    tsv(contigs.filter("state = 'core'"), f"{path}/stable_members")
-    tsv(bins_, f"{path}/bin_stability")
-    tsv(contigs.filter("state = 'ambiguous'"), f"{path}/ambiguous_contigs")
+    """Three tables of (seq, bin, length, prob, state[, alternative, alt_prob]) and (bin, certified): every contig that was
+    judged, bins, ambiguous contigs. Where there is no alternative, its bin is -1."""
+    has = "alternative" in contigs.columns
+    other = F.coalesce(F.col("alternative").cast("string"), F.lit("-1")) if has else F.lit("-1")
+    share = F.coalesce(F.col("alt_prob"), F.lit(0.0)) if has else F.lit(0.0)
+    judged = contigs.filter("prob is not null")
+
+    def yes(c: Column) -> Column:
+        return F.when(c, "Y").otherwise("N")
+
+    def shares(c: Column) -> Column:
+        return F.format_string("%.3f", c)
+
+    first = [F.col("seq").alias("ContigName"), F.col("bin").alias("BinNum"), F.col("length").alias("Length"), shares(F.col("prob")).alias("AssignmentProb")]
+    last = [other.alias("AlternativeBin"), shares(share).alias("AltProb")]
+    tsv(judged.select(*first, yes(F.col("state") == "core").alias("Core"), yes(F.col("state") == "ambiguous").alias("Ambiguous"), *last), f"{path}/stable_members")
+    tsv(judged.filter("state = 'ambiguous'").select(*first, *last), f"{path}/ambiguous_contigs")
+    sums = judged.groupBy("bin").agg(F.sum("length").alias("total"), F.sum(F.when(F.col("state") == "core", F.col("length")).otherwise(0)).alias("core"), (F.sum(F.col("prob") * F.col("length")) / F.sum("length")).alias("mean"))
+    tsv(sums.join(bins_.select("bin", "certified"), "bin").select(F.col("bin").alias("BinNum"), F.col("total").alias("TotalBp"), F.col("core").alias("CoreBp"), shares(F.col("core") / F.col("total")).alias("CoreFraction"), shares(F.col("mean")).alias("MeanAssignmentProb"), yes(F.col("certified")).alias("Certified")), f"{path}/bin_stability")
 
 
 def mobile_elements(rows: DataFrame, path: str) -> None:

@@ -108,3 +108,18 @@ def test_consensus_and_paired_tables(spark, tmp_path):
     assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "r/qc")).first().asDict() == {"BinNum": "1", "Completeness": "95.00", "Contamination": "1.25", "n_contigs": "1", "source": "0", "tier": "HQ"}
     writers.paired_matrix(spark.createDataFrame([(0, 1, 0.5)], "contig int, mate int, share double"), str(tmp_path / "p"))
     assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "p")).columns == ["contigIdx", "contigIdxMate", "AvgCoverage"]
+
+
+def test_stability_tables(spark, tmp_path):
+    each = spark.createDataFrame([("a", 1, 3000, 0.9, "core", None, None), ("b", 1, 1000, 0.25, "ambiguous", 2, 0.5), ("c", 1, 500, None, "member", None, None)], "seq string, bin int, length long, prob double, state string, alternative int, alt_prob double")
+    bins = spark.createDataFrame([(1, False)], "bin int, certified boolean")
+    W.stability(each, bins, str(tmp_path / "s"))
+
+    def read(name):
+        return [tuple(r) for r in spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "s" / name)).collect()]
+
+    assert sorted(read("stable_members")) == [("a", "1", "3000", "0.900", "Y", "N", "-1", "0.000"), ("b", "1", "1000", "0.250", "N", "Y", "2", "0.500")]
+    assert read("ambiguous_contigs") == [("b", "1", "1000", "0.250", "2", "0.500")]
+    assert read("bin_stability") == [("1", "4000", "3000", "0.750", "0.738", "N")]
+    W.stability(each.drop("alternative", "alt_prob"), bins, str(tmp_path / "s"))
+    assert {r[6] for r in read("stable_members")} == {"-1"}
