@@ -113,7 +113,7 @@ def perturbations(base: Setting) -> list[Setting]:
     return [at(-0.1), at(0.1), at(score=-0.03), at(score=0.03), at(power=other), at(seed=1), at(seed=2), at(-0.1, seed=3), at(0.1, seed=4), at(score=-0.03, seed=5)]
 
 
-def perturbed_runs(pairs: DataFrame, prof: DataFrame, samples: int, base: Setting, work: Workspace, kind: str = "tail", mode: str = "corr", most_dropped: int = 6, max_rounds: int = 60, settings: list[Setting] | None = None) -> DataFrame:
+def perturbed_runs(pairs: DataFrame, prof: DataFrame, samples: int, base: Setting, work: Workspace, kind: str = "tail", mode: str = "corr", most_dropped: int = 6, max_rounds: int = 60, settings: list[Setting] | None = None, min_coverage: float = 1.0, neg_corr: float = -0.3) -> DataFrame:
     """(run, seq, label): the pairs (i, j, sim) clustered under each of ``settings`` (``perturbations`` if None) and, from four samples on, with each of up to
     ``most_dropped`` samples left out.
 
@@ -126,11 +126,11 @@ def perturbed_runs(pairs: DataFrame, prof: DataFrame, samples: int, base: Settin
         return work.save(whole.select(F.lit(run).alias("run"), "seq", F.coalesce("label", "seq").alias("label")), f"run{run}")
 
     nodes = work.save(pairs.select(F.col("i").alias("seq")).union(pairs.select("j")).distinct(), "run-nodes")
-    terms = work.save(G.edge_terms(pairs, prof, mode), "run-terms")
+    terms = work.save(G.edge_terms(pairs, prof, mode, min_coverage, neg_corr), "run-terms")
     out = [cluster(terms, s, n) for n, s in enumerate(perturbations(base) if settings is None else settings)]
     if samples >= 4:
         for k in range(min(samples, most_dropped)):
-            less = work.save(G.edge_terms(pairs, G.without_sample(prof, k), mode), f"drop{k}")
+            less = work.save(G.edge_terms(pairs, G.without_sample(prof, k), mode, min_coverage, neg_corr), f"drop{k}")
             out.append(cluster(less, base, len(out)))
     runs = out[0]
     for r in out[1:]:

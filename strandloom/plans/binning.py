@@ -106,7 +106,7 @@ def chosen(pairs: DataFrame, feat: DataFrame, work: Workspace, cfg: BinConfig, m
 def certified(labels: DataFrame, pairs: DataFrame, feat: DataFrame, samples: int, work: Workspace, cfg: BinConfig, alpha: float, power: float) -> tuple[DataFrame, DataFrame]:
     """How far labels hold under perturbation: contigs with their alternatives, and bins."""
     large = work.save(feat.filter(F.col("length") >= cfg.min_contig).select(F.col("id").alias("seq"), "length", "depth", "scaled", "unit"), "profiles")
-    runs = U.perturbed_runs(pairs, large, samples, U.Setting(alpha, power, cfg.min_edge_score), work, cfg.lpa_score, most_dropped=cfg.cert_dropped, max_rounds=cfg.lpa_max_rounds)
+    runs = U.perturbed_runs(pairs, large, samples, U.Setting(alpha, power, cfg.min_edge_score), work, cfg.lpa_score, most_dropped=cfg.cert_dropped, max_rounds=cfg.lpa_max_rounds, min_coverage=cfg.min_coverage, neg_corr=cfg.neg_corr)
     ref = work.save(labels.select(F.col("node").alias("seq"), F.col("label").alias("bin")), "reference")
     each, bins = E.certify(ref, runs, large.select("seq", "length"), cfg.cert_core, cfg.cert_ambiguous, cfg.cert_fraction)
     return work.save(each.join(U.alternatives(ref, runs), ["bin", "seq"], "left"), "stable"), work.save(bins, "stable_bins")

@@ -79,6 +79,18 @@ def test_texts_of_grids_and_resolutions():
     assert U.parse_resolutions("fine:1000:0.5,plain,usual:x,", 9, 0.7) == [("fine", 1000, 0.5), ("usual", 9, 0.7)]
 
 
+def test_each_resolution_has_its_floor(spark):
+    rows = [(1, i, 1000, [0.0, 0.01 * i] if i < 6 else [9.0, 9 + 0.01 * i]) for i in range(10)] + [(2, 50, 900, [1.0, 1.0])]
+    m = spark.createDataFrame(rows, "bin long, seq long, length long, y array<double>")
+    got = {}
+    for r in U.at_resolutions(m, [("fine", 500, 0.7), ("usual", 5000, 0.7), ("whole", 1000, 2.0)]).collect():
+        got.setdefault(r["resolution"], {}).setdefault((r["bin"], r["piece"]), set()).add(r["seq"])
+    assert sorted(map(sorted, got["fine"].values())) == [[0, 1, 2, 3, 4, 5], [6, 7, 8, 9], [50]]
+    assert list(got["usual"].values()) == [set(range(6))] and list(got["whole"].values()) == [set(range(10))]
+    with pytest.raises(ValueError):
+        U.at_resolutions(m, [])
+
+
 def test_upper_tail_for_many_edges(spark):
     def plain(m, x):
         u = x / 2
