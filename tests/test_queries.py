@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -25,7 +26,7 @@ def canonical(pdf):
     cols = sorted(pdf.columns)
 
     def cell(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         if hasattr(v, "item"):
             v = v.item()
