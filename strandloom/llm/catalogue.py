@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, line_dedup, negatives, packing, pii, quality, sharding, simhash, topk, warc
+from . import bpe, collocations, html_text, line_dedup, negatives, packing, pii, quality, sharding, simhash, topk, warc
 from .sql import ORACLES
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_html_text": html_text.op9_html_text,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
 }
 
 

@@ -120,4 +120,25 @@ FROM (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.sc
         row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY s.score DESC, s.vec_id) AS rank
       FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
 WHERE rank <= 3""",
+    "op12_phrase_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, g, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(g, ' ') AS w FROM f WHERE m > 1),
+x AS (SELECT lang, g, a, m, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:m], ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT x.lang, x.g, x.a, x.k, l.a AS l, r.a AS r, t.n,
+        (1000::HUGEINT * x.a::HUGEINT * t.n::HUGEINT) // (l.a::HUGEINT * r.a::HUGEINT) AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.g = x.lp JOIN f r ON r.lang = x.lang AND r.g = x.rp JOIN t ON t.lang = x.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (SELECT DISTINCT lang, sub, a FROM (
+        SELECT lang, a, array_to_string(w[i:i + z - 1], ' ') AS sub FROM (SELECT lang, a, w, z, unnest(range(1, m - z + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS z) WHERE z < m)))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank, g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+  FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = b.lang AND o.sub = b.g AND 100 * o.a >= 100 * b.a))
+WHERE rank <= 2000""",
 }
