@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, html_text, line_dedup, negatives, packing, pii, quality, sharding, simhash, topk, warc
+from . import bpe, collocations, html_text, line_dedup, negatives, oddsketch, packing, pii, quality, sharding, simhash, topk, warc
 from .sql import ORACLES
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_phrase_collocations": collocations.op12_phrase_collocations,
+    "op13_minhash_near_dedup": oddsketch.op13_minhash_near_dedup,
 }
 
 
