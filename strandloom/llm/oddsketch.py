@@ -162,7 +162,7 @@ def words_of(column: pd.Series) -> np.ndarray:
 def close(sketch: np.ndarray, n: np.ndarray, root: np.ndarray, params: OddSketchParams) -> np.ndarray:
     """Which two rows of a tile are in different components and may be similar, by size and sketch."""
     bits = np.zeros((len(n), len(n)), dtype=np.int64)
-    for w in sketch.T:
+    for w in np.ascontiguousarray(sketch.T).view(np.uint64):  # counts of signed numbers would be those of their absolute values
         bits += np.bitwise_count(w[:, None] ^ w[None, :])
     near = (bits <= params.most_bits) & (root[:, None] != root[None, :])
     return near & (100 * np.minimum(n[:, None], n[None, :]) >= params.similar_percent * np.maximum(n[:, None], n[None, :]))
