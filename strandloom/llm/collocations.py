@@ -28,6 +28,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ class PhraseParams:
     #: Bits of the bitmap between levels, as a power of two; its size is the bound of what is sent to the tasks.
     filter_bits: int = 26
     #: Words that a task encodes at once, and the memory of a bucket's duckdb.
-    chunk_words: int = 1_000_000
+    chunk_words: int = 2_000_000
     bucket_memory: str = "256MB"
 
 
@@ -60,64 +61,65 @@ def pieces(docs: DataFrame) -> DataFrame:
     return bare.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-def objects(strings) -> np.ndarray:
-    return np.fromiter(strings, dtype=object)
-
-
 class Encoded:
-    """Words of a chunk of pieces as codes, with the piece that each belongs to."""
-
-    def __init__(self, pdf: pd.DataFrame):
-        split = [p.split(" ") for p in pdf["piece"]]
-        size = np.array([len(w) for w in split], dtype=np.int64)
-        self.words = list(chain.from_iterable(split))
-        self.code, unique = pd.factorize(np.array(self.words, dtype=object))
-        self.unique = unique
-        self.piece = np.repeat(np.arange(len(size)), size)
+    """Words of a chunk of (lang, piece or gram, n) rows as codes, with the row that each belongs to."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        lang, piece, self.n = (rows.column(k).combine_chunks() for k in range(3))
+        self.n = self.n.to_numpy()
+        lang, words = lang.dictionary_encode(), pc.split_pattern(piece, " ")
+        self.lang, self.langs = lang.indices.to_numpy(), lang.dictionary
+        size = pc.list_value_length(words).to_numpy().astype(np.int64)
+        words = words.flatten().dictionary_encode()
+        self.code, self.unique = words.indices.to_numpy().astype(np.int64), words.dictionary
+        self.row = np.repeat(np.arange(len(size)), size)
         self.end = np.repeat(np.cumsum(size), size)
-        self.n = pdf["n"].to_numpy(np.int64)
-        self.lang, self.langs = pd.factorize(pdf["lang"])
 
     def starts(self, m: int) -> np.ndarray:
         """Where an n-gram of ``m`` words begins."""
         return np.flatnonzero(np.arange(len(self.code)) + m <= self.end)
 
-    def sums(self, m: int) -> pd.DataFrame:
+    def phrases(self, first: np.ndarray, size: np.ndarray, n: np.ndarray, name: str) -> pa.RecordBatch:
+        """(lang, name, n): the words from each place on, joined by spaces."""
+        upto = np.cumsum(size)
+        at = np.repeat(first - np.r_[0, upto[:-1]], size) + np.arange(upto[-1] if len(upto) else 0)
+        words = pa.ListArray.from_arrays(pa.array(np.r_[0, upto], pa.int32()), self.unique.take(pa.array(self.code[at])))
+        lang = self.langs.take(pa.array(self.lang[self.row[first]]))
+        return pa.RecordBatch.from_arrays([lang, pc.binary_join(words, " "), pa.array(n, pa.int64())], ["lang", name, "n"])
+
+    def sums(self, m: int) -> pa.RecordBatch:
         """Weighted counts of the chunk's n-grams of ``m`` words."""
         at = self.starts(m)
-        key = self.lang[self.piece[at]]
+        key = self.lang[self.row[at]].astype(np.int64)
         for j in range(m):
             key = pd.factorize(key * len(self.unique) + self.code[at + j])[0]
         first = np.zeros(key.max(initial=-1) + 1, dtype=np.int64)
         first[key[::-1]] = at[::-1]
         total = np.zeros(len(first), dtype=np.int64)
-        np.add.at(total, key, self.n[self.piece[at]])
-        return pd.DataFrame({"lang": np.asarray(self.langs, dtype=object)[self.lang[self.piece[first]]], "gram": objects(" ".join(self.words[i : i + m]) for i in first.tolist()), "n": total})
+        np.add.at(total, key, self.n[self.row[at]])
+        return self.phrases(first, np.full(len(first), m), total, "gram")
 
     def hashes(self, m: int) -> tuple[np.ndarray, np.ndarray]:
         """(where, hash) of the n-grams of ``m`` words."""
         at = self.starts(m)
-        word = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.unique], dtype=np.uint64)
-        lang = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 1) for x in self.langs], dtype=np.uint64)
-        h = lang[self.lang[self.piece[at]]]
+        word, lang = (np.array([xxhash.xxh64_intdigest(w, seed) for w in x.cast(pa.binary()).to_pylist()], dtype=np.uint64) for seed, x in enumerate((self.unique, self.langs)))
+        h = lang[self.lang[self.row[at]]]
         for j in range(m):
             h = (h ^ word[self.code[at + j]]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         return at, h
 
-    def runs(self, m: int, bits: np.ndarray) -> pd.DataFrame:
+    def runs(self, m: int, bits: np.ndarray) -> pa.RecordBatch:
         """The longest stretches of at least ``m + 1`` words whose n-grams of ``m`` words are all in the bitmap."""
         at, h = self.hashes(m)
-        fine = np.zeros(len(self.code) + 1, dtype=bool)
-        fine[at] = seen(bits, h)
-        fine, piece = fine[:-1], self.piece
-        new = np.r_[True, piece[1:] != piece[:-1]] if len(piece) else np.zeros(0, dtype=bool)
-        before, after = np.r_[False, fine[:-1]] & ~new, np.r_[fine[1:], False] & ~np.r_[new[1:], True] if len(piece) else fine
-        s, e = np.flatnonzero(fine & ~before), np.flatnonzero(fine & ~after)
+        at = at[seen(bits, h)]
+        # consecutive places of one row belong together; a stretch of one n-gram holds none of ``m + 1`` words
+        apart = (np.diff(at) > 1) | (np.diff(self.row[at]) > 0)
+        s, e = np.flatnonzero(np.r_[True, apart]), np.flatnonzero(np.r_[apart, True])
+        s, e = (at[s], at[e]) if len(at) else (at, at)
         s, e = s[e > s], e[e > s]
-        of = piece[s]
-        out = pd.DataFrame({"lang": np.asarray(self.langs, dtype=object)[self.lang[of]], "piece": objects(" ".join(self.words[i : j + m]) for i, j in zip(s.tolist(), e.tolist())), "n": self.n[of]})
-        return out.groupby(["lang", "piece"], sort=False, as_index=False)["n"].sum() if len(out) else out
+        return self.phrases(s, e - s + m, self.n[self.row[s]], "piece")
 
 
 def seen(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -125,16 +127,16 @@ def seen(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _chunks(batches: Iterator[pd.DataFrame], words: int) -> Iterator[Encoded]:
+def _chunks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[Encoded]:
     held, size = [], 0
-    for pdf in batches:
-        held.append(pdf)
-        size += int(pdf["piece"].str.len().sum()) // 5  # about
-        if size >= words:
-            yield Encoded(pd.concat(held, ignore_index=True))
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
+        if size >= 6 * words:  # about
+            yield Encoded(held)
             held, size = [], 0
     if held:
-        yield Encoded(pd.concat(held, ignore_index=True))
+        yield Encoded(held)
 
 
 def _sums(m: int, words: int):
@@ -145,23 +147,23 @@ def _runs(m: int, words: int, bits):
     return lambda batches: (c.runs(m, np.frombuffer(bits.value, dtype=np.uint64)) for c in _chunks(batches, words))
 
 
-def _bitmap_words(m: int, size: int):
+def _bitmap_words(m: int, size: int, words: int):
     """(at, bits): the 64-bit words of the bitmap that a task's n-grams set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            _, h = Encoded(pdf.rename(columns={"gram": "piece"})).hashes(m)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _chunks(batches, words):
+            _, h = c.hashes(m)
             at = np.unique(h & np.uint64(size - 1))
             word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
-            yield pd.DataFrame({"at": word[first], "bits": np.bitwise_or.reduceat(bit, first).view(np.int64) if len(word) else word})
+            yield pa.RecordBatch.from_pydict({"at": word[first], "bits": np.bitwise_or.reduceat(bit, first).view(np.int64) if len(word) else word})
 
     return run
 
 
-def bitmap(grams: DataFrame, m: int, power: int) -> bytes:
-    """Hashes of the (lang, gram) rows as a bitmap; its size doesn't depend on their number."""
-    words = grams.mapInPandas(_bitmap_words(m, 1 << power), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+def bitmap(grams: DataFrame, m: int, power: int, chunk_words: int) -> bytes:
+    """Hashes of the (lang, gram, n) rows as a bitmap; its size doesn't depend on their number."""
+    words = grams.mapInArrow(_bitmap_words(m, 1 << power, chunk_words), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(1 << (power - 6), dtype=np.uint64)
     out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return out.tobytes()
@@ -187,7 +189,7 @@ def _add_up(least: int, memory: str):
 
 def frequent(rows: DataFrame, m: int, params: PhraseParams) -> DataFrame:
     """(lang, gram, n) of the n-grams of ``m`` words in (lang, piece, n) rows, with n of at least ``least``."""
-    partial = rows.mapInPandas(_sums(m, params.chunk_words), COUNTS)
+    partial = rows.mapInArrow(_sums(m, params.chunk_words), COUNTS)
     return partial.repartition("lang", "gram").mapInArrow(_add_up(params.least, params.bucket_memory), COUNTS)
 
 
@@ -205,8 +207,8 @@ def phrases(docs: DataFrame, work: Workspace, params: PhraseParams = PhraseParam
     levels = []
     for m in range(1, params.longest + 1):
         if m > 1:
-            bits = spark.sparkContext.broadcast(bitmap(levels[-1], m - 1, params.filter_bits))
-            rows = work.save(rows.mapInPandas(_runs(m - 1, params.chunk_words, bits), PIECES), f"runs{m}", "zstd")
+            bits = spark.sparkContext.broadcast(bitmap(levels[-1], m - 1, params.filter_bits, params.chunk_words))
+            rows = work.save(rows.mapInArrow(_runs(m - 1, params.chunk_words, bits), PIECES), f"runs{m}", "zstd")
             work.drop(f"runs{m - 1}" if m > 2 else "pieces")
         levels.append(work.save(frequent(rows, m, params), f"counts{m}"))
         if levels[-1].isEmpty():
