@@ -43,27 +43,102 @@ def propagate_once(a: DataFrame, labels: DataFrame, kind: str = "logsum") -> Dat
     return best.select("node", F.when(F.col("own") >= F.col("top") - EPS, F.col("prev")).otherwise(F.col("best")).alias("label"), "prev")
 
 
-def propagate(edges: DataFrame, save: Save, kind: str = "tail", max_rounds: int = 60, start: DataFrame | None = None) -> DataFrame:
-    """(node, label) when no node changes any more.
+def colours(edges: DataFrame, save: Save, most: int = 8, max_rounds: int = 24) -> tuple[DataFrame, bool]:
+    """(node, colour) of a graph (i, j), and whether the ends of every edge differ in colour.
 
-    In odd rounds nodes move to smaller labels only, in even rounds to larger ones only, so two neighbours never swap
-    labels; a node that still comes back to a label it had is frozen there."""
-    a = save(arcs(edges), "arcs")
-    state = save((start if start is not None else singletons(a)).select("node", "label", F.array("label").alias("past"), F.lit(False).alias("frozen")), "labels0")
+    Nodes are ordered by a hash. A node is coloured as soon as all its neighbours before it are, with the smallest colour
+    that none of them has: what a loop over the nodes in that order does, in as many rounds as the longest path down the order.
+    Once a colour reaches ``most``, or after ``max_rounds``, colours are folded to ``most`` and nodes not coloured yet take
+    one by their hash; then neighbours may have equal colours.
+    """
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
+    e = edges.filter("i <> j")
+    both = e.select(F.col("i").alias("src"), F.col("j").alias("dst")).unionByName(e.select(F.col("j").alias("src"), F.col("i").alias("dst"))).distinct()
+    before = save(both.filter(order("dst") < order("src")), "before")
+    nodes = both.select(F.col("src").alias("node")).distinct()
+    waits = before.select(F.col("src").alias("node"), F.lit(True).alias("waits")).distinct()
+    state = save(nodes.join(waits, "node", "left").select("node", F.when(F.col("waits").isNull(), 0).alias("colour")), "colour0")
+    at = F.least("colour", F.lit(62))
     for k in range(1, max_rounds + 1):
-        moved = propagate_once(a, state.select("node", "label"), kind)
-        j = state.join(moved.select("node", F.col("label").alias("to")), "node", "left")
-        turn = F.col("to") < F.col("label") if k % 2 else F.col("to") > F.col("label")
-        change = F.coalesce(turn, F.lit(False)) & ~F.col("frozen")
-        again = change & F.array_contains("past", F.col("to"))
-        last = F.col("changed") if "changed" in state.columns else F.lit(False)
-        state = j.select("node", F.when(change, F.col("to")).otherwise(F.col("label")).alias("label"), F.when(change & ~again, F.concat("past", F.array("to"))).otherwise(F.col("past")).alias("past"), (F.col("frozen") | again).alias("frozen"), change.alias("changed"), last.alias("before"))
-        if k % 2 == 0 or k == max_rounds:  # both directions had their turn; two rounds are written at a time
-            state = save(state, f"labels{(k + 1) // 2 % 2 + 1}")
-            if state.filter("changed or before").isEmpty():
+        got = state.agg(F.count_if(F.col("colour").isNull()).alias("left"), F.max("colour").alias("top")).first()
+        if not got["left"] or got["top"] >= most:
+            break
+        todo = before.join(state.filter("colour is null").select(F.col("node").alias("src")), "src", "left_semi")
+        seen = todo.join(state.select(F.col("node").alias("dst"), "colour"), "dst").groupBy(F.col("src").alias("node"))
+        seen = seen.agg(F.count_if(F.col("colour").isNull()).alias("waits"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at)).alias("used")).filter("waits = 0")
+        free = F.bit_count(F.bitwise_not("used").bitwiseAND(F.col("used") + 1) - 1)  # the lowest bit not set
+        state = save(state.join(seen.select("node", free.alias("free")), "node", "left").select("node", F.coalesce("colour", "free").alias("colour")), f"colour{k % 2 + 1}")
+    got = state.agg(F.count_if(F.col("colour").isNull()).alias("left"), F.max("colour").alias("top")).first()
+    proper = not got["left"] and (got["top"] is None or got["top"] < most)
+    return state.select("node", F.pmod(F.coalesce(F.col("colour").cast("long"), F.xxhash64("node")), F.lit(most)).cast("int").alias("colour")), proper
+
+
+def propagate_runs(edges: DataFrame, save: Save, kind: str = "tail", max_rounds: int = 60, start: DataFrame | None = None, order: tuple[DataFrame, bool] | None = None) -> DataFrame:
+    """(run, node, label) of graphs (run, i, j, score), all runs together, when no node of a run changes any more.
+
+    A round lets the colours of the united graph (or of ``order``) have their turn. Nodes of one colour aren't neighbours, so
+    moving them together is what a loop over them does: each takes the label of most evidence, keeps its own if that is as
+    good, and of others that are equal takes the smallest. From the second round on a node is looked at only if a neighbour
+    has changed since its last turn, and a run only as long as it changes. A turn reads its colour's arcs and writes the nodes
+    that moved, whatever the number of runs; a round ends with one write of the labels.
+
+    Where colours had to be folded (``colours``), neighbours of one turn that both want to move do so to smaller
+    labels only in odd rounds, to larger ones only in even rounds, so they never swap; then two rounds without a move end a run.
+    """
+    of, proper = order or colours(edges.select("i", "j").distinct(), save)
+    w = F.least("score", F.lit(TOP))
+    both = edges.select("run", F.col("i").alias("src"), F.col("j").alias("dst"), w.alias("w")).unionByName(edges.select("run", F.col("j").alias("src"), F.col("i").alias("dst"), w.alias("w")))
+    a = save(both.join(of.select(F.col("node").alias("src"), "colour"), "src").sortWithinPartitions("colour"), "arcs")
+    turns = [r[0] for r in a.select("colour").distinct().orderBy("colour").collect()]
+    if start is None:
+        start = a.select("run", F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
+    held = save(start.select("run", "node", "label", F.lit(0).alias("changed")), "labels0")
+    now, quiet, live = 0, 0, None
+    for t in range(1, max_rounds + 1):
+        moved = None
+        for colour in turns:
+            now += 1
+            lab = held
+            if moved is not None:
+                lab = held.join(moved.select("run", "node", F.col("label").alias("to"), F.col("changed").alias("at")), ["run", "node"], "left").select("run", "node", F.coalesce("to", "label").alias("label"), F.coalesce("at", "changed").alias("changed"))
+            own = a.filter(F.col("colour") == colour)
+            own = own if live is None else own.filter(F.col("run").isin(live))
+            if proper and t > 1:
+                recent = lab.filter(F.col("changed") > now - len(turns)).select("run", F.col("node").alias("dst"))
+                own = own.join(own.join(recent, ["run", "dst"]).select("run", "src").distinct(), ["run", "src"], "left_semi")
+            g = own.join(lab.select("run", F.col("node").alias("dst"), "label"), ["run", "dst"]).groupBy("run", "src", "label")
+            g = g.agg(F.count(F.lit(1)).alias("m"), F.sum(F.log(1 - F.col("w"))).alias("sl"), F.sum("w").alias("sw"), F.max("w").alias("mw"))
+            score = label_score(kind, F.col("m"), F.col("sl"), F.col("sw"), F.col("mw"))
+            seen = g.select("run", F.col("src").alias("node"), "label", score.alias("score")).join(lab.select("run", "node", F.col("label").alias("prev")), ["run", "node"])
+            best = seen.groupBy("run", "node", "prev").agg(F.max("score").alias("top"), F.max(F.when(F.col("label") == F.col("prev"), F.col("score"))).alias("own"), F.min_by("label", F.struct(-F.col("score"), "label")).alias("label"))
+            want = best.filter(F.col("own").isNull() | (F.col("own") < F.col("top") - EPS)).select("run", "node", "label", "prev")
+            if not proper:
+                want = save(want, "want")
+                ends = own.join(want.select("run", F.col("node").alias("src")), ["run", "src"], "left_semi").join(want.select("run", F.col("node").alias("dst")), ["run", "dst"], "left_semi")
+                clash = ends.select("run", F.col("src").alias("node"), F.lit(True).alias("clash")).distinct()
+                turn = F.col("label") < F.col("prev") if t % 2 else F.col("label") > F.col("prev")
+                want = want.join(clash, ["run", "node"], "left").filter(F.col("clash").isNull() | turn)
+            one = save(want.select("run", "node", "label", F.lit(now).alias("changed")), f"moved{t % 2}-{colour}")
+            moved = one if moved is None else moved.unionByName(one)
+        if moved is None:
+            break
+        changed = {r[0] for r in moved.select("run").distinct().collect()}  # a row per run
+        if not changed:
+            quiet += 1
+            if proper or quiet == 2:
                 break
-            state = state.drop("before", "changed")
-    return state.select("node", "label")
+            continue
+        quiet, live = 0, sorted(changed) if proper else None
+        to = moved.select("run", "node", F.col("label").alias("to"), F.col("changed").alias("at"))
+        held = save(held.join(to, ["run", "node"], "left").select("run", "node", F.coalesce("to", "label").alias("label"), F.coalesce("at", "changed").alias("changed")), f"labels{t % 2 + 1}")
+    names = held.groupBy("run", "label").agg(F.min("node").alias("name"))
+    return save(held.join(names, ["run", "label"]).select("run", "node", F.col("name").alias("label")), "named")
+
+
+def propagate(edges: DataFrame, save: Save, kind: str = "tail", max_rounds: int = 60, start: DataFrame | None = None) -> DataFrame:
+    """(node, label) of one graph (i, j, score), by ``propagate_runs``; ``start`` is (node, label)."""
+    start = start if start is None else start.select(F.lit(0).alias("run"), "node", "label")
+    return propagate_runs(edges.select(F.lit(0).alias("run"), "i", "j", "score"), save, kind, max_rounds, start).select("node", "label")
 
 
 def node_confidence(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -166,27 +241,22 @@ def super_merge(edges: DataFrame, labels: DataFrame, save: Save, doubt: float =
     return labels.join(state.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
 
-def jittered(edges: DataFrame, seed: int, spread: float = 0.05) -> DataFrame:
-    """Scores changed by up to ``spread`` of themselves, from a hash of the edge and the seed."""
-    u = (F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0 - 0.5) * 2
-    return edges.select("i", "j", F.least(F.col("score") * (1 + spread * u), F.lit(TOP)).alias("score"))
+def jittered(edges: DataFrame, seed, spread: float = 0.05) -> DataFrame:
+    """Scores changed by up to ``spread`` of themselves, from a hash of the edge and the seed, a number or a column."""
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    u = (F.pmod(F.xxhash64("i", "j", seed), F.lit(1_000_003)) / 1_000_003.0 - 0.5) * 2
+    return edges.withColumn("score", F.least(F.col("score") * (1 + spread * u), F.lit(TOP)))
 
 
 def seed_ensemble(edges: DataFrame, save: Save, runs: int = 5, kind: str = "tail", max_rounds: int = 30) -> DataFrame:
-    """(node, label): propagation over edges weighted by how many perturbed runs kept both ends together."""
-    votes = None
-    for k in range(runs):
-        lab = propagate(jittered(edges, k), lambda df, n, k=k: save(df, f"run{k}-{n}"), kind, max_rounds)
-        e = edges.join(lab.select(F.col("node").alias("i"), F.col("label").alias("a")), "i").join(lab.select(F.col("node").alias("j"), F.col("label").alias("b")), "j")
-        one = e.select("i", "j", (F.col("a") == F.col("b")).cast("double").alias("same"))
-        votes = one if votes is None else votes.unionByName(one)
-    share = votes.groupBy("i", "j").agg(F.avg("same").alias("share")).filter("share > 0")
-    agreed = save(edges.join(share, ["i", "j"]).select("i", "j", (F.col("score") * F.col("share")).alias("score")), "agreed")
-    return propagate(agreed, lambda df, n: save(df, f"final-{n}"), kind, max_rounds)
-
-
-def choose(grid: list[tuple], quality: Callable[[tuple], float]) -> tuple:
-    """The setting of the highest quality; of equals the first. Each call of ``quality`` is a Spark job."""
-    return max(grid, key=lambda g: (quality(g), -grid.index(g)))
-
-
+    """(node, label): propagation over edges weighted by how many perturbed runs kept both ends together.
+
+    The runs are propagated together; the last propagation takes its turns in the same order."""
+    keep = lambda label: lambda df, n: save(df, f"{label}-{n}")
+    order = colours(edges.select("i", "j"), keep("order"))
+    many = jittered(edges.select("i", "j", "score", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")), F.col("run"))
+    lab = save(propagate_runs(many, keep("runs"), kind, max_rounds, order=order), "runs")
+    votes = edges.join(lab.select("run", F.col("node").alias("i"), F.col("label").alias("a")), "i").join(lab.select("run", F.col("node").alias("j"), F.col("label").alias("b")), ["run", "j"])
+    share = votes.groupBy("i", "j").agg(F.max("score").alias("score"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("share")).filter("share > 0")
+    agreed = save(share.select(F.lit(0).alias("run"), "i", "j", (F.col("score") * F.col("share")).alias("score")), "agreed")
+    return propagate_runs(agreed, keep("final"), kind, max_rounds, order=order).select("node", "label")

@@ -46,18 +46,18 @@ def any_covered(a: Column, b: Column, least: float = 1.0) -> Column:
     return F.exists(a, lambda x: x > least) | F.exists(b, lambda x: x > least)
 
 
-def with_ends(edges: DataFrame, nodes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Edges (i, j, ...) with the columns of both ends as <c>_i and <c>_j."""
+def with_ends(edges: DataFrame, nodes: DataFrame, key: str, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Edges (i, j, ...) with the columns of both ends as <c>_i and <c>_j; ``by`` are keys that both sides have besides."""
     for end in ("i", "j"):
-        edges = edges.join(nodes.select(F.col(key).alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+        edges = edges.join(nodes.select(*by, F.col(key).alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), [*by, end])
     return edges
 
 
-def edge_terms(edges: DataFrame, prof: DataFrame, mode: str = "corr", min_coverage: float = 1.0, neg_corr: float = -0.3) -> DataFrame:
+def edge_terms(edges: DataFrame, prof: DataFrame, mode: str = "corr", min_coverage: float = 1.0, neg_corr: float = -0.3, by: tuple[str, ...] = ()) -> DataFrame:
     """(i, j, sim, term): composition and depth of each edge, not yet mixed; opposed and uncovered edges go."""
-    both = with_ends(edges, prof, "seq", ["depth", "scaled", "unit"]).filter(any_covered(F.col("depth_i"), F.col("depth_j"), min_coverage))
+    both = with_ends(edges, prof, "seq", ["depth", "scaled", "unit"], by).filter(any_covered(F.col("depth_i"), F.col("depth_j"), min_coverage))
     term = A.depth_term(A.dot(F.col("unit_i"), F.col("unit_j")), A.weighted_jaccard(F.col("scaled_i"), F.col("scaled_j")), mode, neg_corr)
-    return both.select("i", "j", "sim", term.alias("term")).filter("term is not null")
+    return both.select(*by, "i", "j", "sim", term.alias("term")).filter("term is not null")
 
 
 def mixed(terms: DataFrame, alpha: float, min_score: float = 0.7, power: float = 1.0) -> DataFrame:
@@ -67,6 +67,18 @@ def mixed(terms: DataFrame, alpha: float, min_score: float = 0.7, power: float =
     return kept.withColumn("score", F.pow("score", F.lit(power))) if power != 1.0 else kept
 
 
+def mixed_runs(terms: DataFrame, settings: list[tuple[int, float, float, float]]) -> DataFrame:
+    """(run, i, j, score) of edge terms under each of (run, alpha, min_score, power), as ``mixed`` gives them, in one scan.
+
+    A column ``run`` of the terms restricts a row to the settings of that run."""
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.lit(float(a)).alias("alpha"), F.lit(float(m)).alias("least"), F.lit(float(p)).alias("power")) for r, a, m, p in settings]))
+    rows = terms.withColumn("s", each)
+    rows = rows.filter(F.col("run") == F.col("s.run")) if "run" in terms.columns else rows
+    score = F.col("s.alpha") * F.col("sim") + (1 - F.col("s.alpha")) * F.col("term")
+    kept = rows.select(F.col("s.run").alias("run"), "i", "j", score.alias("score"), "s.least", "s.power").filter("score >= least")
+    return kept.select("run", "i", "j", F.when(F.col("power") == 1.0, F.col("score")).otherwise(F.pow("score", "power")).alias("score"))
+
+
 def edge_scores(edges: DataFrame, prof: DataFrame, samples: int, alpha: float | None = None, mode: str = "corr", min_score: float = 0.7, min_coverage: float = 1.0, neg_corr: float = -0.3, power: float = 1.0) -> DataFrame:
     """(i, j, score): composition and depth mixed; weak, opposed and uncovered edges go. alpha: 1 up to two samples, else 0."""
     return mixed(edge_terms(edges, prof, mode, min_coverage, neg_corr), composition_weight(samples) if alpha is None else alpha, min_score, power)
@@ -77,12 +89,12 @@ def composition_weight(samples: int) -> float:
     return 1.0 if samples <= 2 else 0.0
 
 
-def without_sample(prof: DataFrame, k: int) -> DataFrame:
-    """Profiles (seq, depth, scaled, unit) as they would be without sample ``k`` (from 0)."""
+def without_sample(prof: DataFrame, k: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Profiles (seq, depth, scaled, unit) as they would be without sample ``k`` (from 0), a number or a column."""
     def rest(column: str):
         return F.filter(column, lambda x, at: at != k)
 
-    return prof.select("seq", rest("depth").alias("depth"), rest("scaled").alias("scaled")).withColumn("unit", A.centred_unit(A.average_ranks(F.col("depth"))))
+    return prof.select(*by, "seq", rest("depth").alias("depth"), rest("scaled").alias("scaled")).withColumn("unit", A.centred_unit(A.average_ranks(F.col("depth"))))
 
 
 def trajectory_gate(edges: DataFrame, trajectories: DataFrame, least: float = 0.10) -> DataFrame:
@@ -191,6 +203,16 @@ def gfa_links(links: DataFrame, paths: DataFrame, known: DataFrame) -> DataFrame
     return both.filter("i <> j").distinct()
 
 
+def modularity_runs(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(run, q): weighted modularity of (i, j, score) under each of the labellings (run, node, label)."""
+    a, b = (labels.select("run", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ij")
+    e = edges.join(a, "i").join(b, ["run", "j"])
+    w = e.groupBy("run").agg(F.sum("score").alias("w"), F.sum(F.when(F.col("label_i") == F.col("label_j"), F.col("score")).otherwise(0.0)).alias("inside"))
+    vol = e.select("run", F.col("label_i").alias("label"), "score").unionByName(e.select("run", F.col("label_j").alias("label"), "score")).groupBy("run", "label").agg(F.sum("score").alias("v"))
+    sq = vol.groupBy("run").agg(F.sum(F.col("v") * F.col("v")).alias("vv"))
+    return w.join(sq, "run").select("run", F.when(F.col("w") > 0, F.col("inside") / F.col("w") - F.col("vv") / (4 * F.col("w") * F.col("w"))).otherwise(F.lit(0.0)).alias("q"))
+
+
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """One row, ``q``: weighted modularity of (i, j, score) under (node, label)."""
     e = with_ends(edges, labels, "node", ["label"])

@@ -44,16 +44,13 @@ def parse_grid(text: str) -> list[tuple[float, float]]:
     return out or list(GRID)
 
 
-def named_start(edges: DataFrame, seed: int) -> DataFrame:
-    """(node, label): every node with a label of its own, in an order that hangs on the seed."""
-    one = C.singletons(C.arcs(edges))
-    return one if seed == 0 else one.select("node", F.xxhash64("node", F.lit(seed)).alias("label"))
-
-
-def clustered(edges: DataFrame, save, kind: str, seed: int = 0, max_rounds: int = 60) -> DataFrame:
-    """(node, label) by propagation; labels are the smallest nodes that carry them."""
-    lab = C.propagate(edges, save, kind, max_rounds, named_start(edges, seed))
-    return save(lab.join(lab.groupBy("label").agg(F.min("node").alias("name")), "label").select("node", F.col("name").alias("label")), "named")
+def clustered_runs(edges: DataFrame, save, kind: str, seeds: list[int], max_rounds: int = 60, order: tuple[DataFrame, bool] | None = None) -> DataFrame:
+    """(run, node, label) of graphs (run, i, j, score), propagated together. Run r starts with labels named in an order that
+    hangs on ``seeds[r]``; at the end labels are the smallest nodes that carry them."""
+    nodes = edges.select("run", F.col("i").alias("node")).union(edges.select("run", "j")).distinct()
+    seed = F.get(F.array(*[F.lit(int(x)) for x in seeds]), F.col("run"))
+    start = nodes.select("run", "node", F.when(seed == 0, F.col("node")).otherwise(F.xxhash64("node", seed)).alias("label"))
+    return C.propagate_runs(edges, save, kind, max_rounds, start, order)
 
 
 def near_complete(labels: DataFrame, markers: DataFrame, set_size: int) -> tuple[int, float]:
@@ -79,13 +76,18 @@ def sweep(terms: DataFrame, work: Workspace, grid=GRID, min_score: float = 0.7,
     bins, then their completeness. With ``members`` (seq, length, y[]) as well, bins are split at each silhouette
     before they are judged, and the silhouette is chosen too. Of equals the first wins.
     """
+    if not len(grid):
+        raise ValueError("the grid is empty")
     plain = terms.filter("sim > 0").select("i", "j", F.col("sim").alias("score"))
+    edges = work.save(G.mixed_runs(terms, [(n, alpha, min_score, power) for n, (alpha, power) in enumerate(grid)]), "sweep-edges")
+    labels = clustered_runs(edges, lambda df, x: work.save(df, f"sweep-{x}"), kind, [0] * len(grid))
+    each = plain.select(F.col("i").alias("node")).union(plain.select("j")).distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
+    every = work.save(each.join(labels, ["run", "node"], "left").select("run", "node", F.coalesce("label", "node").alias("label")), "sweep-every")
+    quality = {r["run"]: r["q"] or 0.0 for r in G.modularity_runs(plain, every).collect()}  # a row per setting
     best, rows = None, []
     for n, (alpha, power) in enumerate(grid):
-        edges = work.save(G.mixed(terms, alpha, min_score, power), f"edges{n}")
-        lab = clustered(edges, lambda df, x, n=n: work.save(df, f"cfg{n}-{x}"), kind)
-        every = lab.unionByName(plain.select(F.col("i").alias("node")).union(plain.select("j")).distinct().join(lab, "node", "left_anti").select("node", F.col("node").alias("label")))
-        q = G.modularity(plain, every).first()["q"] or 0.0
+        lab = labels.filter(F.col("run") == n).select("node", "label")
+        q = quality.get(n, 0.0)
         options = [(None, lab)]
         if markers is not None and members is not None:
             bins = members.join(lab.select(F.col("node").alias("seq"), F.col("label").alias("bin")), "seq")
@@ -99,8 +101,6 @@ def sweep(terms: DataFrame, work: Workspace, grid=GRID, min_score: float = 0.7,
             rows.append({"alpha": alpha, "power": power, "silhouette": s, "modularity": q, "rank": rank})
             if best is None or rank > best[0]:
                 best = (rank, Choice(alpha, power, s, lab, rows))
-    if best is None:
-        raise ValueError("the grid is empty")
     return best[1]
 
 
@@ -113,29 +113,30 @@ def perturbations(base: Setting) -> list[Setting]:
     return [at(-0.1), at(0.1), at(score=-0.03), at(score=0.03), at(power=other), at(seed=1), at(seed=2), at(-0.1, seed=3), at(0.1, seed=4), at(score=-0.03, seed=5)]
 
 
-def perturbed_runs(pairs: DataFrame, prof: DataFrame, samples: int, base: Setting, work: Workspace, kind: str = "tail", mode: str = "corr", most_dropped: int = 6, max_rounds: int = 60, settings: list[Setting] | None = None, min_coverage: float = 1.0, neg_corr: float = -0.3) -> DataFrame:
+def perturbed_runs(pairs: DataFrame, prof: DataFrame, samples: int, base: Setting, work: Workspace, kind: str = "tail", mode: str = "corr", most_dropped: int = 6, max_rounds: int = 60, settings: list[Setting] | None = None, min_coverage: float = 1.0, neg_corr: float = -0.3, order: tuple[DataFrame, bool] | None = None) -> DataFrame:
     """(run, seq, label): the pairs (i, j, sim) clustered under each of ``settings`` (``perturbations`` if None) and, from four samples on, with each of up to
     ``most_dropped`` samples left out.
 
-    A contig without an edge in a run is alone there. Runs share the scored pairs; each is written before the next starts.
+    A contig without an edge in a run is alone there. The pairs are scored once for all settings and once for all samples left
+    out, and all runs are propagated together: the number of Spark jobs doesn't hang on the number of runs.
     """
-    def cluster(terms: DataFrame, s: Setting, run: int) -> DataFrame:
-        edges = work.save(G.mixed(terms, s.alpha, s.min_score, s.power), f"run{run}-edges")
-        lab = clustered(edges, lambda df, x: work.save(df, f"run{run}-{x}"), kind, s.seed, max_rounds)
-        whole = nodes.join(lab.select(F.col("node").alias("seq"), "label"), "seq", "left")
-        return work.save(whole.select(F.lit(run).alias("run"), "seq", F.coalesce("label", "seq").alias("label")), f"run{run}")
-
-    nodes = work.save(pairs.select(F.col("i").alias("seq")).union(pairs.select("j")).distinct(), "run-nodes")
+    settings = perturbations(base) if settings is None else settings
+    dropped = min(samples, most_dropped) if samples >= 4 else 0
+    runs = [(n, s.alpha, s.min_score, s.power) for n, s in enumerate(settings)]
     terms = work.save(G.edge_terms(pairs, prof, mode, min_coverage, neg_corr), "run-terms")
-    out = [cluster(terms, s, n) for n, s in enumerate(perturbations(base) if settings is None else settings)]
-    if samples >= 4:
-        for k in range(min(samples, most_dropped)):
-            less = work.save(G.edge_terms(pairs, G.without_sample(prof, k), mode, min_coverage, neg_corr), f"drop{k}")
-            out.append(cluster(less, base, len(out)))
-    runs = out[0]
-    for r in out[1:]:
-        runs = runs.unionByName(r)
-    return runs
+    edges = G.mixed_runs(terms, runs)
+    if dropped:
+        first = len(runs)
+        each = F.explode(F.sequence(F.lit(0), F.lit(dropped - 1))).alias("k")
+        less = G.without_sample(prof.select("seq", "depth", "scaled", each), F.col("k"), ("k",))
+        less = G.edge_terms(pairs.select("i", "j", "sim", each), less, mode, min_coverage, neg_corr, ("k",)).withColumn("run", F.col("k") + first).drop("k")
+        edges = edges.unionByName(G.mixed_runs(less, [(first + k, base.alpha, base.min_score, base.power) for k in range(dropped)]))
+    edges = work.save(edges, "run-edges")
+    seeds = [s.seed for s in settings] + [base.seed] * dropped
+    lab = clustered_runs(edges, lambda df, x: work.save(df, f"runs-{x}"), kind, seeds, max_rounds, order)
+    nodes = pairs.select(F.col("i").alias("seq")).union(pairs.select("j")).distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(seeds) - 1))))
+    whole = nodes.join(lab.select("run", F.col("node").alias("seq"), "label"), ["run", "seq"], "left")
+    return work.save(whole.select("run", "seq", F.coalesce("label", "seq").alias("label")), "runs")
 
 
 def alternatives(reference: DataFrame, runs: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +166,78 @@ def test_postings_up_to_an_eighth_of_the_rows_are_searched(spark, write_tables):
     rows = [(1, s, p) for s in range(290) for p in (1, 2)] + [(1, s, 10 + s) for s in range(290, 2400)]
     d = write_tables(lineitem=spark.createDataFrame(rows, "l_linenumber int, l_suppkey long, l_partkey long"))
     assert features.QUERIES["invidx_candidates"](spark, d).count() == 290 * 289 // 2
+
+
+def greedy_colours(spark, edges):
+    """The plain loop: nodes in the order of the hash, each with the smallest colour that no neighbour has yet."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    h = {r["n"]: r["h"] for r in spark.createDataFrame([(n,) for n in near], "n long").withColumn("h", F.xxhash64("n")).collect()}
+    got = {}
+    for n in sorted(near, key=lambda n: (h[n], n)):
+        got[n] = next(c for c in range(len(near)) if c not in {got.get(x) for x in near[n]})
+    return near, got
+
+
+def plain_propagation(near, colour, weight, start, max_rounds=60):
+    """One node after another, colour by colour; a node counts the evidence -ln(1 - w) of its neighbours' labels as they are then."""
+    label = dict(start)
+    for _ in range(max_rounds):
+        moved = False
+        for n in sorted(near, key=lambda n: colour[n]):
+            ev = {}
+            for x in near[n]:
+                w = weight.get((min(n, x), max(n, x)))
+                if w is not None:
+                    ev[label[x]] = ev.get(label[x], 0.0) - math.log(1 - w)
+            if ev and ev.get(label[n], -1) < max(ev.values()) - 1e-12:
+                label[n] = min(ev, key=lambda k: (-ev[k], k))
+                moved = True
+        if not moved:
+            break
+    seen = {n for e in weight for n in e}
+    name = {}
+    for n in seen:
+        name[label[n]] = min(n, name.get(label[n], n))
+    return {n: name[label[n]] for n in seen}
+
+
+def random_graph(seed, n=60, degree=3):
+    rng = np.random.default_rng(seed)
+    e = {(int(min(a, b)), int(max(a, b))): float(np.round(rng.uniform(0.3, 0.99), 6)) for a, b in rng.integers(0, n, (n * degree // 2, 2)) if a != b}
+    return e
+
+
+def test_colours_equal_a_greedy_loop(spark, work):
+    e = random_graph(1)
+    got, proper = C.colours(spark.createDataFrame(list(e), "i long, j long"), work.save, most=20)
+    assert proper and {r["node"]: r["colour"] for r in got.collect()} == greedy_colours(spark, e)[1]
+    clique = [(a, b) for a in range(12) for b in range(a + 1, 12)]
+    got, proper = C.colours(spark.createDataFrame(clique, "i long, j long"), lambda df, n: work.save(df, f"clique-{n}"), most=4)
+    assert not proper and {r["colour"] for r in got.collect()} <= set(range(4))
+
+
+def test_propagation_equals_a_sequential_loop_and_runs_don_t_meddle(spark, work):
+    """Several graphs at once, each as if alone, each as a plain loop in the order of the colours."""
+    runs = {r: random_graph(r, degree=4) for r in range(4)}
+    runs[4] = {k: w for k, w in list(runs[0].items())[::2]}
+    edges = spark.createDataFrame([(r, *k, w) for r, e in runs.items() for k, w in e.items()], "run int, i long, j long, score double")
+    near, colour = greedy_colours(spark, {k for e in runs.values() for k in e})
+    order = C.colours(edges.select("i", "j").distinct(), work.save, 24)
+    assert order[1] and {r["node"]: r["colour"] for r in order[0].collect()} == colour
+    got = {}
+    for r in C.propagate_runs(edges, work.save, "logsum", order=order).collect():
+        got.setdefault(r["run"], {})[r["node"]] = r["label"]
+    for r, e in runs.items():
+        assert got[r] == plain_propagation(near, colour, e, {n: n for n in near})
+    alone = C.propagate_runs(edges.filter("run = 2"), lambda df, n: work.save(df, f"alone-{n}"), "logsum", order=order)
+    assert {r["node"]: r["label"] for r in alone.collect()} == got[2]
+
+
+def test_folded_colours_still_end(spark, work):
+    """Cliques of more nodes than colours: neighbours of a turn don't swap labels."""
+    e = [(a, b, 0.9) for c in (0, 50) for a in range(c, c + 30) for b in range(a + 1, c + 30)] + [(3, 53, 0.5)]
+    got = {r["node"]: r["label"] for r in C.propagate(spark.createDataFrame(e, "i long, j long, score double"), work.save, "tail", 40).collect()}
+    assert {got[x] for x in range(30)} == {0} and {got[x] for x in range(50, 80)} == {50}
