@@ -7,13 +7,14 @@ similarities few bits are set, few of them collide, and the estimate is precise;
 estimated near enough to the bound, and a link counts only if the full sets confirm it.
 
 Candidates are nodes that share a band's bucket. First every node of a bucket meets the bucket's smallest node: pairs,
-each kept once, are estimated and then confirmed next to the smaller node's set, in chunks. What these links join needs
-no further comparison. Buckets whose nodes are still in several components are searched whole, in tiles of bounded
-size: the component with most nodes on one side, the others on both; a pair is estimated in the tile of the first band
-that it shares only. Only nodes with a close partner get their sets, and a tile links what isn't joined yet.
+each kept once, are estimated and then confirmed next to the smaller node's set, in chunks. A bucket of two is done with
+that, and what these links join needs no further comparison. Buckets whose other nodes are still in several components are
+searched whole, in tiles of bounded size: the component with most nodes on one side, the others on both; a pair is
+estimated in the tile of the first band that it shares only. Only nodes with a close partner get their sets, and a tile
+links what isn't joined yet.
 
-With 36 bands of 5 registers a pair at similarity 0.8 is missed by the bands with probability 6e-7, more similar ones
-less; an estimate under 0.55 would take 81 of 180 registers to differ where 36 do on average, 8 standard deviations.
+With 48 bands of 6 registers a pair at similarity 0.8 is missed by the bands with probability 5e-7, more similar ones
+less; an estimate under 0.67 is 5 standard deviations away from 0.8.
 
 Defined cases: null text is empty; text without words has an empty set, linked with nothing: it is its own component,
 its doc_id; fewer words than a shingle's are one shingle; rows with a null doc_id keep their place, their component is
@@ -43,9 +44,9 @@ class OddSketchParams:
     words: int = 2
     #: The least Jaccard similarity of a link, and the least estimate that is confirmed, in percent.
     similar_percent: int = 80
-    estimate_percent: int = 55
-    bands: int = 36
-    band_rows: int = 5
+    estimate_percent: int = 67
+    bands: int = 48
+    band_rows: int = 6
     sketch_bits: int = 1024
     #: Partners that are confirmed together, and nodes of a tile's block.
     chunk: int = 16
@@ -80,14 +81,15 @@ class MinHasher:
     def __init__(self, params: OddSketchParams):
         self.params = params
         rng = np.random.Generator(np.random.PCG64(params.seed))
-        self.factor, self.shift = rng.integers(0, 1 << 64, size=(2, params.registers), dtype=np.uint64)
-        self.factor |= np.uint64(1)
+        self.factor, self.shift = rng.integers(0, 1 << 32, size=(2, params.registers), dtype=np.uint32)
+        self.factor |= np.uint32(1)
         self.salt = rng.integers(0, 1 << 64, size=params.registers, dtype=np.uint64)
 
     def registers(self, grams: np.ndarray) -> np.ndarray:
-        least = np.full(self.params.registers, ~np.uint64(0))
-        for s in range(0, len(grams), 512):
-            part = grams[s : s + 512, None] * self.factor
+        least = np.full(self.params.registers, ~np.uint32(0))
+        high = (grams >> np.uint64(32)).astype(np.uint32)
+        for s in range(0, len(high), 512):
+            part = high[s : s + 512, None] * self.factor
             part += self.shift
             np.minimum(least, part.min(axis=0), out=least)
         return least
@@ -146,15 +148,6 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirm(percent: int):
-    def run(key, one: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
-        mine = one["grams"].iloc[0] if len(one) else None
-        ok = [b for b, grams in zip(partners["b"], partners["grams"]) if mine is not None and similar(mine, grams, percent)]
-        return pd.DataFrame({"a": np.full(len(ok), key[0], dtype=np.int64), "b": np.array(ok, dtype=np.int64)})
-
-    return run
-
-
 def words_of(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.int64)
 
@@ -173,9 +166,9 @@ def _estimated(params: OddSketchParams):
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         near = close(words_of(pdf["sketch"]), pdf["n"].to_numpy(), pdf["root"].to_numpy(), params)
-        keys = words_of(pdf["keys"])
+        keys, key = words_of(pdf["keys"]), pdf["key"].iloc[0]
         x, y = np.nonzero(near)
-        first = (keys[x] == keys[y]).argmax(axis=1) == pdf["band"].iloc[0]
+        first = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == key
         have = np.unique(x[first])
         return pdf.iloc[have][["tile", "node", "root", "sketch", "n"]]
 
@@ -209,10 +202,9 @@ def _xor_bits(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _star_links(nodes: DataFrame, dealt: DataFrame, texts: DataFrame, work: Workspace, params: OddSketchParams) -> DataFrame:
+def _star_links(nodes: DataFrame, shared: DataFrame, texts: DataFrame, work: Workspace, params: OddSketchParams) -> DataFrame:
     """(a, b): confirmed links between a bucket's smallest node and its others."""
-    least = dealt.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    pairs = work.save(dealt.join(least, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    pairs = work.save(shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     side = lambda at: nodes.select(F.col("node").alias(at), F.col("n").alias(f"n_{at}"), F.col("sketch").alias(f"s_{at}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     fits = (100 * F.least("n_a", "n_b") >= params.similar_percent * F.greatest("n_a", "n_b")) & (_xor_bits("s_a", "s_b") <= params.most_bits)
@@ -222,15 +214,16 @@ def _star_links(nodes: DataFrame, dealt: DataFrame, texts: DataFrame, work: Work
     one = near.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("rid")).select("a", "chunk", "text")
     partners = near.join(texts, F.col("b") == F.col("rid")).select("a", "chunk", "b", "text")
     one = one.mapInPandas(_sets(params), "a long, chunk int, grams array<long>")
-    partners = partners.mapInPandas(_sets(params), "a long, chunk int, b long, grams array<long>")
-    met = one.groupBy("a", "chunk").cogroup(partners.groupBy("a", "chunk")).applyInPandas(_confirm(params.similar_percent), "a long, b long")
-    return work.save(met, "star")
+    partners = partners.mapInPandas(_sets(params), "a long, chunk int, b long, grams array<long>").withColumnRenamed("grams", "others")
+    common = F.size(F.array_intersect("grams", "others"))
+    alike = 100 * common >= params.similar_percent * (F.size("grams") + F.size("others") - common)
+    return work.save(partners.join(one, ["a", "chunk"]).filter(alike).select("a", "b"), "star")
 
 
-def _tile_links(nodes: DataFrame, dealt: DataFrame, roots: DataFrame, texts: DataFrame, work: Workspace, params: OddSketchParams) -> DataFrame:
-    """(a, b): confirmed links within the buckets whose nodes are in several components of (node, root)."""
-    rooted = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = work.save(rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+def _tile_links(nodes: DataFrame, shared: DataFrame, roots: DataFrame, texts: DataFrame, work: Workspace, params: OddSketchParams) -> DataFrame:
+    """(a, b): confirmed links within the buckets whose nodes, the smallest aside, are in several components of (node, root)."""
+    rooted = work.save(shared.filter("held > 2 and node <> a").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
     mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("all"), F.max(F.struct("rows", "root")).alias("most")).filter("parts > 1")
     blocks = lambda rows: F.ceil(rows / params.block).cast("int")
     mixed = mixed.select("key", F.col("most.root").alias("main"), (F.col("all") <= params.block).alias("small"), blocks(F.col("most.rows")).alias("mains"), blocks(F.col("all") - F.col("most.rows")).alias("others"))
@@ -243,7 +236,7 @@ def _tile_links(nodes: DataFrame, dealt: DataFrame, roots: DataFrame, texts: Dat
     of_main = F.transform(up_to("others"), lambda i: cell("main", i, F.col("at")))
     of_other = F.concat(F.transform(up_to("others"), lambda i: cell("other", F.least(i, F.col("at")), F.greatest(i, F.col("at")))), F.transform(up_to("mains"), lambda j: cell("main", F.col("at"), j)))
     cells = F.when(F.col("small"), F.array(cell("all", F.lit(0), F.lit(0)))).when(is_main, of_main).otherwise(of_other)
-    tiled = held.withColumn("at", at).select("key", "band", "node", "root", F.explode(cells).alias("cell")).select(F.xxhash64("key", "cell.kind", "cell.i", "cell.j").alias("tile"), "band", "node", "root")
+    tiled = held.withColumn("at", at).select("key", "node", "root", F.explode(cells).alias("cell")).select(F.xxhash64("key", "cell.kind", "cell.i", "cell.j").alias("tile"), "key", "node", "root")
     tiled = tiled.join(nodes.select("node", "n", "keys", "sketch"), "node")
     near = tiled.groupBy("tile").applyInPandas(_estimated(params), "tile long, node long, root long, sketch array<long>, n long")
     near = work.save(near, "close")
@@ -260,16 +253,18 @@ def near_duplicates(docs: DataFrame, work: Workspace, params: OddSketchParams =
     prints = work.save(prints, "prints")
     heads = prints.filter("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"))
     nodes = work.save(heads.join(prints.select("rid", "n", "keys", "sketch"), F.col("node") == F.col("rid")).drop("rid"), "nodes")
-    dealt = work.save(nodes.select("node", F.posexplode("keys").alias("band", "key")), "dealt")
+    dealt = nodes.select("node", F.explode("keys").alias("key"))
+    least = dealt.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    shared = work.save(dealt.join(least, "key"), "shared")
     texts = texts.select("rid", "text")
-    links = _star_links(nodes, dealt, texts, work, params)
+    links = _star_links(nodes, shared, texts, work, params)
     roots = connected(links, work, "star")
     roots = work.save(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
-    more = _tile_links(nodes, dealt, roots, texts, work, params)
+    more = _tile_links(nodes, shared, roots, texts, work, params)
     if not more.isEmpty():
-        roots = connected(links.unionByName(more), work, "whole")
+        roots = connected(links.unionByName(more), work, "all")
         roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    rooted = work.save(nodes.select("node", "first", "h1", "h2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    rooted = work.save(nodes.select("node", "first", "h1", "h2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "whole")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = work.save(rooted.join(least, "root").select("h1", "h2", "component_id"), "components")
     full = prints.filter("n > 0").select("doc_id", "n", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "n", "component_id")

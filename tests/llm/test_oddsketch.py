@@ -41,7 +41,7 @@ def edited(words, rng, share):
     return " ".join(w)
 
 
-def corpus(seed=0, groups=12, copies=8, hot=60):
+def corpus(seed=0, groups=12, copies=8, hot=60, share=0.04):
     rng = np.random.default_rng(seed)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = []
@@ -49,7 +49,7 @@ def corpus(seed=0, groups=12, copies=8, hot=60):
         base = rng.choice(vocabulary, 120)
         texts += [edited(base, rng, s) for s in rng.choice([0.01, 0.03, 0.05, 0.08, 0.12], copies)]
     base = rng.choice(vocabulary, 150)
-    texts += [edited(base, rng, 0.04) for _ in range(hot)]  # one large group of near copies, not all pairs linked
+    texts += [edited(base, rng, share) for _ in range(hot)]  # one large group of near copies, not all pairs linked
     texts += [" ".join(rng.choice(vocabulary, 100)) for _ in range(40)]
     texts += ["one", "ONE", "one two", "One\tTwo", "two one", "É a", "é a", "x " * 5000, "x x", "y" * 100_000]
     rows = [(int(i), t, "c", 1, 2) for i, t in enumerate(rng.permutation(np.array(texts, dtype=object)))]
@@ -64,10 +64,13 @@ def test_components(spark, work, seed, params):
 
 
 def test_links_that_only_tiles_find(spark, work, monkeypatch):
-    """Without the first step every link comes from the tiles, small and cut ones."""
-    monkeypatch.setattr(odd, "_star_links", lambda *a: spark.createDataFrame([], "a long, b long"))
-    rows = corpus(2, groups=4)
-    assert found(odd.near_duplicates(spark.createDataFrame(rows, SCHEMA), work, odd.OddSketchParams(block=8))) == brute(rows)
+    """One large group whose smallest node is like few of the others: whole and cut tiles find the rest."""
+    found_by = []
+    monkeypatch.setattr(odd, "_tile_links", lambda *a, f=odd._tile_links: found_by.append(f(*a)) or found_by[-1])
+    rows = corpus(2, groups=1, hot=120, share=0.034)
+    for block in (8, 128):
+        assert found(odd.near_duplicates(spark.createDataFrame(rows, SCHEMA), work, odd.OddSketchParams(block=block))) == brute(rows)
+        assert found_by[-1].count() > 0
 
 
 def test_a_chain(spark, work):
