@@ -251,50 +251,95 @@ def _in_order(min_free: float):
     return run
 
 
-def refine_consensus(members: DataFrame, markers: DataFrame, set_size: int, min_completeness: float = 50.0, max_contamination: float = 10.0, penalty: float = 5.0, work: Workspace | None = None, task_rows: int = 2_000_000) -> DataFrame:
+def _overtaken(set_size: int, min_completeness: float, max_contamination: float, penalty: float):
+    """When one candidate comes first, if the contigs in ``firsts`` go in the order of their candidates: (root, at, name),
+    the key of the last one that goes before it or its own key then, whichever is later; no row if it never does."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, n, steps = pdf["cand"].iloc[0], {}, {}
+        for markers, at, owner in zip(pdf["markers"], pdf["first_at"], pdf["first"]):
+            for m in markers:
+                n[m] = n.get(m, 0) + 1
+            if owner is not None and owner == owner:
+                steps.setdefault((at, owner), []).append(markers)
+        order, last = sorted(steps), None
+        for i in range(len(order) + 1):
+            comp, cont = 100.0 * len(n) / set_size, 100.0 * (sum(n.values()) - len(n)) / set_size
+            if comp >= min_completeness and cont <= max_contamination:
+                own = (-(comp - penalty * cont), name)
+                when = own if last is None else max(own, last)
+                if i == len(order) or when < order[i]:
+                    return pd.DataFrame({"root": pdf["root"].iloc[:1].to_numpy(), "at": [when[0]], "name": [when[1]]})
+            if i < len(order):
+                last = order[i]
+                for markers in steps[last]:
+                    for m in markers:
+                        n[m] -= 1
+                        if not n[m]:
+                            del n[m]
+        return pd.DataFrame({"root": pdf["root"].iloc[:0].to_numpy(), "at": [], "name": pdf["cand"].iloc[:0]})
+
+    return run
+
+
+def refine_consensus(members: DataFrame, markers: DataFrame, set_size: int, min_completeness: float = 50.0, max_contamination: float = 10.0, penalty: float = 5.0, work: Workspace | None = None, task_rows: int = 50_000) -> DataFrame:
     """(cand, seq, score): take the best candidate bin, remove its contigs everywhere, score again, until none is good enough.
 
     Of equals the smaller name comes first. Candidates that can't reach ``min_completeness``, which never grows, are
-    left out at once. Candidates that share contigs, directly or through others, form components, which don't
-    influence each other: one of up to ``task_rows`` rows is settled in a task by the plain loop. Larger ones go by rounds
-    of aggregations until they fall apart: the best of a component is taken, and every candidate that none of those
-    it shares contigs with could still outrank, as none can score above its present completeness.
+    left out. Candidates that share contigs, directly or through others, form components, which don't influence each other.
+
+    A round takes many candidates of a component at once. Its firsts are those that come before all others at each of
+    their contigs; no two share one, so none changes another's score. If they went in order, every other candidate would
+    lose contigs to some of them, and may rise: each candidate's rows, one group, tell when it would come before the next
+    first. Up to the earliest such moment in the component the firsts are what the loop takes, and all of them go. The
+    best candidate always does. Only candidates that lost contigs are scored again. A component with no more than
+    ``task_rows`` rows left is settled by the plain loop, in one group.
     """
     work = work or Workspace(members.sparkSession, "consensus")
     kinds = dict(members.dtypes)
-    left, picked, k = work.save(members.select("cand", "seq").distinct(), "members"), None, 0
+    schema = f"cand {kinds['cand']}, seq {kinds['seq']}, score double"
+
+    def scored(rows: DataFrame) -> DataFrame:
+        """(cand, at): at is the score with its sign turned, null for the contaminated; candidates that are too incomplete go."""
+        c = rows.select("cand", F.explode("markers").alias("m")).groupBy("cand", "m").agg(F.count(F.lit(1)).alias("c"))
+        c = c.groupBy("cand").agg((100.0 * F.count(F.lit(1)) / set_size).alias("comp"), (100.0 * F.sum(F.col("c") - 1) / set_size).alias("cont"))
+        return c.filter(F.col("comp") >= min_completeness).select("cand", F.when(F.col("cont") <= max_contamination, -(F.col("comp") - penalty * F.col("cont"))).alias("at"))
+
+    held = markers.filter("marker is not null").groupBy("seq").agg(F.collect_list("marker").alias("markers"))
+    rows = members.select("cand", "seq").distinct().join(held, "seq", "left").withColumn("markers", F.coalesce("markers", F.array().cast(held.schema["markers"].dataType)))
+    rows = work.save(rows.select("cand", "seq", "markers"), "members")
+    scores = work.save(scored(rows), "scores")
+    left = overlap_groups(rows.join(scores.select("cand"), "cand"), work, "overlap")
+    out, k = None, 0
     while True:
-        c = candidate_scores(left, markers, set_size).filter(F.col("completeness") >= min_completeness)
-        good = F.col("contamination") <= max_contamination
-        s = work.save(c.select("cand", F.col("completeness").alias("most"), F.when(good, F.col("completeness") - penalty * F.col("contamination")).alias("score")), f"scores{k}")
-        live = work.save(left.join(s, "cand"), f"live{k}")
-        live = overlap_groups(live, work, f"overlap{k}-")
-        small = live.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") <= task_rows)
-        marked = live.join(small, "root", "left_semi").select("root", "cand", "seq")
-        held = markers.groupBy("seq").agg(F.collect_list("marker").alias("markers"))
-        empty = F.array().cast(held.schema["markers"].dataType)
-        marked = marked.join(held, "seq", "left").withColumn("markers", F.coalesce("markers", empty))
-        done = marked.groupBy("root").applyInPandas(_greedy(set_size, min_completeness, max_contamination, penalty), f"cand {kinds['cand']}, seq {kinds['seq']}, score double")
-        large = live.join(small, "root", "left_anti")
-        if large.isEmpty():
-            picked = done if picked is None else picked.unionByName(done)
-            return work.save(picked, "picked")
-        order, could = F.struct(-F.col("score"), "cand"), F.struct((-F.col("most")).alias("score"), "cand")
-        scored = large.filter("score is not null")
-        best = scored.groupBy("root").agg(F.min(order).alias("best"))
-        first = scored.join(best, "root").filter(order == F.col("best")).select("cand")
-        # the two that could come first at each contig: one of them is another candidate
-        rivals = large.groupBy("seq").agg(F.slice(F.array_sort(F.collect_set(could)), 1, 2).alias("r"))
-        beaten = scored.join(rivals, "seq").filter(F.exists("r", lambda x: (x["cand"] != F.col("cand")) & (F.struct(x["score"], x["cand"]) < F.struct((-F.col("score")).alias("score"), F.col("cand"))))).select("cand")
-        won = scored.join(beaten, "cand", "left_anti").select("cand").unionByName(first).distinct()
-        taken = scored.join(won, "cand", "left_semi").select("cand", "seq", "score")
-        done = work.save(done.unionByName(taken), f"won{k}")
-        picked = done if picked is None else picked.unionByName(done)
-        left = work.save(large.join(won, "cand", "left_anti").select("cand", "seq").join(taken.select("seq"), "seq", "left_anti"), f"left{k}")
+        sizes = work.save(left.groupBy("root").agg(F.count(F.lit(1)).alias("rows")), f"sizes{k}")
+        small = sizes.filter(F.col("rows") <= task_rows)
+        done = left.join(small, "root", "left_semi").select("root", "cand", "seq", "markers").groupBy("root").applyInPandas(_greedy(set_size, min_completeness, max_contamination, penalty), schema)
+        done = work.save(done, f"done{k}")
+        out = done if out is None else out.unionByName(done)
+        if sizes.filter(F.col("rows") > task_rows).isEmpty():
+            return work.save(out, "picked")
+        large = left.join(small, "root", "left_anti").join(scores, "cand")
+        key = F.when(F.col("at").isNotNull(), F.struct("at", "cand"))
+        top = large.groupBy("seq").agg(F.min(key).alias("top"))
+        marked = work.save(large.join(top, "seq").withColumn("leads", F.coalesce(F.col("top.cand") == F.col("cand"), F.lit(False))), f"marked{k}")
+        firsts = work.save(marked.groupBy("root", "cand").agg(F.bool_and("leads").alias("leads"), F.first("at").alias("at")).filter("leads").select("root", F.col("cand").alias("first"), F.col("at").alias("first_at")), f"firsts{k}")
+        others = marked.join(firsts.select(F.col("first").alias("cand")), "cand", "left_anti").select("root", "cand", "markers", F.col("top.cand").alias("first"))
+        others = others.join(firsts.drop("root"), "first", "left").select("root", "cand", "markers", F.when(F.col("first_at").isNotNull(), F.col("first")).alias("first"), "first_at")
+        when = others.groupBy("cand").applyInPandas(_overtaken(set_size, min_completeness, max_contamination, penalty), f"root long, at double, name {kinds['cand']}")
+        cut = when.groupBy("root").agg(F.min(F.struct("at", "name")).alias("cut"))
+        won = firsts.join(cut, "root", "left").filter(F.col("cut").isNull() | (F.struct(F.col("first_at").alias("at"), F.col("first").alias("name")) <= F.col("cut"))).select(F.col("first").alias("cand"))
+        taken = work.save(marked.join(won, "cand", "left_semi").select("cand", "seq", (-F.col("at")).alias("score")), f"taken{k}")
+        out = out.unionByName(taken)
+        rest = marked.join(taken.select("cand").distinct(), "cand", "left_anti").join(taken.select("seq", F.lit(True).alias("gone")), "seq", "left")
+        rest = work.save(rest.select("root", "cand", "seq", "markers", F.col("gone").isNotNull().alias("gone")), f"rest{k}")
+        touched = rest.filter("gone").select("cand").distinct()
+        again = scored(rest.filter("not gone").join(touched, "cand", "left_semi"))
+        scores = work.save(scores.join(touched, "cand", "left_anti").unionByName(again), f"scores{k}")
+        left = work.save(rest.filter("not gone").drop("gone").join(scores.select("cand"), "cand"), f"left{k}")
         k += 1
 
 
-def ensemble_consensus(members: DataFrame, markers: DataFrame, set_size: int, min_completeness: float = 30.0, min_free: float = 0.5, penalty: float = 5.0, work: Workspace | None = None, task_rows: int = 2_000_000) -> DataFrame:
+def ensemble_consensus(members: DataFrame, markers: DataFrame, set_size: int, min_completeness: float = 30.0, min_free: float = 0.5, penalty: float = 5.0, work: Workspace | None = None, task_rows: int = 50_000) -> DataFrame:
     """(cand, seq, score): candidates in descending score, each taken with its free contigs if half of them are free.
 
     Components of candidates that share contigs are settled in a task each, up to ``task_rows`` rows. In larger ones a
