@@ -49,8 +49,8 @@ class PhraseParams:
     #: Bits of the bitmap between levels, as a power of two; its size is the bound of what is sent to the tasks.
     filter_bits: int = 26
     #: Words that a task encodes at once, and the memory of a bucket's duckdb.
-    chunk_words: int = 2_000_000
-    bucket_memory: str = "256MB"
+    chunk_words: int = 1_000_000
+    bucket_memory: str = "192MB"
 
 
 def pieces(docs: DataFrame) -> DataFrame:
