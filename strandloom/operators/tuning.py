@@ -136,7 +136,7 @@ def perturbed_runs(pairs: DataFrame, prof: DataFrame, samples: int, base: Settin
     lab = clustered_runs(edges, lambda df, x: work.save(df, f"runs-{x}"), kind, seeds, max_rounds, order)
     nodes = pairs.select(F.col("i").alias("seq")).union(pairs.select("j")).distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(seeds) - 1))))
     whole = nodes.join(lab.select("run", F.col("node").alias("seq"), "label"), ["run", "seq"], "left")
-    return work.save(whole.select("run", "seq", F.coalesce("label", "seq").alias("label")), "runs")
+    return work.save(whole.select("run", "seq", F.coalesce("label", "seq").alias("label")), "perturbed")
 
 
 def alternatives(reference: DataFrame, runs: DataFrame) -> DataFrame:

@@ -150,3 +150,21 @@ def test_trajectories_equal_a_plain_loop_and_cut_edges(spark):
     t = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.05])], "contig long, v array<double>")
     edges = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.9), (1, 4, 0.9)], "i long, j long, score double")
     assert {(r["i"], r["j"]) for r in G.trajectory_gate(edges, t).collect()} == {(1, 3), (1, 4)}
+
+
+def test_runs_share_their_jobs(spark, work, two_groups):
+    """The number of Spark jobs doesn't hang on the number of runs, and each run is as if alone."""
+    pairs, prof = two_groups
+    base = U.Setting(0.5, 1.0, 0.7)
+    order = C.colours(pairs.select("i", "j"), work.save, 24)
+    sc, jobs, got = spark.sparkContext, {}, {}
+    for name, settings in {"one": [base], "many": [base] * 5, "mixed": U.perturbations(base)[:3]}.items():
+        sc.setJobGroup(name, name)
+        runs = U.perturbed_runs(pairs, prof, 0, base, work, settings=settings, order=order).collect()
+        jobs[name] = len(sc.statusTracker().getJobIdsForGroup(name))
+        got[name] = {(r["run"], r["seq"]): r["label"] for r in runs}
+    sc.setJobGroup("", "")
+    assert jobs["many"] <= 1.2 * jobs["one"]  # adaptive execution starts a job more or less
+    assert all(got["many"][r, x] == label for (_, x), label in got["one"].items() for r in range(5))
+    alone = U.perturbed_runs(pairs, prof, 0, base, work, settings=U.perturbations(base)[1:2], order=order).collect()
+    assert {r["seq"]: r["label"] for r in alone} == {x: label for (run, x), label in got["mixed"].items() if run == 1}
