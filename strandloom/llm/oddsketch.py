@@ -30,12 +30,14 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators.components import connected
 
+from .collocations import seen
 from .common import Workspace, ship, table
 
 
@@ -52,6 +54,8 @@ class OddSketchParams:
     chunk: int = 16
     block: int = 128
     seed: int = 42
+    #: Bits, as a power of two, of the bitmap that tells which texts are needed again: the bound of what is sent to the tasks.
+    filter_bits: int = 26
 
     @property
     def registers(self) -> int:
@@ -141,6 +145,37 @@ def _sets(params: OddSketchParams):
     return run
 
 
+def _bits_of(nodes: np.ndarray) -> np.ndarray:
+    h = nodes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def _node_words(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bits_of(batch.column(0).to_numpy()) & np.uint64(size - 1))
+            yield pa.RecordBatch.from_pydict({"at": (at >> np.uint64(6)).astype(np.int64), "bits": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+    return run
+
+
+def _texts_of(nodes: DataFrame, texts: DataFrame, work: Workspace, params: OddSketchParams, name: str) -> DataFrame:
+    """The rows (rid, text) of the nodes (node), and few others: so texts that nobody asks for aren't shuffled.
+
+    The nodes are told by a bitmap of fixed size. The fuller it is, the more other rows pass; a join drops them."""
+    words = nodes.select("node").mapInArrow(_node_words(1 << params.filter_bits), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(1 << (params.filter_bits - 6), dtype=np.uint64)
+    bits[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    sent = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(sent.value, dtype=np.uint64)
+        for batch in batches:
+            yield batch.filter(pa.array(seen(held, _bits_of(batch.column(0).to_numpy()))))
+
+    return work.save(texts.mapInArrow(run, "rid long, text string"), name, "zstd")
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -211,6 +246,7 @@ def _star_links(nodes: DataFrame, shared: DataFrame, texts: DataFrame, work: Wor
     near = work.save(both.filter(fits).select("a", "b"), "near")
     chunks = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / params.chunk).cast("int").alias("chunks"))
     near = work.save(near.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk")), "chunks")
+    texts = _texts_of(near.select(F.explode(F.array("a", "b")).alias("node")), texts, work, params, "star_texts")
     one = near.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("rid")).select("a", "chunk", "text")
     partners = near.join(texts, F.col("b") == F.col("rid")).select("a", "chunk", "b", "text")
     one = one.mapInPandas(_sets(params), "a long, chunk int, grams array<long>")
@@ -240,6 +276,7 @@ def _tile_links(nodes: DataFrame, shared: DataFrame, roots: DataFrame, texts: Da
     tiled = tiled.join(nodes.select("node", "n", "keys", "sketch"), "node")
     near = tiled.groupBy("tile").applyInPandas(_estimated(params), "tile long, node long, root long, sketch array<long>, n long")
     near = work.save(near, "close")
+    texts = _texts_of(near, texts, work, params, "tile_texts")
     full = near.join(texts, F.col("node") == F.col("rid")).select("tile", "node", "root", "sketch", "n", "text")
     full = full.mapInPandas(_sets(params), "tile long, node long, root long, sketch array<long>, n long, grams array<long>")
     return work.save(full.groupBy("tile").applyInPandas(_link(params), "a long, b long"), "tiles")
