@@ -46,6 +46,8 @@ class BinConfig:
     min_bin_size: int = 200_000
     min_recruit_cluster: int = 10
     alpha: float = 0.05
+    #: Contigs left over go to bins of ``min_bin_size`` by depth and composition, by a boundary that the bins' own contigs teach.
+    core_recruit: bool = True
     # splitting
     split_max_k: int = 6
     split_min_members: int = 6

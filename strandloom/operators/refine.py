@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.functions import arrays as A
 from strandloom.functions.stats import chi2_critical
 from strandloom.workspace import Workspace
 
@@ -151,12 +152,33 @@ def against_cores(candidates: DataFrame, cores: DataFrame, columns: list[str], k
     return dealt.groupBy("b").cogroup(sent.groupBy("b")).applyInPandas(_core_scores(columns, keep), f"seq long, bin {kind}, score double, tau double")
 
 
+def _frozen_hits(key, contigs: pd.DataFrame, cores: pd.DataFrame) -> pd.DataFrame:
+    """Contigs of a block that reach the own bar of cores of a block: how many, and the first of them."""
+    if not len(contigs) or not len(cores):
+        return pd.DataFrame({"seq": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "bin": cores["bin"].iloc[:0]})
+    cores = cores.sort_values("bin")
+    ok = np.stack(contigs["unit"].tolist()) @ np.stack(cores["mean"].tolist()).T >= cores["tau"].to_numpy()
+    n = ok.sum(axis=1)
+    return pd.DataFrame({"seq": contigs["seq"].to_numpy()[n > 0], "n": n[n > 0].astype(np.int64), "bin": cores["bin"].to_numpy()[ok.argmax(axis=1)[n > 0]]})
+
+
+def blocks_meet(contigs: DataFrame, cores: DataFrame, kernel, schema: str, block: int = 4096) -> DataFrame:
+    """``kernel`` over each block of contigs (seq, ...) with each block of cores (bin, ...); none holds more than ``block`` of either."""
+    nc, nk = (max(1, -(-x.count() // block)) for x in (contigs, cores))
+    at = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = contigs.select("*", at(nc, "seq").alias("b"), each(nk).alias("k"))
+    right = cores.select("*", at(nk, "bin").alias("k"), each(nc).alias("b"))
+    return left.groupBy("b", "k").cogroup(right.groupBy("b", "k")).applyInPandas(kernel, schema)
+
+
 def recruit_to_frozen(candidates: DataFrame, cores: DataFrame) -> DataFrame:
-    """(seq, bin) of candidates (seq, unit[]) whose correlation reaches the own mean of exactly one core (bin, tau, mean[])."""
-    c = cores.select("bin", "tau", F.col("mean").alias("unit_core"))
-    n = max(1, c.count())
-    hits = against_cores(candidates, c, ["unit"], n).filter("score >= tau")
-    return hits.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("bin").alias("bin")).filter("n = 1").select("seq", "bin")
+    """(seq, bin) of candidates (seq, unit[]) whose correlation reaches the own mean of exactly one core (bin, tau, mean[]).
+
+    The bar is held against and the cores that it lets pass are counted where blocks meet: no score leaves a task."""
+    kind = dict(cores.dtypes)["bin"]
+    hits = blocks_meet(candidates.select("seq", "unit"), cores.select("bin", "tau", "mean"), _frozen_hits, f"seq long, n long, bin {kind}")
+    return hits.groupBy("seq").agg(F.sum("n").alias("n"), F.min("bin").alias("bin")).filter("n = 1").select("seq", "bin")
 
 
 def log_residual_ratio(best: Column, second: Column) -> Column:
@@ -203,6 +225,81 @@ def leave_one_out(members: DataFrame, others: DataFrame) -> DataFrame:
     return j.select(F.when(right, log_residual_ratio(F.col("own"), F.col("o1"))).otherwise(log_residual_ratio(F.col("o1"), F.greatest("own", "o2"))).alias("value"), right.alias("positive"))
 
 
+def core_sums(members: DataFrame) -> DataFrame:
+    """(bin, unit[], tnf[]): sums of unit depth profiles, and of unit compositions weighted by length, of (bin, seq, length, unit[], tnf[])."""
+    one = lambda c, w: members.select("bin", F.lit(c).alias("c"), w.cast("double").alias("w"), F.posexplode(A.unit(F.col(c))).alias("k", "x"))
+    each = one("unit", F.lit(1.0)).unionByName(one("tnf", F.greatest(F.col("length"), F.lit(1))))
+    s = each.groupBy("bin", "c", "k").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
+    inside = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("c") == c, F.struct("k", "s")))), lambda x: x["s"]).alias(c)
+    return s.groupBy("bin").agg(inside("unit"), inside("tnf"))  # a bin has as many rows as its features have places
+
+
+def _joint_scores(key, contigs: pd.DataFrame, cores: pd.DataFrame) -> pd.DataFrame:
+    """(seq, bin, score, own) of a block: each contig's two best cores, and its own without itself.
+
+    A score is the lesser of two cosines, to the core's depth and to its composition. A member is taken out of its own core's
+    sum by a rank-one downdate of dot product and norm, without another pass."""
+    kept = {"seq": [np.zeros(0, np.int64)], "bin": [cores["bin"].to_numpy()[:0]], "score": [np.zeros(0)], "own": [np.zeros(0, bool)]}
+    if len(contigs) and len(cores):
+        cores = cores.sort_values("bin")
+        bins, seqs = cores["bin"].to_numpy(), contigs["seq"].to_numpy()
+        place = {b: i for i, b in enumerate(bins)}
+        at = np.array([place.get(b, -1) for b in contigs["bin"]])
+        mine = np.flatnonzero(at >= 0)
+        joint = None
+        for c, w in (("unit", np.ones(len(contigs))), ("tnf", np.maximum(contigs["length"].to_numpy(float), 1.0))):
+            x, s = np.stack(contigs[c].tolist()), np.stack(cores[c].tolist())
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            dot, ss = x @ s.T, np.broadcast_to((s * s).sum(axis=1), (len(x), len(s))).copy()
+            d, v = dot[mine, at[mine]], w[mine]
+            rest = ss[mine, at[mine]] + v * v - 2 * v * d
+            ss[mine, at[mine]] = np.where(rest > 1e-9 * v * v, rest, 0.0)  # what rounding leaves of a core of one is nothing
+            dot[mine, at[mine]] = d - v
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cos = np.where(ss > 1e-30, np.clip(dot / np.sqrt(np.maximum(ss, 1e-300)), -1.0, 1.0), -np.inf)
+            joint = cos if joint is None else np.minimum(joint, cos)
+        kept["seq"].append(seqs[mine])
+        kept["bin"].append(bins[at[mine]])
+        kept["score"].append(joint[mine, at[mine]])
+        kept["own"].append(np.ones(len(mine), bool))
+        joint[mine, at[mine]] = -np.inf
+        order = np.argsort(-joint, axis=1, kind="stable")[:, :2]  # of equals the smaller bin
+        r, to = np.repeat(np.arange(len(joint)), order.shape[1]), order.ravel()
+        fine = np.isfinite(joint[r, to])
+        kept["seq"].append(seqs[r[fine]])
+        kept["bin"].append(bins[to[fine]])
+        kept["score"].append(joint[r, to][fine])
+        kept["own"].append(np.zeros(fine.sum(), bool))
+    return pd.DataFrame({c: np.concatenate(x) for c, x in kept.items()})
+
+
+def joint_scores(contigs: DataFrame, cores: DataFrame, block: int = 2048) -> DataFrame:
+    """(seq, bin, score, own) of contigs (seq, bin or null, length, unit[], tnf[]) against ``core_sums``. Contigs without a
+    direction in one of the features have no scores."""
+    seen = lambda c: F.exists(c, lambda x: x != 0)
+    rows = contigs.select("seq", "bin", "length", "unit", "tnf").filter(seen("unit") & seen("tnf"))
+    return blocks_meet(rows, cores, _joint_scores, f"seq long, bin {dict(cores.dtypes)['bin']}, score double, own boolean", block)
+
+
+def calibrated_recruit(members: DataFrame, candidates: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(seq, bin, ratio) of the candidates that cores take, and (boundary, tpr, fpr), of which there may be no row.
+
+    members(bin, seq, length, unit[], tnf[]) are the contigs of the cores, candidates(seq, length, unit[], tnf[]) the others.
+    Every member is classified after it is left out of its core; how clearly it finds its own core, or a wrong one, is the
+    evidence from which one boundary is learnt. A candidate goes to its best core if it is as clear as that. The cores don't
+    change meanwhile. Without evidence of both kinds nothing is recruited.
+    """
+    cores = work.save(core_sums(members), "cores")
+    kind = dict(cores.dtypes)["bin"]
+    own = work.save(joint_scores(members, cores), "own_scores")
+    evidence = work.save(leave_one_out(own.filter("own").select("seq", "bin", F.col("score").alias("own")), own.filter("not own").select("seq", "bin", "score")), "evidence")
+    both = evidence.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")).filter("p > 0 and n > 0")
+    boundary = work.save(youden_boundary(evidence).join(F.broadcast(both)).drop("p", "n"), "boundary")  # a row each
+    hits = work.save(joint_scores(candidates.withColumn("bin", F.lit(None).cast(kind)), cores).select("seq", "bin", "score"), "core_scores")
+    best = top_two(hits).filter("second is not null")
+    return best.join(F.broadcast(boundary.select("boundary"))).filter("ratio >= boundary").select("seq", "bin", "ratio"), boundary
+
+
 # -- merging by read pairs
 
 

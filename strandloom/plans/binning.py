@@ -161,6 +161,12 @@ def bin_contigs(spark: SparkSession, contigs: DataFrame, depths: DataFrame, cfg:
         crit = chi2_critical(samples, cfg.alpha, linked.count())
         joined = R.merge_bins(R.merge_candidates(linked, stats, sizes, cfg.min_bin_size, crit), stats, sizes, cfg.min_bin_size, crit)
         where = work.save(where.join(joined, "bin").select("seq", F.col("root").alias("bin")), "merged")
+    if cfg.core_recruit and samples > 1:
+        m = nodes.join(where, "seq")
+        cores = m.groupBy("bin").agg(F.sum("length").alias("t")).filter(F.col("t") >= cfg.min_bin_size).select("bin")
+        rest = nodes.join(where.select("seq"), "seq", "left_anti").filter(F.col("length") >= cfg.min_contig)
+        took, _ = R.calibrated_recruit(work.save(m.join(cores, "bin", "left_semi").select("bin", "seq", "length", "unit", "tnf"), "core_members"), work.save(rest.select("seq", "length", "unit", "tnf"), "leftover"), work)
+        where = work.save(where.unionByName(took.select("seq", "bin")), "recruited")
     if markers is not None and samples >= 1:
         m = nodes.join(where, "seq").select("bin", "seq", F.posexplode("depth").alias("sample", "depth"))
         where = work.save(where.join(E.purify(m, markers).select("seq"), "seq", "left_anti"), "purified")
@@ -174,14 +180,3 @@ def bin_contigs(spark: SparkSession, contigs: DataFrame, depths: DataFrame, cfg:
     table = work.save(table, "table")
     return Binning(edges, labels, work.save(full.join(table.select("bin", "bin_num"), "bin").select("bin_num", "bin", "seq", "length", "depth"), "bins"), table, *stable)
 
-
-def sweep(edges: DataFrame, grid: list[float], save, kind: str = "tail") -> tuple[float, DataFrame]:
-    """The power of the scores whose propagation has the largest modularity on the plain scores."""
-    best = (float("-inf"), 1.0, None)
-    for k, power in enumerate(grid):
-        e = edges.select("i", "j", F.pow("score", F.lit(power)).alias("score"))
-        lab = C.propagate(e, lambda df, n, k=k: save(df, f"sweep{k}-{n}"), kind)
-        q = G.modularity(edges, lab).first()["q"] or 0.0
-        if q > best[0]:
-            best = (q, power, lab)
-    return best[1], best[2]

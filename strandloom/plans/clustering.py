@@ -92,6 +92,15 @@ def _core_top2(s, d):
     return rounded(R.top_two(hits.select("seq", "bin", F.round("score", 9).alias("score"))), "best", "second", "ratio")
 
 
+def _calibrated(s, d):
+    """Parts taken by regions of suppliers: depth by rank profile, the depths themselves in place of a composition."""
+    work = Workspace(s, "calibrated")
+    with_tnf = lambda df: df.withColumns({"unit": A.centred_unit(A.average_ranks(F.col("depth"))), "tnf": F.col("depth")})
+    members = work.save(with_tnf(_region_members(s, d)).select("bin", "seq", "length", "unit", "tnf"), "members")
+    parts = with_tnf(G.depth_matrix(B.part_depth(s, d)).join(B.part_contigs(s, d), "seq")).select("seq", "length", "unit", "tnf")
+    return rounded(R.calibrated_recruit(members, work.save(parts, "parts"), work)[0], "ratio")
+
+
 def _youden(s, d):
     v = B.table(s, d, "customer").select(F.round("c_acctbal", 0).alias("value"), (F.col("c_mktsegment") == "BUILDING").alias("positive"))
     return rounded(R.youden_boundary(v), "tpr", "fpr")
@@ -208,6 +217,7 @@ QUERIES = {
     "coherence_bar": lambda s, d: rounded(R.coherence_bar(R.bin_coherence(_supplier_members(s, d).withColumn("unit", A.centred_unit(A.average_ranks(F.col("depth"))))), 25.0), "bar"),
     "frozen_core_recruit": _frozen,
     "core_recruit_top2": _core_top2,
+    "core_recruit_calibrated": _calibrated,
     "youden_boundary": _youden,
     "pe_links": _links,
     "pe_merge_candidates": _merge_candidates,
@@ -288,6 +298,24 @@ r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, bin) AS
 t AS (SELECT seq, max(bin) FILTER (r = 1) AS bin, max(score) FILTER (r = 1) AS best, max(score) FILTER (r = 2) AS second FROM r WHERE r <= 2 GROUP BY seq)
 SELECT seq, bin, round(best, 6) + 0.0 AS best, round(second, 6) + 0.0 AS second,
   CASE WHEN greatest(1 - best, 0) = 0 THEN CASE WHEN greatest(1 - second, 0) > 0 THEN 'inf'::DOUBLE ELSE 0.0 END WHEN greatest(1 - second, 0) = 0 THEN 0.0 ELSE round(ln(greatest(1 - second, 0) / greatest(1 - best, 0)), 6) + 0.0 END AS ratio FROM t""",
+    "core_recruit_calibrated": f"""WITH {_REG}, {_PART},
+mem AS (SELECT DISTINCT bin, seq, length FROM reg),
+mv AS (SELECT m.bin, m.seq, m.length, u.k, u.u, coalesce(u.x / nullif(sqrt(sum(u.x * u.x) OVER (PARTITION BY u.seq)), 0), 0) AS t, sum(u.u * u.u) OVER (PARTITION BY u.seq) > 0 AND sum(u.x * u.x) OVER (PARTITION BY u.seq) > 0 AS ok FROM mem m JOIN units u ON m.seq = u.seq),
+cs AS (SELECT bin, k, sum(u) AS su, sum(length * t) AS st FROM mv GROUP BY ALL),
+cn AS (SELECT bin, sum(su * su) AS nu, sum(st * st) AS nt FROM cs GROUP BY bin),
+dm AS (SELECT m.seq, m.bin AS own, m.length, c.bin, sum(m.u * c.su) AS du, sum(m.t * c.st) AS dt FROM mv m JOIN cs c ON m.k = c.k WHERE m.ok GROUP BY ALL),
+sc AS (SELECT seq, own, dm.bin, greatest(-1, least(1, CASE WHEN own = dm.bin THEN least((du - 1) / sqrt(nu - 2 * du + 1), (dt - length) / sqrt(nt - 2 * length * dt + length * length)) ELSE least(du / sqrt(nu), dt / sqrt(nt)) END)) AS score FROM dm JOIN cn ON dm.bin = cn.bin),
+rk AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, bin) AS r FROM sc WHERE own <> bin),
+ot AS (SELECT seq, max(score) FILTER (r = 1) AS o1, max(score) FILTER (r = 2) AS o2 FROM rk GROUP BY seq),
+ev AS (SELECT CASE WHEN s.score > o1 THEN ln((1 - o1) / (1 - s.score)) ELSE ln((1 - greatest(s.score, o2)) / (1 - o1)) END AS value, s.score > o1 AS positive FROM sc s JOIN ot ON s.seq = ot.seq WHERE s.own = s.bin AND s.score <> o1),
+vc AS (SELECT value, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n FROM ev GROUP BY value),
+roc AS (SELECT value, sum(p) OVER (ORDER BY value DESC) / sum(p) OVER () - sum(n) OVER (ORDER BY value DESC) / sum(n) OVER () AS j FROM vc),
+cut AS (SELECT value AS boundary FROM roc ORDER BY j DESC, value DESC LIMIT 1),
+pv AS (SELECT seq, k, u, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY seq)), 0) AS t, sum(u * u) OVER (PARTITION BY seq) > 0 AS ok FROM punit),
+ps AS (SELECT p.seq, c.bin, greatest(-1, least(1, least(sum(p.u * c.su) / sqrt(any_value(n.nu)), sum(p.t * c.st) / sqrt(any_value(n.nt))))) AS score FROM pv p JOIN cs c ON p.k = c.k JOIN cn n ON n.bin = c.bin WHERE p.ok GROUP BY ALL),
+pr AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, bin) AS r FROM ps),
+pt AS (SELECT seq, max(bin) FILTER (r = 1) AS bin, ln((1 - max(score) FILTER (r = 2)) / (1 - max(score) FILTER (r = 1))) AS ratio FROM pr GROUP BY seq)
+SELECT seq, bin, round(ratio, 6) + 0.0 AS ratio FROM pt, cut WHERE ratio >= boundary""",
     "youden_boundary": """WITH v AS (SELECT round(c_acctbal, 0) AS value, count(*) FILTER (c_mktsegment = 'BUILDING') AS p, count(*) FILTER (c_mktsegment <> 'BUILDING') AS n FROM customer GROUP BY 1),
 r AS (SELECT value, sum(p) OVER (ORDER BY value DESC) / sum(p) OVER () AS tpr, sum(n) OVER (ORDER BY value DESC) / sum(n) OVER () AS fpr FROM v)
 SELECT value AS boundary, round(tpr, 6) + 0.0 AS tpr, round(fpr, 6) + 0.0 AS fpr FROM r ORDER BY tpr - fpr DESC, value DESC LIMIT 1""",

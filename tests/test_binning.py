@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import BinConfig
 from strandloom.operators import tuning
-from strandloom.plans.binning import bin_contigs, sweep
+from strandloom.plans.binning import bin_contigs
 from strandloom.streaming import coverage as SC
 
 
@@ -53,10 +53,6 @@ def test_planted_genomes_come_back(spark, monkeypatch):
     with pytest.raises(ValueError):
         bin_contigs(spark, contigs, depths, BinConfig(select="markers"))
     assert [r["bin_num"] for r in out.table.orderBy("bin_num").collect()] == list(range(1, out.table.count() + 1))
-    from strandloom.workspace import Workspace
-
-    power, labels = sweep(out.edges, [1.0, 1.5], Workspace(spark, "sweep").save)
-    assert power in (1.0, 1.5) and labels.count() > 0
 
 
 def test_streamed_coverage_equals_batch(spark, tmp_path):
