@@ -54,6 +54,9 @@ class BinConfig:
     split_restarts: int = 10
     split_silhouette: float = 0.70
     split_sample: int = 600
+    #: Bins under ``min_bin_size`` are split too, and keep the pieces whose coherence reaches this percentile of the others'.
+    split_feedback: bool = True
+    split_coherence_percent: float = 10.0
     # alignments
     percent_identity: int = 97
     min_mapq: int = 0

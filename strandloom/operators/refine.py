@@ -462,6 +462,23 @@ def abundance_split(members: DataFrame, floor: int = 200_000, least: int = 6, ma
     return members.select("bin", "seq", "length", "y").groupBy("bin").applyInPandas(_split(least, max_k, threshold, restarts, floor, min_child), f"bin {kind}, piece long, seq long, length long")
 
 
+def feedback_split(members: DataFrame, work: Workspace, floor: int = 200_000, percent: float = 10.0, **how) -> DataFrame:
+    """(bin, piece, seq, length, again) of (bin, seq, length, y[], unit[]): bins from the floor on are split as ``abundance_split``
+    does; the coherence of what they give sets a bar, its ``percent``-th percentile, and smaller bins are then split too,
+    of which the pieces stay, as ``again``, that are at least as coherent. Pieces of one contig have no coherence and go, as do
+    all small ones where there is no bar.
+    """
+    total = members.groupBy("bin").agg((F.sum("length") >= floor).alias("large"))
+    both = work.save(members.join(total, "bin"), "feedback_members")
+    first = work.save(abundance_split(both.filter("large"), floor, **how), "feedback_first")
+    units = both.select("bin", "seq", "unit")
+    named = lambda pieces: pieces.join(units, ["bin", "seq"]).select(F.struct("bin", "piece").alias("bin"), "seq", "unit")
+    bar = coherence_bar(bin_coherence(named(first)), percent)
+    second = work.save(abundance_split(both.filter(~F.col("large")), 0, **how), "feedback_second")
+    clear = bin_coherence(named(second)).join(F.broadcast(bar)).filter("coherence >= bar").select("bin.*")  # bar is one row
+    return first.withColumn("again", F.lit(False)).unionByName(second.join(clear, ["bin", "piece"], "left_semi").withColumn("again", F.lit(True)))
+
+
 def _marker_split(least: int, max_k: int, restarts: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")

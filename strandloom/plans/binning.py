@@ -149,7 +149,11 @@ def bin_contigs(spark: SparkSession, contigs: DataFrame, depths: DataFrame, cfg:
         left = nodes.join(members.select("seq"), "seq", "left_anti").filter(F.col("length") >= cfg.min_small_contig)
         got = R.recruit_by_abundance(work.save(left.select("seq", "length", "y"), "left"), bins, model, samples, cfg.alpha)
         members = work.save(members.unionByName(nodes.join(got, "seq").select(*members.columns)), "members1")
-    split = R.abundance_split(members, cfg.min_bin_size, cfg.split_min_members, cfg.split_max_k, silhouette, cfg.split_restarts)
+    how = {"least": cfg.split_min_members, "max_k": cfg.split_max_k, "threshold": silhouette, "restarts": cfg.split_restarts}
+    if cfg.split_feedback and samples > 1:
+        split = work.save(R.feedback_split(members, work, cfg.min_bin_size, cfg.split_coherence_percent, **how).drop("again"), "pieces")
+    else:
+        split = R.abundance_split(members, cfg.min_bin_size, **how)
     # a piece is named by its smallest contig, so names stay unique
     named = split.groupBy("bin", "piece").agg(F.min("seq").alias("name"))
     where = work.save(split.join(named, ["bin", "piece"]).select("seq", F.col("name").alias("bin")), "split")

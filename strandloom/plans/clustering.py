@@ -11,6 +11,7 @@ from strandloom.operators import evaluate as E
 from strandloom.operators import graph as G
 from strandloom.operators import pairs as P
 from strandloom.operators import refine as R
+from strandloom.operators import tuning as U
 from strandloom.workspace import Workspace
 
 from . import bindings as B
@@ -168,6 +169,22 @@ def _ensemble(s, d):
     return C.seed_ensemble(knn_edges(s, d, work), work.save, 3, "tail", 12)
 
 
+def run_inputs(s, d, work):
+    """Suppliers' pairs, the five nearest by rank profile, and their depths in six samples."""
+    prof = work.save(G.profiles(B.supplier_depth(s, d)).withColumn("id", F.col("seq").cast("long")), "profiles")
+    pairs = P.mutual(P.top_k(P.all_pairs(prof, P.dot_kernel, ["unit"], 0.2, 5), 5))
+    return work.save(pairs.select("i", "j", "sim"), "pairs"), prof.select(F.col("id").alias("seq"), "depth", "scaled", "unit")
+
+
+BASE = U.Setting(0.5, 1.0, 0.6)
+
+
+def _perturbed(s, d):
+    work = Workspace(s, "perturbed")
+    pairs, prof = run_inputs(s, d, work)
+    return U.perturbed_runs(pairs, prof, 6, BASE, work, max_rounds=30)
+
+
 def _converged(s, d):
     work = Workspace(s, "lpa")
     return C.propagate(knn_edges(s, d, work), work.save, "tail", 40)
@@ -204,6 +221,7 @@ QUERIES = {
     "lpa_converged": _converged,
     "louvain_converged": _louvain,
     "seed_ensemble": _ensemble,
+    "perturbed_runs": _perturbed,
     "super_edges": _super_edges,
     "super_merge": _super_merge,
     "fused_labels": _fused,
@@ -223,6 +241,7 @@ QUERIES = {
     "pe_merge_candidates": _merge_candidates,
     "pe_merge_components": _merge,
     "abundance_split": _split,
+    "feedback_split": lambda s, d: R.feedback_split(_supplier_members(s, d).withColumn("unit", A.centred_unit(A.average_ranks(F.col("depth")))), Workspace(s, "feedback"), 60_000, 50.0, threshold=0.3),
     "silhouette_given_labels": _silhouette,
     "singleton_rescue": _rescue,
     "moments": _moments,

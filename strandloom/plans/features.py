@@ -118,6 +118,11 @@ def _oph(s, d):
     return P.all_pairs(S.bucket_sketch(dna(s, d)), P.match_kernel, ["sketch"], 0.5)
 
 
+def _low_bits(s, d):
+    planes = Workspace(s, "planes").save(S.low_bit_planes(S.bucket_sketch(dna(s, d)), 2), "planes")
+    return rounded(P.all_pairs(planes, S.planes_kernel(500, 2), ["planes"], 0.9), "sim")
+
+
 def _baseline(s, d):
     pairs = Workspace(s, "baseline").save(_wjac(s, d).select(F.round("sim", 9).alias("sim")), "pairs")
     return G.upper_median(pairs, "sim").select(F.round("sim", 6).alias("baseline"))
@@ -190,6 +195,7 @@ QUERIES = {
     "prob_jaccard_exact": _prob_jaccard,
     "pmh_sketch_similarity": _pmh,
     "oph_sketch_similarity": _oph,
+    "low_bit_similarity": _low_bits,
     "baseline_upper_median": _baseline,
     "sim_cutoff_calibration": _cutoff,
     "gfa_style_links": _gfa,

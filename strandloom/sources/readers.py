@@ -32,15 +32,17 @@ def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, ord, name, seq, qual) of plain or compressed files of any size; ord counts the reads of a file from 0.
 
     Lines are numbered within their split, and the splits' line counts, a row per split, are added up; four lines make a
-    read. A file whose lines aren't a multiple of four is an error, raised when the reads are used.
+    read. Blank lines count, as a read may have no bases; only those after the last read go. A file whose lines aren't a
+    multiple of four is an error, raised when the reads are used.
     """
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
-    text = text.filter("line <> ''")
     numbered = text.withColumn("at", F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1)
     counts = text.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("file").orderBy("block")
     before = counts.select("file", "block", (F.sum("n").over(w) - F.col("n")).alias("before"))
     each = numbered.join(before, ["file", "block"]).select("file", (F.col("at") + F.col("before")).alias("k"), "line")
+    last = each.filter("line <> ''").groupBy("file").agg((F.floor(F.max("k") / 4) * 4 + 4).alias("upto"))
+    each = each.join(last, "file").filter("k < upto")
     part = lambda k: F.max(F.when(F.pmod(F.col("k"), F.lit(4)) == k, F.col("line")))
     reads = each.groupBy("file", F.floor(F.col("k") / 4).alias("ord")).agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual"), F.count(F.lit(1)).alias("lines"))
     whole = F.when(F.col("lines") == 4, F.col("seq")).otherwise(F.raise_error(F.concat("file", F.lit(": not four lines a read"))))

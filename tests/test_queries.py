@@ -1,11 +1,20 @@
 """Every registered query that has SQL gives the SQL's rows, on the smallest tables."""
 
+import math
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from strandloom.operators import cluster as C
+from strandloom.operators import graph as G
+from strandloom.operators import tuning as U
+from strandloom.plans import clustering
+from strandloom.workspace import Workspace
+from test_graph_and_cluster import greedy_colours
 
 DATA = os.environ.get("STRANDLOOM_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -63,6 +72,96 @@ def labels_of_all(spark, pdf):
     assert set(pdf["node"]) <= nodes and set(pdf["label"]) <= nodes and not pdf["node"].duplicated().any()
 
 
+def plain_labels(near, colour, weight, start, max_rounds):
+    """Propagation by upper tails, one node after another, in the order of the colours; labels are named by their smallest node."""
+    def tail(ws):
+        u = -sum(math.log(1 - min(w, 1 - 1e-6)) for w in ws)
+        return sum(u**i / math.factorial(i) for i in range(len(ws))) * math.exp(-u)
+
+    at, seen = dict(start), {n for e in weight for n in e}
+    for _ in range(max_rounds):
+        moved = False
+        for n in sorted(seen, key=lambda n: colour[n]):
+            ws = {}
+            for x in near[n]:
+                if (w := weight.get((min(n, x), max(n, x)))) is not None:
+                    ws.setdefault(at[x], []).append(w)
+            score = {k: tail(v) for k, v in ws.items()}
+            if score and score.get(at[n], 2.0) > min(score.values()) + 1e-12:
+                at[n], moved = min(score, key=lambda k: (score[k], k)), True
+        if not moved:
+            break
+    name = {}
+    for n in seen:
+        name[at[n]] = min(n, name.get(at[n], n))
+    return {n: name[at[n]] for n in seen}
+
+
+def weights(df):
+    return {(r["i"], r["j"]): r["score"] for r in df.collect()}
+
+
+def converged(spark, pdf):
+    e = weights(clustering.knn_edges(spark, DATA))
+    near, colour = greedy_colours(spark, e)
+    assert max(colour.values()) < 8 and dict(zip(pdf["node"], pdf["label"])) == plain_labels(near, colour, e, {n: n for n in near}, 40)
+
+
+def ensemble(spark, pdf):
+    edges = clustering.knn_edges(spark, DATA)
+    e = weights(edges)
+    near, colour = greedy_colours(spark, e)
+    runs = [plain_labels(near, colour, weights(C.jittered(edges, k)), {n: n for n in near}, 12) for k in range(3)]
+    share = {(i, j): sum(r[i] == r[j] for r in runs) / 3 for i, j in e}
+    agreed = {k: w * share[k] for k, w in e.items() if share[k] > 0}
+    assert dict(zip(pdf["node"], pdf["label"])) == plain_labels(near, colour, agreed, {n: n for n in near}, 12)
+
+
+def perturbed(spark, pdf):
+    """Every run as if alone: its own scores by the plain formulas, its own loop."""
+    pairs, prof = clustering.run_inputs(spark, DATA, Workspace(spark, "plain"))
+    settings, got = U.perturbations(clustering.BASE), {}
+    for r in pdf.itertuples():
+        got.setdefault(r.run, {})[r.seq] = r.label
+    assert set(got) == set(range(16))
+    terms = G.edge_terms(pairs, prof)
+    graphs = [(weights(G.mixed(terms, s.alpha, s.min_score, s.power)), s.seed) for s in settings]
+    graphs += [(weights(G.mixed(G.edge_terms(pairs, G.without_sample(prof, k)), 0.5, 0.6, 1.0)), 0) for k in range(6)]
+    near, colour = greedy_colours(spark, {k for e, _ in graphs for k in e})
+    assert max(colour.values()) < 8
+    for run, (e, seed) in enumerate(graphs):
+        start = {n: n for n in near} if not seed else {r["n"]: r["h"] for r in spark.createDataFrame([(n,) for n in near], "n long").withColumn("h", F.xxhash64("n", F.lit(seed))).collect()}
+        want = plain_labels(near, colour, e, start, 30)
+        assert got[run] == {n: want.get(n, n) for n in got[run]}
+
+
+def fed_back(spark, pdf):
+    """Pieces of large bins reach the floor; of small bins only those stay whose mean correlation reaches the median of the others'."""
+    assert not pdf["seq"].duplicated().any()
+    depth = {r["seq"]: np.array(r["ranks"]) for r in G.profiles(clustering.B.supplier_depth(spark, DATA)).collect()}
+    pieces = pdf.groupby(["bin", "piece", "again"])
+
+    def coherence(seqs):
+        u = [(depth[s] - depth[s].mean()) / np.linalg.norm(depth[s] - depth[s].mean()) for s in seqs]
+        return np.mean([a @ b for k, a in enumerate(u) for b in u[:k]]) if len(u) > 1 else None
+
+    of = {k: coherence(x["seq"]) for k, x in pieces}
+    first = sorted(v for k, v in of.items() if not k[2] and v is not None)
+    if first:
+        bar = first[int(0.5 * (len(first) - 1) + 0.5)]
+        assert all(v is not None and v >= bar - 1e-9 for k, v in of.items() if k[2])
+    else:
+        assert not pdf["again"].any()
+
+
+def low_bits(spark, pdf):
+    """Estimates are near those of whole registers."""
+    pairs_in_order(pdf)
+    whole = {(r.i, r.j): r.sim for r in run(spark, "oph_sketch_similarity").itertuples()}
+    off = [r.sim - whole.get((r.i, r.j), 0.0) for r in pdf.itertuples()]
+    assert len(off) and max(map(abs, off)) < 0.12 and abs(sum(off) / len(off)) < 0.03
+
+
 def similar(spark, pdf):
     pairs_in_order(pdf)
     assert pdf["sim"].between(0.5, 1.0).all()
@@ -99,9 +198,12 @@ INVARIANTS = {
     "oph_sketch_similarity": similar,
     "sketch_candidates": same_as_tiles,
     "lsh_candidates": lambda spark, pdf: (pairs_in_order(pdf), pdf["shared"].between(1, 25).all() or pytest.fail("bands")),
-    "lpa_converged": labels_of_all,
+    "lpa_converged": converged,
     "louvain_converged": labels_of_all,
-    "seed_ensemble": labels_of_all,
+    "seed_ensemble": ensemble,
+    "perturbed_runs": perturbed,
+    "feedback_split": fed_back,
+    "low_bit_similarity": low_bits,
     "super_merge": labels_of_all,
     "fused_labels": labels_of_all,
     "pe_merge_components": merged,

@@ -123,3 +123,8 @@ def test_stability_tables(spark, tmp_path):
     assert read("bin_stability") == [("1", "4000", "3000", "0.750", "0.738", "N")]
     W.stability(each.drop("alternative", "alt_prob"), bins, str(tmp_path / "s"))
     assert {r[6] for r in read("stable_members")} == {"-1"}
+
+
+def test_fastq_reads_without_bases(spark, tmp_path):
+    (tmp_path / "z.fq").write_text("@a\n\n+\n\n@b\nAC\n+\nII\n@c\n\n+\n\n\n\n")
+    assert [(r["ord"], r["name"], r["seq"], r["qual"]) for r in R.fastq(spark, str(tmp_path / "z.fq")).orderBy("ord").collect()] == [(0, "a", "", ""), (1, "b", "AC", "II"), (2, "c", "", "")]
