@@ -73,14 +73,17 @@ def colours(edges: DataFrame, save: Save, most: int = 8, max_rounds: int = 24) -
     return state.select("node", F.pmod(F.coalesce(F.col("colour").cast("long"), F.xxhash64("node")), F.lit(most)).cast("int").alias("colour")), proper
 
 
-def propagate_runs(edges: DataFrame, save: Save, kind: str = "tail", max_rounds: int = 60, start: DataFrame | None = None, order: tuple[DataFrame, bool] | None = None) -> DataFrame:
+def propagate_runs(edges: DataFrame, save: Save, kind: str = "tail", max_rounds: int = 60, start: DataFrame | None = None, order: tuple[DataFrame, bool] | None = None, patience: int = 3) -> DataFrame:
     """(run, node, label) of graphs (run, i, j, score), all runs together, when no node of a run changes any more.
 
     A round lets the colours of the united graph (or of ``order``) have their turn. Nodes of one colour aren't neighbours, so
     moving them together is what a loop over them does: each takes the label of most evidence, keeps its own if that is as
-    good, and of others that are equal takes the smallest. From the second round on a node is looked at only if a neighbour
-    has changed since its last turn, and a run only as long as it changes. A turn reads its colour's arcs and writes the nodes
-    that moved, whatever the number of runs; a round ends with one write of the labels.
+    good, and of others that are equal takes the smallest. Once fewer than a quarter of the nodes move in a round, a node is
+    looked at only if a neighbour has changed since its last turn, and a run only as long as it changes. A turn reads its
+    colour's arcs and writes the nodes that moved in this round so far, whatever the number of runs; a round ends with one write of the labels.
+
+    Not every kind of evidence grows from move to move, so labels may go round for ever: a run ends as well when for
+    ``patience`` rounds its moves haven't become fewer than ever before.
 
     Where colours had to be folded (``colours``), neighbours of one turn that both want to move do so to smaller
     labels only in odd rounds, to larger ones only in even rounds, so they never swap; then two rounds without a move end a run.
@@ -93,7 +96,9 @@ def propagate_runs(edges: DataFrame, save: Save, kind: str = "tail", max_rounds:
     if start is None:
         start = a.select("run", F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     held = save(start.select("run", "node", "label", F.lit(0).alias("changed")), "labels0")
-    now, quiet, live = 0, 0, None
+    now, quiet, fewest = 0, {}, {}
+    size = {r["run"]: r["count"] for r in held.groupBy("run").count().collect()}  # a row per run
+    live, few = list(size), False
     for t in range(1, max_rounds + 1):
         moved = None
         for colour in turns:
@@ -101,9 +106,8 @@ def propagate_runs(edges: DataFrame, save: Save, kind: str = "tail", max_rounds:
             lab = held
             if moved is not None:
                 lab = held.join(moved.select("run", "node", F.col("label").alias("to"), F.col("changed").alias("at")), ["run", "node"], "left").select("run", "node", F.coalesce("to", "label").alias("label"), F.coalesce("at", "changed").alias("changed"))
-            own = a.filter(F.col("colour") == colour)
-            own = own if live is None else own.filter(F.col("run").isin(live))
-            if proper and t > 1:
+            own = a.filter((F.col("colour") == colour) & F.col("run").isin(live))
+            if proper and few:
                 recent = lab.filter(F.col("changed") > now - len(turns)).select("run", F.col("node").alias("dst"))
                 own = own.join(own.join(recent, ["run", "dst"]).select("run", "src").distinct(), ["run", "src"], "left_semi")
             g = own.join(lab.select("run", F.col("node").alias("dst"), "label"), ["run", "dst"]).groupBy("run", "src", "label")
@@ -118,19 +122,21 @@ def propagate_runs(edges: DataFrame, save: Save, kind: str = "tail", max_rounds:
                 clash = ends.select("run", F.col("src").alias("node"), F.lit(True).alias("clash")).distinct()
                 turn = F.col("label") < F.col("prev") if t % 2 else F.col("label") > F.col("prev")
                 want = want.join(clash, ["run", "node"], "left").filter(F.col("clash").isNull() | turn)
-            one = save(want.select("run", "node", "label", F.lit(now).alias("changed")), f"moved{t % 2}-{colour}")
-            moved = one if moved is None else moved.unionByName(one)
+            one = want.select("run", "node", "label", F.lit(now).alias("changed"))
+            moved = save(one if moved is None else moved.unionByName(one), f"moved{now % 2}")  # all of this round so far
         if moved is None:
             break
-        changed = {r[0] for r in moved.select("run").distinct().collect()}  # a row per run
-        if not changed:
-            quiet += 1
-            if proper or quiet == 2:
-                break
-            continue
-        quiet, live = 0, sorted(changed) if proper else None
         to = moved.select("run", "node", F.col("label").alias("to"), F.col("changed").alias("at"))
         held = save(held.join(to, ["run", "node"], "left").select("run", "node", F.coalesce("to", "label").alias("label"), F.coalesce("at", "changed").alias("changed")), f"labels{t % 2 + 1}")
+        moves = {r["run"]: r["count"] for r in moved.groupBy("run").count().collect()}  # a row per run
+        for run in live:
+            n = moves.get(run, 0)
+            quiet[run] = 0 if n else quiet.get(run, 0) + 1
+            fewest[run] = (n, t) if n < fewest.get(run, (n + 1, 0))[0] else fewest[run]
+        live = [run for run in live if quiet[run] < (1 if proper else 2) and t - fewest[run][1] < (patience if proper else 2 * patience)]
+        if not live:
+            break
+        few = 4 * sum(moves.get(run, 0) for run in live) < sum(size[run] for run in live)
     names = held.groupBy("run", "label").agg(F.min("node").alias("name"))
     return save(held.join(names, ["run", "label"]).select("run", "node", F.col("name").alias("label")), "named")
 

@@ -184,8 +184,9 @@ def greedy_colours(spark, edges):
 def plain_propagation(near, colour, weight, start, max_rounds=60):
     """One node after another, colour by colour; a node counts the evidence -ln(1 - w) of its neighbours' labels as they are then."""
     label = dict(start)
+    fewest, since = 10**9, 0
     for _ in range(max_rounds):
-        moved = False
+        moved = 0
         for n in sorted(near, key=lambda n: colour[n]):
             ev = {}
             for x in near[n]:
@@ -194,8 +195,9 @@ def plain_propagation(near, colour, weight, start, max_rounds=60):
                     ev[label[x]] = ev.get(label[x], 0.0) - math.log(1 - w)
             if ev and ev.get(label[n], -1) < max(ev.values()) - 1e-12:
                 label[n] = min(ev, key=lambda k: (-ev[k], k))
-                moved = True
-        if not moved:
+                moved += 1
+        fewest, since = (moved, 0) if moved < fewest else (fewest, since + 1)
+        if not moved or since == 3:
             break
     seen = {n for e in weight for n in e}
     name = {}

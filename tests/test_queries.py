@@ -79,8 +79,9 @@ def plain_labels(near, colour, weight, start, max_rounds):
         return sum(u**i / math.factorial(i) for i in range(len(ws))) * math.exp(-u)
 
     at, seen = dict(start), {n for e in weight for n in e}
+    fewest, since = 10**9, 0
     for _ in range(max_rounds):
-        moved = False
+        moved = 0
         for n in sorted(seen, key=lambda n: colour[n]):
             ws = {}
             for x in near[n]:
@@ -88,8 +89,9 @@ def plain_labels(near, colour, weight, start, max_rounds):
                     ws.setdefault(at[x], []).append(w)
             score = {k: tail(v) for k, v in ws.items()}
             if score and score.get(at[n], 2.0) > min(score.values()) + 1e-12:
-                at[n], moved = min(score, key=lambda k: (score[k], k)), True
-        if not moved:
+                at[n], moved = min(score, key=lambda k: (score[k], k)), moved + 1
+        fewest, since = (moved, 0) if moved < fewest else (fewest, since + 1)
+        if not moved or since == 3:
             break
     name = {}
     for n in seen:
