@@ -253,7 +253,9 @@ def _star_links(nodes: DataFrame, shared: DataFrame, texts: DataFrame, work: Wor
     partners = partners.mapInPandas(_sets(params), "a long, chunk int, b long, grams array<long>").withColumnRenamed("grams", "others")
     common = F.size(F.array_intersect("grams", "others"))
     alike = 100 * common >= params.similar_percent * (F.size("grams") + F.size("others") - common)
-    return work.save(partners.join(one, ["a", "chunk"]).filter(alike).select("a", "b"), "star")
+    links = work.save(partners.join(one, ["a", "chunk"]).filter(alike).select("a", "b"), "star")
+    work.drop("star_texts")
+    return links
 
 
 def _tile_links(nodes: DataFrame, shared: DataFrame, roots: DataFrame, texts: DataFrame, work: Workspace, params: OddSketchParams) -> DataFrame:
@@ -298,6 +300,8 @@ def near_duplicates(docs: DataFrame, work: Workspace, params: OddSketchParams =
     roots = connected(links, work, "star")
     roots = work.save(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
     more = _tile_links(nodes, shared, roots, texts, work, params)
+    for name in ("texts", "tile_texts", "shared", "rooted", "mixed", "close"):
+        work.drop(name)
     if not more.isEmpty():
         roots = connected(links.unionByName(more), work, "all")
         roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
