@@ -16,6 +16,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ from .common import ship, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-NEVER = frozenset("head script style template noscript iframe noembed noframes title audio video canvas datalist".split())
+NEVER = frozenset("head script style template noscript iframe noembed noframes title audio video canvas datalist rp progress meter".split())
 #: What a head holds; anything else ends it.
 HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
 #: Text of drawings is shown in these elements only, and never in those.
@@ -39,7 +40,7 @@ APART = frozenset({"text", "option", "optgroup", "select", "textarea"})
 SVG_NEVER = frozenset("defs symbol clippath mask pattern marker metadata desc lineargradient radialgradient filter".split())
 MATH_NEVER = frozenset({"annotation", "annotation-xml"})
 #: Blocks with a blank line around them, and blocks without.
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp table figure fieldset hr".split())
 PLAIN = frozenset("html body div section article main header footer nav aside address form li dt dd tr td th caption thead tbody tfoot figcaption details summary dialog legend center menu hgroup search colgroup".split())
 BLOCKS = SPACED | PLAIN
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -142,25 +143,62 @@ class Flow:
 
 @dataclass
 class Grid:
-    """Cells of one table: rows of (column, columns spanned, lines)."""
+    """Cells of one table: rows of (column, columns spanned, lines). What cells above cover is kept as spans of columns, not
+    column by column, so wide and deep cells cost no more than others."""
 
     rows: list[list[tuple[int, int, list[str]]]] = field(default_factory=list)
     caption: list[str] = field(default_factory=list)
-    taken: dict[int, int] = field(default_factory=dict)  # column -> rows that a cell above still covers
+    taken: list[tuple[int, int, int]] = field(default_factory=list)  # (from, to, first row that isn't covered), in order, apart
+    fresh: list[tuple[int, int, int]] = field(default_factory=list)  # the same of the last row's cells
+    covered: list[list[int]] = field(default_factory=list)  # (from, to) of what is taken, joined where it touches
+    soonest: int = 1 << 60  # when the next of ``taken`` ends
+
+    def _cover(self, spans: list[tuple[int, int, int]]) -> None:
+        for lo, hi, _ in spans:
+            if self.covered and self.covered[-1][1] >= lo:
+                self.covered[-1][1] = hi
+            else:
+                self.covered.append([lo, hi])
 
     def row(self) -> None:
+        now, fresh, self.fresh = len(self.rows), self.fresh, []
+        if fresh:
+            self.soonest = min(self.soonest, *[until for _, _, until in fresh])
+        if fresh and (not self.taken or fresh[0][0] >= self.taken[-1][1]):
+            self.taken += fresh
+            self._cover(fresh)
+            fresh = []
+        if fresh or self.soonest <= now:
+            self._lay_over(fresh, now)
         self.rows.append([])
-        self.next = 0
-        self.covered = {c for c, n in self.taken.items() if n > 0}
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 0}
+        self.next, self.near = 0, 0
+
+    def _lay_over(self, fresh: list[tuple[int, int, int]], now: int) -> None:
+        """Fresh spans take the place of older ones where they meet; what has ended goes."""
+        out, k = list(fresh), 0
+        for lo, hi, until in self.taken:
+            while k < len(fresh) and fresh[k][1] <= lo:
+                k += 1
+            at = k
+            while lo < hi:
+                if at == len(fresh) or fresh[at][0] >= hi:
+                    out.append((lo, hi, until))
+                    break
+                if fresh[at][0] > lo:
+                    out.append((lo, fresh[at][0], until))
+                lo, at = max(lo, fresh[at][1]), at + 1
+        self.taken = sorted(x for x in out if x[2] > now)
+        self.soonest = min((x[2] for x in self.taken), default=1 << 60)
+        self.covered = []
+        self._cover(self.taken)
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
-        while self.next in self.covered:
-            self.next += 1
+        while self.near < len(self.covered) and self.covered[self.near][0] <= self.next:
+            self.next = max(self.next, self.covered[self.near][1])
+            self.near += 1
         self.rows[-1].append((self.next, across, lines))
-        for c in range(self.next, self.next + across):
-            if down > 1:
-                self.taken[c] = down - 1
+        if down > 1:
+            self.fresh.append((self.next, self.next + across, len(self.rows) - 1 + down))
         self.next += across
 
     def laid_out(self) -> list[str]:
@@ -172,14 +210,15 @@ class Grid:
                 width[c] = max(width.get(c, 0), own if across == 1 else 0)
                 if across > 1:
                     wide.append((across, c, own))
+        columns = sorted(width)
         for across, c, own in sorted(wide):  # what the columns that a cell spans lack goes to its last one that others use
-            inside = [x for x in width if c <= x < c + across]
+            inside = columns[bisect_left(columns, c) : bisect_left(columns, c + across)]
             lack = own - sum(width[x] + 2 for x in inside if width[x]) + 2
             if lack > 0:
                 last = max(inside)
                 width[last] += lack if width[last] else lack - 2
         starts, at = {}, 0
-        for c in sorted(width):
+        for c in columns:
             starts[c] = at
             at += width[c] + 2 if width[c] else 0
         chars = sum(len(x) for row in self.rows for _, _, lines in row for x in lines)
@@ -503,8 +542,9 @@ def visible_text(html: str | None) -> str:
         if tag in RAW and not closed:
             closer = closers.get(tag) or closers.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>]|$)", re.I))
             end = closer.search(html, at)
-            if tag == "textarea":
-                r.kept(unescape(html[at : n if end is None else end.start()]).removeprefix("\n"))
+            if tag in ("textarea", "xmp"):
+                inner = html[at : n if end is None else end.start()]
+                r.kept(unescape(inner).removeprefix("\n") if tag == "textarea" else inner)
             at = n if end is None else end.start()
             if end is None:
                 break

@@ -6,6 +6,7 @@ import io
 import re
 import json
 
+import numpy as np
 import pytest
 
 from strandloom.llm import html_text, warc
@@ -236,3 +237,47 @@ def test_repeated_rows_and_clashing_names(spark, write_tables):
     rows = [(1, "<p>x", "t", 5, "y")] * 2 + [(None, None, None, None, None)]
     d = write_tables(pages=spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int, `a.b` string"))
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_text.op9_html_text(spark, d).collect()) == [(0, ""), (1, "x"), (1, "x")]
+
+
+def occupied(rows):
+    """Where cells go, by a set of taken places."""
+    taken, out = set(), []
+    for r, row in enumerate(rows):
+        c, fresh = 0, []
+        for across, down in row:
+            while (r, c) in taken:
+                c += 1
+            out.append((r, c))
+            fresh += [(r + d, x, d < down) for d in range(1, max(down, 2)) for x in range(c, c + across) if down > 1]
+            c += across
+        # a later cell that covers a place decides how long it is covered
+        for x in {x for _, x, _ in fresh}:
+            taken -= {(q, y) for q, y in taken if y == x and q > r}
+        taken |= {(q, x) for q, x, ok in fresh if ok}
+    return out
+
+
+def test_cells_find_their_columns():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        rows = [[(int(rng.integers(1, 5)), int(rng.integers(1, 5))) for _ in range(rng.integers(0, 5))] for _ in range(rng.integers(1, 8))]
+        grid = html_text.Grid()
+        for row in rows:
+            grid.row()
+            for across, down in row:
+                grid.cell(["x"], across, down)
+        assert [(r, c) for r, row in enumerate(grid.rows) for c, _, _ in row] == occupied(rows)
+
+
+def test_wide_and_deep_cells_cost_no_more():
+    import time
+
+    for page in ("<table>" + "<tr><td colspan=1000 rowspan=65534>a" * 20_000, "<table>" + "".join(f"<tr><td colspan={1 + k % 1000} rowspan={2 + k % 7}>a<td>b" for k in range(10_000))):
+        began = time.process_time()
+        assert html_text.visible_text(page).count("a") >= 10_000
+        assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("page, want", [("a<xmp><b>raw</b> &amp;\n  x</xmp>b", "a\n\n<b>raw</b> &amp;\n  x\n\nb"), ("<ruby>k<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>", "kkan"), ("x <progress value=1>half</progress><meter>low</meter> y", "x y")])
+def test_raw_text_and_fallbacks(page, want):
+    assert html_text.visible_text(page) == want
