@@ -96,3 +96,28 @@ def test_frozen_cores_take_what_reaches_one_bar(spark):
             want[i] = over[0]
     got = R.recruit_to_frozen(spark.createDataFrame(rows, "seq long, unit array<double>"), spark.createDataFrame(cores, "bin long, tau double, mean array<double>"))
     assert want and {r["seq"]: r["bin"] for r in got.collect()} == want
+
+
+def test_fragments_join_the_core_they_reach(spark):
+    rng = np.random.default_rng(9)
+    cores = [(b, float(rng.uniform(0, 1)), rng.normal(size=4).tolist()) for b in range(6)]
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(40)]
+    want = {}
+    for i, v in rows:
+        b, tau, mean = max(cores, key=lambda c: np.dot(v, c[2]))
+        if np.dot(v, mean) >= tau + 0.1:
+            want[i] = (b, pytest.approx(float(np.dot(v, mean))))
+    got = R.consolidate_fragments(spark.createDataFrame(rows, "frag long, mean array<double>"), spark.createDataFrame(cores, "bin long, tau double, mean array<double>"), 0.1)
+    assert want and {r["frag"]: (r["bin"], r["score"]) for r in got.collect()} == want
+
+
+def test_repeated_markers_give_the_number_of_pieces(spark):
+    """As many pieces as the most repeated marker has copies, along the depths; pieces under the floor go."""
+    rows = [("a", i, 1000, [float(i // 4) * 9, 0.01 * i]) for i in range(12)] + [("b", 100 + i, 1000, [float(i // 4) * 9, 0.0]) for i in range(8)]
+    rows += [("c", 200 + i, 1000 if i < 6 else 10, [0.0 if i < 6 else 9.0, 0.0]) for i in range(8)]
+    hits = [(0, "m"), (5, "m"), (9, "m"), (1, "n"), (100, "m"), (101, "n"), (200, "m"), (207, "m")]
+    m, h = spark.createDataFrame(rows, "bin string, seq long, length long, y array<double>"), spark.createDataFrame(hits, "seq long, marker string")
+    got = {}
+    for r in R.marker_split(m, h, floor=3000).collect():
+        got.setdefault((r["bin"], r["piece"]), set()).add(r["seq"])
+    assert sorted((b, sorted(x)) for (b, _), x in got.items()) == [("a", [0, 1, 2, 3]), ("a", [4, 5, 6, 7]), ("a", [8, 9, 10, 11]), ("b", list(range(100, 108))), ("c", list(range(200, 206)))]
