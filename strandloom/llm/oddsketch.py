@@ -202,9 +202,13 @@ def _estimated(params: OddSketchParams):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         near = close(words_of(pdf["sketch"]), pdf["n"].to_numpy(), pdf["root"].to_numpy(), params)
         keys, key = words_of(pdf["keys"]), pdf["key"].iloc[0]
-        x, y = np.nonzero(near)
-        first = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == key
-        have = np.unique(x[first])
+        x, y = np.nonzero(np.triu(near))
+        have = [np.zeros(0, np.int64)]
+        for at in range(0, len(x), 8192):  # a slice of the pairs, so that their keys take little room
+            i, j = x[at : at + 8192], y[at : at + 8192]
+            first = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == key
+            have += [i[first], j[first]]
+        have = np.unique(np.concatenate(have))
         return pdf.iloc[have][["tile", "node", "root", "sketch", "n"]]
 
     return run
