@@ -21,8 +21,7 @@ CRIT6 = chi2_critical(6)
 
 
 def knn_edges(s, d, work=None):
-    pairs = P.all_pairs(B.vectors(s, d), P.dot_kernel, ["v"], 0.2, 5)
-    e = P.mutual(P.top_k(pairs, 5)).select("i", "j", F.col("sim").alias("score"))
+    e = P.mutual(P.nearest(B.vectors(s, d), P.dot_kernel, ["v"], 0.2, 5)).select("i", "j", F.col("sim").alias("score"))
     return (work or Workspace(s, "edges")).save(e, "edges")
 
 
@@ -172,7 +171,7 @@ def _ensemble(s, d):
 def run_inputs(s, d, work):
     """Suppliers' pairs, the five nearest by rank profile, and their depths in six samples."""
     prof = work.save(G.profiles(B.supplier_depth(s, d)).withColumn("id", F.col("seq").cast("long")), "profiles")
-    pairs = P.mutual(P.top_k(P.all_pairs(prof, P.dot_kernel, ["unit"], 0.2, 5), 5))
+    pairs = P.mutual(P.nearest(prof, P.dot_kernel, ["unit"], 0.2, 5))
     return work.save(pairs.select("i", "j", "sim"), "pairs"), prof.select(F.col("id").alias("seq"), "depth", "scaled", "unit")
 
 
