@@ -185,8 +185,12 @@ def similarity_cutoff(best: DataFrame, percent: float = 95.0, floor: float = 0.0
 
 def upper_median(values: DataFrame, column: str) -> DataFrame:
     """One row: the value at n / 2 in sorted order. Distinct values are counted and ranked; no list of all values is made."""
-    at = values.count() // 2
-    ranked = values.groupBy(column).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(column).sortWithinPartitions(column)
+    return value_at(values.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, values.count() // 2)
+
+
+def value_at(counted: DataFrame, column: str, at: int) -> DataFrame:
+    """One row: the value at ``at``, from 0, in sorted order of the distinct values (column, n)."""
+    ranked = counted.repartitionByRange(column).sortWithinPartitions(column)
     ranked = ranked.select(column, "n", F.spark_partition_id().alias("part"))
     before = ranked.groupBy("part").agg(F.sum("n").alias("t")).select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("base"))  # a row per partition
     upto = F.col("base") + F.sum("n").over(Window.partitionBy("part").orderBy(column))

@@ -124,8 +124,9 @@ def _low_bits(s, d):
 
 
 def _baseline(s, d):
-    pairs = Workspace(s, "baseline").save(_wjac(s, d).select(F.round("sim", 9).alias("sim")), "pairs")
-    return G.upper_median(pairs, "sim").select(F.round("sim", 6).alias("baseline"))
+    counted, at = P.value_counts_at(_profiles(s, d), P.min_max_kernel, ["scaled"])
+    # rounding keeps the order
+    return G.value_at(Workspace(s, "baseline").save(counted, "values"), "sim", at).select(F.round(F.round("sim", 9), 6).alias("baseline"))
 
 
 def _cutoff(s, d):

@@ -1,5 +1,6 @@
 import numpy as np
 
+from strandloom.operators import graph as G
 from strandloom.operators import pairs as P
 
 
@@ -32,3 +33,14 @@ def test_strips_of_a_tile_give_what_the_whole_gives(monkeypatch):
     assert best() == whole
     for i, s in enumerate(a @ b.T):
         assert whole[0][1][5 * i : 5 * i + 5] == [150 + j for j in np.lexsort((np.arange(150), -s))[:5]]
+
+
+def test_the_median_of_pairs_needs_no_list_of_them(spark):
+    rng = np.random.default_rng(5)
+    for spread in (1.0, 1e-7, 0.0):  # wide, all in one bin of the first histogram, all equal
+        x = 1 + spread * rng.random((61, 4))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+        sims = sorted(np.minimum(x[i], x[j]).sum() / np.maximum(x[i], x[j]).sum() for i in range(61) for j in range(i))
+        counted, at = P.value_counts_at(df, P.min_max_kernel, ["v"], bins=64, enough=50, block=25)
+        assert abs(G.value_at(counted, "sim", at).first()["sim"] - sims[len(sims) // 2]) < 1e-12
+        assert counted.agg({"n": "sum"}).first()[0] <= (50 if spread else len(sims))
