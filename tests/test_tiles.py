@@ -1,7 +1,9 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandloom.operators import graph as G
 from strandloom.operators import pairs as P
+from strandloom.plans import features
 
 
 def test_nearest_of_copies_go_to_the_smaller_id_and_a_tile_sends_k_rows_each(spark):
@@ -44,3 +46,26 @@ def test_the_median_of_pairs_needs_no_list_of_them(spark):
         counted, at = P.value_counts_at(df, P.min_max_kernel, ["v"], bins=64, enough=50, block=25)
         assert abs(G.value_at(counted, "sim", at).first()["sim"] - sims[len(sims) // 2]) < 1e-12
         assert counted.agg({"n": "sum"}).first()[0] <= (50 if spread else len(sims))
+
+
+def test_scores_of_tiles_are_those_of_joined_profiles(spark):
+    rng = np.random.default_rng(6)
+    long = [(i, f"s{k}", float(v)) for i in range(40) for k, v in enumerate(rng.integers(0, 3, size=6) * (i % 4 > 0))]
+    prof = G.profiles(spark.createDataFrame(long, "seq long, sample string, depth double")).withColumn("id", F.col("seq")).cache()
+    geomean = lambda corr, a, b: np.sqrt(np.maximum(corr, 0.0) * np.clip(P.min_max_kernel(a, b), 0.0, 1.0))
+    got = P.all_pairs(prof, P.depth_kernel(geomean), ["unit", "depth", "scaled"], 0.0, block=15)
+    want = G.edge_scores(P.all_pairs(prof, P.dot_kernel, ["unit"]), prof, 6, 0.0, "geomean", 0.0)
+    got, want = ({(r[0], r[1]): r[2] for r in df.collect()} for df in (got, want))
+    assert len(want) > 100 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_scored_pairs_meet_their_profiles_in_the_tile(spark, write_tables):
+    """No pair is shuffled to be joined with what its ends are."""
+    rows = [(s, f, n, float(q)) for s in range(8) for f, n, q in (("A", "F", s + 1), ("N", "O", 3), ("R", "F", 9 - s))]
+    d = write_tables(
+        lineitem=spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double"),
+        embeddings=spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(8)], "vec_id long, embedding array<float>, label int"),
+    )
+    for query in (features._fuse, features._scored):
+        plan = query(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan[: plan.index("MapInArrow")]
