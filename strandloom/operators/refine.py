@@ -504,16 +504,34 @@ def marker_split(members: DataFrame, markers: DataFrame, floor: int = 200_000, l
 
 
 def silhouette_of_labels(rows: DataFrame) -> DataFrame:
-    """One row, ``silhouette``, of (id, label, v[]): distances in blocks by a tile self join, sums per (id, label)."""
-    from .pairs import all_pairs, directed
+    """One row, ``silhouette``, of (id, label, v[]): a tile sends sums per (id, label), no distances; rows without a label take no part."""
+    from .pairs import tiles
 
-    d = directed(all_pairs(rows, _distance_kernel, ["v"]))
-    lab = rows.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
-    s = d.join(lab, "dst").groupBy(F.col("src").alias("id"), "lb").agg(F.avg("sim").alias("m")).join(rows.select("id", "label"), "id")
+    known = rows.filter("label is not null")
+    sums = tiles(known, ["v", "label"], _distance_sums, "id long, lb long, total double, n long")
+    s = sums.groupBy("id", "lb").agg((F.sum("total") / F.sum("n")).alias("m")).join(known.select("id", "label"), "id")
     t = s.groupBy("id").agg(F.max(F.when(F.col("lb") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("lb") != F.col("label"), F.col("m"))).alias("b"))
     return t.filter("a is not null and b is not null").agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
+def _distance_sums(ia, a, ib, b, same):
+    """(id, lb, total, n): the sum of a row's distances to the other block's rows of each label, and their number, for either block."""
+    from .pairs import strips
+
+    (la, at_a), (lb, at_b) = (np.unique(x[1].ravel(), return_inverse=True) for x in (a, b))
+    of_a, of_b = np.eye(len(la))[at_a], np.eye(len(lb))[at_b]
+    to_a, to_b = np.zeros((len(ib), len(la))), np.zeros((len(ia), len(lb)))
+    for lo, s in strips(_distance_kernel, a[:1], b[:1]):
+        if same:
+            s[np.arange(len(s)), lo + np.arange(len(s))] = 0.0
+        to_b[lo : lo + len(s)] = s @ of_b
+        to_a += s.T @ of_a[lo : lo + len(s)]
+    for ids, labels, total, n, own in ((ia, lb, to_b, of_b.sum(axis=0), of_a), (ib, la, to_a, of_a.sum(axis=0), of_b))[: 1 if same else 2]:
+        n = np.tile(n, (len(ids), 1)) - (own if same else 0)
+        x, y = np.nonzero(n)
+        yield {"id": ids[x], "lb": labels[y], "total": total[x, y], "n": n[x, y].astype(np.int64)}
+
+
 def _distance_kernel(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     a, b = left[0], right[0]
     return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T, 0.0))

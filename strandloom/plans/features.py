@@ -132,8 +132,8 @@ def _baseline(s, d):
 
 
 def _cutoff(s, d):
-    best = P.directed(_spearman(s, d)).groupBy(F.col("src").alias("id")).agg(F.max("sim").alias("sim"))
-    return G.similarity_cutoff(best)
+    best = P.nearest(_profiles(s, d), P.dot_kernel, ["unit"], None, 1)
+    return G.similarity_cutoff(best.select(F.col("src").alias("id"), "sim"))
 
 
 def _gfa(s, d):

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import graph as G
 from strandloom.operators import pairs as P
+from strandloom.operators import refine as R
 from strandloom.plans import features
 
 
@@ -69,3 +70,19 @@ def test_scored_pairs_meet_their_profiles_in_the_tile(spark, write_tables):
     for query in (features._fuse, features._scored):
         plan = query(spark, d)._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan[: plan.index("MapInArrow")]
+
+
+def test_silhouette_by_sums_of_tiles(spark):
+    rng = np.random.default_rng(7)
+    x, label = rng.normal(size=(50, 3)), rng.integers(0, 4, size=50)
+    rows = [(i, int(label[i]) if i % 10 else None, x[i].tolist()) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, label long, v array<double>")
+    known = [i for i in range(50) if i % 10]
+    each = []
+    for i in known:
+        mean = {c: np.mean([np.linalg.norm(x[i] - x[j]) for j in known if j != i and label[j] == c]) for c in {label[j] for j in known if j != i}}
+        own = mean.pop(label[i])
+        each.append((min(mean.values()) - own) / max(own, min(mean.values())))
+    assert abs(R.silhouette_of_labels(df).first()[0] - np.mean(each)) < 1e-9
+    for block, tiles in ((20, 3), (100, 1)):  # a tile sends at most a row per row and label
+        assert P.tiles(df, ["v", "label"], R._distance_sums, "id long, lb long, total double, n long", block).count() <= 45 * 4 * tiles
