@@ -258,7 +258,8 @@ def _star_links(nodes: DataFrame, shared: DataFrame, texts: DataFrame, work: Wor
     common = F.size(F.array_intersect("grams", "others"))
     alike = 100 * common >= params.similar_percent * (F.size("grams") + F.size("others") - common)
     links = work.save(partners.join(one, ["a", "chunk"]).filter(alike).select("a", "b"), "star")
-    work.drop("star_texts")
+    for name in ("star_texts", "pairs", "near", "chunks"):
+        work.drop(name)
     return links
 
 
@@ -296,6 +297,8 @@ def near_duplicates(docs: DataFrame, work: Workspace, params: OddSketchParams =
     prints = work.save(prints, "prints")
     heads = prints.filter("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"))
     nodes = work.save(heads.join(prints.select("rid", "n", "keys", "sketch"), F.col("node") == F.col("rid")).drop("rid"), "nodes")
+    prints = work.save(prints.select("doc_id", "n", "h1", "h2"), "rows")
+    work.drop("prints")  # bands and sketches are with the nodes, once for all copies
     dealt = nodes.select("node", F.explode("keys").alias("key"))
     least = dealt.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     shared = work.save(dealt.join(least, "key"), "shared")

@@ -1,5 +1,7 @@
 """Near-duplicates by odd sketches against brute force; the estimate's error; both ways to a link."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -107,3 +109,11 @@ def test_estimates(similarity):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 1.6 * sigma + 0.005
     assert similarity < 0.8 or max(bits) <= p.most_bits
     assert abs(odd.estimate(p.most_bits, p) - p.estimate_percent / 100) < 0.01
+
+
+def test_bands_of_all_rows_go_once_the_nodes_are_written(spark, work):
+    """Copies' bands and sketches, and the pairs that the stars are done with, take no disk beside the later tables."""
+    rows = corpus(0)
+    assert found(odd.near_duplicates(spark.createDataFrame(rows, SCHEMA), work)) == brute(rows)
+    left = {p.name for p in Path(work.path.removeprefix("file://")).iterdir()}
+    assert not left & {"prints", "pairs", "near", "chunks"} and {"nodes", "rows"} <= left
