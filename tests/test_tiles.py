@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from strandloom.functions import sequences as S
 from strandloom.operators import graph as G
 from strandloom.operators import pairs as P
 from strandloom.operators import refine as R
@@ -86,3 +87,70 @@ def test_silhouette_by_sums_of_tiles(spark):
     assert abs(R.silhouette_of_labels(df).first()[0] - np.mean(each)) < 1e-9
     for block, tiles in ((20, 3), (100, 1)):  # a tile sends at most a row per row and label
         assert P.tiles(df, ["v", "label"], R._distance_sums, "id long, lb long, total double, n long", block).count() <= 45 * 4 * tiles
+
+
+def test_registers_are_compared_as_small_codes():
+    rng = np.random.default_rng(8)
+    for values, kind in ((np.arange(136), np.uint8), (rng.integers(0, 1 << 62, size=30), np.uint8), (np.arange(50_000), np.uint16)):
+        a, b = (rng.choice(values, size=(n, 600)) for n in (70, 90))
+        a[:40], a[3], b[5], b[7, :9] = b[:40], -1, -1, -1
+        want = ((a[:, None, :] == b[None, :, :]) & (a[:, None, :] >= 0)).sum(axis=2) / 600
+        assert {x.dtype for x in P._coded(a, b)} == {np.dtype(kind)}
+        assert (P.match_kernel([a], [b]) == want).all()
+        assert (np.concatenate([s for _, s in P.strips(P.match_kernel, [a], [b], 1000)]) == want).all()
+
+
+def test_planes_of_many_words_are_counted_whole():
+    rng = np.random.default_rng(9)
+    for bits, registers in ((1, 64), (2, 500), (3, 1000)):
+        words = -(-registers // 64)
+        a, b = (rng.integers(-(1 << 62), 1 << 62, size=(n, bits * words)) for n in (12, 15))
+        b[:5] = a[:5]
+        b[6] = ~a[6]
+        apart = a.reshape(12, 1, bits, words) ^ b.reshape(1, 15, bits, words)
+        differ = np.bitwise_count(np.bitwise_or.reduce(apart, axis=2).view(np.uint64)).astype(int).sum(axis=2)
+        want = np.maximum((1 - differ / registers - 2.0**-bits) / (1 - 2.0**-bits), 0.0)
+        assert np.allclose(S.planes_kernel(registers, bits)([a], [b]), want, atol=1e-12)
+
+
+def test_pairs_of_shared_keys_are_counted_in_tasks_of_bounded_size(spark):
+    rng = np.random.default_rng(10)
+    rows = sorted({(int(i), int(k)) for i, k in zip(rng.integers(0, 60, 700), rng.integers(0, 25, 700) ** 2 // 25)})
+    keyed = spark.createDataFrame(rows, "id long, key long")
+    of = {}
+    for i, k in rows:
+        of.setdefault(k, []).append(i)
+    for cap in (None, 30):
+        want, meetings = {}, 0
+        for ids in of.values():
+            if cap is None or len(ids) <= cap:
+                meetings += len(ids) * (len(ids) - 1) // 2
+                for x in ids:
+                    for y in ids:
+                        if x < y:
+                            want[x, y] = want.get((x, y), 0) + 1
+        got = P.shared_keys(keyed, 2, cap, task_pairs=100, chunk=7)
+        assert {(r["i"], r["j"]): r["shared"] for r in got.collect()} == {p: n for p, n in want.items() if n >= 2}
+        assert got.rdd.getNumPartitions() == -(-meetings // 100)
+
+
+def test_bands_are_counted_in_tiles_as_their_keys_are(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 4, size=(6, 100))
+    x = base[rng.integers(0, 6, size=130)]
+    x = np.where(rng.random(x.shape) < 0.1, 9, x)
+    x[17] = -1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, sketch array<int>")
+    for cap in (None, 15):
+        want = {tuple(r) for r in P.shared_keys(P.band_keys(df, 5, 100), 2, cap).collect()}
+        got = P.shared_bands(df, 2, 5, 100, cap, block=50)
+        assert len(want) > 50 and {tuple(r) for r in got.collect()} == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert not {"Join", "Aggregate"} & set(plan[: plan.index("MapInArrow")].split())
+
+
+def test_shared_registers_are_counted_in_tiles(spark, write_tables):
+    """No register is a key that rows are joined by, and no pair is joined with the members of its ends."""
+    d = write_tables(documents=spark.createDataFrame([(i, "some words about nothing " * (i + 1)) for i in range(6)], "doc_id long, text string"))
+    plan = features.QUERIES["sketch_candidates"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]
