@@ -154,3 +154,12 @@ def test_shared_registers_are_counted_in_tiles(spark, write_tables):
     d = write_tables(documents=spark.createDataFrame([(i, "some words about nothing " * (i + 1)) for i in range(6)], "doc_id long, text string"))
     plan = features.QUERIES["sketch_candidates"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan[: plan.index("MapInArrow")]
+
+
+def test_registers_of_few_values_are_sent_in_few_bytes():
+    rng = np.random.default_rng(12)
+    hashes = rng.integers(0, 1 << 62, size=30_000)
+    for values, each in ((np.arange(-1, 120), 1), (np.arange(-1, 136), 2), (np.arange(1 << 20), 4), (hashes, 3), (np.array([0.5, 0.25]), 4), (np.array([0.1, 0.2]), 8), (rng.integers(0, 1 << 62, size=1 << 18), 8)):
+        x = rng.choice(values, size=300_000)
+        data, kind = P._narrow(x)
+        assert len(data) <= each * len(x) and (P._wide(data, kind, 1000) == x.reshape(1000, -1)).all()
