@@ -128,6 +128,23 @@ def test_refine_by_brute_force(spark):
             assert {(x["cand"], x["seq"]) for x in got.collect()} == want
 
 
+def test_refine_ends_where_nothing_is_good_enough(spark, work):
+    """A large component of contaminated candidates is done at once, and so is what a pick leaves of one."""
+    m = [(c, i) for c in ("a", "b") for i in range(20)] + [("c", 19), ("c", 30), ("c", 31)]
+    hits = [(i, f"m{i % 4}") for i in range(20)] + [(30, "m0"), (31, "m1")]
+    for members in (m[:40], m):
+        members_df, h = spark.createDataFrame(members, "cand string, seq long"), spark.createDataFrame(hits, "seq long, marker string")
+        saved, save = [], work.save
+        def bounded(df, name, *rest):
+            saved.append(name)
+            assert len(saved) < 60, "rounds without a pick"
+            return save(df, name, *rest)
+        work.save = bounded
+        got = {(r["cand"], r["seq"]) for r in E.refine_consensus(members_df, h, 10, 20.0, 50.0, 1.0, work, 10).collect()}
+        work.save = save
+        assert got == greedy(members, hits, 10, 20.0, 50.0, 1.0) and len(got) == (0 if len(members) == 40 else 3)
+
+
 def test_ensemble_by_brute_force(spark):
     import random
 
