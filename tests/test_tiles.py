@@ -163,3 +163,34 @@ def test_registers_of_few_values_are_sent_in_few_bytes():
         x = rng.choice(values, size=300_000)
         data, kind = P._narrow(x)
         assert len(data) <= each * len(x) and (P._wide(data, kind, 1000) == x.reshape(1000, -1)).all()
+
+
+def test_the_best_of_a_tile_are_exact_in_every_chunk_and_strip_and_few_are_held(monkeypatch):
+    rng = np.random.default_rng(13)
+    for scale, copies in ((1.0, 1), (1e-9, 1), (1e9, 1), (1.0, 30)):
+        x = np.repeat(rng.normal(size=(600 // copies, 8)), copies, axis=0)[rng.permutation(600)].astype(np.float32) * scale
+        x = x.astype(float)
+        x[::50] *= 1e3  # a few long rows
+        x[7, 2] = np.nan
+        ids = rng.permutation(600)
+        a, b, ia, ib = x[:280], x[280:], ids[:280], ids[280:]
+        s = np.zeros((280, 320))
+        for k in range(8):
+            s += a[:, k, None] * b[None, :, k]
+        s[7] = -np.inf
+        held = []
+        monkeypatch.setattr(P, "_dots", lambda *v, dots=P._dots: held.append(len(v[2])) or dots(*v))
+        for chunk, strip, most in ((4096, 1 << 18, 1 << 21), (48, 40, 1 << 21), (100, 100, 900)):
+            monkeypatch.setattr(P, "STRIP", strip)
+            got = list(P._best(P.dot_kernel, None, 5, chunk, most)(ia, [a], ib, [b], False))
+            for d, src, dst, sims in ((got[0], ia, ib, s), (got[1], ib, ia, s.T)):
+                want = [(i, j, v) for row, i in zip(sims, src) for v, j in sorted(zip(-row, dst))[:5] if np.isfinite(v)]
+                assert sorted(zip(d["src"], -d["sim"], d["dst"])) == sorted((i, v, j) for i, j, v in want)
+        assert max(held[-20:]) <= 900 + 8 * 100  # the bound and a strip
+        monkeypatch.undo()
+
+
+def test_a_row_goes_to_no_more_tiles_as_the_table_grows():
+    sent = [P.block_number(n, P.wide_block(64)) for n in (100_000, 600_000, 1_500_000)]
+    assert sent == [24, 24, 24] and P.block_number(600_000) == 74
+    assert P.wide_block(500) <= 8400 and P.wide_block(6) == P.WIDE_ROWS and P.wide_block(4096) == P.BLOCK
