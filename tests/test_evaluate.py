@@ -175,3 +175,18 @@ def test_high_quality_and_the_size_of_the_marker_set(spark):
     assert [r["bin"] for r in E.high_quality(per).collect()] == ["b"]
     hits = spark.createDataFrame([(1, "m1"), (2, "m1"), (2, "m2")], "seq long, marker string")
     assert (E.marker_set_size(hits, 7, 5), E.marker_set_size(hits, None, 5), E.marker_set_size(hits)) == (7, 5, 2)
+
+
+def test_the_first_candidate_of_each_contig_is_found_in_tasks_of_bounded_size(spark, work):
+    from pyspark.sql import functions as F
+
+    rows = [(x * 13 % 70, f"c{x * 7 % 11}", float(x % 5)) for x in range(700)]
+    best = {}
+    for q, c, s in rows:
+        best[q] = min(best.get(q, (1.0, "")), (-s, c))
+    df = work.save(spark.createDataFrame(rows + [(None, "c0", 9.0)], "seq long, cand string, score double").coalesce(1), "rows")
+    got = E.first_at_each(df, F.struct(-F.col("score"), "cand"), "best", deal=100)
+    assert got.rdd.getNumPartitions() == 8
+    assert sorted((r["seq"], *r["best"]) for r in got.collect()) == sorted((q, *best[q]) for q, _, _ in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not {"Sort", "SortAggregate", "HashAggregate"} & set(plan[plan.rindex("Exchange") :].split())  # nothing is held where a whole file is read
