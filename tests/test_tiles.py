@@ -194,3 +194,37 @@ def test_a_row_goes_to_no_more_tiles_as_the_table_grows():
     sent = [P.block_number(n, P.wide_block(64)) for n in (100_000, 600_000, 1_500_000)]
     assert sent == [24, 24, 24] and P.block_number(600_000) == 74
     assert P.wide_block(500) <= 8400 and P.wide_block(6) == P.WIDE_ROWS and P.wide_block(4096) == P.BLOCK
+
+
+def test_all_pairs_of_copies_repeat_in_what_a_tile_gives_and_are_whole(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    x = np.repeat(rng.normal(size=(6, 4)), [1, 90, 1, 25, 12, 1], axis=0)[rng.permutation(130)]
+    df = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    for strip, block in ((1 << 18, 1000), (1 << 18, 30), (100, 50)):
+        monkeypatch.setattr(P, "STRIP", strip)
+        rows = P.all_pairs(df, P.dot_kernel, ["v"], block=block).collect()
+        got = {(r["i"], r["j"]): r["sim"] for r in rows}
+        assert len(rows) == len(got) == 130 * 129 // 2
+        assert all(abs(got[7 * i, 7 * j] - x[i] @ x[j]) < 1e-12 for j in range(130) for i in range(j))
+    # blocks of copies: similarities leave in runs, and a large group of copies is dealt to many blocks
+    a, b = (np.repeat(rng.normal(size=(3, 4)), 20, axis=0) for _ in range(2))
+    ia, ib = rng.permutation(120)[:60], np.arange(60) + 120
+    for strip, runs in ((1 << 18, 9), (60 * 8, 27)):
+        monkeypatch.setattr(P, "STRIP", strip)
+        parts = list(P._whole(P.dot_kernel, None)(ia, [a], ib, [b], False))
+        assert max(len(d["i"]) for d in parts) <= strip and sum(len(d["i"]) for d in parts) == 3600
+        assert np.count_nonzero(np.diff(np.concatenate([d["sim"] for d in parts]))) == runs - 1
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4000)] + [(4000 + i, [2.0, float(i // 5)]) for i in range(4000)], "id long, v array<double>")
+    dealt = P._dealt(same, ["v"], 8000, 8)
+    sizes = dealt.groupBy("b").count().toPandas()
+    assert len(sizes) == 8 and sizes["count"].max() < 2000
+    assert dealt.filter("id >= 4000").groupBy("v").agg(F.count_distinct("b").alias("n")).filter("n > 1").count() == 0
+
+
+def test_rounding_in_a_tile_is_that_of_the_queries(spark):
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(size=20_000), rng.integers(-(10**6), 10**6, 2000) / 1e6, [0.5e-6, -0.5e-6, -1e-9, 0.0, 2.5e-6, -1.5e-6, np.nan]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id int, x double")
+    want = np.array([r["x"] for r in features.rounded(df, "x").orderBy("id").collect()])
+    got = P._rounded(x, 6)
+    assert np.array_equal(got, want, equal_nan=True) and not np.signbit(got[got == 0]).any()
