@@ -234,7 +234,7 @@ def test_pairs_of_suppliers_are_rounded_in_the_tile(spark, write_tables):
     """Nothing is left to be done with each pair once it has left its tile."""
     rows = [(s, f, n, float(q)) for s in range(8) for f, n, q in (("A", "F", s + 1), ("N", "O", 3), ("R", "F", 9 - s))]
     d = write_tables(lineitem=spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double"))
-    for query in ("pearson_pairs", "weighted_jaccard_pairs"):
+    for query in ("pearson_pairs", "weighted_jaccard_pairs", "spearman_pairs"):
         df = features.QUERIES[query](spark, d)
         assert "round" not in df._jdf.queryExecution().optimizedPlan().toString()
         assert df.count() == 28
