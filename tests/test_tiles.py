@@ -245,3 +245,10 @@ def test_no_row_of_a_small_block_is_its_own_neighbour():
         ids, x = np.arange(n) + 10, np.arange(4.0 * n).reshape(n, 4) + 1
         (d,) = P._best(P.dot_kernel, None, 3)(ids, [x], ids, [x], True)
         assert (d["src"] != d["dst"]).all() and len(d["src"]) == n * min(3, n - 1)
+
+
+def test_bands_that_many_rows_share_are_counted_whole(spark):
+    """One more row than the cap of old."""
+    df = spark.range(6001).select("id", F.array(F.lit(1), F.lit(2)).alias("sketch"))
+    got = P.shared_bands(df, 1, rows=1, registers=2)
+    assert tuple(got.agg(F.count(F.lit(1)), F.min("shared"), F.max("shared")).first()) == (6001 * 3000, 2, 2)
