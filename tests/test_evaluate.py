@@ -190,3 +190,31 @@ def test_the_first_candidate_of_each_contig_is_found_in_tasks_of_bounded_size(sp
     assert sorted((r["seq"], *r["best"]) for r in got.collect()) == sorted((q, *best[q]) for q, _, _ in rows)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not {"Sort", "SortAggregate", "HashAggregate"} & set(plan[plan.rindex("Exchange") :].split())  # nothing is held where a whole file is read
+
+
+def test_when_a_candidate_comes_first_is_told_row_by_row():
+    """Rows come sorted, in batches of any size: a candidate that goes on in the next one is told once, by all of its rows."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    firsts = {f"f{k}": -r.uniform(10, 60) for k in range(4)}
+    rows = sorted([(f"c{r.randrange(12):02d}", [f"m{r.randrange(8)}" for _ in range(r.randrange(3))], r.choice([None, *firsts])) for _ in range(150)], key=lambda x: x[0])
+    want = []
+    for c in sorted({x[0] for x in rows}):
+        left = [x for x in rows if x[0] == c]
+        order = [None, *sorted((at, f) for f, at in firsts.items() if any(x[2] == f for x in left))]
+        for i, last in enumerate(order):
+            left = [x for x in left if last is None or x[2] != last[1]]
+            ms = [m for x in left for m in x[1]]
+            comp, cont = 10.0 * len(set(ms)), 10.0 * (len(ms) - len(set(ms)))
+            then = max((-(comp - cont), c), last or (-1e9, ""))
+            if comp >= 30 and cont <= 60 and (i + 1 == len(order) or then < order[i + 1]):
+                want.append((7, *then))
+                break
+    assert len(want) > 6
+    table = pa.table({"root": [7] * 150, "cand": [x[0] for x in rows], "markers": [x[1] for x in rows], "first": [x[2] for x in rows], "first_at": [firsts.get(x[2]) for x in rows]})
+    for size in (150, 40, 1):
+        got = [b.to_pylist() for b in E._overtaken(10, 30.0, 60.0, 1.0)(iter(table.to_batches(max_chunksize=size)))]
+        assert [(x["root"], x["at"], x["name"]) for b in got for x in b] == want
