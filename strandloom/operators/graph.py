@@ -109,7 +109,12 @@ def trajectory_gate(edges: DataFrame, trajectories: DataFrame, least: float = 0.
 
 def otsu(values: DataFrame, column: str, bins: int = 256) -> DataFrame:
     """One row, ``cut``: the upper edge of the bin that maximises the variance between classes. Only bin counts move."""
-    h = values.filter(F.col(column) > 0).groupBy(F.least(F.floor(F.col(column) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return otsu_of_bins(values.filter(F.col(column) > 0).groupBy(F.least(F.floor(F.col(column) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")), bins)
+
+
+def otsu_of_bins(counts: DataFrame, bins: int = 256) -> DataFrame:
+    """The same from the number of values in each bin (bin, n)."""
+    h = counts.select(F.col("bin").cast("int").alias("bin"), F.col("n").cast("double").alias("n"))
     up, whole = Window.orderBy("bin"), Window.partitionBy()  # at most ``bins`` rows
     mid = F.col("n") * (F.col("bin") + 0.5)
     run = h.select("bin", F.sum("n").over(up).alias("w"), F.sum(mid).over(up).alias("s"), F.sum("n").over(whole).alias("wt"), F.sum(mid).over(whole).alias("st"))

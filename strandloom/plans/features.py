@@ -44,6 +44,14 @@ def _wjac(s, d, digits=None):
     return P.all_pairs(_profiles(s, d), P.min_max_kernel, ["scaled"], digits=digits)
 
 
+def _otsu(s, d, bins=256):
+    def bin_of(sim):
+        v = P._rounded(sim, 9)
+        return np.where(v > 0, np.minimum(np.floor(v * bins), bins - 1), -1).astype(np.int64)
+
+    return G.otsu_of_bins(P.bin_counts(_profiles(s, d), P.dot_kernel, ["unit"], bin_of, bins), bins)
+
+
 def _fuse(s, d):
     geomean = lambda corr, a, b: np.sqrt(np.maximum(corr, 0.0) * np.clip(P.min_max_kernel(a, b), 0.0, 1.0))
     return P.all_pairs(_profiles(s, d), P.depth_kernel(geomean), ["unit", "depth", "scaled"], 0.0).withColumnRenamed("sim", "score")
@@ -176,7 +184,7 @@ QUERIES = {
     "weighted_jaccard_pairs": lambda s, d: _wjac(s, d, 6),
     "depth_edge_term_fuse": lambda s, d: rounded(_fuse(s, d), "score"),
     "edge_score": lambda s, d: rounded(_scored(s, d), "score"),
-    "otsu_cut": lambda s, d: G.otsu(_spearman(s, d).select(F.round("sim", 9).alias("v")), "v"),
+    "otsu_cut": _otsu,
     "gmm_cut": lambda s, d: s.createDataFrame([(G.mixture_cut(_spearman(s, d), "sim"),)], "cut double"),
     "snn_reweight": _snn,
     "knn_topk": lambda s, d: rounded(_nearest(s, d), "sim"),

@@ -252,3 +252,19 @@ def test_bands_that_many_rows_share_are_counted_whole(spark):
     df = spark.range(6001).select("id", F.array(F.lit(1), F.lit(2)).alias("sketch"))
     got = P.shared_bands(df, 1, rows=1, registers=2)
     assert tuple(got.agg(F.count(F.lit(1)), F.min("shared"), F.max("shared")).first()) == (6001 * 3000, 2, 2)
+
+
+def test_pairs_are_counted_by_bins_and_none_is_made_a_row(spark, write_tables):
+    rng = np.random.default_rng(16)
+    x = np.repeat(rng.normal(size=(40, 4)), rng.integers(1, 9, size=40), axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    bin_of = lambda s: np.where(s > 0, np.minimum(np.floor(4 * s), 6), -1).astype(np.int64)
+    i, j = np.triu_indices(len(x), 1)
+    want = np.unique(bin_of((x[i] * x[j]).sum(axis=1)), return_counts=True)
+    for block in (1000, 15):
+        got = {r["bin"]: r["n"] for r in P.bin_counts(df, P.dot_kernel, ["v"], bin_of, 7, block).collect()}
+        assert got == {int(b): int(n) for b, n in zip(*want) if b >= 0}
+    rows = [(s, f, n, float(q)) for s in range(8) for f, n, q in (("A", "F", s // 2 + 1), ("N", "O", 3), ("R", "F", 9 - s // 2))]
+    d = write_tables(lineitem=spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double"))
+    plan = features.QUERIES["otsu_cut"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bin#" in plan[plan.index("MapInArrow") :].split("\n")[0] and "sim#" not in plan
