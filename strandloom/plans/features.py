@@ -107,17 +107,19 @@ def _idf(s, d):
 
 
 def prob_jaccard(a, b):
-    """Probability Jaccard similarity of two weight arrays: the sum over elements of 1 / sum of the larger relative weights."""
-    both = F.arrays_zip(a.alias("x"), b.alias("y"))
-    def part(v):
-        return F.when((v["x"] > 0) & (v["y"] > 0), 1 / F.aggregate(both, F.lit(0.0), lambda s, u: s + F.greatest(u["x"] / v["x"], u["y"] / v["y"]))).otherwise(F.lit(0.0))
-    return A.total(F.transform(both, part))
+    """Probability Jaccard similarity of the weights of two rows each: the sum over elements of 1 / sum of the larger relative weights."""
+    out = np.zeros(len(a))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for v in range(a.shape[1]):
+            larger = np.zeros(len(a))
+            for u in range(a.shape[1]):
+                larger += np.maximum(a[:, u] / a[:, v], b[:, u] / b[:, v])
+            out += np.where((a[:, v] > 0) & (b[:, v] > 0), 1 / larger, 0.0)
+    return out
 
 
 def _prob_jaccard(s, d):
-    prof = _profiles(s, d)
-    pairs = P.all_pairs(prof, P.dot_kernel, ["unit"], 0.8)
-    return G.with_ends(pairs, prof, "seq", ["depth"]).select("i", "j", F.round(prob_jaccard(F.col("depth_i"), F.col("depth_j")), 6).alias("jp"))
+    return P.all_pairs(_profiles(s, d), P.dot_kernel, ["unit", "depth"], 0.8, digits=6, value=lambda a, b: prob_jaccard(a[1], b[1])).withColumnRenamed("sim", "jp")
 
 
 def _pmh(s, d):

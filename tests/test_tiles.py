@@ -268,3 +268,28 @@ def test_pairs_are_counted_by_bins_and_none_is_made_a_row(spark, write_tables):
     d = write_tables(lineitem=spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double"))
     plan = features.QUERIES["otsu_cut"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
     assert "bin#" in plan[plan.index("MapInArrow") :].split("\n")[0] and "sim#" not in plan
+
+
+def test_pairs_above_a_bound_are_whole_and_copies_are_valued_once(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    x = np.repeat(rng.normal(size=(9, 4)), [1, 60, 1, 25, 12, 1, 1, 20, 9], axis=0)[rng.permutation(130)]
+    df = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    valued = lambda a, b: (a[0] + b[0]).sum(axis=1)
+    want = {(7 * i, 7 * j): round((x[i] + x[j]).sum(), 6) for j in range(130) for i in range(j) if x[i] @ x[j] >= 0.5}
+    for strip, block in ((1 << 18, 1000), (100, 50)):
+        monkeypatch.setattr(P, "STRIP", strip)
+        rows = P.all_pairs(df, P.dot_kernel, ["v"], 0.5, block=block, digits=6, value=valued).collect()
+        assert len(rows) == len(want) and all(abs(want[r["i"], r["j"]] - r["sim"]) < 1e-9 for r in rows)
+    # a block meets another in chunks of whole runs; each pair of runs that reaches the bound is valued once
+    monkeypatch.undo()
+    order = np.lexsort(x.T)
+    ia, a, ib, b = order[:70], x[order[:70]], order[70:], x[order[70:]]
+    for chunk in (8192, 16, 1):
+        seen, out = [], []
+        solve = P._whole(P.dot_kernel, None, 0.5, lambda u, v: seen.append(len(u[0])) or valued(u, v), chunk)
+        for left, right, same in (((ia, [a]), (ib, [b]), False), ((ia, [a]), (ia, [a]), True), ((ib, [b]), (ib, [b]), True)):
+            for d in solve(*left, *right, same):
+                assert (d["i"] < d["j"]).all()
+                out += zip(d["i"].tolist(), d["j"].tolist(), d["sim"].tolist())
+        assert len(out) == len(want) and all(abs(want[7 * i, 7 * j] - v) < 1e-6 for i, j, v in out)
+        assert sum(seen) <= 4 * 81
