@@ -293,3 +293,14 @@ def test_pairs_above_a_bound_are_whole_and_copies_are_valued_once(spark, monkeyp
                 out += zip(d["i"].tolist(), d["j"].tolist(), d["sim"].tolist())
         assert len(out) == len(want) and all(abs(want[7 * i, 7 * j] - v) < 1e-6 for i, j, v in out)
         assert sum(seen) <= 4 * 81
+
+
+def test_nothing_is_left_to_do_with_pairs_of_suppliers_above_a_bound(spark, write_tables):
+    rows = [(s, f, n, float(q)) for s in range(8) for f, n, q in (("A", "F", s // 3 + 1), ("N", "O", 3), ("R", "F", 9 - s // 3))]
+    d = write_tables(lineitem=spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double"))
+    for query, column in (("prob_jaccard_exact", "jp"), ("depth_edge_term_fuse", "score")):
+        df = features.QUERIES[query](spark, d)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "round" not in plan and "Join" not in plan[: plan.index("MapInArrow")]
+        got = {(r["i"], r["j"]): r[column] for r in df.collect()}
+        assert got[0, 1] == got[1, 2] == 1.0 and got[0, 3] == got[2, 5] < 1.0
