@@ -101,3 +101,27 @@ def test_low_bits_estimate_the_exact_similarity(spark):
     planes = np.array([r["planes"] for r in got])
     sim = np.diag(S.planes_kernel(m, bits)([planes[::2]], [planes[1::2]]))
     assert np.abs(sim - want).max() < 0.12 and abs(np.mean(sim - want)) < 0.02
+
+
+def test_unit_words_are_counted_in_slices_and_rounded(spark):
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    texts = ["".join(r.choice(list("ACGTNé"), p=[0.3, 0.2, 0.2, 0.2, 0.05, 0.05], size=n)) for n in (0, 3, 4, 50, 900)] + [None, "acgtACGT", "AAAA" * 20]
+    want = {}
+    for i, x in enumerate(texts):
+        n = {}
+        for p in range(len(x or "") - 3):
+            if set(k := x[p : p + 4].upper()) <= set("ACGT"):
+                n[k] = n.get(k, 0) + 1
+        norm = sum(v * v for v in n.values()) ** 0.5
+        want |= {(i, k): round(v / norm, 6) for k, v in n.items()}
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, seq string")
+    got = {(x["id"], x["kmer"]): x["w"] for x in S.unit_words(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1.1e-6 for k, v in want.items())
+    assert "aggregate" not in S.unit_words(df)._jdf.queryExecution().optimizedPlan().toString()
+    # a batch that begins within its arrays; a long text is alone in its slice
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "seq": texts}).slice(2)
+    rows = [tuple(x.values()) for b in S._unit_words(4, 6)(iter([batch])) for x in b.to_pylist()]
+    assert {(i, k): w for i, k, w in rows} == {k: v for k, v in got.items() if k[0] >= 2}
+    assert list(S._slices(np.array([0, 5, 30, 2, 2, 0]), 8, 2)) == [(0, 2), (2, 3), (3, 5), (5, 6)]
