@@ -125,3 +125,20 @@ def test_unit_words_are_counted_in_slices_and_rounded(spark):
     rows = [tuple(x.values()) for b in S._unit_words(4, 6)(iter([batch])) for x in b.to_pylist()]
     assert {(i, k): w for i, k, w in rows} == {k: v for k, v in got.items() if k[0] >= 2}
     assert list(S._slices(np.array([0, 5, 30, 2, 2, 0]), 8, 2)) == [(0, 2), (2, 3), (3, 5), (5, 6)]
+
+
+def test_sketches_straight_from_sequences_are_those_of_the_steps(spark):
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice(list("ACGTN"), p=[0.3, 0.2, 0.2, 0.29, 0.01], size=n)) for n in (0, 3, 40, 900, 3000)] + [None, "acgtACGTTTGACCA"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, seq string")
+    read = lambda x, c: {y["id"]: list(y[c]) for y in x.collect()}
+    for mode in ("gc", "markov"):
+        assert read(S.sequence_sketch(df, mode, 64), "sketch") == read(S.weighted_sketch(S.kmer_weights(S.spectra(df), mode), 64), "sketch")
+    for x in (S.sequence_sketch(df), S.bucket_planes(df)):
+        assert x._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 1
+    whole, ranks = read(S.bucket_sketch(df), "sketch"), read(S.bucket_sketch(df, ranked=True), "sketch")
+    assert {i: x for i, x in whole.items()} == {i: S.one_permutation(t, 8, 500).tolist() for i, t in enumerate(texts)}
+    a, b = (np.array([x[i] for i in sorted(x)]).ravel() for x in (whole, ranks))
+    assert ((a < 0) == (b < 0)).all() and b.max() < 1 << 16 and (b[b < 0] == -1).all()
+    assert len(set(zip(a, b))) == len(set(a)) == len(set(b))
+    assert read(S.bucket_planes(df, 2), "planes") == read(S.low_bit_planes(S.bucket_sketch(df), 2), "planes")

@@ -304,3 +304,15 @@ def test_nothing_is_left_to_do_with_pairs_of_suppliers_above_a_bound(spark, writ
         assert "round" not in plan and "Join" not in plan[: plan.index("MapInArrow")]
         got = {(r["i"], r["j"]): r[column] for r in df.collect()}
         assert got[0, 1] == got[1, 2] == 1.0 and got[0, 3] == got[2, 5] < 1.0
+
+
+def test_registers_that_a_sign_would_make_longer_are_sent_without_one():
+    for top, each in ((127, 1), (254, 1), (32_895, 2), (65_534, 2), (65_535, 4)):
+        x = np.array([-1, 0, top] * 1000)
+        data, kind = P._narrow(x)
+        assert len(data) == each * len(x) or top == 127
+        assert (P._wide(data, kind, 1000) == x.reshape(1000, 3)).all() and (P._wide(data, kind, 1000, True) == x.reshape(1000, 3)).all()
+    a, b = np.array([[1, -1, 7], [200, 3, 7]]), np.array([[1, -1, 8], [200, 200, 7]])
+    want = P.match_kernel([a], [b])
+    for kind in (np.int16, np.int32):
+        assert (P.match_kernel([a.astype(kind)], [b.astype(kind)]) == want).all() and want.tolist() == [[1 / 3, 1 / 3], [0.0, 2 / 3]]
