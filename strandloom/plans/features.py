@@ -125,7 +125,7 @@ def _pmh(s, d):
 
 
 def _oph(s, d):
-    return P.all_pairs(Workspace(s, "sketches").save(S.bucket_sketch(dna(s, d)), "sketches"), P.match_kernel, ["sketch"], 0.5)
+    return P.all_pairs(Workspace(s, "sketches").save(S.bucket_sketch(dna(s, d), ranked=True), "sketches"), P.match_kernel, ["sketch"], 0.5)
 
 
 def _low_bits(s, d):
