@@ -129,8 +129,8 @@ def _oph(s, d):
 
 
 def _low_bits(s, d):
-    planes = Workspace(s, "planes").save(S.low_bit_planes(S.bucket_sketch(dna(s, d)), 2), "planes")
-    return rounded(P.all_pairs(planes, S.planes_kernel(500, 2), ["planes"], 0.9), "sim")
+    planes = Workspace(s, "planes").save(S.bucket_planes(dna(s, d), 2), "planes")
+    return P.all_pairs(planes, S.planes_kernel(500, 2), ["planes"], 0.9, digits=6)
 
 
 def _baseline(s, d):
