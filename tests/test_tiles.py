@@ -316,3 +316,38 @@ def test_registers_that_a_sign_would_make_longer_are_sent_without_one():
     want = P.match_kernel([a], [b])
     for kind in (np.int16, np.int32):
         assert (P.match_kernel([a.astype(kind)], [b.astype(kind)]) == want).all() and want.tolist() == [[1 / 3, 1 / 3], [0.0, 2 / 3]]
+
+
+def test_pairs_that_agree_in_a_band_are_all_that_are_similar(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    base = rng.integers(0, 1 << 40, size=(40, 500))
+    x = base[rng.integers(0, 40, size=260)]
+    x = np.where(rng.random(x.shape) < rng.uniform(0, 0.12, size=260)[:, None], rng.integers(0, 1 << 40, size=x.shape), x)
+    x[5:30] = x[5]  # copies
+    for k in range(34, 41):  # at the bound: so many registers differ, one in each band first
+        x[60 + k] = x[5]
+        x[60 + k, np.linspace(0, 499, k).astype(int)] += 1
+    planes = S._planes(x, 2)
+    kernel, keys, value = S.planes_kernel(500, 2), S.planes_keys(500, 2, 0.9), S.planes_value(500, 2)
+    ids = rng.permutation(260) * 3
+    s = kernel([planes], [planes])
+    assert (value([np.repeat(planes, 260, axis=0)], [np.tile(planes, (260, 1))]).reshape(260, 260) == s).all()
+    want = {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))): round(s[i, j], 6) for j in range(260) for i in range(j) if s[i, j] >= 0.9}
+    assert len(want) > 300 and keys([planes]).shape == (260, 38)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, planes)], "id long, planes array<long>")
+    for block in (1000, 90):
+        rows = P.banded_tiles(df, kernel, ["planes"], keys, value, 0.9, 6, block).collect()
+        assert len(rows) == len(want) and all(abs(want[r["i"], r["j"]] - r["sim"]) < 1e-9 for r in rows)
+    # few pairs are held or compared at once, and most are not compared at all; where most agree somewhere, all are
+    order = np.lexsort(planes.T)
+    ids, planes = ids[order], planes[order]
+    for strip, most, agree in ((1 << 18, 1 << 17, keys), (50, 40, keys), (50, 40, lambda c: np.zeros((len(c[0]), 3), dtype=np.int64))):
+        monkeypatch.setattr(P, "STRIP", strip)
+        seen, out = [], []
+        solve = P._banded(kernel, agree, lambda u, v: seen.append(len(u[0])) or value(u, v), 0.9, 6, most)
+        for left, right, same in ((slice(0, 120), slice(120, 260), False), (slice(0, 120),) * 2 + (True,), (slice(120, 260),) * 2 + (True,)):
+            for d in solve(ids[left], [planes[left]], ids[right], [planes[right]], same):
+                assert len(d["i"]) <= max(strip, 600)
+                out += zip(d["i"].tolist(), d["j"].tolist(), d["sim"].tolist())
+        assert len(out) == len(want) and {(i, j): v for i, j, v in out} == {k: float(P._rounded(np.array([v]), 6)[0]) for k, v in want.items()}
+        assert max(seen, default=0) <= most and (agree is not keys) == (not seen)
